@@ -209,10 +209,15 @@ def _rows(lines: list[list], page_id_type: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], kind) for i, kind in enumerate(kinds)], names=["url_key", "page_id", "file", "offset", "length"])
 
 
-def fetch(captured: DataFrame, folder: str) -> DataFrame:
-    """Read the records of captures: ``page_id``, ``url``, ``record_type``, ``refers_to`` and what the payload holds."""
+def fetch(captured: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
+    """Read the records of captures: ``page_id``, ``url``, ``record_type``, ``refers_to`` and what the payload holds.
+
+    Capture lines are small and records aren't, so the number of tasks follows the bytes
+    to read; say it by ``partitions`` where the captures are many.
+    """
     kind, folder = captured.schema["page_id"].dataType.simpleString(), _uri(folder)
-    dealt = captured.select("file", "offset", "length", "page_id").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    slim, by = captured.select("file", "offset", "length", "page_id"), ("file", "offset")
+    dealt = (slim.repartitionByRange(partitions, *by) if partitions else slim.repartitionByRange(*by)).sortWithinPartitions(*by)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(folder)
@@ -246,11 +251,12 @@ def digests(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 100) -> DataFrame:
+def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 100, task_bytes: int = 16 << 20) -> DataFrame:
     """Archive all pages, index them, look every key up in the index and read the records back."""
     from .common import cut
 
     written = cut(write_archives(captures(pages, least_bytes), f"{folder}/archives"))
     shards = write_index(written, f"{folder}/index")
     found = lookup(written, f"{folder}/index", shards, written.schema["page_id"].dataType.simpleString())
-    return fetch(found, f"{folder}/archives")
+    total = written.agg(F.sum("length")).first()[0] or 0
+    return fetch(found, f"{folder}/archives", max(1, -(-total // task_bytes)))
