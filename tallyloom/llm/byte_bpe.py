@@ -147,7 +147,7 @@ class Merger:
     The cache is emptied when it holds ``capacity`` slices, so memory is bounded.
     """
 
-    def __init__(self, ranks: dict[bytes, int], capacity: int = 600_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], capacity: int = 150_000, longest: int = 48):
         self.ranks, self.capacity, self.longest, self.seen = ranks, capacity, longest, {}
 
     def __call__(self, piece: str) -> bytes:
