@@ -162,15 +162,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str
     placed = own.select("doc", a.alias("a"), b.alias("b")).join(known, ["a", "b"])
     gone = placed.filter(F.coalesce("near", F.lit(False)) | _earlier("seen", "doc")).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     joined = docs.drop("n_lines", "n_dropped", "dropped_chars").join(gone.withColumnRenamed("doc", "_gone_doc"), F.col(key).eqNullSafe(F.col("_gone_doc")), "left").drop("_gone_doc")
+
+    def judged(found: Column) -> Column:
+        here, repeats = found.getField("here"), found.getField("repeats")
+        gone = lambda s: F.array_contains(repeats, s.getField("i")) | F.coalesce(F.array_contains(F.col("_gone"), s.getField("k")), F.lit(False))
+        kept = F.filter(here, lambda s: (F.char_length(s.getField("x")) < min_chars) | ~gone(s))
+        return let(kept, lambda k: F.struct(
+            F.coalesce(F.size(here), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(here) - F.size(k), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(F.transform(k, lambda s: s.getField("x")), "\n").alias("_new"),
+        ))
+
     here = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.struct(_key(x)[0].alias("a"), _key(x)[1].alias("b")).alias("k")))
-    repeated = _repeats(lines)
-    kept = F.filter(F.col("_here"), lambda s: (F.char_length(s.getField("x")) < min_chars) | ~(F.array_contains(F.col("_repeats"), s.getField("i")) | F.coalesce(F.array_contains(F.col("_gone"), s.getField("k")), F.lit(False))))
-    new = F.array_join(F.transform(F.col("_kept"), lambda s: s.getField("x")), "\n")
-    out = joined.withColumn("_here", here).withColumn("_repeats", repeated).withColumn("_kept", kept)
-    out = out.withColumns({
-        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_here")).cast("long"),
-        "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size("_here") - F.size("_kept")).cast("long"),
-        "_new": F.when(F.col(text).isNotNull(), new),
-    })
+    whole = let(F.struct(here.alias("here"), _repeats(lines).alias("repeats")), judged)
+    # a generator keeps later filters and projections from evaluating all this again
+    out = joined.select("*", F.inline(F.array(F.when(F.col(text).isNotNull(), whole).otherwise(F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast("string").alias("_new"))))))
     out = out.withColumn("dropped_chars", F.coalesce(F.char_length(text) - F.char_length("_new"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.col("_new")).drop("_here", "_repeats", "_kept", "_new", "_gone")
+    return out.withColumn(text, F.col("_new")).drop("_new", "_gone")
