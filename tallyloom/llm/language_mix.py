@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, buckets: int = 1 << 15) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (share of that language) and ``shares`` (map) of every row."""
+    """``doc_id``, ``text`` (empty for null), ``lang_pred``, ``score`` (share of that language) and ``shares`` (map) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -125,11 +125,11 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             found = [shared.value.shares(t) for t in part.column(1).to_pylist()]
             top = [min(x.items(), key=lambda kv: (-kv[1], kv[0])) if x else (UNKNOWN, 0.0) for x in found]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([t[0] for t in top], pa.string()), pa.array([min(1.0, t[1]) for t in top], pa.float64()), pa.array([list(x.items()) for x in found], pa.map_(pa.string(), pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "shares"],
+                [part.column(0), part.column(1), pa.array([t[0] for t in top], pa.string()), pa.array([min(1.0, t[1]) for t in top], pa.float64()), pa.array([list(x.items()) for x in found], pa.map_(pa.string(), pa.float64()))],
+                names=["doc_id", "text", "lang_pred", "score", "shares"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text string, lang_pred string, score double, shares map<string,double>")
 
 
 def held_out(key: str = "doc_id"):

@@ -7,7 +7,7 @@ and serialised with their results as canonical JSON (sorted keys, no blanks).
 Order: a call's place is a pair (latest position among itself and what it depends on,
 steps behind the call at that position).  Dependencies that point backwards already
 satisfy it at once, so rounds of relaxation follow chains of forward references only;
-a call that moves on when it has more steps than calls share its latest position is
+a call that gets as many steps as calls share its latest position is
 ``cyclic``: on a cycle, or behind one with nothing later.  No conversation is gathered
 in one task.
 
@@ -91,10 +91,11 @@ def places(calls: DataFrame) -> DataFrame:
         new = joined.select("conv_id", "call_id", F.when(F.col("moves"), F.col("best.latest")).otherwise(F.col("latest")).alias("latest"), F.when(F.col("moves"), F.col("best.steps")).otherwise(F.col("steps")).alias("steps"), "moves")
         alike = new.groupBy("conv_id", "latest").agg(F.count("*").alias("alike"))
         state = cut(new.join(alike, ["conv_id", "latest"]))
-        # more steps behind a position than calls share it: only a cycle makes that
-        if not state.filter("moves and steps <= alike").limit(1).count():
+        # as many steps behind a position as calls share it: only a cycle makes that, and at
+        # twice as many every call of the cycle has gone round
+        if not state.filter("moves and steps < 2 * alike").limit(1).count():
             break
-    cyclic = F.col("moves") | (F.col("steps") > F.col("alike"))
+    cyclic = F.col("steps") >= F.col("alike")
     return state.select("conv_id", "call_id", "latest", F.when(cyclic, 0).otherwise(F.col("steps")).alias("steps"), cyclic.alias("cyclic"))
 
 
