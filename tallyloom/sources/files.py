@@ -66,7 +66,9 @@ def _size(data: bytes) -> dict:
     return {"mime": kind, "stored_width": width, "stored_height": height, "orientation": orientation, "moving": moving}
 
 
-@F.pandas_udf("mime string, stored_width bigint, stored_height bigint, orientation int, moving boolean")
+HEADER = "mime string, stored_width bigint, stored_height bigint, orientation int, moving boolean"
+
+
 def image_header(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_size(x or b"") for x in content], columns=["mime", "stored_width", "stored_height", "orientation", "moving"]).astype({"stored_width": "Int64", "stored_height": "Int64"})
 
@@ -74,7 +76,7 @@ def image_header(content: pd.Series) -> pd.DataFrame:
 def image_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder: kind, size as shown, and whether they can be taken."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    read = rows.select("path", "length", image_header("content").alias("h")).select("path", "length", "h.*")
+    read = rows.select("path", "length", F.pandas_udf(image_header, HEADER)("content").alias("h")).select("path", "length", "h.*")
     shown = oriented(F.col("stored_width"), F.col("stored_height"), F.col("orientation"))
     ok = F.col("mime").isNotNull() & ~F.col("moving") & (F.col("length") <= MOST_BYTES) & (F.col("stored_width") > 0) & (F.col("stored_height") > 0) & (F.col("stored_width") * F.col("stored_height") <= MOST_PIXELS)
     return read.withColumn("shown", shown).select("path", "length", "mime", F.col("shown.width").alias("width"), F.col("shown.height").alias("height"), F.coalesce(ok, F.lit(False)).alias("accepted"))
