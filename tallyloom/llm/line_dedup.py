@@ -15,7 +15,8 @@ Scale: exact copies are combined before any shuffle of lines; segments travel as
 hashes; texts are fetched for candidates only.  An index key shared by more than
 ``crowd`` lines isn't joined pairwise: its lines are grouped by what is left of them
 without one code point, position by position, which is exact for one edit, linear in
-the group, and needs only the smallest document id of each group.
+the group, and needs only the smallest document id of each group.  A line that stands
+in very many documents reaches them by a broadcast of fewer than 4096 such lines.
 
 Defined results: null texts stay null; empty texts and documents without lines to drop
 are unchanged; a document that loses all its lines gets an empty text; rows with
@@ -29,7 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, let
+from .common import cut, keep, let, named_by
+
 
 def _key(line: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a line."""
@@ -154,12 +156,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str
     """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_dropped``, ``dropped_chars``."""
     lines = F.split(F.col(text), "\n")
     own = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(lines).alias("line")).filter(F.char_length("line") >= min_chars)
-    seen = own.groupBy("line").agg(F.min("doc").alias("seen"))
+    seen = own.groupBy("line").agg(F.min("doc").alias("seen"), F.count("*").alias("n_rows"))
     a, b = _key(F.col("line"))
-    keyed = keep(seen.select("line", F.char_length("line").alias("n"), a.alias("a"), b.alias("b"), "seen"), "lines")
-    near = near_lines(keyed, crowd).withColumn("near", F.lit(True))
-    known = keyed.select("a", "b", "seen").join(near, ["a", "b"], "left")
-    placed = own.select("doc", a.alias("a"), b.alias("b")).join(known, ["a", "b"])
+    keyed = keep(seen.select("line", F.char_length("line").alias("n"), a.alias("a"), b.alias("b"), "seen", "n_rows"), "lines")
+    near = cut(near_lines(keyed, crowd)).withColumn("near", F.lit(True))
+    known = keyed.select("a", "b", "seen", "n_rows").join(near, ["a", "b"], "left")
+    total = keyed.agg(F.sum("n_rows")).first()[0] or 0
+    placed = named_by(own.select("doc", a.alias("a"), b.alias("b")), known, ["a", "b"], "doc", total)
     gone = placed.filter(F.coalesce("near", F.lit(False)) | _earlier("seen", "doc")).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     joined = docs.drop("n_lines", "n_dropped", "dropped_chars").join(gone.withColumnRenamed("doc", "_gone_doc"), F.col(key).eqNullSafe(F.col("_gone_doc")), "left").drop("_gone_doc")
 
