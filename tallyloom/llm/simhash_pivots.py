@@ -11,7 +11,8 @@ difference is discarded in the join; survivors are verified bit by bit.
 Scale: a key shared by more than ``crowd`` fingerprints isn't compared pairwise.
 Its members instead go, each, to the 65 values within one bit; two fingerprints
 lie within two bits exactly if they meet at such a value, where at most 65 can
-meet.  That is linear and loses no link.
+meet.  That is linear and loses no link.  Fewer than 4096 fingerprints can be
+those of very many documents each; their components reach the rows by a broadcast.
 
 Defined results: null and empty texts have fingerprint zero and link like others;
 texts with fewer words than a shingle have one shingle, the whole sequence; ties
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, named_by, slices
 from .graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -104,10 +105,11 @@ def links(distinct: DataFrame, most: int = 2, pivots: int = 24, crowd: int = 64)
 def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, pivots: int = 24, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over links) of every row."""
     fps = cut(fingerprints(docs, width, key, text))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
     roots = components(links(distinct.select("fp"), most, pivots, crowd), "a", "b")
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     better = linked.join(least, "root").select("fp", "least")
-    named = distinct.join(better, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(better, "fp", "left").select("fp", "n_rows", F.coalesce("least", "first").alias("component_id"))
+    total = distinct.agg(F.sum("n_rows")).first()[0] or 0
+    return named_by(fps, named, ["fp"], "doc_id", total).select("doc_id", "fp", "component_id")
