@@ -34,6 +34,9 @@ LETTER, NUMBER, OTHER, SHORT, LONG, JOINING, ALONE, INNER = range(8)
 # States: what kind of token is open.  TAIL1 and TAIL2 are one or two letters before the end of a contraction.
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE, IN_SPACES, TAIL1, TAIL2 = range(8)
 
+#: Texts taken together in one pass of the class arrays; a longer text is a pass of its own.
+SLICE_BYTES = 500_000
+
 #: Code points with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -210,6 +213,21 @@ def _merger(path: str) -> Merger:
     return Merger(load_ranks(path))
 
 
+@cache
+def _tokens(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    ranks = load_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for data, rank in ranks.items():
+        out[rank] = data
+    return out
+
+
+def decode_ids(ids: bytes | None, tokens: list[bytes]) -> bytes:
+    """The bytes of little-endian 32-bit ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def encode_texts(texts: list[str], merger: Merger) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """For each text: ids as little-endian 32-bit integers, the code-point start of each slice, ids per slice."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -234,7 +252,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(path)
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, chars=SLICE_BYTES):
             out = list(encode_texts(part.column(1).to_pylist(), merger))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[0]) >> 2 for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([x[2].tobytes() for x in out], pa.binary())],
@@ -254,12 +272,9 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     rows = encoded.select(key, "ids", *rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        known = [b""] * (max(ranks.values()) + 1)
-        for data, rank in ranks.items():
-            known[rank] = data
+        tokens = _tokens(path)
         for part in slices(batches, 1):
-            decoded = [b"".join(map(known.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+            decoded = [decode_ids(x, tokens) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -274,5 +289,16 @@ def span_of(slice_starts: bytes, slice_ids: bytes, token: int) -> tuple[int, int
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, then decode the ids."""
-    return decode(encode(docs, path, key, text).select(key, "ids", "n_tokens"), path, key)
+    """``key``, ``ids``, ``n_tokens`` and ``decoded``: encoded, and decoded from the ids, in one worker a task."""
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger, tokens = _merger(path), _tokens(path)
+        for part in slices(batches, 1, chars=SLICE_BYTES):
+            ids = [x[0] for x in encode_texts(part.column(1).to_pylist(), merger)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array([decode_ids(x, tokens) for x in ids], pa.binary())], names=[key, "ids", "n_tokens", "decoded"]
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{key}` {kind}, ids binary, n_tokens bigint, decoded binary")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import block_extract, byte_bpe, decontaminate, graph, language_mix, line_crf, line_dedup, orc_tokens, simhash_pivots, tool_calls, warc_index
-from tallyloom.llm.common import shared_folder
+from tallyloom.llm.common import named_by, shared_folder
 
 DOCS = "doc_id bigint, text string, n_lines string"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -39,7 +39,11 @@ def test_byte_bpe(spark, docs, texts):
         assert ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode() and r.n_tokens == len(ids)
         if ids:
             assert byte_bpe.span_of(r.slice_starts, r.slice_ids, len(ids) - 1)[1] == len(r.slice_starts) // 4 - 1
-    assert byte_bpe.encode(docs.limit(0), RANKS).count() == 0
+    both = {r.doc_id: r for r in byte_bpe.round_trip(docs, RANKS).collect()}
+    assert len(both) == docs.count() and bytes(both[None].decoded) == b"null id"
+    for i, text in enumerate(texts):
+        assert np.frombuffer(both[i].ids, "<u4").tolist() == library.encode_ordinary(text or "") and bytes(both[i].decoded) == (text or "").encode() and both[i].n_tokens == len(both[i].ids) // 4
+    assert byte_bpe.encode(docs.limit(0), RANKS).count() == byte_bpe.round_trip(docs.limit(0), RANKS).count() == 0
 
 
 def test_orc_tokens(spark, docs, texts):
@@ -133,6 +137,16 @@ def test_simhash(spark, crowd):
     assert {(r.doc_id, r.component_id) for r in simhash_pivots.near_duplicates(rows).collect()} == {(3, 1), (1, 1), (2, 2), (5, 2), (None, None)}
 
 
+def test_names_of_frequent_keys(spark):
+    facts = spark.createDataFrame([(i, 7 if i < 50 else i, 1) for i in range(80)] + [(None, 7, 1), (99, -5, 1)], "doc bigint, a bigint, b int")
+    names = spark.createDataFrame([(7, 1, "often", 51), (7, 2, "other b", 1), *((i, 1, f"n{i}", 1) for i in range(50, 80))], "a bigint, b int, name string, n_rows bigint")
+    wanted = sorted([(i, "often" if i < 50 else f"n{i}") for i in range(80)] + [(None, "often")], key=str)
+    for share in (2, 4096):
+        got = named_by(facts, names, ["a", "b"], "doc", 82, share).select("doc", "name").collect()
+        assert sorted(map(tuple, got), key=str) == wanted
+    assert named_by(facts.limit(0), names.limit(0), ["a", "b"], "doc", 0).columns == ["doc", "a", "b", "name"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert Counter(r.root for r in graph.components(edges, "a", "b").collect()) == {1: 40, 100: 2}
