@@ -15,7 +15,9 @@ Scale: exact copies are combined before any shuffle of lines; segments travel as
 hashes; texts are fetched for candidates only.  An index key shared by more than
 ``crowd`` lines isn't joined pairwise: its lines are grouped by what is left of them
 without one code point, position by position, which is exact for one edit, linear in
-the group, and needs only the smallest document id of each group.  A line that stands
+the group, and needs only the smallest document id of each group.  Keys that hold more
+than one in 4096 of all rows are found beforehand by counts in a fixed number of
+buckets, and their lines go that way without being dealt by key.  A line that stands
 in very many documents reaches them by a broadcast of fewer than 4096 such lines.
 
 Defined results: null texts stay null; empty texts and documents without lines to drop
@@ -123,12 +125,28 @@ def _earlier(a: str, b: str) -> Column:
     return F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
 
 
+def _frequent(keys: DataFrame, crowd: int, share: int = 4096, buckets: int = 1 << 16) -> DataFrame:
+    """``k`` of more than ``crowd`` rows and of more than one in ``share`` of all rows: fewer than ``share`` keys.
+
+    Counts are combined before they are dealt: first by bucket, then by key in the
+    fewer than ``share`` buckets that are full enough to hold such a key.
+    """
+    bucket = F.pmod(F.col("k"), F.lit(buckets)).alias("bucket")
+    counts = cut(keys.groupBy(bucket).agg(F.count("*").alias("size")))
+    least = max(crowd, (counts.agg(F.sum("size")).first()[0] or 0) // share)
+    full = counts.filter(F.col("size") > least).select("bucket")
+    held = keys.select("k", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    return cut(held.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("k"))
+
+
 def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20) -> DataFrame:
     """``a``, ``b`` of lines within one edit of a line with smaller ``seen``.
 
     ``lines`` has distinct lines: ``line``, ``n``, ``a``, ``b`` (its key) and ``seen``.
     """
-    dealt = _segments(lines).repartition("k")
+    halves = _segments(lines)
+    frequent = F.broadcast(_frequent(halves.select("k"), crowd))
+    dealt = halves.join(frequent, "k", "left_anti").repartition("k")
     groups = dealt.groupBy("k").agg(
         F.count("*").alias("size"), F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"),
         F.min("seen").alias("s1"), F.max(F.coalesce(F.col("seen").cast("string"), F.lit(""))).alias("s2"), F.min("probe").alias("p"), F.max("side").alias("o"),
@@ -141,7 +159,8 @@ def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20)
     pairs = cut(x.join(y, (F.col("x.k") == F.col("y.k")) & ~(F.col("x.probe") & F.col("y.probe")) & ahead).select(
         F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")
     ).distinct())
-    many = members.filter(F.col("size") > crowd).select("a", "b", "side").distinct()
+    shared = halves.join(frequent, "k", "left_semi").select("a", "b", "side")
+    many = members.filter(F.col("size") > crowd).select("a", "b", "side").unionByName(shared).distinct()
     bucket = F.pmod(F.col("a"), F.lit(fetch_buckets))
     wanted = pairs.select(F.explode(F.array("xa", "ya")).alias("a")).unionByName(many.select("a")).select(bucket.alias("bucket")).distinct()
     # at most fetch_buckets rows, whatever the input: a bounded filter before texts are shuffled
