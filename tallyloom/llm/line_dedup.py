@@ -125,7 +125,7 @@ def _earlier(a: str, b: str) -> Column:
     return F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) < F.col(b)))
 
 
-def _frequent(keys: DataFrame, crowd: int, share: int = 4096, buckets: int = 1 << 16) -> DataFrame:
+def _frequent(keys: DataFrame, crowd: int, share: int, buckets: int = 1 << 16) -> DataFrame:
     """``k`` of more than ``crowd`` rows and of more than one in ``share`` of all rows: fewer than ``share`` keys.
 
     Counts are combined before they are dealt: first by bucket, then by key in the
@@ -139,13 +139,13 @@ def _frequent(keys: DataFrame, crowd: int, share: int = 4096, buckets: int = 1 <
     return cut(held.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("k"))
 
 
-def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20) -> DataFrame:
+def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20, share: int = 4096) -> DataFrame:
     """``a``, ``b`` of lines within one edit of a line with smaller ``seen``.
 
     ``lines`` has distinct lines: ``line``, ``n``, ``a``, ``b`` (its key) and ``seen``.
     """
     halves = _segments(lines)
-    frequent = F.broadcast(_frequent(halves.select("k"), crowd))
+    frequent = F.broadcast(_frequent(halves.select("k"), crowd, share))
     dealt = halves.join(frequent, "k", "left_anti").repartition("k")
     groups = dealt.groupBy("k").agg(
         F.count("*").alias("size"), F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"),
@@ -171,17 +171,17 @@ def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20)
     return verified.select(F.col("xa").alias("a"), F.col("xb").alias("b")).unionByName(crowded).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str = "doc_id", text: str = "text", share: int = 4096) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_dropped``, ``dropped_chars``."""
     lines = F.split(F.col(text), "\n")
     own = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(lines).alias("line")).filter(F.char_length("line") >= min_chars)
     seen = own.groupBy("line").agg(F.min("doc").alias("seen"), F.count("*").alias("n_rows"))
     a, b = _key(F.col("line"))
     keyed = keep(seen.select("line", F.char_length("line").alias("n"), a.alias("a"), b.alias("b"), "seen", "n_rows"), "lines")
-    near = cut(near_lines(keyed, crowd)).withColumn("near", F.lit(True))
+    near = cut(near_lines(keyed, crowd, share=share)).withColumn("near", F.lit(True))
     known = keyed.select("a", "b", "seen", "n_rows").join(near, ["a", "b"], "left")
     total = keyed.agg(F.sum("n_rows")).first()[0] or 0
-    placed = named_by(own.select("doc", a.alias("a"), b.alias("b")), known, ["a", "b"], "doc", total)
+    placed = named_by(own.select("doc", a.alias("a"), b.alias("b")), known, ["a", "b"], "doc", total, share)
     gone = placed.filter(F.coalesce("near", F.lit(False)) | _earlier("seen", "doc")).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
     joined = docs.drop("n_lines", "n_dropped", "dropped_chars").join(gone.withColumnRenamed("doc", "_gone_doc"), F.col(key).eqNullSafe(F.col("_gone_doc")), "left").drop("_gone_doc")
 
