@@ -1,7 +1,7 @@
 """Chart results after character reading: cells, legend items, reconciliation, evaluation.
 
-Every comparison of boxes stays inside an image (an equality on ``image_id``), and
-sizes per image are capped by rule O7 before pairs are made.
+Every comparison of boxes stays inside an image (an equality on ``image_id``); all
+pairs of an image are made, and rule O7 only reports images with many boxes.
 """
 
 from __future__ import annotations
