@@ -5,13 +5,15 @@ a table; the class, with one or two code points of look-ahead, selects a
 transition function of a small automaton.  Functions compose associatively, so
 the state before every code point of a whole batch of texts follows from one
 parallel prefix scan over function numbers with a composition table.  The slices
-between token starts go through a cache of merged pairs.  The code-point offset
-of each slice and the number of ids that it gave stay with the result, so that
-ids decode back to spans of the original text.
+between token starts are numbered by Arrow, and each distinct one of a batch goes
+once through a cache of merged pairs.  The code-point offset of each slice and the
+number of ids that it gave stay with the result, so that ids decode back to spans
+of the original text.
 
 Defined results: a null text encodes as an empty one (no ids, empty bytes);
-repeated rows give repeated results; an empty table gives an empty table; other
-columns of the input are neither read nor returned.
+repeated rows give repeated results; a very long text is a batch of its own, and a
+very long slice merges by a heap in nearly linear time; an empty table gives an
+empty table; other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import heapq
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, taken
 
 # Symbols: what the automaton reads at a code point.
 LETTER, NUMBER, OTHER, SHORT, LONG, JOINING, ALONE, INNER = range(8)
@@ -37,6 +40,12 @@ CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHER, SPACE, IN_SPACES, TAIL1, TAIL2 = range
 #: Texts taken together in one pass of the class arrays; a longer text is a pass of its own.
 SLICE_BYTES = 500_000
 
+#: Letters and numbers that Unicode 16 added, for Pythons whose tables are older.
+ADDED_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+ADDED_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 #: Code points with the Unicode property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -92,6 +101,9 @@ def classes() -> np.ndarray:
             out[cp] = LETTER
         elif major == "N":
             out[cp] = NUMBER
+    for kind, ranges in ((LETTER, ADDED_LETTERS), (NUMBER, ADDED_NUMBERS)):
+        for low, high in ranges:
+            out[low : high + 1] = kind
     out[WHITE] = INNER
     return out
 
@@ -145,43 +157,79 @@ def token_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """Merges the bytes of a slice by rank, and remembers the ids of slices that it has seen.
+    """Merges the bytes of slices by rank, and remembers the ids of slices that it has seen.
 
+    New slices of up to ``longest`` bytes merge side by side, one pair of each at a time.
     The cache is emptied when it holds ``capacity`` slices, so memory is bounded.
     """
 
-    def __init__(self, ranks: dict[bytes, int], capacity: int = 150_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], capacity: int = 300_000, longest: int = 48):
         self.ranks, self.capacity, self.longest, self.seen = ranks, capacity, longest, {}
-
-    def __call__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        if (one := self.ranks.get(data)) is not None:
-            ids = [one]
-        else:
-            ids = self.merged(data)
-        packed = np.array(ids, "<u4").tobytes()
-        if len(data) <= self.longest:
-            if len(self.seen) >= self.capacity:
+        self.base, self.none = max(ranks.values(), default=0) + 1, np.iinfo(np.int32).max
+        self.bytes = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
+        pairs = {a * self.base + b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k] for k in self.keys.tolist()] + [self.none], np.int32)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The id that two neighbours merge to, which is also its rank."""
+        wanted = a.astype(np.int64) * self.base + b
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.joined[at], self.none)
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each slice as little-endian 32-bit integers."""
+        found = list(map(self.seen.get, pieces))
+        if missing := [x for x, ids in zip(pieces, found) if ids is None]:
+            new = {x: self.ranks[x].to_bytes(4, "little") for x in missing if x in self.ranks}
+            rest = [x for x in missing if x not in new]
+            for x in rest:
+                if len(x) > self.longest:
+                    new[x] = np.array(self.merged(x), "<u4").tobytes()
+            for width in (8, 16, 32, self.longest):
+                some = [x for x in rest if len(x) <= width and x not in new]
+                new.update(zip(some, self.side_by_side(some, width)))
+            found = [new[x] if ids is None else ids for x, ids in zip(pieces, found)]
+            if len(self.seen) + len(new) > self.capacity:
                 self.seen.clear()
-            self.seen[piece] = packed
-        return packed
+            self.seen.update((x, ids) for x, ids in new.items() if len(x) <= self.longest)
+        return found
+
+    def side_by_side(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """Ids of slices of at most ``width`` bytes: in each the pair of lowest rank merges (leftmost first), until none has any."""
+        out = [b""] * len(pieces)
+        if not pieces:
+            return out
+        ids = self.bytes[np.frombuffer(b"".join([x.ljust(width, b"\0") for x in pieces]), np.uint8).reshape(-1, width)]
+        n, at, columns = np.array([len(x) for x in pieces]), np.arange(len(pieces)), np.arange(width)
+        ranks = np.full(ids.shape, self.none, np.int32)
+        ranks[:, :-1] = np.where(columns[1:] < n[:, None], self.pair(ids[:, :-1], ids[:, 1:]), self.none)
+        while len(at):
+            place = ranks.argmin(1)
+            rows = np.arange(len(at))
+            best = ranks[rows, place]
+            if (ended := best == self.none).any():
+                for i, row, size in zip(at[ended].tolist(), ids[ended], n[ended].tolist()):
+                    out[i] = row[:size].tobytes()
+                going = ~ended
+                ids, ranks, n, at, place, best, rows = ids[going], ranks[going], n[going] - 1, at[going], place[going], best[going], rows[: going.sum()]
+            else:
+                n = n - 1
+            if not len(at):
+                break
+            after = np.minimum(columns + (columns > place[:, None]), width - 1)
+            ids, ranks = np.take_along_axis(ids, after, 1), np.take_along_axis(ranks, after, 1)
+            ids[rows, place] = best
+            follows = place + 1 < n
+            ranks[rows, place] = np.where(follows, self.pair(best, ids[rows, np.minimum(place + 1, width - 1)]), self.none)
+            ahead = np.flatnonzero(place)
+            ranks[ahead, place[ahead] - 1] = self.pair(ids[ahead, place[ahead] - 1], best[ahead])
+        return out
 
     def merged(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost among equal ranks; a heap keeps long slices near linear."""
+        """Lowest rank first, leftmost among equal ranks; a heap keeps it near linear."""
         ranks, n = self.ranks, len(data)
-        if n < 48:
-            none, get = len(ranks), ranks.get
-            parts = [data[i : i + 1] for i in range(n)]
-            pairs = [get(data[i : i + 2], none) for i in range(n - 1)]
-            while pairs and (best := min(pairs)) < none:
-                at = pairs.index(best)
-                parts[at] += parts.pop(at + 1)
-                del pairs[at]
-                if at:
-                    pairs[at - 1] = get(parts[at - 1] + parts[at], none)
-                if at < len(pairs):
-                    pairs[at] = get(parts[at] + parts[at + 1], none)
-            return [ranks[p] for p in parts]
         end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
         heapq.heapify(heap)
@@ -214,35 +262,54 @@ def _merger(path: str) -> Merger:
 
 
 @cache
-def _tokens(path: str) -> list[bytes]:
+def _tokens(path: str) -> pa.Array:
     """The bytes of each id."""
     ranks = load_ranks(path)
     out = [b""] * (max(ranks.values()) + 1)
     for data, rank in ranks.items():
         out[rank] = data
-    return out
+    return pa.array(out, pa.binary())
+
+
+def _parts(data: pa.Buffer, edges: np.ndarray) -> pa.Array:
+    """The bytes between ``edges``."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), data])
+
+
+def decoded(ids: np.ndarray, edges: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The bytes of the ids of each text; ``edges``: where texts start among the ids."""
+    found = tokens.take(pa.array(ids))
+    return _parts(found.buffers()[2] or pa.py_buffer(b""), np.frombuffer(found.buffers()[1], np.int32)[edges] if len(ids) else edges)
+
 
+class Encoded(NamedTuple):
+    """The ids of some texts."""
 
-def decode_ids(ids: bytes | None, tokens: list[bytes]) -> bytes:
-    """The bytes of little-endian 32-bit ids."""
-    return b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+    ids: np.ndarray
+    edges: np.ndarray  #: where each text starts among the ids, and the end
+    starts: np.ndarray  #: code-point starts of the slices in their texts
+    counts: np.ndarray  #: ids of each slice
+    slices: np.ndarray  #: where each text starts among the slices, and the end
 
 
-def encode_texts(texts: list[str], merger: Merger) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-    """For each text: ids as little-endian 32-bit integers, the code-point start of each slice, ids per slice."""
+def encode_texts(texts: list[str], merger: Merger) -> Encoded:
+    """Ids of the slices of the texts, each distinct slice merged once."""
     lengths = np.array([len(t) for t in texts], np.int64)
     whole = "".join(texts)
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
     base = np.concatenate([[0], np.cumsum(lengths)])
     starts = token_starts(points, base[:-1][lengths > 0])
-    cuts = starts.tolist() + [len(whole)]
-    pieces = [whole[a:b] for a, b in zip(cuts, cuts[1:])]
-    seen = merger.seen.get
-    packed = [seen(p) or merger(p) for p in pieces]
-    edges = np.searchsorted(starts, base).tolist()
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        own = packed[a:b]
-        yield b"".join(own), (starts[a:b] - base[i]).astype("<i4"), np.array([len(x) >> 2 for x in own], "<i4")
+    data = whole.encode("utf-8", "surrogatepass")
+    if len(data) == len(points):
+        cuts = np.append(starts, len(data))
+    else:
+        sizes = (points >= 0x80).astype(np.uint8) + (points >= 0x800) + (points >= 0x10000) + np.uint8(1)
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.append(starts, len(points))]
+    numbered = _parts(pa.py_buffer(data), cuts).dictionary_encode()
+    found = taken(merger(numbered.dictionary.to_pylist()), numbered.indices)
+    ends = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py()
+    edges = np.searchsorted(starts, base)
+    return Encoded(found.flatten().to_numpy(), ends[edges], (starts - np.repeat(base[:-1], np.diff(edges))).astype("<i4"), np.diff(ends).astype("<i4"), edges)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,12 +319,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(path)
-        for part in slices(batches, 1, chars=SLICE_BYTES):
-            out = list(encode_texts(part.column(1).to_pylist(), merger))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[0]) >> 2 for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([x[2].tobytes() for x in out], pa.binary())],
-                names=[key, "ids", "n_tokens", "slice_starts", "slice_ids"],
-            )
+        for part in slices(batches, 1, chars=SLICE_BYTES, rows=4096):
+            x = encode_texts(part.column(1).to_pylist(), merger)
+            columns = [_parts(pa.py_buffer(x.ids), 4 * x.edges), pa.array(np.diff(x.edges)), _parts(pa.py_buffer(x.starts), 4 * x.slices), _parts(pa.py_buffer(x.counts), 4 * x.slices)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[key, "ids", "n_tokens", "slice_starts", "slice_ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {kind}, ids binary, n_tokens bigint, slice_starts binary, slice_ids binary")
@@ -274,8 +339,9 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
         for part in slices(batches, 1):
-            decoded = [decode_ids(x, tokens) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, "decoded"])
+            ids = [x or b"" for x in part.column(1).to_pylist()]
+            edges = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, decoded(np.frombuffer(b"".join(ids), "<i4"), edges, tokens)], names=[*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, decoded binary")
@@ -294,11 +360,9 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, tokens = _merger(path), _tokens(path)
-        for part in slices(batches, 1, chars=SLICE_BYTES):
-            ids = [x[0] for x in encode_texts(part.column(1).to_pylist(), merger)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array([decode_ids(x, tokens) for x in ids], pa.binary())], names=[key, "ids", "n_tokens", "decoded"]
-            )
+        for part in slices(batches, 1, chars=SLICE_BYTES, rows=4096):
+            x = encode_texts(part.column(1).to_pylist(), merger)
+            yield pa.RecordBatch.from_arrays([part.column(0), _parts(pa.py_buffer(x.ids), 4 * x.edges), pa.array(np.diff(x.edges)), decoded(x.ids, x.edges, tokens)], names=[key, "ids", "n_tokens", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
     return rows.mapInArrow(run, f"`{key}` {kind}, ids binary, n_tokens bigint, decoded binary")
