@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def taken(lists: list[bytes], indices: pa.Array) -> pa.ListArray:
+    """For each index, the 32-bit integers that are packed at it in ``lists``."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64) >> 2
+    values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(lists), "<i4")))
+    return values.take(indices)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 2_000_000, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no slice has many more than ``chars`` bytes of text.
 

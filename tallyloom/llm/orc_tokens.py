@@ -4,38 +4,45 @@ Texts are range-partitioned and sorted by document id, encoded in that order and
 written as ORC: integers are run-length encoded, each stripe has row indexes
 (minimum and maximum per ``row_index_stride`` rows) and a Bloom filter on the
 document id.  Readers split the files by stripes and skip by that metadata.
-Positions in the stream of all ids come from the row counts of the sorted
-partitions: totals of partitions are few, and each partition sums its own rows.
+Each row says its partition and how many ids stand before it there, so its place in
+the stream of all ids is that number and the totals of the partitions before it,
+which are one row a partition: ids are decoded once and no row is shuffled to read.
+
+Encoding takes each distinct word of a slice of texts once: Arrow splits the slice,
+numbers its distinct words and puts their ids back in place.
 
 Defined results: a null text encodes as an empty one (only the end id); rows with
-equal document ids keep a fixed order among themselves (by their ids' checksum and
-length, then all equal); null document ids come first; an empty table gives an
-empty table; other columns are neither read nor returned.
+equal document ids keep the order of their texts' hashes (equal texts: of their place
+in the input) in the files, and their positions are those of the files; null document
+ids come first, dealt by the same order, so none is one task's burden; a very long text
+is a slice of its own; strings of special tokens in a text are what the library makes
+of them; an empty table gives an empty table; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import shared_folder, slices, taken
 
 
 @cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)
 
 
 #: Line ends to blanks, A-Z to a-z: the vocabulary's own normaliser does both.
@@ -56,12 +63,19 @@ def _simple(data: bytes) -> bool:
     return bool((_PLAIN[last] | (x[at - 2] == 0xC3) & _LATIN[last]).all())
 
 
-def _words_of(texts: list[str]) -> list[list[str]]:
-    """Blank-separated words, with full stops and commas after a word set apart where that keeps its pre-tokens."""
-    data = [t.encode("utf-8", "surrogatepass").translate(_LOWER) + b" " for t in texts]
+def _spaced(texts: list[bytes]) -> list[bytes]:
+    """Texts whose words stand between blanks, with full stops and commas after a word set apart where that keeps its pre-tokens."""
+    data = [t.translate(_LOWER) + b" " for t in texts]
     if _simple(b"".join(data)):
-        return [x.replace(b". ", b" . ").replace(b", ", b" , ").decode("utf-8", "surrogatepass").split(" ") for x in data]
-    return [_MARK.sub(r" \1 ", x.decode("utf-8", "surrogatepass")).split(" ") for x in data]
+        return [x.replace(b". ", b" . ").replace(b", ", b" , ") for x in data]
+    return [_MARK.sub(r" \1 ", x.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass") for x in data]
+
+
+#: Words of ASCII without an apostrophe and of Latin-1 letters: their pre-tokens are runs of letters, single digits and runs of the rest.
+_SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Fixed value: the pattern of the vocabulary's pre-tokens, which the two patterns above follow.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Words:
@@ -71,32 +85,68 @@ class Words:
     The cache is emptied at ``capacity`` words; longer words are not kept.
     """
 
-    def __init__(self, path: str, capacity: int = 600_000, longest: int = 48):
+    def __init__(self, path: str, capacity: int = 400_000, longest: int = 48):
+        from tokenizers.pre_tokenizers import ByteLevel
+
         self.tokenizer, self.capacity, self.longest, self.seen = _tokenizer(path), capacity, longest, {}
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.levels = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        with open(path, "rb") as lines:
+            self.simple = json.dumps(_PATTERN, ensure_ascii=False).encode() in lines.read()
+
+    def __call__(self, texts: list[bytes], end_id: int) -> pa.ListArray:
+        """The ids of each text, and the end id."""
+        special = [i for i, t in enumerate(texts) if b"<|" in t]
+        plain = _spaced([b"" if b"<|" in t else t for t in texts])
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
+        whole = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(plain))])
+        split = pc.split_pattern(whole, b" ")
+        numbered = split.values.dictionary_encode()
+        ids = taken(self.lists(numbered.dictionary.to_pylist()), numbered.indices)
+        words = split.offsets.to_numpy()
+        ends = ids.offsets.to_numpy()[words].astype(np.int64)
+        flat = np.insert(ids.values.to_numpy(), ends[1:] - ends[0], end_id)
+        out = pa.ListArray.from_arrays(pa.array((ends - ends[0] + np.arange(len(ends))).astype(np.int32)), pa.array(flat))
+        if special:  # whole texts by the library, which knows its special tokens' strings
+            parts = {i: [*self.tokenizer.encode(texts[i].decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, end_id] for i in special}
+            out = pa.array([parts.get(i, x) for i, x in enumerate(out.to_pylist())], pa.list_(pa.int32()))
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = _words_of(texts)
-        found = [list(map(self.seen.get, words)) for words in split]
-        if missing := {w for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}:
-            new = self.encoded(list(missing))
-            for words, got in zip(split, found):
-                if None in got:
-                    got[:] = [new[w] if x is None else x for w, x in zip(words, got)]
+    def lists(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word."""
+        found = list(map(self.seen.get, words))
+        if missing := [w for w, x in zip(words, found) if x is None]:
+            new = self.encoded(missing)
+            found = [new[w] if x is None else x for w, x in zip(words, found)]
             if len(self.seen) + len(new) > self.capacity:
                 self.seen.clear()
             self.seen.update((w, x) for w, x in new.items() if len(w) <= self.longest)
-        return [b"".join(got) for got in found]
+        return found
 
-    def encoded(self, words: list[str]) -> dict[str, bytes]:
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each word; many words go through the library as one text, told apart by their offsets."""
-        out = {}
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
+        out, pieces, model = {}, {}, self.model
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        other = []
+        for w, text in zip(words, texts):
+            if not self.simple or not _SIMPLE.fullmatch(text):
+                other.append(w)
+                continue
+            found = []
+            for piece in _PIECE.findall(text.lower()):
+                if (ids := pieces.get(piece)) is None:
+                    ids = pieces[piece] = [t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.levels))]
+                found += ids
+            out[w] = struct.pack(f"<{len(found)}i", *found)
+        for i in range(0, len(other), 2000):
+            words = other[i : i + 2000]
+            some = [w.decode("utf-8", "surrogatepass") for w in words]
             got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
+            ids = np.array(got.ids, "<i4").tobytes()
             starts = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
             edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(w) + 1 for w in some])])).tolist()
-            for w, a, b in zip(some, edges, edges[1:]):
+            for w, a, b in zip(words, edges, edges[1:]):
                 out[w] = ids[4 * a : 4 * b]
         return out
 
@@ -107,27 +157,31 @@ def _words(path: str) -> Words:
 
 
 def encode(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids`` (array of int, with the end id), partition by partition in the order of the rows."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """``doc_id``, ``ids`` (array of int, with the end id), ``n_ids``, ``part`` (the partition) and ``before``
+    (ids of the partition's rows before it), partition by partition in the order of the rows."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
-        for part in slices(batches, 1):
-            packed = [x + end for x in words(part.column(1).to_pylist())]
-            offsets = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in packed])]).astype(np.int32)
-            ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["doc_id", "ids"])
+        from pyspark import TaskContext
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+        words, part, done = _words(path), TaskContext.get().partitionId(), 0
+        for rows in slices(batches, 1, rows=4096):
+            ids = words(rows.column(1).to_pylist(), end_id)
+            sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+            ends = np.cumsum(sizes) + done
+            done = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(sizes), pa.array(np.full(len(sizes), part, np.int32)), pa.array(ends - sizes)], names=["doc_id", "ids", "n_ids", "part", "before"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_ids bigint, part int, before bigint")
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int, partitions: int | None = None, row_index_stride: int = 1000, stripe_bytes: int = 16 << 20) -> None:
     """Write the ids of ``docs`` as ORC files whose names and rows follow the document ids."""
-    slim = docs.select("doc_id", "text")
-    dealt = slim.repartitionByRange(partitions, "doc_id") if partitions else slim.repartitionByRange("doc_id")
-    encoded = encode(dealt.sortWithinPartitions("doc_id", F.xxhash64("text")), path, end_id)
+    order = ("doc_id", "_hash", "_place")  # the last two deal rows of one id to many tasks
+    slim = docs.select("doc_id", "text").withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    dealt = slim.repartitionByRange(partitions, *order) if partitions else slim.repartitionByRange(*order)
+    encoded = encode(dealt.sortWithinPartitions(*order), path, end_id)
     (
         encoded.write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
@@ -140,7 +194,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, partitions: int
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id`` and ``ids``; filters on ``doc_id`` reach the stripes' indexes and Bloom filters."""
+    """Rows of :func:`encode`; filters on ``doc_id`` reach the stripes' indexes and Bloom filters."""
     return spark.read.orc(folder)
 
 
@@ -153,27 +207,13 @@ def positions(stored: DataFrame) -> DataFrame:
             lists = batch.column(1)
             ends, data = lists.offsets.to_numpy(), memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
             sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32"])
-
-    slim = stored.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint")
-    order = ["doc_id", "ids_crc32", "n_tokens"]
-    dealt = slim.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    return running_start(dealt, order)
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64()), batch.column(2), batch.column(3)], names=["doc_id", "n_tokens", "ids_crc32", "part", "before"])
 
-def running_start(dealt: DataFrame, order: list[str]) -> DataFrame:
-    """Exclusive running sum of ``n_tokens`` over range partitions numbered by ``part``."""
-    from .common import cut
-
-    dealt = cut(dealt)  # the partition numbers must not change between the two uses
+    # only the numbers are read for the totals: one row a partition of the writer
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    totals = dealt.groupBy("part").agg(F.sum("n_tokens").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    within = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        dealt.join(F.broadcast(totals.select("part", "base")), "part")  # one row a partition
-        .withColumn("start", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).cast("long"))
-        .select("doc_id", "start", "n_tokens", "ids_crc32")
-    )
+    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    rows = stored.select("doc_id", "ids", "part", "before").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_crc32 bigint, part int, before bigint")
+    return rows.join(F.broadcast(totals), "part").select("doc_id", (F.col("base") + F.col("before")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, folder: str, ids: list) -> DataFrame:
