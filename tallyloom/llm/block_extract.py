@@ -1,15 +1,20 @@
 """Operator 5: main text of web pages by line-block distribution.
 
-Markup is stripped into blocks in page order.  A block's weight is its length, or
-zero if it lies in an element that can't hold article text (navigation, headers,
-footers, forms, scripts, adverts, notices, comments by name, class, id or role), in
-links for the most part, or outside the page's article element where it has one.
-Weights are summed over sliding windows of blocks; text starts where the sum surges
-over a threshold and ends where it dives to nothing, and what lies between is kept.
-
-Defined results: a null, empty or text-less page gives an empty text; broken markup
-is read as far as it goes (unclosed elements end with the page); repeated rows
-repeat; an empty table gives an empty table; other columns are not returned.
+Markup is stripped into blocks in page order.  Blocks in elements that can't hold
+article text (navigation, headers, footers, forms, scripts, adverts, notices, comments
+by name, class, id or role) take no part.  The others have weights: their length; none
+for blocks that are links for the most part; ``LANDMARK`` more for the page's heading;
+in a page with an article element, ``LANDMARK`` more for each block inside it, and none
+outside.  Weights are summed over
+sliding windows of blocks; text starts where the sum surges over a threshold and ends
+where it dives to nothing, and what lies between is kept.  So an article element makes
+its blocks surge more easily, and a page without one is read by lengths alone.
+
+Defined results: a null, empty or text-less page gives an empty text; a page whose sums
+all stay under the threshold gives what surges over the largest sum less one; broken
+markup is read as far as it goes (unclosed elements end with the page); repeated rows
+repeat; a very long page is a batch of its own, read in one pass; an empty table gives
+an empty table; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,11 +54,11 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Blocks in page order: text, code points in links, whether outside by its element, whether inside an article."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """Blocks in page order: text, code points in links, whether outside by its element, whether inside an article, whether in a first heading."""
+    out: list[tuple[str, int, bool, bool, bool]] = []
     parts: list[str] = []
-    linked = at = links = articles = 0
+    linked = at = links = articles = heads = 0
     outside: list[list] = []  # elements under which nothing is article text: name, depth of equal names
 
     def end() -> None:
@@ -60,7 +66,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, bool(outside), articles > 0))
+                out.append((text, linked, bool(outside), articles > 0, heads > 0))
             parts.clear()
         linked = 0
 
@@ -90,6 +96,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 links = max(0, links - 1)
             elif name in ("article", "main"):
                 articles = max(0, articles - 1)
+            elif name == "h1":
+                heads = max(0, heads - 1)
             continue
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -107,29 +115,40 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             links += 1
         elif name in ("article", "main"):
             articles += 1
+        elif name == "h1":
+            heads += 1
     add(page[at:])
     end()
     return out
 
 
+#: What an article element adds to the weight of a block inside it.
+LANDMARK = 86
+
+
+def distribution(page: str, window: int = 3) -> tuple[list[str], list[int], list[int]]:
+    """The blocks that may hold article text, their weights and the sums of ``window`` weights from each on."""
+    blocks = [(text, linked, inside, head) for text, linked, out, inside, head in blocks_of(page) if not out]
+    landmark = any(inside for _, _, inside, _ in blocks)
+    if landmark:
+        weights = [inside and len(text) + LANDMARK for text, _, inside, _ in blocks]
+    else:
+        weights = [0 if 2 * linked > len(text) else len(text) + LANDMARK * head for text, linked, _, head in blocks]
+    before = [0, *accumulate(weights)]
+    return [text for text, *_ in blocks], weights, [b - a for a, b in zip(before, before[window:] + before[-1:] * (window - 1))]
+
+
 def main_text(page: str, window: int = 3, surge: int = 86) -> str:
     """The text between surge and dive points of the block distribution."""
-    blocks = blocks_of(page)
-    landmark = any(inside and not out for _, _, out, inside in blocks)
-    weights = [0 if out or (landmark and not inside) or 2 * linked > len(text) else len(text) for text, linked, out, inside in blocks]
+    blocks, weights, sums = distribution(page, window)
     if not any(weights):
         return ""
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = 0 if landmark else min(surge, max(sums) - 1)
-    kept, i = [], 0
-    while i < len(blocks):
-        if weights[i] and sums[i] > least:  # surge
-            while i < len(blocks) and sums[i]:  # until the dive
-                if weights[i] or not (blocks[i][2] or landmark and not blocks[i][3]) and landmark:
-                    kept.append(blocks[i][0])
-                i += 1
-        else:
-            i += 1
+    least = min(surge, max(sums) - 1)
+    kept, inside = [], False
+    for text, weight, total in zip(blocks, weights, sums):
+        inside = total > 0 if inside else weight > 0 and total > least
+        if inside:
+            kept.append(text)
     return "\n".join(kept)
 
 
