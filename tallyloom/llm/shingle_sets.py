@@ -1,12 +1,23 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets, exact for any threshold.
+"""Near-duplicates by the Jaccard similarity of word-shingle sets: operator 6 where a
+similarity is asked for, which no distance of 64-bit fingerprints can decide.
 
 A text's set holds the 64-bit hashes of its windows of ``width`` words (lower-case A to
-Z, split at ASCII white space).  Texts with equal sets collapse first.  Two sets of
-similarity ``least`` or more share one of the first n - ceil(least * n) + 1 members in
-any order that is the same for all sets, so only these are joined.  The order puts
-members first that a sample of texts doesn't hold often; the sample decides on speed,
-never on results.  Candidates pass a bound on their overlap by sizes and positions and
-are then verified on whole sets.
+Z, split at ASCII white space).  Texts with equal sets collapse first.  SimHash links
+(fingerprints of the same shingles, pivot tables) propose the closest pairs; keys
+propose all others:
+
+- A set of n members has an order: first those that a sample of texts doesn't hold
+  often, then the others, each by hash.  Two sets of similarity ``least`` or more share
+  one of the first n - ceil(least * n) + 1 members.  These are the keys of sets where they
+  are ``FEW`` or less.
+- Larger sets have the first k = ceil(FEW / least) + 1 rare members by hash and, if at
+  most half of them are rare, the first k frequent ones.  Of two such sets of similarity
+  0.8 either at least half of all rare members are common, or two thirds of all frequent
+  ones and both sets have frequent keys; so no key is shared with a chance of at most
+  2^-k, 2^-41 with the defaults.  (Below a similarity of 0.75 all sets have all keys.)
+
+The sample decides on speed, never on results.  Candidates are verified on whole sets:
+first one pair for each set, then what is not connected by those.
 
 Scale: a key shared by more than ``crowd`` sets isn't joined pairwise.  Pairs that are
 already connected need no comparison, so in each round up to ``leaders`` members of such
@@ -18,7 +29,7 @@ still outside is: no pair is given up, and such a key costs at most its square.
 Defined results: null and empty texts have one set and link with each other; texts with
 fewer words than a shingle have one shingle, the whole sequence; repeated rows stay
 repeated; an empty table gives none; null ids stay null and never name a component that
-has another id.
+has another id; a very long text is a batch of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,28 +43,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, named_by, slices
+from .common import cut, keep, named_by, slices
 from .graph import components
-from .simhash_pivots import _LOWER
+from . import simhash_pivots
 
 #: Texts sampled for the order of members, and how many frequent members it knows.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 #: Bits of the filter of sets that are wanted again: 64 a word.
 WORDS = 1 << 21
 _SLACK = 1e-9
+#: Sets have all keys of the prefix rule where these are so many or less.
+FEW = 32
 
 
 def shingle_set(text: str, width: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    from xxhash import xxh64_digest
-
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    normal = b" ".join(words)
-    if len(words) <= width:
-        return np.frombuffer(xxh64_digest(normal, 42), np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[:-width].tolist()]
-    return np.unique(np.frombuffer(b"".join([xxh64_digest(normal[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]), np.int64))
+    return np.unique(np.frombuffer(simhash_pivots.shingle_digests(text, width), np.int64))
 
 
 def _set_id(members: np.ndarray) -> int:
@@ -94,25 +99,26 @@ def frequent_members(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(rows: DataFrame, width: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id``, ``set_id``, ``n`` (members) and ``keys`` (members to join on, in order) of each text."""
-    common, often = frequent
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """``doc_id``, ``set_id``, ``n`` (members), ``fp`` (SimHash) and ``keys`` (members to join on) of each text."""
+    common, _ = frequent
+    kind, many = rows.schema["doc_id"].dataType.simpleString(), math.ceil(FEW / least) + 1
 
     def keys(members: np.ndarray) -> np.ndarray:
         n = len(members)
-        rank = np.zeros(n, np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, members), len(common) - 1)
-            rank = np.where(common[at] == members, often[at], 0)
-        return members[np.lexsort((members, rank))][: n - math.ceil(least * n - _SLACK) + 1]
+        often = common[np.minimum(np.searchsorted(common, members), len(common) - 1)] == members if len(common) else np.zeros(n, bool)
+        rare, other, prefix = members[~often], members[often], n - math.ceil(least * n - _SLACK) + 1
+        if prefix <= FEW or least < 0.75:
+            return np.concatenate([rare, other])[:prefix]
+        return np.concatenate([rare[:many], other[: many * (2 * len(rare) <= n)]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
-            columns = [part.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([keys(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "keys"])
+            digests = [simhash_pivots.shingle_digests(t, width) for t in part.column(1).to_pylist()]
+            sets = [np.unique(np.frombuffer(d, np.int64)) for d in digests]
+            columns = [part.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash_pivots.majority(d) for d in digests], pa.int64()), _lists([keys(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, set_id bigint, n int, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, set_id bigint, n int, fp bigint, keys array<bigint>")
 
 
 def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -142,10 +148,8 @@ def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
 
 def _possible(least: float) -> Column:
-    """Whether rows ``x`` and ``y`` of a key can reach the similarity, by sizes and by the key's places in their orders."""
-    before = F.least("x.pos", "y.pos")
-    after = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return before + after >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - _SLACK
+    """Whether rows ``x`` and ``y`` of a key can reach the similarity by their sizes."""
+    return F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - _SLACK
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -160,39 +164,45 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _counted(met: DataFrame, many: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a``, ``b`` whose number of common keys leaves the similarity possible.
+def _settled(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified ``pairs`` that connect what all verified pairs would: one for each set first, then what these leave apart."""
+    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    edges = cut(_verified(first, sets, least))
+    roots = components(edges, "a", "b")
+    ra, rb = (roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
+    apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+    rest = cut(pairs.join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").filter(apart).select("a", "b"))
+    return cut(edges.unionByName(_verified(rest, sets, least)))
 
-    A common member is a common key or lies behind the keys of the set whose keys end
-    first, where ceil(least * n) - 1 members are.  Crowded keys aren't in ``met``; as
-    many may be common as the set with fewer of them has.
-    """
-    counts = met.groupBy(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    more = many.groupBy("set_id").agg(F.count("*").alias("h"))
-    ha, hb = (more.select(F.col("set_id").alias(s), F.col("h").alias(f"h{s}")) for s in "ab")
-    known = counts.join(ha, "a", "left").join(hb, "b", "left")
-    crowded = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    behind = F.ceil(F.lit(least) * F.greatest("na", "nb") - _SLACK) - 1
-    return known.filter(F.col("c") + crowded + behind >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - _SLACK).select("a", "b")
+
+def _close(unique: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets by SimHash links: the sets of a fingerprint with its first, and first sets of linked fingerprints."""
+    firsts = cut(unique.groupBy("fp").agg(F.min("set_id").alias("a")))
+    same = unique.select("fp", F.col("set_id").alias("b")).join(firsts, "fp").select("a", "b")
+    near = simhash_pivots.links(firsts.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    x, y = (firsts.select(F.col("fp").alias(f"f{s}"), F.col("a").alias(s)) for s in "ab")
+    return same.unionByName(near.join(x, "fa").join(y, "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).filter("a <> b").distinct()
 
 
 def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 8, rounds: int = 4) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly what the pairs of similarity ``least`` or more connect.
 
-    ``unique`` has ``set_id``, ``n`` and ``keys`` of distinct sets, ``rows`` the texts.
+    ``unique`` has ``set_id``, ``n``, ``fp`` and ``keys`` of distinct sets, ``rows`` the texts.
     """
-    dealt = unique.select("set_id", "n", F.posexplode("keys").alias("pos", "key")).repartition("key")
+    dealt = unique.select("set_id", "n", F.explode("keys").alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     busy = cut(dealt.join(shared, "key"))
-    del dealt, shared, unique
+    del dealt, shared
     release(rows)
-    few, many = busy.filter(F.col("size") <= crowd), cut(busy.filter(F.col("size") > crowd).select("key", "set_id", "n", "pos", F.lit(False).alias("done")))
-    pairs = cut(_counted(few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") < F.col("y.set_id")) & _possible(least)), many, least))
+    few, many = busy.filter(F.col("size") <= crowd), cut(busy.filter(F.col("size") > crowd).select("key", "set_id", "n", F.lit(False).alias("done")))
+    met = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") < F.col("y.set_id")) & _possible(least))
+    pairs = cut(met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).unionByName(_close(unique)).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(many.select("set_id"))
-    sets = cut(_whole(rows, width, wanted))
-    del busy, few
+    sets = keep(_whole(rows, width, wanted), "sets")
+    del busy, few, met
+    release(rows)
+    edges, tried = _settled(pairs, sets, least), pairs
     release(rows)
-    edges, tried = cut(_verified(pairs, sets, least)), pairs
     for turn in range(rounds + 1):
         if many.isEmpty():
             break
@@ -206,14 +216,14 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         limit = F.lit(crowd) if turn < rounds else F.lit(1 << 62)
         ending = outside.groupBy("key").agg(F.count("*").alias("left")).select("key", (F.col("left") <= limit).alias("ends"))
         picked = first.select("key", "set_id").unionByName(outside.join(ending.filter("ends"), "key").select("key", "set_id")).distinct()
-        probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "pos", "root"))
+        probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "root"))
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least)
         pairs = cut(_ordered(probes.alias("x").join(held.alias("y"), met)).join(tried, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(_verified(pairs, sets, least)))
+        edges = cut(edges.unionByName(_settled(pairs, sets, least)))
         tried = cut(tried.unionByName(pairs))
         on = held.join(ending.filter("not ends").select("key"), "key", "left_semi").drop("root", "main", "size", "most", "done")
         many = cut(on.join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(
-            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", "pos", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")))
+            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")))
     return edges
 
 
@@ -225,7 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd:
     made = cut(prefixes(rows, width, least, frequent_members(rows, width)))
     found = cut(made.select("doc_id", "set_id"))
     distinct = cut(found.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
-    edges = links(made.select("set_id", "n", "keys").dropDuplicates(["set_id"]), rows, width, least, crowd, leaders, rounds)
+    edges = links(cut(made.select("set_id", "n", "fp", "keys").dropDuplicates(["set_id"])), rows, width, least, crowd, leaders, rounds)
     del made
     linked = components(edges, "a", "b").join(distinct, F.col("node") == F.col("set_id")).select("set_id", "root", "first")
     least_ids = linked.groupBy("root").agg(F.min("first").alias("least"))

@@ -17,7 +17,11 @@ those of very many documents each; their components reach the rows by a broadcas
 Defined results: null and empty texts have fingerprint zero and link like others;
 texts with fewer words than a shingle have one shingle, the whole sequence; ties
 in a bit count as 0; repeated rows stay repeated; an empty table gives none; null
-ids stay null and never name a component that has another id.
+ids stay null and never name a component that has another id; a very long text is a
+batch of its own; other columns, whatever their names, are neither read nor returned.
+
+Two bits are far less than what a similarity of 0.8 leaves: of 64 bits some ten differ
+then.  For such thresholds ``least`` adds exact candidates and verifies whole sets.
 """
 
 from __future__ import annotations
@@ -36,20 +40,21 @@ from .graph import components
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The signed 64-bit fingerprint of a text."""
+def shingle_digests(text: str, width: int) -> bytes:
+    """XXH64 digests (big-endian, seed 42) of a text's shingles, one after another; none without words."""
     from xxhash import xxh64_digest
 
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
     normal = b" ".join(words)
     if len(words) <= width:
-        digests = xxh64_digest(normal, 42)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-width].tolist()]
-        digests = b"".join([xxh64_digest(normal[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())])
+        return xxh64_digest(normal, 42)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-width].tolist()]
+    return b"".join([xxh64_digest(normal[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())])
+
+
+def majority(digests: bytes) -> int:
+    """The signed 64-bit number whose bits are set in over half of the digests."""
     n = len(digests) >> 3
     each = np.frombuffer(digests, np.uint8).reshape(n, 8)
     if n > 2048:
@@ -59,6 +64,11 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str, width: int = 3) -> int:
+    """The signed 64-bit fingerprint of a text; zero without words."""
+    return majority(shingle_digests(text, width)) if text.strip(" \t\n\r\x0b\x0c") else 0
+
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -102,8 +112,16 @@ def links(distinct: DataFrame, most: int = 2, pivots: int = 24, crowd: int = 64)
     return verified.unionByName(meeting.select("a", F.explode("all").alias("b")).filter("a <> b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, pivots: int = 24, crowd: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over links) of every row."""
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, pivots: int = 24, crowd: int = 64, key: str = "doc_id", text: str = "text", least: float | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (smallest doc_id reachable over links) of every row.
+
+    With ``least``, documents link if their sets of shingles have that Jaccard similarity or
+    more, and ``set_id`` stands for ``fp``: see :mod:`shingle_sets`.
+    """
+    if least is not None:
+        from . import shingle_sets
+
+        return shingle_sets.near_duplicates(docs, width, least, key=key, text=text)
     fps = cut(fingerprints(docs, width, key, text))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
     roots = components(links(distinct.select("fp"), most, pivots, crowd), "a", "b")
