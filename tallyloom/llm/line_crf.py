@@ -5,14 +5,24 @@ boilerplate by Viterbi decoding; a document is kept if content lines hold at lea
 ``least_share`` of its code points in lines, and no base rule fails it.  Features of
 a line are counts of character and word kinds, cut into bins.
 
-The field is fitted to lines of a bounded sample of documents with a quality label
-(``sample`` documents, those with the smallest id hashes; lines take the label of
-their document, and fitting under the chain lets well-formed lines of bad documents
-be outvoted).  Everything else covers all rows and whole texts.
+Labels of lines are latent: a quality label says only which label most of a document's
+lines have.  The field is fitted by rounds of two forward-backward sums over a bounded
+sample of labelled documents: expectations under the chain, and under the chain that is
+pulled, document by document, just so far that ``most`` of a document's lines can be
+expected to have its label.  The weights move by the difference; both qualities count
+alike.  So a line that looks like those of the other kind keeps its own label inside a
+document, and the transitions between labels are learned.
+
+The sample is ``sample`` documents, those with the smallest id hashes, with whole texts;
+only line features reach the driver.  Everything else covers all rows and whole texts.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't
-kept; repeated rows repeat; an empty table gives an empty table; without labels the
-field has no weights, calls every line content and leaves the base rules to decide.
+kept; repeated rows repeat (in the sample an id counts once, with the text of the
+smallest hash and its lowest quality); ties between label sequences go to content; a
+very long text is a batch of its own, and in training a chain of ``PIECE`` lines at a
+time; other columns, whatever their names, are neither read nor returned; an empty table
+gives an empty table; without labels the field has no weights, calls every line content
+and leaves the base rules to decide.
 """
 
 from __future__ import annotations
@@ -40,6 +50,8 @@ BINS = (
     (2.5, 4.5, 7.5, 12.5),  # code points a word
 )
 WIDTH = sum(len(b) + 1 for b in BINS) + 3
+#: Longer documents are several chains in training, so that its arrays have few steps; no line is left out.
+PIECE = 256
 CONTENT, BOILERPLATE = 0, 1
 
 
@@ -92,57 +104,92 @@ class LineField:
             out.append(label)
         return np.array(out[::-1])
 
-    def fit(self, texts: list[list[str]], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> LineField:
-        """Maximum conditional likelihood by gradient steps with forward-backward sums, all texts at once."""
+    def sums(self, e: np.ndarray, chains: Chains, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of each line's labels, and expected label pairs and first labels (weighted), for line scores ``e``."""
+        forward, backward = np.empty_like(e), np.zeros_like(e)
+        at, k, pair = chains.at, chains.k, self.pair
+        forward[: k[0]] = self.first + e[: k[0]]
+        for t in range(1, len(k)):
+            last = forward[at[t - 1] : at[t - 1] + k[t]]
+            forward[at[t] : at[t] + k[t]] = np.logaddexp(last[:, :1] + pair[0], last[:, 1:] + pair[1]) + e[at[t] : at[t] + k[t]]
+        for t in range(len(k) - 2, -1, -1):
+            some = slice(at[t + 1], at[t + 1] + k[t + 1])
+            ahead = e[some] + backward[some]
+            backward[at[t] : at[t] + k[t + 1]] = np.logaddexp(pair[:, 0] + ahead[:, :1], pair[:, 1] + ahead[:, 1:])
+        z = np.logaddexp(forward[chains.last, 0], forward[chains.last, 1])[chains.chain]
+        unary = np.exp(forward + backward - z[:, None])
+        later = np.arange(k[0], len(e))
+        both = np.exp(forward[chains.before][:, :, None] + pair + (e + backward)[later][:, None, :] - z[later, None, None])
+        return unary, (both * weight[later, None, None]).sum(0), (unary[: k[0]] * weight[: k[0], None]).sum(0)
+
+    def fit(self, texts: list[np.ndarray], labels: list[int], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3, most: float = 0.75, pace: float = 0.5) -> LineField:
+        """Fit to the line features of documents and their labels, all chains side by side."""
+        texts, labels = (list(x) for x in zip(*[(x[i : i + PIECE], y) for x, y in zip(texts, labels) for i in range(0, len(x), PIECE)])) if texts else ([], [])
         if not texts:
             return self
-        longest = max(map(len, texts))
-        features = np.full((len(texts), longest, len(BINS) + 2), WIDTH, np.int64)
-        real = np.zeros((len(texts), longest), bool)
-        for i, lines in enumerate(texts):
-            features[i, : len(lines)] = line_features(lines)
-            real[i, : len(lines)] = True
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        chains = Chains([len(texts[i]) for i in order])
+        features = chains.laid([texts[i] for i in order]).astype(np.int64)
         features[features < 0] = WIDTH
-        y = np.broadcast_to(np.array(labels)[:, None], real.shape)
-        gold = np.eye(2)[y] * real[..., None]
-        step = np.concatenate([self.emission.ravel(), self.first, self.pair.ravel()]) * 0
-        total = real.sum()
-        for _ in range(rounds):
-            e = self.emission[features].sum(2) * real[..., None]
-            forward, backward = np.zeros_like(e), np.zeros_like(e)
-            forward[:, 0] = self.first + e[:, 0]
-            for t in range(1, longest):
-                new = np.logaddexp.reduce(forward[:, t - 1, :, None] + self.pair, axis=1) + e[:, t]
-                forward[:, t] = np.where(real[:, t, None], new, forward[:, t - 1])
-            for t in range(longest - 2, -1, -1):
-                new = np.logaddexp.reduce(self.pair + (e[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-                backward[:, t] = np.where(real[:, t + 1, None], new, 0)
-            z = np.logaddexp.reduce(forward[:, -1], axis=1)
-            unary = np.exp(forward + backward - z[:, None, None]) * real[..., None]
-            missing = gold - unary
-            d_e = np.zeros_like(self.emission)
-            for k in range(features.shape[2]):
-                np.add.at(d_e, features[..., k], missing)
+        labels = np.array([labels[i] for i in order])
+        own, lengths = np.arange(len(features)), np.bincount(chains.chain)
+        label = labels[chains.chain]
+        size = np.bincount(label, minlength=2)
+        alike = (len(features) / 2 / np.maximum(size, 1))[label]  # the weight of a line of each quality
+        pull, places, step = np.full(len(labels), 2.0), features.ravel(), 0
+        for turn in range(rounds):
+            e = self.emission[features].sum(1)
+            pulled = e.copy()
+            pulled[own, label] += pull[chains.chain]
+            wanted, wanted_pairs, wanted_first = self.sums(pulled, chains, alike)
+            now, now_pairs, now_first = self.sums(e, chains, alike)
+            share = np.bincount(chains.chain, wanted[own, label]) / lengths
+            pull = np.clip(pull + pace * (most - share), 0, 4)
+            missing = np.repeat((wanted - now) * alike[:, None], features.shape[1], axis=0)
+            d_e = np.stack([np.bincount(places, missing[:, y], WIDTH + 1) for y in (0, 1)], axis=1)
             d_e[WIDTH] = 0
-            both = real[:, 1:, None, None] * np.exp(forward[:, :-1, :, None] + self.pair + (e + backward)[:, 1:, None, :] - z[:, None, None, None])
-            d_pair = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:]) - both.sum((0, 1))
-            gradient = np.concatenate([d_e.ravel(), missing[:, 0].sum(0), d_pair.ravel()]) / total
+            gradient = np.concatenate([d_e.ravel(), wanted_first - now_first, (wanted_pairs - now_pairs).ravel()]) / len(e)
             weights = np.concatenate([self.emission.ravel(), self.first, self.pair.ravel()])
-            gradient -= decay * weights
-            step = 0.9 * step + gradient
+            if turn < rounds // 2:  # lines speak for themselves first, then in their order
+                gradient[-6:] = 0
+            step = 0.9 * step + gradient - decay * weights
             weights = weights + rate * step
             cut = self.emission.size
             self.emission, self.first, self.pair = weights[:cut].reshape(self.emission.shape), weights[cut : cut + 2], weights[cut + 2 :].reshape(2, 2)
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, lines: int = 40, key: str = "doc_id", text: str = "text") -> LineField:
-    """A field from at most ``sample`` labelled documents of at most ``lines`` lines (a bound on training only)."""
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key), "quality")
-    some = known.orderBy(F.xxhash64(key), key, "quality").limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(some), key).filter(F.length(text) > 0).select(F.slice(F.split(text, "\n"), 1, lines).alias("lines"), "quality", F.xxhash64(key).alias("at")).limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["at"], r["quality"], r["lines"]))
-    return LineField().fit([r["lines"] for r in rows], [CONTENT if r["quality"] else BOILERPLATE for r in rows])
+class Chains:
+    """The lines of chains of falling lengths, laid out step by step: all first lines, all second lines, and so on."""
+
+    def __init__(self, lengths: list[int]):
+        n = np.array(lengths)
+        self.k = np.array([(n > t).sum() for t in range(n[0])])
+        self.at = np.concatenate([[0], np.cumsum(self.k)[:-1]])
+        self.chain = np.concatenate([np.arange(k) for k in self.k])
+        self.last = self.at[n - 1] + np.arange(len(n))
+        step = np.repeat(np.arange(len(self.k)), self.k)
+        self.before = (self.at[step - 1] + self.chain)[self.k[0] :]
+
+    def laid(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([[x[t] for x in rows[:k]] for t, k in enumerate(self.k)])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, key: str = "doc_id", text: str = "text") -> LineField:
+    """A field from at most ``sample`` labelled documents (a bound on training only)."""
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    some = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0).join(F.broadcast(some), "id")
+    rows = rows.groupBy("id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "quality", "text")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2):
+            found = [line_features(x.split("\n")).astype(np.int8).tobytes() for x in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["id", "quality", "features"])
+
+    got = rows.mapInArrow(run, f"{kind}, features binary").orderBy(F.xxhash64("id"), "id").collect()
+    return LineField().fit([np.frombuffer(r["features"], np.int8).reshape(-1, len(BINS) + 2) for r in got], [CONTENT if r["quality"] else BOILERPLATE for r in got])
 
 
 def repeated_words(words: list[list[bytes]], window: int = 8) -> list[int]:
