@@ -8,8 +8,9 @@ Each row says its partition and how many ids stand before it there, so its place
 the stream of all ids is that number and the totals of the partitions before it,
 which are one row a partition: ids are decoded once and no row is shuffled to read.
 
-Encoding takes each distinct word of a slice of texts once: Arrow splits the slice,
-numbers its distinct words and puts their ids back in place.
+Encoding takes each distinct pre-token of a slice of texts once: class arrays over the
+bytes find where pre-tokens start, Arrow numbers the distinct ones and puts their ids
+back in place.  Words with characters that the class arrays don't know stay whole.
 
 Defined results: a null text encodes as an empty one (only the end id); rows with
 equal document ids keep the order of their texts' hashes (equal texts: of their place
@@ -45,44 +46,50 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+BLANK, LETTER, DIGIT, REST, ODD = range(5)
 #: Line ends to blanks, A-Z to a-z: the vocabulary's own normaliser does both.
 _LOWER = bytes.maketrans(b"\nABCDEFGHIJKLMNOPQRSTUVWXYZ", b" abcdefghijklmnopqrstuvwxyz")
-#: A full stop or comma between a letter or digit and a blank is a pre-token of its own.
-_MARK = re.compile("(?<=[a-z0-9ß-öø-ÿ])([.,]) ")
-_PLAIN = np.zeros(256, bool)
-_PLAIN[[*b"abcdefghijklmnopqrstuvwxyz0123456789 "]] = True
+_CLASS = np.full(256, ODD, np.uint8)
+_CLASS[0x21:0x7F] = REST
+_CLASS[0x20], _CLASS[0x27] = BLANK, ODD  # an apostrophe can start a contraction
+_CLASS[ord("a") : ord("z") + 1], _CLASS[ord("0") : ord("9") + 1] = LETTER, DIGIT
+#: Second bytes of the Latin-1 letters from U+00C0 on.
 _LATIN = np.zeros(256, bool)
-_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
-
-
-def _simple(data: bytes) -> bool:
-    """Whether each full stop or comma before a blank follows a letter, a digit or a blank."""
-    x = np.frombuffer(b"  " + data, np.uint8)
-    at = np.flatnonzero(((x[2:-1] == 0x2E) | (x[2:-1] == 0x2C)) & (x[3:] == 0x20)) + 2
-    last = x[at - 1]
-    return bool((_PLAIN[last] | (x[at - 2] == 0xC3) & _LATIN[last]).all())
-
-
-def _spaced(texts: list[bytes]) -> list[bytes]:
-    """Texts whose words stand between blanks, with full stops and commas after a word set apart where that keeps its pre-tokens."""
-    data = [t.translate(_LOWER) + b" " for t in texts]
-    if _simple(b"".join(data)):
-        return [x.replace(b". ", b" . ").replace(b", ", b" , ") for x in data]
-    return [_MARK.sub(r" \1 ", x.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass") for x in data]
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+#: What is one pre-token of known characters.
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Fixed value: the pattern of the vocabulary's pre-tokens, which the classes follow.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
-#: Words of ASCII without an apostrophe and of Latin-1 letters: their pre-tokens are runs of letters, single digits and runs of the rest.
-_SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Fixed value: the pattern of the vocabulary's pre-tokens, which the two patterns above follow.
-_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+def pieces(texts: list[bytes]) -> tuple[bytearray, np.ndarray, np.ndarray]:
+    """Lower-cased texts end to end, where their pieces start (blanks belong to the piece before), and each text's first piece, and the end."""
+    data = bytearray(b"".join([t.translate(_LOWER) + b" " for t in texts]))
+    x = np.frombuffer(data, np.uint8)
+    kind = _CLASS[x]
+    lead = np.flatnonzero(x == 0xC3)
+    lead = lead[_LATIN[x[lead + 1]]]
+    kind[lead] = kind[lead + 1] = LETTER
+    capital = lead[x[lead + 1] < 0x9F] + 1
+    x[capital] += 0x20
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):  # their words are pieces as a whole
+        word = np.cumsum(kind == BLANK)
+        whole = np.zeros(word[-1] + 1, bool)
+        whole[word[odd]] = True
+        kind[whole[word] & (kind != BLANK)] = ODD
+    start = kind != BLANK
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    starts = np.flatnonzero(start)
+    return data, starts, np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in texts]]))
 
 
 class Words:
-    """Ids of blank-separated words by the tokenizers library, each new word encoded once.
+    """Ids of pieces by the tokenizers library, each new piece encoded once.
 
-    For vocabularies that ignore case and drop white space: a text has the ids of its words in turn.
-    The cache is emptied at ``capacity`` words; longer words are not kept.
+    For vocabularies that ignore case and drop white space: a text has the ids of its pieces in turn.
+    The cache is emptied at ``capacity`` pieces; longer ones are not kept.
     """
 
     def __init__(self, path: str, capacity: int = 400_000, longest: int = 48):
@@ -98,54 +105,45 @@ class Words:
     def __call__(self, texts: list[bytes], end_id: int) -> pa.ListArray:
         """The ids of each text, and the end id."""
         special = [i for i, t in enumerate(texts) if b"<|" in t]
-        plain = _spaced([b"" if b"<|" in t else t for t in texts])
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
-        whole = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(plain))])
-        split = pc.split_pattern(whole, b" ")
-        numbered = split.values.dictionary_encode()
-        ids = taken(self.lists(numbered.dictionary.to_pylist()), numbered.indices)
-        words = split.offsets.to_numpy()
-        ends = ids.offsets.to_numpy()[words].astype(np.int64)
-        flat = np.insert(ids.values.to_numpy(), ends[1:] - ends[0], end_id)
-        out = pa.ListArray.from_arrays(pa.array((ends - ends[0] + np.arange(len(ends))).astype(np.int32)), pa.array(flat))
+        data, starts, edges = pieces([b"" if b"<|" in t else t for t in texts])
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        numbered = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids = taken(self.lists([x.rstrip(b" ") for x in numbered.dictionary.to_pylist()]), numbered.indices)
+        ends = ids.offsets.to_numpy()[edges].astype(np.int64)
+        flat = np.insert(ids.values.to_numpy(), ends[1:], end_id)
+        out = pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(flat))
         if special:  # whole texts by the library, which knows its special tokens' strings
             parts = {i: [*self.tokenizer.encode(texts[i].decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, end_id] for i in special}
             out = pa.array([parts.get(i, x) for i, x in enumerate(out.to_pylist())], pa.list_(pa.int32()))
         return out
 
-    def lists(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of each word."""
-        found = list(map(self.seen.get, words))
-        if missing := [w for w, x in zip(words, found) if x is None]:
+    def lists(self, some: list[bytes]) -> list[bytes]:
+        """Packed ids of each piece."""
+        found = list(map(self.seen.get, some))
+        if missing := {x for x, ids in zip(some, found) if ids is None}:
             new = self.encoded(missing)
-            found = [new[w] if x is None else x for w, x in zip(words, found)]
+            found = [new[x] if ids is None else ids for x, ids in zip(some, found)]
             if len(self.seen) + len(new) > self.capacity:
                 self.seen.clear()
-            self.seen.update((w, x) for w, x in new.items() if len(w) <= self.longest)
+            self.seen.update((x, ids) for x, ids in new.items() if len(x) <= self.longest)
         return found
 
-    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word; many words go through the library as one text, told apart by their offsets."""
-        out, pieces, model = {}, {}, self.model
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        other = []
-        for w, text in zip(words, texts):
-            if not self.simple or not _SIMPLE.fullmatch(text):
-                other.append(w)
-                continue
-            found = []
-            for piece in _PIECE.findall(text.lower()):
-                if (ids := pieces.get(piece)) is None:
-                    ids = pieces[piece] = [t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.levels))]
-                found += ids
-            out[w] = struct.pack(f"<{len(found)}i", *found)
+    def encoded(self, some: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece: one pre-token through the library's model, other words many as one text, told apart by their offsets."""
+        out, other, tokenize, levels = {}, [], self.model.tokenize, self.levels
+        for x in some:
+            if self.simple and _SIMPLE.fullmatch(x):
+                ids = [t.id for t in tokenize(x.decode() if x.isascii() else x.decode().translate(levels))]
+                out[x] = struct.pack(f"<{len(ids)}i", *ids)
+            else:
+                other.append(x)
         for i in range(0, len(other), 2000):
             words = other[i : i + 2000]
-            some = [w.decode("utf-8", "surrogatepass") for w in words]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            texts = [w.decode("utf-8", "surrogatepass") for w in words]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(got.ids, "<i4").tobytes()
             starts = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
-            edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(w) + 1 for w in some])])).tolist()
+            edges = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(w) + 1 for w in texts])])).tolist()
             for w, a, b in zip(words, edges, edges[1:]):
                 out[w] = ids[4 * a : 4 * b]
         return out
@@ -166,7 +164,7 @@ def encode(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
         from pyspark import TaskContext
 
         words, part, done = _words(path), TaskContext.get().partitionId(), 0
-        for rows in slices(batches, 1, rows=4096):
+        for rows in slices(batches, 1, chars=1_000_000, rows=4096):
             ids = words(rows.column(1).to_pylist(), end_id)
             sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
             ends = np.cumsum(sizes) + done
