@@ -38,7 +38,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results, schemas = tool_calls.from_turns(_table(spark, sf_dir, "conversations"))
     linked = tool_calls.link(calls, results, schemas)
-    return linked.select("conv_id", "position", "call_id", "name", "duplicate", "n_results", "latest", "steps", "cyclic", "valid", F.array_join("faults", "; ").alias("faults"), F.sha2("json", 256).alias("json_sha256"))
+    return linked.select("conv_id", "position", "call_id", "name", "duplicate", "n_results", "latest", "steps", "cyclic", "rank", "valid", F.array_join("faults", "; ").alias("faults"), F.sha2("json", 256).alias("json_sha256"))
 
 
 def op5_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

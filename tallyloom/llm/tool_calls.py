@@ -1,27 +1,40 @@
 """Operator 4: tool-call linking for chat data.
 
-Calls and results are hash-joined by conversation and call identifier; calls are put
-into topological order of their dependencies, checked against their tools' schemas
-and serialised with their results as canonical JSON (sorted keys, no blanks).
+Calls, results and schemas are hash-joined by conversation and call identifier, and by
+tool name; calls are put into topological order of their dependencies, checked against
+their tools' schemas and serialised with their results as canonical JSON (sorted keys,
+no blanks).
 
 Order: a call's place is a pair (latest position among itself and what it depends on,
-steps behind the call at that position).  Dependencies that point backwards already
-satisfy it at once, so rounds of relaxation follow chains of forward references only;
-a call that gets as many steps as calls share its latest position is
-``cyclic``: on a cycle, or behind one with nothing later.  No conversation is gathered
-in one task.
-
-Defined results: calls with null ids link to nothing; of calls with the same id in a
-conversation the earliest counts, others are ``duplicate``; the earliest result of a
-call counts (ties by text), ``n_results`` counts all; results without a call are
-returned by :func:`orphans`; arguments that aren't a JSON object are ``invalid``; an
-empty table gives an empty table; other columns are not read.
+steps behind the call at that position).  A call on a cycle has no place, nor has one
+that depends on a cycle with nothing later: both are ``cyclic``, have ``steps`` 0 and
+come last.  Ties go by position, identifier, name and arguments.
+
+Scale: conversations of up to ``most_calls`` calls are streamed through partitions sorted
+by conversation, one at a time in memory, so the plan has the same exchanges however
+long chains are.  Longer ones are never gathered in one task: rounds of joins relax
+their places (as many as the longest chain of forward references has calls, or twice those of
+the longest cycle), and ranks
+come from range partitions and the counts of the partitions before.
+
+Defined results: calls with null ids link to nothing, and those of a null conversation
+have no rank; of calls with the same id in a conversation the earliest count (all at its
+position), others are ``duplicate`` and share its place; the earliest result of a call
+counts (ties by text), ``n_results`` counts all; results without a call are returned by
+:func:`orphans`; arguments that aren't a JSON object are faulty, among them numbers that
+JSON can't hold and nesting that is too deep to read, and are serialised as the text they
+are; half a surrogate pair stays an escape; of equal keys in an object the last counts;
+of schemas with one name the smallest text counts; very long texts pass whole; an empty
+table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +43,39 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _finite(text: str) -> float:
+    if not math.isfinite(value := float(text)):
+        raise ValueError("no number of JSON")
+    return value
+
+
+def parsed(text: str | None):
+    """The value of a JSON text; ValueError where there is none that can be read and written again."""
+    try:
+        value = json.loads(text or "", parse_constant=_finite, parse_float=_finite)
+        json.dumps(value)
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+    return value
+
+
+def _of(rules: dict, key: str, kind, default):
+    """A schema's rule, if it is of the kind that it should be."""
+    return rules[key] if isinstance(rules.get(key), kind) else default
+
+
+def _is(value, kind: str) -> bool:
+    return kind not in KINDS or isinstance(value, KINDS[kind]) and (not isinstance(value, bool) or kind == "boolean")
 
 
 def faults(arguments: str | None, schema: dict | None) -> list[str]:
@@ -43,29 +83,97 @@ def faults(arguments: str | None, schema: dict | None) -> list[str]:
     if schema is None:
         return ["unknown tool"]
     try:
-        value = json.loads(arguments or "")
+        value = parsed(arguments)
     except ValueError:
         return ["not JSON"]
     if not isinstance(value, dict):
         return ["not an object"]
-    known, out = schema.get("properties", {}), []
-    out += [f"missing {k}" for k in schema.get("required", []) if k not in value]
+    known = _of(schema, "properties", dict, {})
+    out = [f"missing {k}" for k in _of(schema, "required", list, []) if isinstance(k, str) and k not in value]
     for k, v in value.items():
         if k not in known:
-            if not schema.get("additionalProperties", True):
+            if schema.get("additionalProperties", True) is False:
                 out.append(f"unexpected {k}")
             continue
-        rule = known[k]
-        wanted = rule.get("type")
-        if wanted in KINDS and (not isinstance(v, KINDS[wanted]) or (isinstance(v, bool) and wanted != "boolean")):
-            out.append(f"{k} is not {wanted}")
-        elif "enum" in rule and v not in rule["enum"]:
+        rule = known[k] if isinstance(known[k], dict) else {}
+        kinds = rule.get("type", [])
+        kinds = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)]
+        number = isinstance(v, (int, float)) and not isinstance(v, bool)
+        if kinds and not any(_is(v, kind) for kind in kinds):
+            out.append(f"{k} is not {' or '.join(kinds)}")
+        elif v not in _of(rule, "enum", list, [v]):
             out.append(f"{k} not in enum")
-        elif "maximum" in rule and v > rule["maximum"] or "minimum" in rule and v < rule["minimum"]:
+        elif number and (v > _of(rule, "maximum", (int, float), v) or v < _of(rule, "minimum", (int, float), v)):
             out.append(f"{k} out of range")
-        elif "maxLength" in rule and len(v) > rule["maxLength"]:
+        elif isinstance(v, str) and len(v) > _of(rule, "maxLength", int, len(v)):
             out.append(f"{k} too long")
-    return sorted(out)
+    return sorted(_HALF.sub("\ufffd", x) for x in out)
+
+
+@lru_cache(maxsize=2000)
+def _schema(text: str | None) -> dict | None:
+    """A schema's JSON; one that isn't an object allows everything."""
+    if text is None:
+        return None
+    try:
+        value = parsed(text)
+    except ValueError:
+        value = {}
+    return value if isinstance(value, dict) else {}
+
+
+def order(nodes: dict[str, tuple[int, set[str]]]) -> dict[str, tuple[int, int, bool]]:
+    """Latest position, steps and whether cyclic, of each call (position and what it depends on) of one conversation.
+
+    Strongly connected groups come after all that they depend on, by an explicit stack.
+    """
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    out: dict[str, tuple[int, int, bool]] = {}
+    held: list[str] = []
+    for start in nodes:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        held.append(start)
+        stack = [(start, iter(nodes[start][1]))]
+        while stack:
+            call, rest = stack[-1]
+            for on in rest:
+                if on not in nodes:
+                    continue
+                if on not in number:
+                    number[on] = low[on] = len(number)
+                    held.append(on)
+                    stack.append((on, iter(nodes[on][1])))
+                    break
+                if on not in out:
+                    low[call] = min(low[call], number[on])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[call])
+                if low[call] == number[call]:
+                    group = []
+                    while not group or group[-1] != call:
+                        group.append(held.pop())
+                    _place(group, nodes, out)
+    return out
+
+
+def _place(group: list[str], nodes: dict[str, tuple[int, set[str]]], out: dict[str, tuple[int, int, bool]]) -> None:
+    """Places of a group of calls that depend on each other, or of one call."""
+    own = set(group)
+    best = max((nodes[x][0], 0, 0) for x in group)
+    for x in group:
+        for on in nodes[x][1]:
+            if on in out and on not in own:
+                latest, steps, cyclic = out[on]
+                best = max(best, (latest, int(cyclic), steps + 1))
+    round_ = len(group) > 1 or group[0] in nodes[group[0]][1]
+    latest, behind, steps = best
+    cyclic = round_ or bool(behind)
+    out.update((x, (latest, 0 if cyclic else steps, cyclic)) for x in group)
 
 
 def first_calls(calls: DataFrame) -> DataFrame:
@@ -99,39 +207,96 @@ def places(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", "latest", F.when(cyclic, 0).otherwise(F.col("steps")).alias("steps"), cyclic.alias("cyclic"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+FIELDS = ["conv_id", "position", "call_id", "name", "arguments", "depends_on", "n_results", "content", "schema"]
+_TIES = ("position", "call_id", "name", "arguments")
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, most_calls: int = 10_000) -> DataFrame:
     """One row a call: ``conv_id``, ``position``, ``call_id``, ``name``, ``duplicate``, ``n_results``,
     ``latest``, ``steps``, ``cyclic``, ``rank`` (place in topological order), ``valid``, ``faults`` and ``json``.
 
     ``calls``: conv_id, position, call_id, name, arguments, depends_on; ``results``: conv_id,
-    position, call_id, content; ``schemas``: name, schema (JSON text), a tool list that is
-    checked to be at most a thousand tools before it is broadcast.
+    position, call_id, content; ``schemas``: name, schema (JSON text).
     """
-    tools = {r["name"]: json.loads(r["schema"]) for r in schemas.limit(1001).collect()}
-    if len(tools) > 1000:
-        raise ValueError("more than 1000 tool schemas")
-    shared = calls.sparkSession.sparkContext.broadcast(tools)
-    marked = cut(first_calls(calls.select("conv_id", "position", "call_id", "name", "arguments", "depends_on")))
+    rows = calls.select("conv_id", F.col("position").cast("long").alias("position"), "call_id", "name", "arguments", "depends_on")
     answered = results.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("position", "content")).alias("answer"), F.count("*").alias("n_results"))
-    linked = marked.join(answered, ["conv_id", "call_id"], "left").join(places(marked), ["conv_id", "call_id"], "left")
-    linked = linked.select("conv_id", "position", "call_id", "name", "arguments", "duplicate", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.col("answer.content").alias("content"), F.coalesce("latest", "position").cast("long").alias("latest"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-    kind = linked.schema["conv_id"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tools = schemas.filter("name is not null").groupBy("name").agg(F.coalesce(F.min("schema"), F.lit("{}")).alias("schema"))
+    joined = rows.join(answered, ["conv_id", "call_id"], "left").join(tools, "name", "left").withColumns({"n_results": F.coalesce("n_results", F.lit(0)).cast("long"), "content": F.col("answer.content")}).select(*FIELDS)
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    far = rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter((F.col("n") > most_calls) & F.col("conv_id").isNotNull()).select("conv_id")
+    far = cut(far)  # used twice
+    near = joined if far.isEmpty() else joined.join(far, "conv_id", "left_anti")
+    alone = F.xxhash64("position", "call_id", "arguments")  # rows without a conversation stand for themselves
+    dealt = near.repartition(F.when(F.col("conv_id").isNull(), alone).otherwise(F.xxhash64("conv_id"))).sortWithinPartitions("conv_id", *_TIES)
+    columns = {"conv_id": kind, "position": "bigint", "call_id": "string", "name": "string", "duplicate": "boolean", "n_results": "bigint", "latest": "bigint", "steps": "bigint", "cyclic": "boolean", "rank": "bigint", "valid": "boolean", "faults": "array<string>", "json": "string"}
+    schema = ", ".join(f"{k} {v}" for k, v in columns.items())
+
+    def rows_of(some: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], names=list(columns))
+
+    def kinds_of(batch: pa.RecordBatch) -> list[pa.DataType]:
+        return [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.string()]
+
+    def by_conversation(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, out, kinds = [], [], None
         for batch in batches:
-            wrong, texts = [], []
-            for call, name, arguments, content in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 7))):
-                wrong.append(faults(arguments, shared.value.get(name)))
-                try:
-                    value = json.loads(arguments or "")
-                except ValueError:
-                    value = arguments
-                texts.append(canonical({"id": call, "name": name, "arguments": value, "result": content}))
-            keep = [batch.column(i) for i in (0, 1, 2, 3, 5, 6, 8, 9, 10)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([not w for w in wrong]), pa.array(wrong, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["conv_id", "position", "call_id", "name", "duplicate", "n_results", "latest", "steps", "cyclic", "valid", "faults", "json"])
+            kinds = kinds_of(batch)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if conversation and (row[0] is None or row[0] != conversation[0][0]):
+                    out += ranked(conversation)
+                    conversation = []
+                    if len(out) >= 1000:
+                        yield rows_of(out, kinds)
+                        out = []
+                conversation.append(row)
+        if conversation:
+            yield rows_of(out + ranked(conversation), kinds)
+
+    def one_by_one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [finished(row[: len(FIELDS)], *row[len(FIELDS) :]) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            if some:
+                yield rows_of(some, kinds_of(batch))
 
-    linked = linked.withColumn("position", F.col("position").cast("long"))
-    return linked.mapInArrow(run, f"conv_id {kind}, position bigint, call_id string, name string, duplicate boolean, n_results bigint, latest bigint, steps bigint, cyclic boolean, valid boolean, faults array<string>, json string")
+    done = dealt.mapInArrow(by_conversation, schema)
+    return done if far.isEmpty() else done.unionByName(_far(joined.join(far, "conv_id", "left_semi")).mapInArrow(one_by_one, schema))
+
+
+def finished(row: tuple, duplicate: bool, latest: int, steps: int, cyclic: bool, rank: int | None) -> tuple:
+    """The result row of a call."""
+    conv, position, call, name, arguments, _, n_results, content, schema = row
+    wrong = faults(arguments, _schema(schema))
+    try:
+        value = parsed(arguments)
+    except ValueError:
+        value = arguments
+    return conv, position, call, name, duplicate, n_results, latest, steps, cyclic, rank, not wrong, wrong, canonical({"id": call, "name": name, "arguments": value, "result": content})
+
+
+def ranked(conversation: list[tuple]) -> list[tuple]:
+    """Result rows of the calls of one conversation, in the order given."""
+    nodes: dict[str, tuple[int, set[str]]] = {}
+    for _, position, call, _, _, on, *_ in conversation if conversation[0][0] is not None else []:
+        if call is not None and (call not in nodes or nodes[call][0] == position):
+            nodes.setdefault(call, (position, set()))[1].update(x for x in on or [] if x is not None)
+    places = order(nodes)
+    found = [places.get(row[2]) or (row[1], 0, False) for row in conversation]
+    text = lambda x: (x is not None, x or "")
+    by = sorted(range(len(conversation)), key=lambda i: (found[i][2], found[i][0], found[i][1], conversation[i][1], *map(text, conversation[i][2:5])))
+    rank = {i: k + 1 for k, i in enumerate(by)} if conversation[0][0] is not None else {}
+    return [finished(row, row[2] in nodes and row[1] > nodes[row[2]][0], *found[i], rank.get(i)) for i, row in enumerate(conversation)]
+
+
+def _far(joined: DataFrame) -> DataFrame:
+    """Rows of conversations that are too long for one task, with what ``finished`` wants after them."""
+    marked = cut(first_calls(joined))
+    placed = marked.join(places(marked), ["conv_id", "call_id"], "left").withColumns({"latest": F.coalesce("latest", "position").cast("long"), "steps": F.coalesce("steps", F.lit(0)).cast("long"), "cyclic": F.coalesce("cyclic", F.lit(False))})
+    keys = ("conv_id", "cyclic", "latest", "steps", *_TIES)
+    dealt = cut(placed.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))  # the partition numbers must not change between the two uses
+    before = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select("conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy("conv_id", "part").orderBy(*keys[1:]))
+    return dealt.withColumn("place", place).join(base, ["conv_id", "part"]).select(*FIELDS, "duplicate", "latest", "steps", "cyclic", (F.col("base") + F.col("place")).cast("long").alias("rank"))
 
 
 def orphans(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -169,12 +334,3 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     results = answers.join(acts.select("conv_id", (F.col("position") + 1).alias("position"), "call_id").distinct(), ["conv_id", "position"])
     schemas = turns.sparkSession.createDataFrame([(n, json.dumps(s)) for n, s in TOOLS], "name string, schema string")
     return calls, results, schemas
-
-
-def ranked(linked: DataFrame) -> DataFrame:
-    """``linked`` with ``rank``: place in the conversation's topological order (cyclic calls last).
-
-    A very long conversation is still one window; ``latest``, ``steps`` and ``position``
-    order calls without it.
-    """
-    return linked.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy("cyclic", "latest", "steps", "position", "json")).cast("long"))

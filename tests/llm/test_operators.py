@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import block_extract, byte_bpe, decontaminate, graph, language_mix, line_crf, line_dedup, orc_tokens, simhash_pivots, tool_calls, warc_index
+from tallyloom.llm import block_extract, byte_bpe, decontaminate, graph, language_mix, line_crf, line_dedup, orc_tokens, simhash_pivots, warc_index
 from tallyloom.llm.common import named_by, shared_folder
 
 DOCS = "doc_id bigint, text string, n_lines string"
@@ -221,22 +221,6 @@ def test_warc(spark):
     assert warc_index.archive_and_read(spark, rows.limit(0), shared_folder(spark, "warc")).count() == 0
 
 
-def test_tool_calls(spark):
-    calls = spark.createDataFrame(
-        [(1, 1, "a", "search", '{"limit": 2, "query": "x"}', ["b"]), (1, 3, "b", "search", '{"query": 1}', []), (1, 5, "c", "none", "{}", ["a"]), (1, 7, "d", "search", "[]", ["e"]), (1, 9, "e", "search", "?", ["d"]), (1, 11, "a", "search", "{}", None), (2, 1, "a", "search", None, ["zz"])],
-        "conv_id bigint, position bigint, call_id string, name string, arguments string, depends_on array<string>",
-    )
-    results = spark.createDataFrame([(1, 2, "a", "r2"), (1, 2, "a", "r1"), (2, 2, "q", "lost")], "conv_id bigint, position bigint, call_id string, content string")
-    schemas = spark.createDataFrame([("search", '{"properties":{"query":{"type":"string"},"limit":{"type":"integer"}},"required":["query","limit"]}')], "name string, schema string")
-    got = {(r.conv_id, r.position): r for r in tool_calls.ranked(tool_calls.link(calls, results, schemas)).collect()}
-    assert got[1, 1].json == '{"arguments":{"limit":2,"query":"x"},"id":"a","name":"search","result":"r1"}' and got[1, 1].valid and got[1, 1].n_results == 2
-    assert got[1, 3].faults == ["missing limit", "query is not string"] and got[1, 5].faults == ["unknown tool"] and got[1, 7].faults == ["not an object"] and got[1, 9].faults == ["not JSON"]
-    assert (got[1, 1].latest, got[1, 1].steps) == (3, 1) and got[1, 3].rank < got[1, 1].rank < got[1, 5].rank
-    assert [got[1, k].cyclic for k in (1, 3, 5, 7, 9)] == [False, False, False, True, True] and got[1, 11].duplicate
-    assert [r.call_id for r in tool_calls.orphans(calls, results).collect()] == ["q"]
-    assert tool_calls.link(calls.limit(0), results.limit(0), schemas).count() == 0
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
