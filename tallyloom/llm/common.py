@@ -47,7 +47,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def named_by(facts: DataFrame, names: DataFrame, keys: list[str], salt: str, total: int, share: int = 4096) -> DataFrame:
+def named_by(facts: DataFrame, names: DataFrame, keys: list[str], salt: list[str], total: int, share: int = 4096) -> DataFrame:
     """``facts`` with the other columns of ``names``: one row a key, with ``n_rows``, the number of the ``total`` facts that have it.
 
     Fewer than ``share`` keys can hold more than one in ``share`` of the facts each.  Their
@@ -55,7 +55,7 @@ def named_by(facts: DataFrame, names: DataFrame, keys: list[str], salt: str, tot
     """
     values = F.struct(*[c for c in names.columns if c not in (*keys, "n_rows")])
     often = names.filter(F.col("n_rows") * share > total).select(*keys, values.alias("_often"))
-    marked = facts.join(F.broadcast(often), keys, "left").withColumn("_at", F.when(F.col("_often").isNotNull(), F.xxhash64(salt)).otherwise(F.col(keys[0])))
+    marked = facts.join(F.broadcast(often), keys, "left").withColumn("_at", F.when(F.col("_often").isNotNull(), F.xxhash64(*salt)).otherwise(F.col(keys[0])))
     others = names.select(F.col(keys[0]).alias("_at"), *[F.col(k).alias(f"_{k}") for k in keys[1:]], values.alias("_other"))
     met = F.lit(True)
     for k in keys[1:]:

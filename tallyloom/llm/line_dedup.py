@@ -1,34 +1,43 @@
 """Operator 10: line deduplication by a segment-partition edit join (native expressions only).
 
 A line of a document goes if the same line stands earlier in that document, if a
-document with a smaller id has the same line, or if a line within one edit
-(insertion, deletion, substitution) was first seen in a document with a smaller id.
-Lines under ``min_chars`` code points stay.
-
-Edit join: a line of n code points is split into threshold-plus-one (two) segments.
-Within one edit, one segment of the shorter line stands unchanged in the longer one,
-so a line is indexed under (n, segment number, segment) and probes lengths n and
-n - 1 at the only positions that can match.  Candidates are verified by an edit
-automaton whose band of three diagonals is one integer for each error count.
+document with a smaller id has the same line, or if a line within ``edits`` edits
+(insertions, deletions, substitutions; 1 unless set) was first seen in a document with a
+smaller id.  Equal lines count from ``min_exact`` code points on, close ones from
+``min_chars`` on; shorter lines, empty ones among them, stay.
+
+Edit join: a line of n code points is split into threshold-plus-one segments.  Within
+so many edits one segment of the shorter line stands unchanged in the longer one, so a
+line is indexed under (n, segment number, segment) and probes lengths n - ``edits`` to n
+at those shifts only that leave enough edits for both sides of the segment.  Candidates
+are verified by an edit automaton whose band of 2 * ``edits`` + 1 diagonals is one
+integer for all error counts.
 
 Scale: exact copies are combined before any shuffle of lines; segments travel as
 hashes; texts are fetched for candidates only.  An index key shared by more than
 ``crowd`` lines isn't joined pairwise: its lines are grouped by what is left of them
 without one code point, position by position, which is exact for one edit, linear in
-the group, and needs only the smallest document id of each group.  Keys that hold more
+the group, and needs only the smallest document id of each group (for more edits than
+one, such keys are joined pairwise all the same).  Keys that hold more
 than one in 4096 of all rows are found beforehand by counts in a fixed number of
 buckets, and their lines go that way without being dealt by key.  A line that stands
 in very many documents reaches them by a broadcast of fewer than 4096 such lines.
+What goes comes back to a row as positions, by document id and text hash: rows without
+an id are dealt like others, and a text of many lines costs no more than sorting them.
 
 Defined results: null texts stay null; empty texts and documents without lines to drop
 are unchanged; a document that loses all its lines gets an empty text; rows with
-equal ids count as one document; null ids sort last; all columns of the input come
-back, with ``n_lines``, ``n_dropped`` and ``dropped_chars`` (their names are free to clash: the
+equal ids count as one document; null ids sort last; a very long text is one row, its
+lines are dealt like others, and a line of a crowded key costs the square of its length;
+an empty table gives an empty table; all columns of the input come back, with
+``n_lines``, ``n_dropped`` and ``dropped_chars`` (their names are free to clash: the
 operator's columns replace them).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,49 +59,65 @@ def _repeats(lines: Column) -> Column:
     return F.when(F.size(F.array_distinct(lines)) == F.size(lines), F.array().cast("array<int>")).otherwise(let(placed, found))
 
 
-def banded_distance_within_one(a: Column, b: Column) -> Column:
-    """Whether two strings are within one edit: bit-parallel over a band of three diagonals.
+#: The automaton's states for all error counts fit one long.
+MOST_EDITS = 4
+
+
+def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
+    """Whether two strings are within so many edits: bit-parallel over a band of diagonals.
 
-    Bit d of a state is diagonal d - 1 (position in ``a`` minus position in ``b``).  For
-    each code point of ``b`` the three neighbours in ``a`` give a match mask; the states
-    for zero and one errors advance together as one integer (zero errors in bits 0 to 2,
-    one error in bits 3 to 5).
+    Bit d of a state is diagonal d - ``edits`` (position in ``a`` minus position in ``b``).
+    For each code point of ``b`` its neighbours in ``a`` give a match mask; the states of
+    all error counts advance together as one integer, ``2 * edits + 1`` bits each.
     """
-    n, m = F.char_length(a), F.char_length(b)
+    n, m, width = F.char_length(a), F.char_length(b), 2 * edits + 1
+    band, start = (1 << width) - 1, sum(((1 << (e + 1)) - 1) << (edits + e * width) for e in range(edits + 1))
 
     def ends(left: Column) -> Column:
         def advance(state: Column, step: Column) -> Column:
             char, j = step.getField("c"), step.getField("j")
-            bit = [F.when(F.get(left, j + d) == char, 1 << (d + 1)).otherwise(0) for d in (-1, 0, 1)]
-            mask = bit[0].bitwiseOR(bit[1]).bitwiseOR(bit[2])
-            none, one = state.bitwiseAND(7), F.shiftright(state, 3)
-            exact = none.bitwiseAND(mask)
-            once = one.bitwiseAND(mask).bitwiseOR(none).bitwiseOR(F.shiftright(none, 1)).bitwiseOR(F.shiftleft(exact, 1).bitwiseAND(7))
-            return exact.bitwiseOR(F.shiftleft(once, 3))
+            mask = F.lit(0).cast("long")
+            for d in range(width):
+                mask = mask.bitwiseOR(F.when(F.get(left, j + d - edits) == char, F.lit(1 << d).cast("long")).otherwise(F.lit(0).cast("long")))
+
+            def levels(mask: Column) -> Column:
+                out, before, last = F.lit(0).cast("long"), None, None
+                for e in range(edits + 1):
+                    here = F.shiftrightunsigned(state, e * width).bitwiseAND(F.lit(band))
+                    new = here.bitwiseAND(mask)
+                    if e:
+                        new = new.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(last, 1).bitwiseAND(F.lit(band)))
+                    out, before, last = out.bitwiseOR(F.shiftleft(new, e * width)), here, new
+                return out
+
+            return levels(mask) if edits == 1 else let(mask, levels)
 
         steps = F.transform(F.filter(F.split(b, ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("j")))
-        return F.aggregate(steps, F.lit(0b110010), advance)
+        return F.aggregate(steps, F.lit(start).cast("long"), advance)
 
     end = let(F.filter(F.split(a, ""), lambda c: c != ""), ends)
-    wanted = F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), n - m + 1)  # null if the lengths differ by more
-    return F.coalesce(end.bitwiseOR(F.shiftright(end, 3)).bitwiseAND(wanted) != 0, F.lit(False))
+    end = let(end, lambda x: reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, e * width) for e in range(edits + 1)]))
+    wanted = F.get(F.array(*[F.lit(1 << d).cast("long") for d in range(width)]), n - m + edits)  # null if the lengths differ by more
+    return F.coalesce(end.bitwiseAND(wanted) != 0, F.lit(False))
 
 
-def _segments(lines: DataFrame) -> DataFrame:
-    """Index and probe keys of each line; ``side`` tells which half stands in the key."""
+def _segments(lines: DataFrame, edits: int = 1) -> DataFrame:
+    """Index and probe keys of each line; ``side`` tells which segment stands in the key."""
     n, line = F.col("n"), F.col("line")
-    half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
 
     def row(length: Column, side: int, part: Column, probe: bool) -> Column:
         return F.struct(F.xxhash64(length, F.lit(side), part).alias("k"), F.lit(side).alias("side"), F.lit(probe).alias("probe"))
 
-    rows = F.array(
-        row(n, 1, F.left(line, half), False),
-        row(n, 2, F.substring(line, half + 1, n), False),
-        row(n - 1, 1, F.left(line, less), True),
-        row(n - 1, 2, F.substring(line, less + 2, n), True),
-    )
-    return lines.select("a", "b", "seen", F.explode(rows).alias("r")).select("r.k", "r.side", "r.probe", "a", "b", "seen")
+    rows = []
+    for gap in range(edits + 1):
+        length = n - gap if gap else n
+        edge = [F.floor(length * k / (edits + 1)).cast("int") for k in range(edits + 2)]
+        for i in range(1, edits + 2):
+            low, high = max(1 - i, gap - (edits + 1 - i)), min(i - 1, gap + edits + 1 - i)
+            for shift in range(low, high + 1):
+                part = F.substring(line, edge[i - 1] + 1 + shift, edge[i] - edge[i - 1])
+                rows.append(row(length, i, part, bool(gap or shift)))
+    return lines.select("a", "b", "seen", F.explode(F.array_distinct(F.array(*rows)) if edits > 1 else F.array(*rows)).alias("r")).select("r.k", "r.side", "r.probe", "a", "b", "seen")
 
 
 def _crowded(lines: DataFrame) -> DataFrame:
@@ -139,63 +164,71 @@ def _frequent(keys: DataFrame, crowd: int, share: int, buckets: int = 1 << 16) -
     return cut(held.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > least).select("k"))
 
 
-def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20, share: int = 4096) -> DataFrame:
-    """``a``, ``b`` of lines within one edit of a line with smaller ``seen``.
+def near_lines(lines: DataFrame, crowd: int = 64, fetch_buckets: int = 1 << 20, share: int = 4096, edits: int = 1) -> DataFrame:
+    """``a``, ``b`` of lines within ``edits`` edits of a line with smaller ``seen``.
 
     ``lines`` has distinct lines: ``line``, ``n``, ``a``, ``b`` (its key) and ``seen``.
     """
-    halves = _segments(lines)
-    frequent = F.broadcast(_frequent(halves.select("k"), crowd, share))
-    dealt = halves.join(frequent, "k", "left_anti").repartition("k")
+    halves = _segments(lines, edits)
+    if edits == 1:
+        frequent = F.broadcast(_frequent(halves.select("k"), crowd, share))
+        dealt = halves.join(frequent, "k", "left_anti").repartition("k")
+    else:
+        dealt = halves.repartition("k")
     groups = dealt.groupBy("k").agg(
         F.count("*").alias("size"), F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"),
         F.min("seen").alias("s1"), F.max(F.coalesce(F.col("seen").cast("string"), F.lit(""))).alias("s2"), F.min("probe").alias("p"), F.max("side").alias("o"),
     )
     busy = groups.filter("size > 1 and (a1 <> a2 or b1 <> b2) and s1 is not null and not p and o > 0 and s2 is not null").select("k", "size")
     members = cut(dealt.join(busy, "k"))
-    few = members.filter(F.col("size") <= crowd)
+    few = members.filter(F.col("size") <= crowd) if edits == 1 else members
     x, y = few.alias("x"), few.alias("y")
     ahead = F.col("y.seen").isNotNull() & (F.col("x.seen").isNull() | (F.col("y.seen") < F.col("x.seen")))
     pairs = cut(x.join(y, (F.col("x.k") == F.col("y.k")) & ~(F.col("x.probe") & F.col("y.probe")) & ahead).select(
         F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb")
     ).distinct())
-    shared = halves.join(frequent, "k", "left_semi").select("a", "b", "side")
-    many = members.filter(F.col("size") > crowd).select("a", "b", "side").unionByName(shared).distinct()
     bucket = F.pmod(F.col("a"), F.lit(fetch_buckets))
-    wanted = pairs.select(F.explode(F.array("xa", "ya")).alias("a")).unionByName(many.select("a")).select(bucket.alias("bucket")).distinct()
+    wanted = pairs.select(F.explode(F.array("xa", "ya")).alias("a"))
+    if edits == 1:
+        shared = halves.join(frequent, "k", "left_semi").select("a", "b", "side")
+        many = members.filter(F.col("size") > crowd).select("a", "b", "side").unionByName(shared).distinct()
+        wanted = wanted.unionByName(many.select("a"))
+    wanted = wanted.select(bucket.alias("bucket")).distinct()
     # at most fetch_buckets rows, whatever the input: a bounded filter before texts are shuffled
     texts = lines.select("a", "b", "n", "line", "seen", bucket.alias("bucket")).join(F.broadcast(wanted), "bucket", "left_semi")
     tx, ty = (texts.select(F.col("a").alias(f"{s}a"), F.col("b").alias(f"{s}b"), F.col("line").alias(f"{s}line")) for s in "xy")
-    verified = pairs.join(tx, ["xa", "xb"]).join(ty, ["ya", "yb"]).filter(banded_distance_within_one(F.col("xline"), F.col("yline")))
-    crowded = _crowded(texts.join(many, ["a", "b"]).select("a", "b", "n", "line", "seen", "side"))
-    return verified.select(F.col("xa").alias("a"), F.col("xb").alias("b")).unionByName(crowded).distinct()
+    verified = pairs.join(tx, ["xa", "xb"]).join(ty, ["ya", "yb"]).filter(within_edits(F.col("xline"), F.col("yline"), edits)).select(F.col("xa").alias("a"), F.col("xb").alias("b"))
+    if edits == 1:
+        verified = verified.unionByName(_crowded(texts.join(many, ["a", "b"]).select("a", "b", "n", "line", "seen", "side")))
+    return verified.distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str = "doc_id", text: str = "text", share: int = 4096) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, crowd: int = 64, key: str = "doc_id", text: str = "text", share: int = 4096, edits: int = 1, min_exact: int = 1) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and ``n_lines``, ``n_dropped``, ``dropped_chars``."""
-    lines = F.split(F.col(text), "\n")
-    own = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(lines).alias("line")).filter(F.char_length("line") >= min_chars)
+    if not 0 < edits <= MOST_EDITS or min_chars <= edits:
+        raise ValueError(f"1 to {MOST_EDITS} edits, fewer than a line has code points")
+    lines, hashed = F.split(F.col(text), "\n"), F.xxhash64(text).alias("row")
+    own = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("doc"), hashed, F.posexplode(lines).alias("at", "line")).filter(F.char_length("line") >= min_exact)
     seen = own.groupBy("line").agg(F.min("doc").alias("seen"), F.count("*").alias("n_rows"))
     a, b = _key(F.col("line"))
     keyed = keep(seen.select("line", F.char_length("line").alias("n"), a.alias("a"), b.alias("b"), "seen", "n_rows"), "lines")
-    near = cut(near_lines(keyed, crowd, share=share)).withColumn("near", F.lit(True))
+    near = cut(near_lines(keyed.filter(F.col("n") >= min_chars), crowd, share=share, edits=edits)).withColumn("near", F.lit(True))
     known = keyed.select("a", "b", "seen", "n_rows").join(near, ["a", "b"], "left")
     total = keyed.agg(F.sum("n_rows")).first()[0] or 0
-    placed = named_by(own.select("doc", a.alias("a"), b.alias("b")), known, ["a", "b"], "doc", total, share)
-    gone = placed.filter(F.coalesce("near", F.lit(False)) | _earlier("seen", "doc")).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("_gone"))
-    joined = docs.drop("n_lines", "n_dropped", "dropped_chars").join(gone.withColumnRenamed("doc", "_gone_doc"), F.col(key).eqNullSafe(F.col("_gone_doc")), "left").drop("_gone_doc")
-
-    def judged(found: Column) -> Column:
-        here, repeats = found.getField("here"), found.getField("repeats")
-        gone = lambda s: F.array_contains(repeats, s.getField("i")) | F.coalesce(F.array_contains(F.col("_gone"), s.getField("k")), F.lit(False))
-        kept = F.filter(here, lambda s: (F.char_length(s.getField("x")) < min_chars) | ~gone(s))
-        return let(kept, lambda k: F.struct(
-            F.coalesce(F.size(here), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(here) - F.size(k), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(F.transform(k, lambda s: s.getField("x")), "\n").alias("_new"),
+    placed = named_by(own.select("doc", "row", "at", a.alias("a"), b.alias("b")), known, ["a", "b"], ["doc", "row", "at"], total, share)
+    gone = placed.filter(F.coalesce("near", F.lit(False)) | _earlier("seen", "doc")).groupBy("doc", "row").agg(F.collect_set("at").alias("_gone"))
+    named = gone.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), "_gone")
+    joined = docs.drop("n_lines", "n_dropped", "dropped_chars").join(named, F.col(key).eqNullSafe(F.col("_doc")) & (hashed == F.col("_row")), "left").drop("_doc", "_row")
+
+    def judged(here: Column) -> Column:
+        gone = F.coalesce("_gone", F.array().cast("array<int>"))
+        left = F.array_except(F.array_except(F.sequence(F.lit(0), F.size(here) - 1), gone), F.filter(_repeats(here), lambda i: F.char_length(F.get(here, i)) >= min_exact))
+        return let(left, lambda k: F.struct(
+            F.size(here).cast("long").alias("n_lines"), (F.size(here) - F.size(k)).cast("long").alias("n_dropped"), F.array_join(F.transform(k, lambda i: F.get(here, i)), "\n").alias("_new"),
         ))
 
-    here = F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.struct(_key(x)[0].alias("a"), _key(x)[1].alias("b")).alias("k")))
-    whole = let(F.struct(here.alias("here"), _repeats(lines).alias("repeats")), judged)
+    none = F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast("string").alias("_new"))
     # a generator keeps later filters and projections from evaluating all this again
-    out = joined.select("*", F.inline(F.array(F.when(F.col(text).isNotNull(), whole).otherwise(F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast("string").alias("_new"))))))
+    out = joined.select("*", F.inline(F.array(F.when(F.col(text).isNotNull(), let(lines, judged)).otherwise(none))))
     out = out.withColumn("dropped_chars", F.coalesce(F.char_length(text) - F.char_length("_new"), F.lit(0)).cast("long"))
     return out.withColumn(text, F.col("_new")).drop("_new", "_gone")

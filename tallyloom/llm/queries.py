@@ -116,17 +116,17 @@ OP10_SQL = """
 WITH RECURSIVE l AS (
   SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
 ), seen AS (
-  SELECT line, min(doc_id) AS seen, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, min(doc_id) AS seen, length(line) AS n FROM l WHERE length(line) >= 1 GROUP BY line
 ), half AS (
-  SELECT line, seen, n, n AS size, 1 AS side, substr(line, 1, n // 2) AS part, false AS probe FROM seen
-  UNION ALL SELECT line, seen, n, n, 2, substr(line, n // 2 + 1), false FROM seen
-  UNION ALL SELECT line, seen, n, n - 1, 1, substr(line, 1, (n - 1) // 2), true FROM seen
-  UNION ALL SELECT line, seen, n, n - 1, 2, substr(line, (n - 1) // 2 + 2), true FROM seen
+  SELECT line, seen, n, n AS size, 1 AS side, substr(line, 1, n // 2) AS part, false AS probe FROM seen WHERE n >= 20
+  UNION ALL SELECT line, seen, n, n, 2, substr(line, n // 2 + 1), false FROM seen WHERE n >= 20
+  UNION ALL SELECT line, seen, n, n - 1, 1, substr(line, 1, (n - 1) // 2), true FROM seen WHERE n >= 20
+  UNION ALL SELECT line, seen, n, n - 1, 2, substr(line, (n - 1) // 2 + 2), true FROM seen WHERE n >= 20
 ), near AS (
   SELECT DISTINCT x.line FROM half x JOIN half y ON x.size = y.size AND x.side = y.side AND x.part = y.part AND NOT (x.probe AND y.probe) AND y.seen < x.seen
   WHERE levenshtein(x.line, y.line) <= 1
 ), judged AS (
-  SELECT l.doc_id, l.i, l.line, length(l.line) >= 20 AND (near.line IS NOT NULL OR seen.seen < l.doc_id OR row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.i) > 1) AS gone
+  SELECT l.doc_id, l.i, l.line, length(l.line) >= 1 AND (near.line IS NOT NULL OR seen.seen < l.doc_id OR row_number() OVER (PARTITION BY l.doc_id, l.line ORDER BY l.i) > 1) AS gone
   FROM l LEFT JOIN seen ON seen.line = l.line LEFT JOIN near ON near.line = l.line
 ), per AS (
   SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM judged GROUP BY doc_id

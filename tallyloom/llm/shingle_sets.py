@@ -242,4 +242,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd:
     better = linked.join(least_ids, "root").select("set_id", "least")
     named = distinct.join(better, "set_id", "left").select("set_id", "n_rows", F.coalesce("least", "first").alias("component_id"))
     total = distinct.agg(F.sum("n_rows")).first()[0] or 0
-    return named_by(found, named, ["set_id"], "doc_id", total)
+    return named_by(found, named, ["set_id"], ["doc_id"], total)

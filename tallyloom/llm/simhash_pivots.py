@@ -130,4 +130,4 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, pivots: int
     better = linked.join(least, "root").select("fp", "least")
     named = distinct.join(better, "fp", "left").select("fp", "n_rows", F.coalesce("least", "first").alias("component_id"))
     total = distinct.agg(F.sum("n_rows")).first()[0] or 0
-    return named_by(fps, named, ["fp"], "doc_id", total).select("doc_id", "fp", "component_id")
+    return named_by(fps, named, ["fp"], ["doc_id"], total).select("doc_id", "fp", "component_id")

@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import block_extract, byte_bpe, decontaminate, graph, language_mix, line_crf, line_dedup, orc_tokens, simhash_pivots, warc_index
+from tallyloom.llm import block_extract, byte_bpe, decontaminate, graph, language_mix, line_crf, orc_tokens, simhash_pivots, warc_index
 from tallyloom.llm.common import named_by, shared_folder
 
 DOCS = "doc_id bigint, text string, n_lines string"
@@ -62,46 +62,6 @@ def test_orc_tokens(spark, docs, texts):
     assert spark.read.schema("doc_id bigint, ids array<int>").orc(empty).count() == 0
 
 
-def test_line_dedup(spark):
-    def close(a, b):
-        if abs(len(a) - len(b)) > 1:
-            return False
-        i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
-
-    random.seed(9)
-    base = ["".join(random.choice("abé ") for _ in range(random.randint(3, 12))) for _ in range(6)]
-
-    def change(s):
-        s = list(s)
-        for _ in range(random.choice([0, 1, 1, 2])):
-            i = random.randrange(len(s)) if s else 0
-            s[i : i + random.choice([0, 1])] = random.choice(["", "a", "é"])
-        return "".join(s)
-
-    rows = [(i, "\n".join(change(random.choice(base)) for _ in range(random.randint(0, 6)))) for i in range(60)] + [(None, "abc abc"), (None, None), (81, ""), (3, "abc abc\n\nabc abc")]
-    early = lambda a, b: a is not None and (b is None or a < b)
-    seen = {}
-    for d, t in rows:
-        for line in t.split("\n") if t is not None else []:
-            if len(line) >= 3 and (line not in seen or early(d, seen[line])):
-                seen[line] = d
-    near = {x for x in seen if any(early(seen[y], seen[x]) and close(x, y) for y in seen)}
-    wanted = []
-    for d, t in rows:
-        kept, had = [], set()
-        for line in t.split("\n") if t is not None else []:
-            if len(line) < 3 or not (line in had or line in near or early(seen[line], d)):
-                kept.append(line)
-            had.add(line)
-        wanted.append((d, None if t is None else "\n".join(kept)))
-    frame = spark.createDataFrame([(*r, "clash") for r in rows], DOCS)
-    for crowd, share in ((64, 4096), (2, 4096), (2, 1)):  # pairs only; frequent half-lines dealt apart; crowded ones found by key
-        got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(frame, 3, crowd, share=share).collect()]
-        assert sorted(got, key=str) == sorted(wanted, key=str)
-    assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("crowd", [64, 1])
 def test_simhash(spark, crowd):
     import xxhash
@@ -142,9 +102,9 @@ def test_names_of_frequent_keys(spark):
     names = spark.createDataFrame([(7, 1, "often", 51), (7, 2, "other b", 1), *((i, 1, f"n{i}", 1) for i in range(50, 80))], "a bigint, b int, name string, n_rows bigint")
     wanted = sorted([(i, "often" if i < 50 else f"n{i}") for i in range(80)] + [(None, "often")], key=str)
     for share in (2, 4096):
-        got = named_by(facts, names, ["a", "b"], "doc", 82, share).select("doc", "name").collect()
+        got = named_by(facts, names, ["a", "b"], ["doc"], 82, share).select("doc", "name").collect()
         assert sorted(map(tuple, got), key=str) == wanted
-    assert named_by(facts.limit(0), names.limit(0), ["a", "b"], "doc", 0).columns == ["doc", "a", "b", "name"]
+    assert named_by(facts.limit(0), names.limit(0), ["a", "b"], ["doc"], 0).columns == ["doc", "a", "b", "name"]
 
 
 def test_components(spark):
