@@ -19,11 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (tests) gets a local one.
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets one of its own: on a
+    cluster no executor would see another's files there.
     """
     sc = spark.sparkContext
     if not (root := sc.getCheckpointDir()):
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
         root = sc.getCheckpointDir()
     return root
@@ -47,21 +50,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def named_by(facts: DataFrame, names: DataFrame, keys: list[str], salt: list[str], total: int, share: int = 4096) -> DataFrame:
+def named_by(facts: DataFrame, names: DataFrame, keys: list[str], salt: list[str], total: int, share: int = 4096, every: bool = False) -> DataFrame:
     """``facts`` with the other columns of ``names``: one row a key, with ``n_rows``, the number of the ``total`` facts that have it.
 
     Fewer than ``share`` keys can hold more than one in ``share`` of the facts each.  Their
-    names are broadcast, and their facts are dealt by ``salt`` and not to one task.
+    names are broadcast, and their facts are dealt by ``salt`` and not to one task, as are
+    facts without a key.  Facts without a name come back with ``every`` only.
     """
     values = F.struct(*[c for c in names.columns if c not in (*keys, "n_rows")])
     often = names.filter(F.col("n_rows") * share > total).select(*keys, values.alias("_often"))
-    marked = facts.join(F.broadcast(often), keys, "left").withColumn("_at", F.when(F.col("_often").isNotNull(), F.xxhash64(*salt)).otherwise(F.col(keys[0])))
+    alone = F.col("_often").isNotNull() | F.col(keys[0]).isNull()
+    marked = facts.join(F.broadcast(often), keys, "left").withColumn("_at", F.when(alone, F.xxhash64(*salt).cast(facts.schema[keys[0]].dataType)).otherwise(F.col(keys[0])))
     others = names.select(F.col(keys[0]).alias("_at"), *[F.col(k).alias(f"_{k}") for k in keys[1:]], values.alias("_other"))
     met = F.lit(True)
     for k in keys[1:]:
         met &= marked[k] == others[f"_{k}"]
-    joined = marked.join(others, (marked["_at"] == others["_at"]) & met, "left")
-    return joined.withColumn("_name", F.coalesce("_often", "_other")).filter(F.col("_name").isNotNull()).select(*facts.columns, "_name.*")
+    named = marked.join(others, (marked["_at"] == others["_at"]) & met, "left").withColumn("_name", F.when(alone, F.col("_often")).otherwise(F.col("_other")))
+    return (named if every else named.filter(F.col("_name").isNotNull())).select(*facts.columns, "_name.*")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

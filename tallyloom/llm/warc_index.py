@@ -5,17 +5,21 @@ each: sort-friendly URL key (host reversed), page, file, offset and length.
 ``write_index`` sorts the captures by key over range partitions; each partition
 writes one shard of compressed blocks of lines, then its sparse block directory
 (first key of each block).  Only the shards' first keys, one entry a partition,
-reach the driver.  ``lookup`` binary-searches shards, then a shard's directory, then
-the block, and reads nothing but those byte ranges; ``fetch`` reads the records'
-ranges in file order.
+reach the driver.  ``lookup`` binary-searches shards and a shard's directory for the
+blocks that can hold a key, then searches those blocks, dealt by block: a key of very many
+captures is read by many tasks.  It reads nothing but those byte ranges; ``fetch`` reads
+the records' ranges in file order.
+
+Payloads join the first page of their digest; the digests of very many pages, and small
+payloads, which refer to nothing, are dealt by page instead.
 
 A task writes files under names of its own attempt and returns rows that name them,
 so a lost executor's work is written anew and its leftovers are never read.
 
 Defined results: a null html is an empty payload; a null url has the key ``)``; rows of
-one page id with equal payloads are all responses if the id is the smallest; repeated
-rows give repeated records; an empty table gives no archives and empty results; other
-columns are not read.
+one page id with equal payloads are all responses if the id is the smallest; repeated rows
+give repeated records; an empty table gives no archives and empty results; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, named_by, slices
 
 RESPONSE, REVISIT = "response", "revisit"
 
@@ -58,9 +62,11 @@ def captures(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     """Payload, digest and record type of every page."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "url_key": url_key(F.col("url"))})
-    shared = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisit = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(shared, "payload_digest", "left").select(
+    rows = rows.withColumn("digest", F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")))
+    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n_rows")).filter("n_rows > 1")
+    named = named_by(rows, cut(first), ["digest"], ["page_id", "url"], pages.count(), every=True)
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    return named.select(
         "page_id", "url", "url_key", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, REVISIT).otherwise(RESPONSE).alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
@@ -153,7 +159,7 @@ def write_index(captured: DataFrame, folder: str, lines: int = 256) -> list[tupl
 
 
 class Index:
-    """A reader of the index for sorted keys: keeps one directory and one block."""
+    """A reader of the index for sorted keys or blocks: keeps one directory and one block."""
 
     def __init__(self, folder: str, shards: list[tuple]):
         self.system, _ = _filesystem(_uri(folder))
@@ -166,8 +172,8 @@ class Index:
             self.kept[slot] = ((file, offset), json.loads(data) if slot == "directory" else [json.loads(x) for x in data.split("\n")])
         return self.kept[slot][1]
 
-    def find(self, key: str) -> Iterator[list]:
-        """All captures of a key: binary search in shards, directory and block, then onwards while keys are equal."""
+    def blocks(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of the blocks that can hold a key: binary search in shards and directory, then onwards while blocks start no later."""
         shard = max(0, bisect.bisect_left(self.first, key) - 1)
         for _, file, offset, length in self.shards[shard:]:
             directory = self._read("directory", file, offset, length)
@@ -177,36 +183,56 @@ class Index:
             for first, start, size in directory[at:]:
                 if first > key:
                     return
-                block = self._read("block", file, start, size)
-                for line in block[bisect.bisect_left(block, key, key=lambda e: e[0]) :]:
-                    if line[0] != key:
-                        return
-                    yield line
+                yield file, start, size
+
+    def lines(self, key: str, file: str, start: int, size: int) -> Iterator[list]:
+        """The captures of a key in one block, by binary search."""
+        block = self._read("block", file, start, size)
+        for line in block[bisect.bisect_left(block, key, key=lambda e: e[0]) :]:
+            if line[0] != key:
+                return
+            yield line
 
 
-def lookup(keys: DataFrame, folder: str, shards: list[tuple], page_id_type: str = "bigint") -> DataFrame:
-    """Captures of the distinct values of ``url_key``, found through the index."""
+def lookup(keys: DataFrame, folder: str, shards: list[tuple], page_id_type: str = "bigint", partitions: int | None = None) -> DataFrame:
+    """Captures of the distinct values of ``url_key``, found through the index.
+
+    Places of blocks are small and blocks aren't; say the number of tasks that read blocks
+    by ``partitions`` where the captures are many.
+    """
     shared = keys.sparkSession.sparkContext.broadcast(shards)  # one entry a partition of the index
     sought = keys.select("url_key").distinct().repartitionByRange("url_key").sortWithinPartitions("url_key")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(folder, shared.value)
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, kinds = Index(folder, shared.value), [pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
             held = []
             for key in batch.column(0).to_pylist():
-                for line in index.find(key):
-                    held.append(line)
+                for place in index.blocks(key):
+                    held.append((key, *place))
                     if len(held) == 5000:
-                        yield _rows(held, page_id_type)
+                        yield _rows(held, kinds, ["url_key", "file", "start", "size"])
                         held = []
-            yield _rows(held, page_id_type)
+            yield _rows(held, kinds, ["url_key", "file", "start", "size"])
 
-    return sought.mapInArrow(run, f"url_key string, page_id {page_id_type}, file string, offset bigint, length bigint")
+    def captured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, kinds = Index(folder, []), [pa.string(), {"bigint": pa.int64(), "int": pa.int32()}.get(page_id_type, pa.string()), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            held = []
+            for place in zip(*(c.to_pylist() for c in batch.columns)):
+                held += index.lines(*place)
+                if len(held) >= 5000:
+                    yield _rows(held, kinds, ["url_key", "page_id", "file", "offset", "length"])
+                    held = []
+            yield _rows(held, kinds, ["url_key", "page_id", "file", "offset", "length"])
 
+    found = sought.mapInArrow(places, "url_key string, file string, start bigint, size bigint")
+    dealt = found.repartition(*filter(None, [partitions]), "file", "start").sortWithinPartitions("file", "start", "url_key")  # a block is read once
+    return dealt.mapInArrow(captured, f"url_key string, page_id {page_id_type}, file string, offset bigint, length bigint")
 
-def _rows(lines: list[list], page_id_type: str) -> pa.RecordBatch:
-    kinds = [pa.string(), {"bigint": pa.int64(), "int": pa.int32()}.get(page_id_type, pa.string()), pa.string(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], kind) for i, kind in enumerate(kinds)], names=["url_key", "page_id", "file", "offset", "length"])
+
+def _rows(lines: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in lines], kind) for i, kind in enumerate(kinds)], names=names)
 
 
 def fetch(captured: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
@@ -251,12 +277,10 @@ def digests(records: DataFrame) -> DataFrame:
     )
 
 
-def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 100, task_bytes: int = 16 << 20) -> DataFrame:
+def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str, least_bytes: int = 100, task_bytes: int = 16 << 20, task_captures: int = 20_000) -> DataFrame:
     """Archive all pages, index them, look every key up in the index and read the records back."""
-    from .common import cut
-
     written = cut(write_archives(captures(pages, least_bytes), f"{folder}/archives"))
     shards = write_index(written, f"{folder}/index")
-    found = lookup(written, f"{folder}/index", shards, written.schema["page_id"].dataType.simpleString())
-    total = written.agg(F.sum("length")).first()[0] or 0
-    return fetch(found, f"{folder}/archives", max(1, -(-total // task_bytes)))
+    n, total = written.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    found = lookup(written, f"{folder}/index", shards, written.schema["page_id"].dataType.simpleString(), -(-n // task_captures) or 1)
+    return fetch(found, f"{folder}/archives", -(-total // task_bytes) or 1)

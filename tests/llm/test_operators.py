@@ -181,6 +181,22 @@ def test_warc(spark):
     assert warc_index.archive_and_read(spark, rows.limit(0), shared_folder(spark, "warc")).count() == 0
 
 
+def test_warc_crowds(spark):
+    """Half of the pages share a payload and have no URL; one payload is long; columns clash."""
+    rows = [(i, None if i % 2 else f"http://h{i % 7}.org/p", "same page of a hundred bytes and more " * 4 if i % 2 else f"page {i} " * 20, "clash") for i in range(2000)] + [(5000, "u", "x" * 5_000_000, "")]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string, payload_digest string")
+    got = {r.page_id: r for r in warc_index.digests(warc_index.archive_and_read(spark, frame, shared_folder(spark, "warc"))).collect()}
+    for i, _, html, _ in rows:
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+        assert (got[i].record_type, got[i].refers_to) == (("revisit", 1) if i % 2 and i > 1 else ("response", None))
+    folder = shared_folder(spark, "warc")
+    written = warc_index.write_archives(warc_index.captures(frame), f"{folder}/a")
+    shards = warc_index.write_index(written, f"{folder}/i", lines=16)
+    found = warc_index.lookup(spark.createDataFrame([(")",), ("none",), ("org,h2)/p",)], "url_key string"), f"{folder}/i", shards)
+    assert sorted(r.page_id for r in found.collect()) == sorted([i for i in range(1, 2000, 2)] + [i for i in range(0, 2000, 2) if i % 7 == 2])
+    assert len(list(warc_index.Index(f"{folder}/i", shards).blocks(")"))) > 10  # each is a row that can go to another task
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
