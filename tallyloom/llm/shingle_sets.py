@@ -50,7 +50,7 @@ from . import simhash_pivots
 #: Texts sampled for the order of members, and how many frequent members it knows.
 SAMPLE, FREQUENT = 20_000, 1 << 17
 #: Bits of the filter of sets that are wanted again: 64 a word.
-WORDS = 1 << 21
+WORDS = 1 << 19
 _SLACK = 1e-9
 #: Sets have all keys of the prefix rule where these are so many or less.
 FEW = 32
@@ -165,14 +165,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _settled(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Verified ``pairs`` that connect what all verified pairs would: one for each set first, then what these leave apart."""
-    first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    edges = cut(_verified(first, sets, least))
-    roots = components(edges, "a", "b")
-    ra, rb = (roots.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
+    """Verified ``pairs`` that connect what all verified pairs would: one for each set first, then those of sets that didn't meet in the same one."""
+    first = cut(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least))
+    ra, rb = (first.select(F.col("b").alias(s), F.col("a").alias(f"r{s}")) for s in "ab")
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-    rest = cut(pairs.join(first, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").filter(apart).select("a", "b"))
-    return cut(edges.unionByName(_verified(rest, sets, least)))
+    rest = pairs.join(ra, "a", "left").join(rb, "b", "left").filter(apart).select("a", "b")
+    return cut(first.unionByName(_verified(rest, sets, least)))
 
 
 def _close(unique: DataFrame) -> DataFrame:
@@ -184,7 +182,7 @@ def _close(unique: DataFrame) -> DataFrame:
     return same.unionByName(near.join(x, "fa").join(y, "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).filter("a <> b").distinct()
 
 
-def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 8, rounds: int = 4) -> DataFrame:
+def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 16, rounds: int = 1) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly what the pairs of similarity ``least`` or more connect.
 
     ``unique`` has ``set_id``, ``n``, ``fp`` and ``keys`` of distinct sets, ``rows`` the texts.
@@ -219,7 +217,9 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "root"))
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least)
         pairs = cut(_ordered(probes.alias("x").join(held.alias("y"), met)).join(tried, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(_settled(pairs, sets, least)))
+        edges = cut(edges.unionByName(_verified(pairs, sets, least)))
+        if turn == rounds:
+            break
         tried = cut(tried.unionByName(pairs))
         on = held.join(ending.filter("not ends").select("key"), "key", "left_semi").drop("root", "main", "size", "most", "done")
         many = cut(on.join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(
@@ -227,7 +227,7 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd: int = 32, leaders: int = 8, rounds: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd: int = 32, leaders: int = 16, rounds: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``set_id`` and ``component_id`` (smallest doc_id reachable over links) of every row."""
     if not 0 < least <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
