@@ -1,17 +1,22 @@
 """Chart results after character reading: cells, legend items, reconciliation, evaluation.
 
-Every comparison of boxes stays inside an image (an equality on ``image_id``); all
-pairs of an image are made, and rule O7 only reports images with many boxes.
+Every comparison of boxes stays inside an image (an equality on ``image_id``).  Images
+with more boxes than the contract's cap are no charts: :func:`within_cap` rejects them
+whole before boxes are compared (rule O7), and :func:`..rules.over_cap` lists them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shapes import channel_distance, overlaps, square_distance, union_box
-from ..functions.texts import legend_text
+from ..functions.shapes import overlaps, union_box
+from ..functions.texts import has_risk, legend_text
 
 
 def cell_counts(cells: DataFrame, palette: DataFrame) -> DataFrame:
@@ -60,7 +65,17 @@ def legend_items(items: DataFrame, palette: DataFrame, least_score: float = 0.35
     return read.join(known, "code", "left").select("image_id", "id", "code", F.col("read.value").alias("quantity"), reason.alias("reason"))
 
 
+#: Most boxes of a legend and most cells of a chart.
+MOST_BOXES, MOST_CELLS = 256, 40_000
+
+
+def within_cap(boxes: DataFrame, cap: int = MOST_BOXES, key: str = "image_id") -> DataFrame:
+    """Boxes of images that have no more than ``cap``: others are rejected whole, not cut."""
+    return boxes.join(boxes.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > cap).select(key), key, "left_anti")
+
+
 def _pairs(boxes: DataFrame, *keys: str):
+    boxes = within_cap(boxes)
     a, b = boxes.alias("l"), boxes.alias("r")
     on = F.lit(True)
     for k in keys:
@@ -68,23 +83,59 @@ def _pairs(boxes: DataFrame, *keys: str):
     return a, b, on
 
 
-def overlapping_pairs(boxes: DataFrame) -> DataFrame:
+def overlapping_pairs(boxes: DataFrame, tenths: int = 8) -> DataFrame:
     """Pairs of equal code and quantity that stand at the same place of an image."""
     a, b, on = _pairs(boxes, "image_id", "code", "qty")
-    return a.join(b, on & (F.col("l.id") < F.col("r.id")) & overlaps("l.", "r.")).select(F.col("l.image_id").alias("image_id"), F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"))
+    return a.join(b, on & (F.col("l.id") < F.col("r.id")) & overlaps("l.", "r.", tenths)).select(F.col("l.image_id").alias("image_id"), F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"))
+
+
+def _kept_in_order(boxes: DataFrame, keys: list[str], same: Callable[[Column, Column], Column]) -> DataFrame:
+    """Boxes of each group, in the order of their ids, that aren't the same as one kept before: first wins.
+
+    A group is a part of an image within its cap, so it fits one row.
+    """
+    fields = [c for c in boxes.columns if c not in keys]
+    rows = within_cap(boxes).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in fields if c != "id"]))).alias("_all"))
+    none = F.slice("_all", 1, 0)
+    kept = F.aggregate("_all", none, lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return rows.select(*keys, F.inline(kept)).select(*boxes.columns)
 
 
-def merge_repeats(boxes: DataFrame) -> DataFrame:
+def _at_one_place(a: Column, b: Column, tenths: int = 8) -> Column:
+    """Whether two boxes share more than so many tenths of the smaller one."""
+    wide = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
+    high = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
+    return F.greatest(F.lit(0), wide) * F.greatest(F.lit(0), high) * 10 > F.least(a["w"] * a["h"], b["w"] * b["h"]) * tenths
+
+
+def merge_repeats(boxes: DataFrame, tenths: int = 8) -> DataFrame:
     """Boxes without repeats at the same place; ``repeated`` where a code still stands at several places."""
-    gone = overlapping_pairs(boxes).select("image_id", F.col("second_id").alias("id")).distinct()
-    left = boxes.join(gone, ["image_id", "id"], "left_anti")
+    left = _kept_in_order(boxes, ["image_id", "code", "qty"], lambda a, b: _at_one_place(a, b, tenths))
     many = left.groupBy("image_id", "code").agg((F.count("*") > 1).alias("repeated"))
     return left.join(many, ["image_id", "code"])
 
 
-def shared_quantities(boxes: DataFrame) -> DataFrame:
-    """Boxes of an image that overlap another one's quantity field: ambiguous."""
-    a, b, on = _pairs(boxes, "image_id")
+#: Why a reading is not counted.
+REPEATED, SHARED, CONFLICT, QUARANTINED = "repeated-code", "shared-quantity", "count-conflict", "source-conflict"
+
+
+def counted_once(boxes: DataFrame, tenths: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and located doubts for what isn't one: codes at several places, then numbers that several codes share.
+
+    Boxes need ``raw``, the text that was read; doubts have image_id, id, code, reason, raw, x, y, w, h.
+    """
+    merged = merge_repeats(boxes, tenths)
+    once = merged.filter(~F.col("repeated")).drop("repeated")
+    shared = shared_quantities(once)
+    place = ["image_id", "id", "code", "raw", "x", "y", "w", "h"]
+    doubts = merged.filter("repeated").select(*place, F.lit(REPEATED).alias("reason")).unionByName(once.join(shared, ["image_id", "id"], "left_semi").select(*place, F.lit(SHARED).alias("reason")))
+    return once.join(shared, ["image_id", "id"], "left_anti"), doubts
+
+
+def shared_quantities(boxes: DataFrame, field: tuple[str, str, str, str] = ("x", "y", "w", "h")) -> DataFrame:
+    """Boxes of an image whose quantity fields (four columns) overlap another one's: ambiguous."""
+    named = boxes.select("image_id", "id", *[F.col(c).alias(k) for c, k in zip(field, "xywh")])
+    a, b, on = _pairs(named, "image_id")
     return a.join(b, on & (F.col("l.id") != F.col("r.id")) & overlaps("l.", "r."), "left_semi").select("image_id", "id")
 
 
@@ -96,12 +147,8 @@ def outside(boxes: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def near_identical(boxes: DataFrame, edge: int = 3) -> DataFrame:
-    """Boxes left after dropping those whose four edges lie within ``edge`` of an earlier one."""
-    a, b, on = _pairs(boxes, "image_id")
-    close = on & (F.col("r.id") < F.col("l.id"))
-    for c in "xywh":
-        close &= F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= edge
-    return a.join(b, close, "left_anti").select("l.*")
+    """Boxes left after dropping those whose four edges lie within ``edge`` of an earlier one that is kept."""
+    return _kept_in_order(boxes, ["image_id"], lambda a, b: F.greatest(*[F.abs(a[c] - b[c]) for c in "xywh"]) <= edge)
 
 
 def vetoed(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -109,19 +156,41 @@ def vetoed(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
     return candidates.alias("l").join(rejected.alias("r"), (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.code") == F.col("r.code")) & (F.col("l.id") != F.col("r.id")) & overlaps("l.", "r.", 5), "left_semi").select("image_id", "id", "code")
 
 
+#: A catalogue has 221 colours; more swatches than this aren't one.
+MOST_SWATCHES = 1000
+
+
 def nearest_colours(cells: DataFrame, swatches: DataFrame) -> DataFrame:
-    """Nearest swatch of each cell by squared distance, ties by code (J17).  Swatches are the catalogue: broadcast."""
-    s = F.broadcast(swatches.select(F.col("code").alias("swatch"), *[F.col(k).alias(f"s{k}") for k in "rgb"]))
-    named = cells.select("image_id", "row", "col", "x", *[F.col(k).alias(f"c{k}") for k in "rgb"]).distinct()
-    return named.crossJoin(s).groupBy("image_id", "row", "col", "x", "cr", "cg", "cb").agg(F.min(F.struct(square_distance("c", "s").alias("d"), F.col("swatch"))).alias("best")).select("image_id", "row", "col", "x", F.col("best.d").alias("distance"), F.col("best.swatch").alias("code"))
+    """Nearest swatch of each cell by squared distance, ties by code.
+
+    The swatches are a catalogue of checked size that goes to the tasks: no cell is
+    multiplied, joined or shuffled.  Distances are matrices of a batch, as 221 terms of one
+    expression are more than generated code can hold.
+    """
+    known = swatches.select("code", *[F.col(k).cast("long") for k in "rgb"]).limit(MOST_SWATCHES + 1).collect()
+    if not 0 < len(known) <= MOST_SWATCHES:
+        raise ValueError(f"1 to {MOST_SWATCHES} swatches")
+    known.sort(key=lambda s: s["code"])
+    codes, colours = np.array([s["code"] for s in known], object), np.array([[s[k] for k in "rgb"] for s in known], float)
+
+    @F.pandas_udf("distance bigint, code string")
+    def nearest(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+        cell = np.stack([x.to_numpy(float, na_value=np.nan) for x in (r, g, b)], axis=1)
+        distance = (cell * cell).sum(1)[:, None] - 2 * cell @ colours.T + (colours * colours).sum(1)  # whole numbers, so exact
+        at = np.where(np.isnan(distance[:, 0]), 0, np.nan_to_num(distance).argmin(1))
+        best = pd.Series(distance[np.arange(len(at)), at]).round().astype("Int64")
+        return pd.DataFrame({"distance": best, "code": pd.Series(codes[at]).where(best.notna(), None)})
+
+    return cells.withColumn("_best", nearest("r", "g", "b")).select("image_id", "row", "col", "x", "_best.distance", "_best.code")
 
 
 def exact_colours(cells: DataFrame, swatches: DataFrame, backgrounds: DataFrame, tolerance: int = 2) -> DataFrame:
-    """Cells by exact colour; else background within a tolerance; else unknown."""
-    s = F.broadcast(swatches.select("r", "g", "b", F.col("code").alias("swatch")).groupBy("r", "g", "b").agg(F.min("swatch").alias("swatch")))
-    back = F.broadcast(backgrounds.select(*[F.col(k).alias(f"p{k}") for k in "rgb"], F.lit(True).alias("back")))
-    named = cells.join(s, ["r", "g", "b"], "left").select("image_id", "row", "col", "x", "swatch", *[F.col(k).alias(f"c{k}") for k in "rgb"])
-    return named.join(back, channel_distance("c", "p") <= tolerance, "left").select("image_id", F.when(F.col("swatch").isNotNull(), F.col("swatch")).when(F.col("back"), "blank").otherwise("unknown").alias("kind"))
+    """Cells by exact colour; else background within a tolerance; else unknown (J18).  One row a cell."""
+    s = F.broadcast(swatches.select("r", "g", "b", F.col("code").alias("swatch")).groupBy("r", "g", "b").agg(F.min("swatch").alias("swatch")))  # 221 colours
+    grounds = F.broadcast(backgrounds.agg(F.collect_set(F.struct("r", "g", "b")).alias("_grounds")))  # one row, a chart's few backgrounds
+    near = F.exists("_grounds", lambda p: F.greatest(*[F.abs(F.col(k) - p[k]) for k in "rgb"]) <= tolerance)
+    named = cells.join(s, ["r", "g", "b"], "left").join(grounds, F.lit(True), "left")
+    return named.select("image_id", F.when(F.col("swatch").isNotNull(), F.col("swatch")).when(near, "blank").otherwise("unknown").alias("kind"))
 
 
 def reconcile(legend: DataFrame, grid: DataFrame) -> DataFrame:
@@ -201,10 +270,54 @@ def brand_conflicts(marks: DataFrame, brand: str = "MARD", palette: str = "221")
 
 
 def adjacent_numbers(marks: DataFrame, words: DataFrame) -> DataFrame:
-    """The nearest number to the right of a mark, on its line, within one and a half heights."""
+    """The nearest number to the right of a mark, on its line, within one and a half heights; ties by id."""
+    marks, words = within_cap(marks), within_cap(words)
     gap = F.col("b.x") - F.col("a.x") - F.col("a.w")
     near = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.id") != F.col("b.id")) & (gap >= 0) & (gap * 2 <= F.col("a.h") * 3) & (F.abs(F.col("b.y") - F.col("a.y")) * 10 < F.col("a.h") * 3) & (F.col("b.h") * 10 >= F.col("a.h") * 6) & (F.col("b.h") * 2 <= F.col("a.h") * 3)
-    return marks.alias("a").join(words.alias("b"), near).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("id")).agg(F.min("b.id").alias("number_id"))
+    return marks.alias("a").join(words.alias("b"), near).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("id")).agg(F.min_by("b.id", F.struct(gap, F.col("b.id"))).alias("number_id"))
+
+
+def conflict_doubts(legend: DataFrame, grid: DataFrame, legend_boxes: DataFrame, cells: DataFrame) -> DataFrame:
+    """A located doubt for each side of each code whose two counts differ (R6): both are kept, none is added up.
+
+    ``legend_boxes``: image_id, code, x, y, w, h; ``cells``: image_id, text, row, col, x, y.
+    A side without a place has no doubt.
+    """
+    different = reconcile(legend, grid)
+    raw = F.concat("code", F.lit(": "), F.col("legend_qty").cast("string"), F.lit(" / "), F.col("grid_qty").cast("string"))
+    boxes = legend_boxes.groupBy("image_id", "code").agg(F.min(F.struct("id", "x", "y")).alias("at"))
+    first = cells.groupBy("image_id", F.col("text").alias("code")).agg(F.min(F.struct("row", "col", "x", "y")).alias("at"))
+    sides = [places.join(different, ["image_id", "code"]).select("image_id", "code", F.lit(side).alias("source"), F.lit(CONFLICT).alias("reason"), raw.alias("raw"), F.col("at.x").alias("x"), F.col("at.y").alias("y")) for side, places in (("legend", boxes), ("grid", first))]
+    return sides[0].unionByName(sides[1])
+
+
+def quarantine(candidates: DataFrame, results: DataFrame, conflicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, candidates and doubts after images with conflicting sources fail: none of their candidates counts, each becomes a doubt."""
+    odd = conflicts.filter("conflict").select("image_id")
+    failed = odd.withColumn("_odd", F.lit(True))
+    out = results.join(failed, "image_id", "left").withColumns({"status": F.when(F.col("_odd"), "failed").otherwise(F.col("status")), "source": F.when(F.col("_odd").isNull(), F.col("source"))}).drop("_odd")
+    lost = candidates.join(odd, "image_id", "left_semi").select("image_id", "code", F.lit(QUARANTINED).alias("reason"), F.concat("code", F.lit(" / "), F.col("qty").cast("string")).alias("raw"))
+    return out, candidates.join(odd, "image_id", "left_anti"), lost
+
+
+def merged_evidence(first: DataFrame, second: DataFrame, origins: tuple[str, str] = ("legend", "grid")) -> DataFrame:
+    """The evidence or doubts of two readers, each with where it comes from; none erases the other's."""
+    return first.withColumn("origin", F.lit(origins[0])).unionByName(second.withColumn("origin", F.lit(origins[1])), allowMissingColumns=True)
+
+
+def confident(readings: DataFrame, field: str, least: dict[str, float] | None = None) -> DataFrame:
+    """Readings above the gate of their kind: over .35 in a legend, over .6 in a cell, .65 or more of a brand."""
+    gates = least or {"legend": 0.35, "cell": 0.6, "brand": 0.65}
+    ok = F.lit(False)
+    for kind, gate in gates.items():
+        ok |= (F.col(field) == kind) & ((F.col("score") >= gate) if kind == "brand" else (F.col("score") > gate))
+    return readings.filter(ok)
+
+
+def split_samples(samples: DataFrame, split: str = "all", excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Samples of a split that aren't excluded (P9): what a report counts."""
+    rows = samples if split == "all" else samples.filter(F.col("split") == split)
+    return rows.filter(~F.col("sample").isin(*excluded)) if excluded else rows
 
 
 def block_progress(blocks: DataFrame) -> DataFrame:
@@ -260,5 +373,5 @@ def group_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def adopted(results: DataFrame) -> DataFrame:
-    """Recognition results as provenance (R10, F18): failed ones only as assisted, review reset."""
-    return results.select("image_id", F.coalesce("source", F.lit("assisted")).alias("source"), F.col("status").alias("original_status"), F.lit(False).alias("modified"), F.lit(False).alias("risk_acknowledged"), (F.col("status") != "ready").alias("has_risk"))
+    """Recognition results as provenance (R10, F18): failed ones only as assisted, review reset; ``risks``: array with ``resolved``."""
+    return results.select("image_id", F.coalesce("source", F.lit("assisted")).alias("source"), F.col("status").alias("original_status"), F.lit(False).alias("modified"), F.lit(False).alias("risk_acknowledged"), has_risk(F.col("status"), F.col("risks")).alias("has_risk"))

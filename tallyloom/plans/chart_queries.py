@@ -50,15 +50,36 @@ def legend_items(v: Views) -> DataFrame:
     return C.legend_items(v.box.select("image_id", "id", text.alias("text"), "score", (F.col("id") % 9 == 0).alias("clipped")), v.palette)
 
 
-@query(f"SELECT a.image_id, a.id AS first_id, b.id AS second_id FROM v_box a JOIN v_box b ON a.image_id = b.image_id AND a.code = b.code AND a.qty = b.qty AND a.id < b.id AND {_OVER.format(a='a', b='b', t=8)}")
+@query(f"SELECT a.image_id, a.id AS first_id, b.id AS second_id FROM v_place a JOIN v_place b ON a.image_id = b.image_id AND a.code = b.code AND a.qty = b.qty AND a.id < b.id AND {_OVER.format(a='a', b='b', t=2)}")
 def overlapping_pairs(v: Views) -> DataFrame:
-    return C.overlapping_pairs(v.box)
+    return C.overlapping_pairs(v.place, 2)
 
 
-@query(f"""WITH k AS (SELECT * FROM v_box b WHERE NOT EXISTS (SELECT 1 FROM v_box a WHERE a.image_id = b.image_id AND a.code = b.code AND a.qty = b.qty AND a.id < b.id AND {_OVER.format(a='a', b='b', t=8)}))
-SELECT image_id, id, code, count(*) OVER (PARTITION BY image_id, code) > 1 AS repeated FROM k""")
+#: Boxes of a group in order, each kept unless it is the same as one kept before.
+_GREEDY = """g AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY id) AS k FROM {boxes}),
+f AS (SELECT {keys}, k, [id] AS kept_ids, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM g WHERE k = 1
+UNION ALL SELECT {g_keys}, g.k, CASE WHEN len(list_filter(f.kept, lambda o: {same})) > 0 THEN f.kept_ids ELSE list_append(f.kept_ids, g.id) END,
+CASE WHEN len(list_filter(f.kept, lambda o: {same})) > 0 THEN f.kept ELSE list_append(f.kept, {{'x': g.x, 'y': g.y, 'w': g.w, 'h': g.h}}) END FROM f JOIN g ON g.k = f.k + 1 AND {on}),
+kept AS (SELECT {keys}, unnest(kept_ids) AS id FROM f QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY k DESC) = 1)"""
+
+
+def _greedy(boxes: str, keys: list[str], same: str) -> str:
+    return _GREEDY.format(boxes=boxes, keys=", ".join(keys), g_keys=", ".join(f"g.{k}" for k in keys), same=same, on=" AND ".join(f"g.{k} = f.{k}" for k in keys))
+
+
+_PLACES = _greedy("v_place", ["image_id", "code", "qty"], _OVER.format(a="g", b="o", t=2))
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT image_id, id, code, count(*) OVER (PARTITION BY image_id, code) > 1 AS repeated FROM kept")
 def merged_repeats(v: Views) -> DataFrame:
-    return C.merge_repeats(v.box).select("image_id", "id", "code", "repeated")
+    return C.merge_repeats(v.place, 2).select("image_id", "id", "code", "repeated")
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, m AS (SELECT p.*, count(*) OVER (PARTITION BY p.image_id, p.code) > 1 AS repeated FROM v_place p JOIN kept ON kept.image_id = p.image_id AND kept.id = p.id)
+SELECT image_id, id, code, 'repeated-code' AS reason, code || '(' || qty || ')' AS raw, x, y, w, h FROM m WHERE repeated
+UNION ALL SELECT DISTINCT a.image_id, a.id, a.code, 'shared-quantity', a.code || '(' || a.qty || ')', a.x, a.y, a.w, a.h FROM m a JOIN m b ON a.image_id = b.image_id AND a.id <> b.id AND NOT a.repeated AND NOT b.repeated AND {_OVER.format(a='a', b='b', t=8)}""")
+def reading_doubts(v: Views) -> DataFrame:
+    return C.counted_once(v.place.withColumn("raw", F.concat("code", F.lit("("), F.col("qty").cast("string"), F.lit(")"))), 2)[1]
 
 
 @query(f"SELECT DISTINCT a.image_id, a.id FROM v_box a JOIN v_box b ON a.image_id = b.image_id AND a.id <> b.id AND {_OVER.format(a='a', b='b', t=8)}")
@@ -71,7 +92,7 @@ def outside_grid(v: Views) -> DataFrame:
     return C.outside(v.box.filter("id > 1"), v.box.filter("id = 1")).select("image_id", "id")
 
 
-@query("SELECT a.image_id, a.id FROM v_box a WHERE NOT EXISTS (SELECT 1 FROM v_box b WHERE b.image_id = a.image_id AND b.id < a.id AND abs(a.x - b.x) <= 12 AND abs(a.y - b.y) <= 12 AND abs(a.w - b.w) <= 12 AND abs(a.h - b.h) <= 12)")
+@query("WITH RECURSIVE " + _greedy("v_box", ["image_id"], "greatest(abs(g.x - o.x), abs(g.y - o.y), abs(g.w - o.w), abs(g.h - o.h)) <= 12") + " SELECT image_id, id FROM kept")
 def near_identical(v: Views) -> DataFrame:
     return C.near_identical(v.box, 12).select("image_id", "id")
 
@@ -81,7 +102,7 @@ def vetoed(v: Views) -> DataFrame:
     return C.vetoed(v.box, v.box.filter("score <= 0.5"))
 
 
-@query("WITH c AS (SELECT DISTINCT image_id, row, col, x, r, g, b FROM v_cell) SELECT image_id, row, col, x, min((c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b)) AS distance, (min({'d': (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b), 'k': p.code})).k AS code FROM c, v_palette p GROUP BY image_id, row, col, x, c.r, c.g, c.b")
+@query("WITH c AS (SELECT DISTINCT r, g, b FROM v_cell), n AS (SELECT c.r, c.g, c.b, min({'d': (c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b), 'k': p.code}) AS best FROM c, v_palette p GROUP BY 1, 2, 3) SELECT image_id, row, col, x, n.best.d AS distance, n.best.k AS code FROM v_cell v JOIN n ON n.r = v.r AND n.g = v.g AND n.b = v.b")
 def nearest_colours(v: Views) -> DataFrame:
     return C.nearest_colours(v.cell, v.palette)
 
@@ -89,10 +110,10 @@ def nearest_colours(v: Views) -> DataFrame:
 _SWATCH = "SELECT r * 7 % 256 AS r, g, b * 31 % 256 AS b, min(code) AS swatch FROM v_palette GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT c.image_id, CASE WHEN s.swatch IS NOT NULL THEN s.swatch WHEN greatest(abs(c.r - 128), abs(c.g - 130), abs(c.b - 62)) <= 60 THEN 'blank' ELSE 'unknown' END AS kind FROM v_cell c LEFT JOIN ({_SWATCH}) s ON s.r = c.r AND s.g = c.g AND s.b = c.b")
+@query(f"SELECT c.image_id, CASE WHEN s.swatch IS NOT NULL THEN s.swatch WHEN greatest(abs(c.r - 128), abs(c.g - 130), abs(c.b - 62)) <= 60 OR greatest(abs(c.r - 140), abs(c.g - 120), abs(c.b - 70)) <= 60 THEN 'blank' ELSE 'unknown' END AS kind FROM v_cell c LEFT JOIN ({_SWATCH}) s ON s.r = c.r AND s.g = c.g AND s.b = c.b")
 def exact_colours(v: Views) -> DataFrame:
     swatches = v.palette.selectExpr("code", "r * 7 % 256 as r", "g", "b * 31 % 256 as b")
-    ground = v.spark.range(1).selectExpr("128 as r", "130 as g", "62 as b")
+    ground = v.spark.createDataFrame([(128, 130, 62), (140, 120, 70)], "r int, g int, b int")
     return C.exact_colours(v.cell, swatches, ground, 60)
 
 
@@ -175,9 +196,52 @@ def brand_conflicts(v: Views) -> DataFrame:
     return C.brand_conflicts(v.box.selectExpr("image_id", "case when code like 'A%' and id % 3 = 0 then 'HAMA' else 'MARD' end as brand", "case when id % 4 = 0 then case when qty % 9 = 0 then '96' else '221' end end as palette"))
 
 
-@query("SELECT a.image_id, a.id, min(b.id) AS number_id FROM v_box a JOIN v_box b ON a.image_id = b.image_id AND a.id <> b.id AND b.x - a.x - a.w >= 0 AND (b.x - a.x - a.w) * 2 <= a.h * 3 AND abs(b.y - a.y) * 10 < a.h * 3 AND b.h * 10 >= a.h * 6 AND b.h * 2 <= a.h * 3 GROUP BY 1, 2")
+@query("SELECT a.image_id, a.id, arg_min(b.id, (b.x - a.x - a.w) * 1000 + b.id) AS number_id FROM v_place a JOIN v_place b ON a.image_id = b.image_id AND a.id <> b.id AND b.x - a.x - a.w >= 0 AND (b.x - a.x - a.w) * 2 <= a.h * 3 AND abs(b.y - a.y) * 10 < a.h * 3 AND b.h * 10 >= a.h * 6 AND b.h * 2 <= a.h * 3 GROUP BY 1, 2")
 def adjacent_numbers(v: Views) -> DataFrame:
-    return C.adjacent_numbers(v.box, v.box)
+    return C.adjacent_numbers(v.place, v.place)
+
+
+_PROOF = "SELECT c.image_id, c.code, s.source, 'count-conflict' AS reason, c.code || ': ' || c.legend_qty || ' / ' || c.grid_qty AS raw, s.x, s.y FROM ({both}) c JOIN ({side}) s ON s.image_id = c.image_id AND s.code = c.code"
+_CONFLICTS = f"SELECT coalesce(l.image_id, g.image_id) AS image_id, coalesce(l.code, g.code) AS code, coalesce(l.qty, 0) AS legend_qty, coalesce(g.qty, 0) AS grid_qty FROM ({_LEG}) l FULL JOIN ({_GRD}) g ON g.image_id = l.image_id AND g.code = l.code WHERE coalesce(l.qty, 0) <> coalesce(g.qty, 0)"
+
+
+@query(_PROOF.format(both=_CONFLICTS, side="SELECT image_id, code, 'legend' AS source, arg_min(x, id) AS x, arg_min(y, id) AS y FROM v_box GROUP BY 1, 2") + " UNION ALL " + _PROOF.format(both=_CONFLICTS, side="SELECT image_id, code, 'grid' AS source, x, y FROM (SELECT image_id, text AS code, x, y, row_number() OVER (PARTITION BY image_id, text ORDER BY row, col, x, y) AS k FROM v_cell) WHERE k = 1"))
+def conflict_doubts(v: Views) -> DataFrame:
+    return C.conflict_doubts(_legend(v), _grid(v), v.box, v.cell)
+
+
+def _brands(v: Views) -> DataFrame:
+    return C.brand_conflicts(v.box.selectExpr("image_id", "case when code like 'A%' and id % 3 = 0 then 'HAMA' else 'MARD' end as brand", "case when id % 4 = 0 then case when qty % 9 = 0 then '96' else '221' end end as palette"))
+
+
+_ODD = f"SELECT image_id FROM ({_MARKS}) GROUP BY 1 HAVING count(DISTINCT brand) > 1 OR count(CASE WHEN brand <> 'MARD' OR palette <> '221' THEN 1 END) > 0"
+
+
+@query(f"SELECT pattern_id AS image_id, CASE WHEN pattern_id IN ({_ODD}) THEN 'failed' ELSE 'ready' END AS status, CASE WHEN pattern_id NOT IN ({_ODD}) THEN 'legend' END AS source FROM v_pattern")
+def quarantined_results(v: Views) -> DataFrame:
+    results = v.pattern.selectExpr("pattern_id as image_id", "'ready' as status", "'legend' as source")
+    return C.quarantine(_legend(v), results, _brands(v))[0]
+
+
+@query(f"SELECT image_id, code, 'source-conflict' AS reason, code || ' / ' || qty AS raw FROM ({_LEG}) WHERE image_id IN ({_ODD})")
+def quarantine_doubts(v: Views) -> DataFrame:
+    return C.quarantine(_legend(v), v.pattern.selectExpr("pattern_id as image_id", "'ready' as status", "'legend' as source"), _brands(v))[2]
+
+
+@query("SELECT image_id, id, code, NULL AS row, 'legend' AS origin FROM v_box UNION ALL SELECT image_id, NULL, text, row, 'grid' FROM v_cell WHERE NOT blank")
+def merged_evidence(v: Views) -> DataFrame:
+    return C.merged_evidence(v.box.select("image_id", "id", "code"), v.cell.filter("not blank").select("image_id", F.col("text").alias("code"), "row"))
+
+
+@query("SELECT image_id, id, kind FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'legend' WHEN 1 THEN 'cell' ELSE 'brand' END AS kind FROM v_box) WHERE (kind = 'legend' AND score > 0.35) OR (kind = 'cell' AND score > 0.6) OR (kind = 'brand' AND score >= 0.65)")
+def confident_readings(v: Views) -> DataFrame:
+    return C.confident(v.box.selectExpr("image_id", "id", "score", "element_at(array('legend', 'cell', 'brand'), int(id % 3 + 1)) as kind"), "kind").select("image_id", "id", "kind")
+
+
+@query("SELECT pattern_id AS sample, 'dev' AS split FROM v_pattern WHERE NOT archived AND name <> 'chart 1'")
+def counted_samples(v: Views) -> DataFrame:
+    samples = v.pattern.selectExpr("name as sample", "case when archived then 'acceptance' else 'dev' end as split", "pattern_id")
+    return C.split_samples(samples, "dev", ("chart 1",)).select(F.col("pattern_id").alias("sample"), "split")
 
 
 @query("WITH o AS (SELECT image_id, block_id, max(CASE WHEN status <> 'system' THEN 1 ELSE 0 END) AS ok, max(length(payload)) AS cells FROM v_block GROUP BY 1, 2) SELECT image_id, count(CASE WHEN ok = 1 THEN 1 END) AS read_blocks, count(*) AS blocks, CAST(coalesce(sum(CASE WHEN ok = 0 THEN cells END), 0) AS BIGINT) AS unread_cells FROM o GROUP BY 1")
@@ -225,9 +289,9 @@ def union_boxes(v: Views) -> DataFrame:
     return C.group_boxes(v.box, ["image_id", "code"])
 
 
-@query("SELECT pattern_id AS image_id, CASE WHEN pattern_id % 3 = 0 THEN 'assisted' ELSE 'legend' END AS source, CASE WHEN pattern_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS original_status, false AS modified, false AS risk_acknowledged, pattern_id % 3 = 0 AS has_risk FROM v_pattern")
+@query("SELECT pattern_id AS image_id, CASE WHEN pattern_id % 3 = 0 THEN 'assisted' ELSE 'legend' END AS source, CASE WHEN pattern_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS original_status, false AS modified, false AS risk_acknowledged, pattern_id % 3 = 0 OR NOT archived AS has_risk FROM v_pattern")
 def adopted_results(v: Views) -> DataFrame:
-    return C.adopted(v.pattern.selectExpr("pattern_id as image_id", "case when pattern_id % 3 <> 0 then 'legend' end as source", "case when pattern_id % 3 = 0 then 'failed' else 'ready' end as status"))
+    return C.adopted(v.pattern.selectExpr("pattern_id as image_id", "case when pattern_id % 3 <> 0 then 'legend' end as source", "case when pattern_id % 3 = 0 then 'failed' else 'ready' end as status", "array(named_struct('id', 1, 'resolved', true), named_struct('id', 2, 'resolved', archived)) as risks"))
 
 
 @query("SELECT l.conv_id AS image_id, l.turn AS block_id FROM conversations l WHERE l.conv_id % 2 = 0 AND l.turn % 3 = 0")

@@ -92,6 +92,16 @@ class Views:
         rows = self.table("lineitem").withColumn("id", F.row_number().over(order).cast("long"))
         return rows.selectExpr("l_orderkey as image_id", "id", "l_partkey % 200 as x", "l_suppkey % 50 as y", "10 + cast(l_linenumber as bigint) * 3 as w", "8 + cast(l_linenumber as bigint) % 5 as h", f"{CODE.format(p='l_partkey')} as code", "cast(floor(l_quantity) as bigint) as qty", "cast(l_discount as double) * 10 as score")
 
+    @cached_property
+    def place(self) -> DataFrame:
+        """Boxes of whole charts that stand close to each other: one chart a customer and status, few codes."""
+        order = W.partitionBy("o_custkey", "o_orderstatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        rows = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("id", F.row_number().over(order).cast("long"))
+        return rows.selectExpr(
+            "o_custkey * 3 + case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end as image_id", "id", "l_partkey % 40 as x", "l_suppkey % 20 as y", "10 + cast(l_linenumber as bigint) * 3 as w", "8 + cast(l_linenumber as bigint) % 5 as h",
+            "concat('A', 1 + l_partkey % 7) as code", "cast(floor(l_quantity) as bigint) % 4 as qty", "cast(l_discount as double) * 10 as score",
+        )
+
     @cached_property
     def block(self) -> DataFrame:
         return self.table("conversations").selectExpr("conv_id as image_id", "cast(turn as bigint) as block_id", "role as status", "text as payload")
@@ -129,6 +139,7 @@ SQL = {
     "v_title": "SELECT pattern_id, CAST(sum(qty) + pattern_id % 3 - 1 AS BIGINT) AS title_total, pattern_id % 2 = 0 AS ack FROM v_usage GROUP BY pattern_id",
     "v_cell": f"SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS row, l_suppkey % 40 AS col, {_CODE.format(p='l_partkey')} AS text, l_partkey * 7 % 256 AS r, l_suppkey * 5 % 256 AS g, CAST(l_linenumber AS BIGINT) * 31 % 256 AS b, CAST(l_discount AS DOUBLE) * 10 AS score, l_tax = 0 AS blank, l_partkey % 200 AS x, l_suppkey % 50 AS y FROM lineitem",
     "v_box": f"SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_partkey % 200 AS x, l_suppkey % 50 AS y, 10 + CAST(l_linenumber AS BIGINT) * 3 AS w, 8 + CAST(l_linenumber AS BIGINT) % 5 AS h, {_CODE.format(p='l_partkey')} AS code, CAST(floor(l_quantity) AS BIGINT) AS qty, CAST(l_discount AS DOUBLE) * 10 AS score FROM lineitem",
+    "v_place": "SELECT o_custkey * 3 + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS image_id, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_partkey % 40 AS x, l_suppkey % 20 AS y, 10 + CAST(l_linenumber AS BIGINT) * 3 AS w, 8 + CAST(l_linenumber AS BIGINT) % 5 AS h, 'A' || (1 + l_partkey % 7) AS code, CAST(floor(l_quantity) AS BIGINT) % 4 AS qty, CAST(l_discount AS DOUBLE) * 10 AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "v_block": "SELECT conv_id AS image_id, CAST(turn AS BIGINT) AS block_id, role AS status, text AS payload FROM conversations",
     "v_glyph": "SELECT vec_id, label, embedding FROM embeddings",
     "v_event": "SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS pos, value, event_type, event_id FROM events",
@@ -151,4 +162,6 @@ def with_views(sql: str) -> str:
     if not listed:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {listed}, {body[15:]}"
     return f"WITH {listed}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {listed} {body}"
