@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.glyphs import template_score
 
-#: Templates are a reference set; a larger one isn't compared by broadcast.
-MOST_TEMPLATES = 200_000
+def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 512) -> DataFrame:
+    """Each glyph's best error for each label (J19): the glyphs against all templates but themselves.
 
-
-def template_distances(glyphs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Each glyph's best error for each label (J19).  The template set's size is checked before it is broadcast."""
-    if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
-        raise ValueError("too many templates to compare every glyph with; cluster them first")
-    t = F.broadcast(templates.select(F.col("vec_id").alias("t_id"), F.col("label").alias("t_label"), F.col("embedding").alias("t_embedding")))
-    score = F.round(template_score(F.col("embedding"), F.col("t_embedding")), 9)
-    return glyphs.join(t, F.col("vec_id") != F.col("t_id")).groupBy("vec_id", F.col("t_label").alias("label")).agg(F.min(score).alias("error"))
+    Both sides are dealt into blocks of about ``block`` rows; each pair of blocks is a group of
+    bounded size and yields a minimum a glyph and label, so no side is broadcast or gathered.
+    """
+    left, right = -(-glyphs.count() // block) or 1, -(-templates.count() // block) or 1
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "label", "embedding")
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"vec_id": [], "label": [], "error": []})
+        x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
+        labels, at = np.unique(b["label"].to_numpy(), return_inverse=True)
+        out = []
+        for vec, row in zip(a["vec_id"], x):
+            error = np.abs(y - row).mean(1).round(9)
+            error[b["vec_id"].to_numpy() == vec] = np.inf
+            best = np.full(len(labels), np.inf)
+            np.minimum.at(best, at, error)
+            out.append(pd.DataFrame({"vec_id": vec, "label": labels, "error": best})[np.isfinite(best)])
+        return pd.concat(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in templates.schema}
+    pairs = dealt(glyphs, "i", left, "j", right).groupBy("i", "j").cogroup(dealt(templates, "j", right, "i", left).select("i", "j", "vec_id", "label", "embedding").groupBy("i", "j"))
+    found = pairs.applyInPandas(nearest, f"vec_id {kinds['vec_id']}, label {kinds['label']}, error double")
+    return found.groupBy("vec_id", "label").agg(F.min("error").alias("error"))
 
 
 def best_readings(distances: DataFrame, most: float = 0.36, margin: float = 0.04) -> DataFrame:
@@ -54,22 +74,55 @@ def nearest(distances: DataFrame, k: int = 25, most: float = 40.0) -> DataFrame:
     return distances.filter(F.col("distance") <= most).withColumn("place", place.cast("long")).filter(F.col("place") <= k)
 
 
-def leave_one_out(distances: DataFrame, glyphs: DataFrame, least: float = 0.9) -> DataFrame:
-    """Accuracy of nearest-template labels by true label, and whether it suffices."""
-    best = best_readings(distances).select("vec_id", F.col("label").alias("guess"))
-    return glyphs.join(best, "vec_id").groupBy("label").agg(F.round(F.avg((F.col("label") == F.col("guess")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n")).withColumn("enough", F.col("accuracy") >= least)
+def anchors(references: DataFrame, least: int = 3, labels: int = 6) -> DataFrame:
+    """Reference glyphs near their label's others in an image: median distance up to the 60th percentile, or .06.
+
+    A label needs ``least`` references before and after, an image ``labels`` such labels.
+    References of a label are compared inside their image (a frame has few numbers).
+    """
+    some = references.join(references.groupBy("image_id", "label").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least), ["image_id", "label"], "left_semi")
+    a, b = some.alias("a"), some.alias("b")
+    d = F.round(template_score(F.col("a.embedding"), F.col("b.embedding")), 9)
+    same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id"))
+    # the distance to itself counts as infinite, so the median of n - 1 others is that of n values
+    each = a.join(b, same).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.label").alias("label"), F.col("a.vec_id").alias("vec_id")).agg(F.round(_median_with_infinity(F.array_sort(F.collect_list(d))), 6).alias("distance"))
+    limits = each.groupBy("image_id", "label").agg(F.round(F.greatest(F.percentile("distance", F.lit(0.6)), F.lit(0.06)), 6).alias("limit"))
+    kept = each.join(limits, ["image_id", "label"]).filter(F.col("distance") <= F.col("limit"))
+    enough = kept.groupBy("image_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    images = enough.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") >= labels)
+    return kept.join(enough, ["image_id", "label"], "left_semi").join(images, "image_id", "left_semi").select("image_id", "label", "vec_id", "distance")
+
+
+def _median_with_infinity(others: Column) -> Column:
+    """The median of sorted values and infinity."""
+    n = F.size(others) + 1
+    high = F.get(others, F.floor(n / 2).cast("int"))
+    return F.when(n % 2 == 1, high).otherwise((F.get(others, F.floor(n / 2).cast("int") - 1) + high) / 2)
+
+
+def leave_one_out(kept: DataFrame, references: DataFrame, least: float = 0.9) -> DataFrame:
+    """Per image: how many anchors are nearest to another one of their own label, of all labels together, and whether it suffices."""
+    rows = kept.select("image_id", "vec_id", "label").join(references.select("image_id", "vec_id", "embedding"), ["image_id", "vec_id"])
+    a, b = rows.alias("a"), rows.alias("b")
+    d = F.round(template_score(F.col("a.embedding"), F.col("b.embedding")), 9)
+    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.vec_id") != F.col("b.vec_id")))
+    best = pairs.groupBy(F.col("a.image_id").alias("image_id"), F.col("a.vec_id").alias("vec_id"), F.col("a.label").alias("label")).agg(F.min(F.struct(d.alias("d"), F.col("b.label").alias("label"))).alias("best"))
+    return best.groupBy("image_id").agg(F.round(F.avg((F.col("best.label") == F.col("label")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n")).withColumn("enough", F.col("accuracy") >= least)
 
 
-def anchors(references: DataFrame, least: int = 3) -> DataFrame:
-    """Reference glyphs near their label's others: median distance up to the 60th percentile.
+def font_corrections(errors: DataFrame, examples: int = 3, most: float = 0.16, margin: float = 0.025) -> DataFrame:
+    """The letter that a character is corrected to by its image's own font.
 
-    References of a label are compared with each other; a label's set is bounded by the caller.
+    ``errors``: vec_id, char, label, error of each example.  A label counts with ``examples``
+    examples or more, by the mean of that many best errors; the best one must be near enough
+    and lead the runner-up.
     """
-    a, b = references.alias("a"), references.alias("b")
-    d = F.round(template_score(F.col("a.embedding"), F.col("b.embedding")), 9)
-    each = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id"))).groupBy(F.col("a.label").alias("label"), F.col("a.vec_id").alias("vec_id")).agg(F.round(F.median(d), 6).alias("distance"))
-    limits = each.groupBy("label").agg(F.round(F.greatest(F.percentile("distance", F.lit(0.6)), F.lit(0.06)), 6).alias("limit"), F.count("*").alias("n"))
-    return each.join(limits, "label").filter((F.col("distance") <= F.col("limit")) & (F.col("n") >= least)).select("label", "vec_id", "distance")
+    place = F.row_number().over(W.partitionBy("vec_id", "label").orderBy("error"))
+    means = errors.withColumn("_k", place).filter(F.col("_k") <= examples).groupBy("vec_id", "char", "label").agg(F.round(F.avg("error"), 9).alias("error"), F.count("*").alias("_n")).filter(F.col("_n") == examples)
+    order = W.partitionBy("vec_id").orderBy("error", "label")
+    first = means.withColumns({"_k": F.row_number().over(order), "next_error": F.lead("error").over(order)}).filter("_k = 1")
+    good = (F.col("error") <= most) & (F.round(F.col("next_error") - F.col("error"), 9) >= margin)
+    return first.filter(good & (F.col("label") != F.col("char"))).select("vec_id", F.col("char").alias("old"), F.col("label").alias("new"), "error", "next_error")
 
 
 def mean_masks(glyphs: DataFrame) -> DataFrame:
@@ -78,6 +131,15 @@ def mean_masks(glyphs: DataFrame) -> DataFrame:
     return each.groupBy("label", "at").agg(F.round(F.avg(F.col("value").cast("double")), 5).alias("mean"), F.round(F.median(F.col("value").cast("double")), 5).alias("median"))
 
 
+def agreed_words(averages: DataFrame, votes: DataFrame, allowed: DataFrame, least: int = 2) -> DataFrame:
+    """Words that the mean and the median mask of a field both spell, with ``least`` votes, if allowed (A15): field, word.
+
+    ``averages``: field, by (mean or median), word; ``allowed`` is the catalogue.
+    """
+    both = averages.groupBy("field").agg(F.count("*").alias("_n"), F.count_distinct("word").alias("_words"), F.min("word").alias("word")).filter("_n = 2 and _words = 1")
+    return both.join(votes.filter(F.col("n") >= least).select("field", "word"), ["field", "word"], "left_semi").join(F.broadcast(allowed.select("word")), "word", "left_semi").select("field", "word")
+
+
 def islands(events: DataFrame, gap: int) -> DataFrame:
     """Positions grouped where the step exceeds ``gap``: bounds, size, mean."""
     order = W.partitionBy("key").orderBy("pos", "event_id")
@@ -86,16 +148,49 @@ def islands(events: DataFrame, gap: int) -> DataFrame:
     return numbered.groupBy("key", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("weight"))
 
 
-def lattice(points: DataFrame, most: int = 350) -> DataFrame:
-    """Step and offset of a one-dimensional lattice: least squares of position on rank where the fit is good.
+#: Fewest and most peaks of an axis, and the smallest step.
+LEAST_POINTS, MOST_POINTS, LEAST_STEP = 6, 350, 6
+
 
-    Keys with more than ``most`` points are left out as rejections, as they are in the contract (O7).
+def fitted(points: np.ndarray, length: float) -> tuple[float, float, float, float] | None:
+    """Start, end, step and share of inliers of the lattice that most points lie on; None without one."""
+    differences = np.diff(points)
+    steps = np.unique(np.round(np.concatenate([differences / k for k in (1, 2, 3, 4)]), 1))
+    best = None
+    for step in steps[(steps >= LEAST_STEP) & (steps < length / 4)]:
+        off = np.abs((points[None, :] - points[:, None] + step / 2) % step - step / 2) < max(1.8, step * 0.04)
+        share = off.mean(1)
+        at = int(share.argmax())  # the first of equal phases
+        if share[at] >= 0.8 and (best is None or share[at] * step**0.5 > best[0]):
+            best = (share[at] * step**0.5, step, points[at], off[at])
+    if best is None:
+        return None
+    _, step, phase, use = best
+    index = np.rint((points[use] - phase) / step)
+    step, phase = np.polyfit(index, points[use], 1)
+    return float(phase + index.min() * step), float(phase + index.max() * step), float(step), float(use.mean())
+
+
+def lattice(points: DataFrame) -> DataFrame:
+    """The one-dimensional lattice of each key's points (A22): candidate steps are differences over 1 to 4, phases are
+    points; the best has four fifths of the points near it, and least squares on their index gives step and offset.
+
+    ``points``: key, pos, length (of the axis).  One row a key: ``points``, ``state`` (fitted,
+    no-lattice, too-few, or too-many: rejected before it is gathered), ``start``, ``end``, ``step``, ``share``.
     """
-    place = F.row_number().over(W.partitionBy("key").orderBy("pos", "event_id")) - 1
-    ranked = points.withColumn("i", place)
-    start = ranked.groupBy("key").agg(F.min("pos").alias("base"), F.count("*").alias("n")).filter(F.col("n").between(3, most))
-    rows = ranked.join(start, "key").withColumn("p", (F.col("pos") - F.col("base")).cast("double"))
-    return rows.groupBy("key").agg(F.round(F.regr_slope("p", "i"), 3).alias("step"), F.round(F.regr_intercept("p", "i"), 3).alias("offset"), F.count("*").alias("points"))
+    counts = points.groupBy("key").agg(F.count("*").alias("points"), F.max("length").cast("double").alias("length"))
+    size = F.when(F.col("points") > MOST_POINTS, "too-many").when(F.col("points") < LEAST_POINTS, "too-few")
+    sized = counts.withColumn("_size", size)
+    gathered = points.join(sized.filter("_size is null").select("key", "length"), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.col("pos").cast("double"))).alias("_all"))
+
+    @F.pandas_udf("start double, end double, step double, share double")
+    def fit(every: pd.Series, length: pd.Series) -> pd.DataFrame:
+        found = [fitted(np.asarray(x, float), n) if x is not None else None for x, n in zip(every, length)]
+        return pd.DataFrame([x or (None,) * 4 for x in found], columns=["start", "end", "step", "share"], dtype="float64")
+
+    rows = sized.join(gathered, "key", "left").withColumn("_fit", fit("_all", "length"))
+    state = F.coalesce("_size", F.when(F.col("_fit.step").isNull(), "no-lattice").otherwise("fitted"))
+    return rows.select("key", "points", state.alias("state"), *[F.round(F.col("_fit").getField(c), 3).alias(c) for c in ("start", "end", "step", "share")])
 
 
 def candidate_steps(points: DataFrame) -> DataFrame:
@@ -123,12 +218,24 @@ def shared_votes(readings: DataFrame, least: int = 5, lead: int = 2, percent: in
 
 
 def window_votes(readings: DataFrame) -> DataFrame:
-    """Text with the largest sum of scores of each field, and its number of agreeing windows."""
+    """Text with the largest sum of scores of each field, and its number of agreeing windows."""
     each = readings.groupBy("field", "word").agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("windows"))
     place = F.row_number().over(W.partitionBy("field").orderBy(F.desc("score"), "word"))
     return each.withColumn("place", place).filter("place = 1").select("field", "word", "score", "windows", (F.col("windows") >= 2).alias("agreed"))
 
 
+def best_variants(variants: DataFrame) -> DataFrame:
+    """The variant of each field with the best coverage^.15 * score * (1 + .1 * sum of the scores that agree with it).
+
+    ``variants``: field, id, decoded (null if it has no reading), score, coverage, tiny (agreement doesn't count then).
+    """
+    agreed = F.sum("score").over(W.partitionBy("field", "decoded"))
+    consensus = F.when(F.col("decoded").isNull() | F.col("tiny"), F.lit(0.0)).otherwise(agreed)
+    value = F.round(F.pow(F.col("coverage"), F.lit(0.15)) * F.col("score") * (1 + consensus * 0.1), 9)
+    place = F.row_number().over(W.partitionBy("field").orderBy(F.desc("value"), "id"))
+    return variants.withColumn("value", value).withColumn("_k", place).filter("_k = 1").select("field", "id", "decoded", "value")
+
+
 def ambiguous_fields(readings: DataFrame, least: float = 0.8) -> DataFrame:
     """Fields with more than one confident reading."""
     return readings.filter(F.col("score") > least).groupBy("field").agg(F.count_distinct("word").alias("readings")).filter("readings > 1")
@@ -155,9 +262,44 @@ def run_times(runs: DataFrame) -> DataFrame:
     return runs.groupBy("key", "version").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.max("value"), 6).alias("peak"), F.count("*").alias("n"))
 
 
-def arbitrated(readings: DataFrame, anchors_best: DataFrame, most: float = 0.16, margin: float = 0.02) -> DataFrame:
-    """Weak readings replaced where an anchor is near enough and leads (R12, R14): old, new, whether it changed."""
-    a = anchors_best.select("vec_id", F.col("label").alias("anchor"), F.col("error").alias("anchor_error"), F.col("margin").alias("anchor_margin"))
-    good = (F.col("anchor_error") <= most) & (F.col("anchor_margin") >= margin)
-    rows = readings.join(a, "vec_id", "left")
-    return rows.select("vec_id", F.col("label").alias("old"), F.when(~F.col("reliable") & F.coalesce(good, F.lit(False)), F.col("anchor")).otherwise(F.col("label")).alias("new"))
+def arbitrated(readings: DataFrame, errors: DataFrame, weak: float = 0.9, digit: tuple[float, float] = (0.12, 0.03), other: tuple[float, float] = (0.16, 0.02)) -> DataFrame:
+    """Digits replaced by their image's anchors, and what was changed (R12): field, pos, old, new, changed.
+
+    ``readings``: field, pos, char, score; ``errors``: field, pos, label, error by anchor label.
+    Digits read with score ``weak`` or more stay; a digit needs an error up to ``digit[0]`` and
+    a margin of ``digit[1]``, another character those of ``other``.  A field that would not be
+    all digits afterwards keeps what was read.
+    """
+    order = W.partitionBy("field", "pos").orderBy("error", "label")
+    best = errors.withColumns({"_k": F.row_number().over(order), "_next": F.lead("error").over(order)}).filter("_k = 1").select("field", "pos", "label", "error", F.round(F.col("_next") - F.col("error"), 9).alias("margin"))
+    rows = readings.join(best, ["field", "pos"], "left")
+    is_digit = F.col("char").rlike("^[0-9]$")
+    near = lambda gates: (F.col("error") <= gates[0]) & (F.col("margin") >= gates[1])
+    good = F.coalesce(F.when(is_digit, (F.col("score") < weak) & near(digit)).otherwise(near(other)), F.lit(False))
+    proposed = rows.withColumn("_new", F.when(good, F.col("label")).otherwise(F.col("char")))
+    decodes = proposed.groupBy("field").agg(F.bool_and(F.col("_new").rlike("^[0-9]$")).alias("_whole"))
+    new = F.when(F.col("_whole"), F.col("_new")).otherwise(F.col("char"))
+    return proposed.join(decodes, "field").select("field", "pos", F.col("char").alias("old"), new.alias("new"), (new != F.col("char")).alias("changed"))
+
+
+def repaired_prefixes(items: DataFrame, letters: DataFrame, variants: DataFrame, votes: DataFrame, allowed: DataFrame, most: float = 0.18, margin: float = 0.025) -> DataFrame:
+    """Codes whose first letter is replaced by the nearest anchor letter (R14): field, old, new.
+
+    ``items``: field, code; ``letters``: field, letter, error; ``variants``: field, word, score;
+    ``votes``: field, word, n.  The letter must be near and lead; then the repaired code must be
+    allowed and a variant over .3; else, if the old one isn't allowed, the allowed word of that
+    letter with most votes, two at least, counts (ties by word).  ``allowed`` is the catalogue.
+    """
+    order = W.partitionBy("field").orderBy("error", "letter")
+    best = letters.withColumns({"_k": F.row_number().over(order), "_next": F.lead("error").over(order)}).filter("_k = 1")
+    best = best.filter((F.col("error") <= most) & F.coalesce(F.round(F.col("_next") - F.col("error"), 9) >= margin, F.lit(True))).select("field", "letter")
+    known = F.broadcast(allowed.select(F.col("word").alias("_word"), F.lit(True).alias("_known")))  # catalogue codes
+    rows = items.join(best, "field").withColumn("word", F.concat("letter", F.substring("code", 2, 20)))
+    rows = rows.join(known, F.col("word") == F.col("_word"), "left").drop("_word").withColumnRenamed("_known", "_fits")
+    rows = rows.join(known, F.col("code") == F.col("_word"), "left").drop("_word").withColumnRenamed("_known", "_was")
+    supported = variants.filter("score > 0.3").select("field", "word", F.lit(True).alias("_supported")).distinct()
+    valid = votes.join(known, F.col("word") == F.col("_word")).select("field", F.substring("word", 1, 1).alias("letter"), "word", "n")
+    top = valid.groupBy("field", "letter").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("_top"))
+    rows = rows.join(supported, ["field", "word"], "left").join(top, ["field", "letter"], "left")
+    repaired = F.when(F.col("_fits") & F.col("_supported"), F.col("word")).when(F.col("_was").isNull() & (F.col("_top.n") <= -2), F.col("_top.word"))
+    return rows.withColumn("new", repaired).filter("new is not null").select("field", F.col("code").alias("old"), "new")

@@ -114,6 +114,12 @@ class Views:
     def event(self) -> DataFrame:
         return self.table("events").selectExpr("user_id as key", "unix_seconds(cast(ts as timestamp)) as pos", "value", "event_type", "event_id")
 
+    @cached_property
+    def peak(self) -> DataFrame:
+        """Line positions on an axis a part: a lattice of 20 with gaps, a jitter of one and some strays."""
+        rows = self.table("lineitem").selectExpr("l_partkey as key", "(l_suppkey % 40) * 20 + cast(l_linenumber as bigint) % 2 + case when l_discount = 0 then 9 else 0 end as pos")
+        return rows.distinct().withColumn("length", F.lit(800))
+
     @cached_property
     def expected(self) -> DataFrame:
         """Reference counts: usage shifted by rule, some rows left out."""
