@@ -124,7 +124,9 @@ def prefixes(rows: DataFrame, width: int, least: float, frequent: tuple[np.ndarr
 def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """``set_id`` and ``members`` of the sets that ``wanted`` (a ``set_id`` column) names, and of a few others.
 
-    Members are hashed again: writing all sets would take more room than the texts.
+    Members are hashed again: writing all sets would take more room than the texts.  Here
+    they are the low 32 bits of their hashes, for room as well: of two sets of n members n² in
+    2^32 or so look common by chance, which moves a similarity by n in 2^32.
     The filter has a fixed size, whatever the input.
     """
     bit = F.pmod(F.xxhash64("set_id"), F.lit(WORDS * 64))
@@ -135,16 +137,16 @@ def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
             sets = [shingle_set(t, width) for t in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists(sets)], names=["set_id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), _lists([np.unique(s.astype(np.int32)) for s in sets])], names=["set_id", "members"])
 
     def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             at, low = part.column(1).to_numpy(), part.column(2).to_numpy()
             yield part.filter(pa.array((filled[at] >> low) & 1 == 1))
 
-    made = rows.select("text").mapInArrow(run, "set_id bigint, members array<bigint>")
+    made = rows.select("text").mapInArrow(run, "set_id bigint, members array<int>")
     placed = made.select("set_id", (bit / 64).cast("long").alias("w"), F.pmod(F.xxhash64("set_id"), F.lit(64)).alias("low"), "members")
-    return placed.mapInArrow(chosen, "set_id bigint, w bigint, low bigint, members array<bigint>").select("set_id", "members").dropDuplicates(["set_id"])
+    return placed.mapInArrow(chosen, "set_id bigint, w bigint, low bigint, members array<int>").select("set_id", "members").dropDuplicates(["set_id"])
 
 
 def _possible(least: float) -> Column:
@@ -170,6 +172,7 @@ def _settled(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     ra, rb = (first.select(F.col("b").alias(s), F.col("a").alias(f"r{s}")) for s in "ab")
     apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
     rest = pairs.join(ra, "a", "left").join(rb, "b", "left").filter(apart).select("a", "b")
+    release(pairs)
     return cut(first.unionByName(_verified(rest, sets, least)))
 
 
