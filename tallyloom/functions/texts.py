@@ -59,9 +59,19 @@ def thumbnail_holds(mime: Column, data: Column) -> Column:
     return mime.startswith("image/") & ~data.startswith("/") & (F.length(data) > 0) & (F.length(data) % 4 == 0) & data.rlike("^[A-Za-z0-9+/]+={0,2}$")
 
 
+#: What an export must not hold, and what a backup is refused for.
+FORBIDDEN = r"originalFullImage|originalImage|/home/|/data/user/|C:\\\\Users"
+REFUSED = r'"originalImage"|keystore|privateKey'
+
+
 def forbidden_content(json: Column) -> Column:
-    """Whether exported text holds device paths, key material or raw images."""
-    return json.rlike(r'(?i)(file://|content://|/storage/emulated/|/data/user/|BEGIN [A-Z ]*PRIVATE KEY|"(imageBytes|original|privateKey)"\s*:)')
+    """Whether exported text holds raw images or device paths."""
+    return json.rlike(FORBIDDEN)
+
+
+def refused_content(json: Column) -> Column:
+    """Whether a backup's text holds raw images or key material."""
+    return json.rlike(REFUSED)
 
 
 def only_keys(json: Column, allowed: list[str]) -> Column:

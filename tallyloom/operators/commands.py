@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import plain_code
-from ..functions.quantities import MAX_QTY, title_blocked
+from ..functions.quantities import MAX_QTY, parse_quantity, title_blocked
+from ..functions.texts import canonical_items, canonical_json, has_risk, payload_key, rejected_items_hold
 
 FIRST, COUNT, RESTOCK, FLAG, MAKE, VOID = "first-entry", "count", "restock", "flag", "make", "void-make"
 
@@ -63,24 +64,49 @@ def committed_moves(lines: DataFrame, results: DataFrame) -> DataFrame:
     return lines.join(ok, ["ledger_id", "request"], "left_semi").filter(meaningful()).select("ledger_id", "request", "code", "qty_before", "qty_after", "delta", "baseline_after")
 
 
+def make_lines(requests: DataFrame, usage: DataFrame, stock: DataFrame) -> DataFrame:
+    """Lines of make requests with what is there (``have``) and what is missing (``gap``)."""
+    have = stock.select("ledger_id", "code", F.col("qty").alias("have"))
+    lines = requests.join(usage, ["pattern_id", "version"], "left").join(have, ["ledger_id", "code"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    return lines.withColumn("gap", F.greatest(F.col("qty") - F.col("have"), F.lit(0)))
+
+
 def make_results(requests: DataFrame, usage: DataFrame, stock: DataFrame) -> DataFrame:
-    """Per make request: ok, unconfirmed, or insufficient with the number of short colours and beads.
+    """Per make request, each by itself against the same stock: ok, unconfirmed, or insufficient with the number of short colours and beads.
 
-    ``requests``: ledger_id, request, pattern_id, version (null if unconfirmed).
+    ``requests``: ledger_id, request, pattern_id, version (null if unconfirmed).  Requests of a
+    ledger don't see each other; :func:`in_round` says which one goes through.
     """
-    have = stock.select("ledger_id", "code", F.col("qty").alias("have"))
-    lines = requests.join(usage, ["pattern_id", "version"], "left").join(have, ["ledger_id", "code"], "left")
-    short = F.greatest(F.col("qty") - F.coalesce("have", F.lit(0)), F.lit(0))
-    found = lines.groupBy("ledger_id", "request", "pattern_id").agg(F.max("version").alias("version"), F.count_if(short > 0).alias("short_colours"), F.coalesce(F.sum(short), F.lit(0)).alias("missing"), F.coalesce(F.sum("qty"), F.lit(0)).alias("demand"))
+    lines = make_lines(requests, usage, stock)
+    found = lines.groupBy("ledger_id", "request", "pattern_id").agg(F.max("version").alias("version"), F.count_if(F.col("gap") > 0).alias("short_colours"), F.coalesce(F.sum("gap"), F.lit(0)).alias("missing"), F.coalesce(F.sum("qty"), F.lit(0)).alias("demand"))
     result = F.when(F.col("version").isNull(), "unconfirmed").when(F.col("short_colours") > 0, "insufficient").otherwise("ok")
     return found.select("ledger_id", "request", "pattern_id", "short_colours", "missing", "demand", result.alias("result"))
 
 
-def void_results(requests: DataFrame, makes: DataFrame) -> DataFrame:
-    """Per void request: the first of a make goes through; then already-voided, or missing-make (C11)."""
+def make_gaps(requests: DataFrame, usage: DataFrame, stock: DataFrame) -> DataFrame:
+    """The full gap list of each make request that is refused for it."""
+    return make_lines(requests, usage, stock).filter("gap > 0").select("ledger_id", "request", "code", F.col("qty").alias("need"), "have", "gap")
+
+
+def in_round(results: DataFrame) -> DataFrame:
+    """The first request of each ledger that is ok: one command a ledger and round changes its stock; the others wait for the next."""
+    return results.filter("result = 'ok'").groupBy("ledger_id").agg(F.min("request").alias("request"))
+
+
+def make_moves(requests: DataFrame, usage: DataFrame, stock: DataFrame) -> DataFrame:
+    """Movements of the makes that go through in this round: every colour of the pattern, or none."""
+    going = in_round(make_results(requests, usage, stock))
+    lines = make_lines(requests, usage, stock).join(going, ["ledger_id", "request"], "left_semi").filter("qty > 0")
+    return lines.select("ledger_id", "request", "code", F.col("have").alias("qty_before"), (F.col("have") - F.col("qty")).alias("qty_after"), (-F.col("qty")).alias("delta"))
+
+
+def void_results(requests: DataFrame, makes: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
+    """Per void request: the first of a make goes through unless a balance would overflow; then already-voided, or missing-make (C11)."""
     nth = F.row_number().over(W.partitionBy("make_id").orderBy("seq"))
-    rows = requests.join(makes.select("make_id", "voided"), "make_id", "left").withColumn("nth", nth)
-    return rows.select("request", "make_id", F.when(F.col("voided").isNull(), "missing-make").when(F.col("voided") | (F.col("nth") > 1), "already-voided").otherwise("ok").alias("result"))
+    back = lines.join(makes.select("make_id", "ledger_id"), "make_id").join(stock.select("ledger_id", "code", F.col("qty").alias("have")), ["ledger_id", "code"], "left")
+    over = back.filter(F.coalesce("have", F.lit(0)) + F.col("qty") > MAX_QTY).select("make_id").distinct().withColumn("over", F.lit(True))
+    rows = requests.join(makes.select("make_id", "voided"), "make_id", "left").join(over, "make_id", "left").withColumn("nth", nth)
+    return rows.select("request", "make_id", F.when(F.col("voided").isNull(), "missing-make").when(F.col("voided") | (F.col("nth") > 1), "already-voided").when(F.col("over"), "invalid-number").otherwise("ok").alias("result"))
 
 
 def void_moves(results: DataFrame, makes: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
@@ -108,23 +134,30 @@ def set_percent(settings: DataFrame, requests: DataFrame) -> DataFrame:
     return settings.join(last, "ledger_id", "full").select("ledger_id", F.coalesce("new", "low_stock_percent").alias("low_stock_percent"), (F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("low_stock_percent"))).alias("changed"))
 
 
-def replace_palette(live: DataFrame, new: DataFrame) -> DataFrame:
-    """The new display palette if its codes are the live ones, else the live one (C4, U1).  221 rows."""
-    missing = live.select("code").exceptAll(new.select("code")).unionAll(new.select("code").exceptAll(live.select("code"))).agg(F.count("*").alias("_odd"))
-    both = live.withColumn("origin", F.lit("live")).unionByName(new.withColumn("origin", F.lit("new")))
-    return both.crossJoin(F.broadcast(missing)).filter((F.col("origin") == "new") == (F.col("_odd") == 0)).drop("_odd", "origin")
+def replace_palette(live: DataFrame, new: DataFrame, key: str = "ledger_id") -> DataFrame:
+    """Each ledger's new display palette if its codes are the live ones, else the live one (C4, U1).  221 rows a ledger."""
+    codes = lambda rows: rows.groupBy(key).agg(F.array_sort(F.collect_set("code")))  # noqa: E731  at most a catalogue
+    fits = codes(live).intersect(codes(new)).select(key)
+    return new.join(fits, key, "left_semi").unionByName(live.join(fits, key, "left_anti"))
 
 
 def create_patterns(manifest: DataFrame) -> DataFrame:
     """Manifest rows as patterns, or rejected with invalid-name or invalid-image."""
-    error = F.when(F.trim("name") == "", "invalid-name").when(~F.col("accepted"), "invalid-image")
+    error = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "invalid-name").when(~F.col("accepted"), "invalid-image")
     return manifest.select("*", F.coalesce(error, F.lit("ok")).alias("result"))
 
 
+def appended_patterns(patterns: DataFrame, created: DataFrame) -> DataFrame:
+    """The pattern table with the created rows that went through: unconfirmed, not archived, names trimmed."""
+    new = created.filter("result = 'ok'").select("pattern_id", "ledger_id", F.lit(None).cast("int").alias("confirmed_version"), F.lit(False).alias("archived"), F.trim("name").alias("name"))
+    return patterns.unionByName(new)
+
+
 def update_meta(patterns: DataFrame, patches: DataFrame) -> DataFrame:
-    """Patterns after patches; what a patch leaves null stays, a blank name is ignored."""
-    new = patches.select("pattern_id", F.nullif(F.trim("name"), F.lit("")).alias("new_name"))
-    return patterns.join(new, "pattern_id", "left").withColumn("name", F.coalesce("new_name", "name")).drop("new_name")
+    """Patterns after patches: what a patch leaves null stays, a blank name is ignored, notes may become blank."""
+    new = patches.select("pattern_id", F.nullif(F.trim("name"), F.lit("")).alias("_name"), *[F.trim(c).alias(f"_{c}") for c in ("source_note", "size_note")])
+    rows = patterns.join(new, "pattern_id", "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("name", "source_note", "size_note")}).drop("_name", "_source_note", "_size_note")
 
 
 def archive_results(patterns: DataFrame, requests: DataFrame) -> DataFrame:
@@ -150,6 +183,42 @@ def confirm_results(lines: DataFrame, titles: DataFrame, palette: DataFrame) ->
     return rows.select("pattern_id", "line_sum", "difference", result.alias("result"))
 
 
+METHODS = ("legend", "grid", "assisted")
+
+
+def confirm(requests: DataFrame, lines: DataFrame, patterns: DataFrame, palette: DataFrame) -> DataFrame:
+    """Confirmations of usage, one a pattern and round, with their result and what a good one writes.
+
+    ``requests``: pattern_id, title_total, ack, rejected (array of raw, qty, note), recognition
+    (struct of source, status, risks array with resolved, acknowledged; null if by hand).
+    Precedence: lines, title, rejected items, recognition, pattern.  Good ones have the next
+    ``version``, ``input_method``, ``title_diff`` and ``title_acknowledged``.
+    """
+    judged = confirm_results(lines, requests.select("pattern_id", "title_total", "ack"), palette).withColumnRenamed("result", "_lines")
+    known = patterns.select("pattern_id", F.coalesce("confirmed_version", F.lit(0)).alias("_version"))
+    r = F.col("recognition")
+    wrong = ~r["source"].isin(*METHODS) | ~r["status"].isin("ready", "partial", "failed") | (has_risk(r["status"], r["risks"]) & ~r["acknowledged"])
+    rows = requests.drop("title_total", "ack").join(judged, "pattern_id", "left").join(known, "pattern_id", "left")
+    result = (
+        F.when(F.col("_lines").isNull(), "no-lines").when(F.col("_lines") != "ok", F.col("_lines")).when(~rejected_items_hold(F.col("rejected")), "invalid-rejected")
+        .when(r.isNotNull() & F.coalesce(wrong, F.lit(True)), "invalid-recognition").when(F.col("_version").isNull(), "missing-pattern").otherwise("ok")
+    )
+    rows = rows.withColumn("result", result)
+    good = F.col("result") == "ok"
+    return rows.select(
+        "pattern_id", "line_sum", "result", F.when(good, F.col("_version") + 1).cast("long").alias("version"), F.when(good, F.coalesce(r["source"], F.lit("manual"))).alias("input_method"),
+        F.when(good, F.col("difference")).alias("title_diff"), F.when(good, F.coalesce(F.col("difference") != 0, F.lit(False))).alias("title_acknowledged"),
+    )
+
+
+def confirmed_tables(results: DataFrame, lines: DataFrame, patterns: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New version lines, patterns that point at their new version, and the drafts that are left (C9): all of a good confirmation or nothing."""
+    good = results.filter("result = 'ok'").select("pattern_id", F.col("version").alias("_new"))
+    usage = lines.join(good, "pattern_id").select("pattern_id", F.col("_new").alias("version"), plain_code(F.col("code")).alias("code"), "qty")
+    moved = patterns.join(good, "pattern_id", "left").withColumn("confirmed_version", F.coalesce("_new", "confirmed_version").cast("long")).drop("_new")
+    return usage, moved, drafts.join(good, "pattern_id", "left_anti")
+
+
 def restore(live: DataFrame, backup: DataFrame, heads: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows and heads after replacing all rows of the accepted ledgers: epoch + 1, the backup's seq."""
     ids = accepted.select("ledger_id")
@@ -158,83 +227,176 @@ def restore(live: DataFrame, backup: DataFrame, heads: DataFrame, accepted: Data
     return rows, moved.select("ledger_id", (F.col("epoch") + F.col("new_seq").isNotNull().cast("long")).alias("epoch"), F.coalesce("new_seq", "seq").alias("seq"))
 
 
+def restored_requests(live: DataFrame, backup: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The journals after a restore: the backup's for the accepted ledgers, each with the restore's own request appended (U4).
+
+    ``accepted``: ledger_id, seq, request_id, exported_at; journals: ledger_id, request_id, payload.
+    """
+    kept = live.join(accepted, "ledger_id", "left_anti").unionByName(backup.join(accepted, "ledger_id", "left_semi"))
+    own = accepted.select("ledger_id", "request_id", canonical_json(kind=F.lit("restore"), seq=F.col("seq"), exportedAt=F.col("exported_at")).alias("payload"))
+    return kept.unionByName(own)
+
+
+def selected_lines(lines: DataFrame) -> DataFrame:
+    """Batch lines that are selected and not locked: a first entry locks colours that are entered (P10)."""
+    return lines.filter(F.col("selected") & ~((F.col("kind") == FIRST) & F.col("entered")))
+
+
+def previews_hold(previews: DataFrame, submitted: DataFrame) -> DataFrame:
+    """Whether what is submitted is what was previewed: equal snapshots of its selected items."""
+    def snapshots(rows: DataFrame, name: str) -> DataFrame:
+        item = F.struct("code", F.col("qty").alias("qty"), F.col("estimated").alias("estimated"))
+        return rows.groupBy("ledger_id", "request_id").agg(payload_key(canonical_items(F.collect_list(item))).alias(name))
+
+    both = snapshots(previews, "_previewed").join(snapshots(submitted, "_submitted"), ["ledger_id", "request_id"], "left")
+    return both.select("ledger_id", "request_id", F.col("_previewed").eqNullSafe(F.col("_submitted")).alias("holds"))
+
+
+def line_errors(lines: DataFrame, palette: DataFrame) -> DataFrame:
+    """Each form line's own error: none for a blank line, then bad-code, repeated-code, or why the quantity is bad.
+
+    ``lines``: form, pos, code and qty as text.
+    """
+    known = F.broadcast(palette.select(F.col("code").alias("_known")))  # the catalogue
+    rows = lines.withColumn("_plain", plain_code(F.col("code"))).join(known, F.col("_plain") == F.col("_known"), "left")
+    often = rows.filter("_known is not null").groupBy("form", "_known").agg(F.count("*").alias("_n"))
+    rows = rows.join(often, ["form", "_known"], "left")
+    blank = (F.trim(F.coalesce("code", F.lit(""))) == "") & (F.coalesce("qty", F.lit("")) == "")
+    error = F.when(blank, None).when(F.col("_known").isNull(), "bad-code").when(F.col("_n") > 1, "repeated-code").otherwise(parse_quantity(F.col("qty"))["reason"])
+    return rows.select("form", "pos", error.alias("error"))
+
+
+def valid_sums(lines: DataFrame) -> DataFrame:
+    """Per form the sum of the quantities that can be read; others count nothing."""
+    return lines.groupBy("form").agg(F.sum(F.coalesce(parse_quantity(F.col("qty"))["value"], F.lit(0))).alias("total"))
+
+
 class Ledger:
-    """State of one ledger while its commands are folded in order: balances by colour and the journal."""
+    """State of one ledger while its commands are folded in order: balances by colour, makes and the journal."""
 
     def __init__(self):
         self.stock: dict[str, list] = {}  # qty, baseline, entered
         self.journal: dict[str, tuple] = {}
-        self.makes: list[list] = []  # code, qty, voided
+        self.makes: dict[str, list] = {}  # lines, voided
         self.seq = 0
 
-    def apply(self, kind: str, code: str | None, qty, request: str, payload: str) -> tuple[str, int | None, int | None]:
-        """Result, balance before and after; a replay repeats the stored result without effect."""
+    def apply(self, kind: str, lines: list, request: str, payload: str, make_id: str | None = None) -> tuple[str, list, list]:
+        """Result, movements (code, before, after) and gaps (code, need, have); a replay repeats the stored result without effect."""
         if request in self.journal:
-            same, stored = self.journal[request][0] == payload, self.journal[request][1]
-            return ("replay", *stored[1:]) if same else ("request-conflict", None, None)
-        out = self._act(kind, code, qty)
-        if out[0] in ("ok", "noop"):
-            self.journal[request] = (payload, out)
-            self.seq += out[0] == "ok"
-        return out
-
-    def _act(self, kind: str, code: str | None, qty) -> tuple[str, int | None, int | None]:
-        if code is None:
-            return "unknown-color", None, None
-        if qty is None or pd.isna(qty) or not 0 <= qty <= MAX_QTY:
-            return "invalid-number", None, None
-        row = self.stock.get(code, [0, None, False])
-        before, qty = row[0], int(qty)
-        if kind == MAKE:
-            if qty > before:
-                return "insufficient", before, before
-            self.makes.append([code, qty, False])
-            row[0] = before - qty
-        elif kind == VOID:
-            done = next((m for m in reversed(self.makes) if m[0] == code and not m[2]), None)
-            if done is None:
-                return "missing-make", None, None
-            if before + done[1] > MAX_QTY:
-                return "invalid-number", None, None
-            done[2] = True
-            row[0] = before + done[1]
-        else:
-            if kind == FIRST and row[2]:
-                return "already-entered", before, before
-            if kind == RESTOCK and qty < before:
-                return "restock-decrease", before, before
-            if kind == FLAG and qty != before:
-                return "flag-qty-changed", before, before
-            baseline = qty if kind == FIRST or (kind == RESTOCK and qty > before) else row[1]
-            if kind != FIRST and (before, row[1]) == (qty, baseline):
-                return "noop", before, before
-            row[0], row[1], row[2] = qty, baseline, row[2] or kind == FIRST or qty != 0
-        self.stock[code] = row
-        return "ok", before, row[0]
-
-
-RESULT = "ledger_id bigint, seq bigint, request_id string, op_type string, code string, result string, qty_before bigint, qty_after bigint, head_seq bigint"
+            same, stored = self.journal[request]
+            return ("replay", stored, []) if same == payload else ("request-conflict", [], [])
+        result, moves, gaps = self._act(kind, lines, make_id or request)
+        if result in ("ok", "noop"):
+            self.journal[request] = (payload, moves)
+            self.seq += result == "ok"
+        return result, moves, gaps
+
+    def _act(self, kind: str, lines: list, make_id: str) -> tuple[str, list, list]:
+        if kind == VOID:
+            return self._void(make_id)
+        codes = [code for code, _ in lines]
+        if not codes or None in codes:
+            return "unknown-color", [], []
+        if len(set(codes)) < len(codes):
+            return "duplicate-color", [], []
+        if any(qty is None or qty != qty or not 0 <= qty <= MAX_QTY for _, qty in lines):
+            return "invalid-number", [], []
+        lines = [(code, int(qty)) for code, qty in lines]
+        return self._make(lines, make_id) if kind == MAKE else self._batch(kind, lines)
+
+    def _row(self, code: str) -> list:
+        return self.stock.get(code, [0, None, False])
+
+    def _make(self, lines: list, make_id: str) -> tuple[str, list, list]:
+        """All colours of a pattern, or none and what is missing."""
+        gaps = [(code, qty, self._row(code)[0]) for code, qty in lines if qty > self._row(code)[0]]
+        if gaps:
+            return "insufficient", [], gaps
+        self.makes[make_id] = [lines, False]
+        return "ok", self._moved([(code, self._row(code)[0] - qty) for code, qty in lines if qty]), []
+
+    def _void(self, make_id: str) -> tuple[str, list, list]:
+        """The make's lines added back once."""
+        if make_id not in self.makes:
+            return "missing-make", [], []
+        lines, voided = self.makes[make_id]
+        if voided:
+            return "already-voided", [], []
+        if any(self._row(code)[0] + qty > MAX_QTY for code, qty in lines):
+            return "invalid-number", [], []
+        self.makes[make_id][1] = True
+        return "ok", self._moved([(code, self._row(code)[0] + qty) for code, qty in lines if qty]), []
+
+    def _batch(self, kind: str, lines: list) -> tuple[str, list, list]:
+        """All items of a batch, or none: its first error by position, then decreases of a restock."""
+        for code, qty in lines:
+            if kind == FIRST and self._row(code)[2]:
+                return "already-entered", [], []
+            if kind == FLAG and qty != self._row(code)[0]:
+                return "flag-qty-changed", [], []
+        if kind == RESTOCK and any(qty < self._row(code)[0] for code, qty in lines):
+            return "restock-decrease", [], []
+        bases = {code: qty if kind == FIRST or (kind == RESTOCK and qty > self._row(code)[0]) else self._row(code)[1] for code, qty in lines}
+        if kind != FIRST and all(self._row(code)[:2] == [qty, bases[code]] for code, qty in lines):
+            return "noop", [], []
+        moves = self._moved(lines)
+        for code, qty in lines:
+            row = self.stock[code]
+            row[1], row[2] = bases[code], row[2] or kind == FIRST or qty != 0
+        return "ok", moves, []
+
+    def _moved(self, balances: list) -> list:
+        moves = [(code, self._row(code)[0], qty) for code, qty in balances]
+        for code, _, qty in moves:
+            self.stock[code] = [qty, *self._row(code)[1:]]
+        return moves
+
+
+RESULT = "ledger_id bigint, seq bigint, request_id string, op_type string, result string, moves array<struct<code:string,qty_before:bigint,qty_after:bigint>>, gaps array<struct<code:string,need:bigint,have:bigint>>, head_seq bigint"
+
+
+def prepared(commands: DataFrame, palette: DataFrame) -> DataFrame:
+    """Commands with plain ``lines`` (null codes off the catalogue) and a ``key`` of their payload.
+
+    ``commands``: ledger_id, seq, request_id, op_type, lines (array of code, qty), payload,
+    make_id (of the make that a void means; null for others).
+    """
+    codes = [r["code"] for r in palette.select("code").limit(1001).collect()]  # the catalogue
+    if len(codes) > 1000:
+        raise ValueError("more than 1000 colours")
+    known = F.array(*[F.lit(c) for c in codes])
+    plain = F.transform("lines", lambda x: F.struct(F.when(F.array_contains(known, plain_code(x["code"])), plain_code(x["code"])).alias("code"), x["qty"].cast("bigint").alias("qty")))
+    key = F.sha2(F.concat_ws("|", "op_type", F.to_json("lines"), "make_id", "payload"), 256)
+    return commands.select("ledger_id", "seq", "request_id", "op_type", "make_id", F.coalesce(plain, F.array().cast("array<struct<code:string,qty:bigint>>")).alias("lines"), key.alias("key"))
+
+
+def folded(ledger: Ledger, rows: pd.DataFrame) -> list[tuple]:
+    """Result rows of some commands of one ledger, in order."""
+    out = []
+    for r in rows.itertuples(index=False):
+        lines = [(x["code"], x["qty"]) for x in r.lines]
+        result, moves, gaps = ledger.apply(r.op_type, lines, r.request_id, r.key, r.make_id)
+        out.append((r.ledger_id, r.seq, r.request_id, r.op_type, result, [dict(zip(("code", "qty_before", "qty_after"), m)) for m in moves], [dict(zip(("code", "need", "have"), g)) for g in gaps], ledger.seq))
+    return out
+
+
+COLUMNS = ["ledger_id", "seq", "request_id", "op_type", "result", "moves", "gaps", "head_seq"]
 
 
 def fold_commands(commands: DataFrame, palette: DataFrame) -> DataFrame:
-    """Apply whole logs in order, ledger by ledger (C2, C10, C11, C13 over a log).
+    """Apply whole logs in order, ledger by ledger (C2, C10, C11, C13 over a log): makes, voids and batches over all their colours or none.
 
     One command's validity depends on all before it, so a ledger is one sequence; its rows
-    stream through sorted partitions, and only balances and the journal are held.
+    stream through sorted partitions, and only balances, makes and the journal are held.
     """
-    known = F.broadcast(palette.select(F.col("code").alias("known")))
-    rows = commands.withColumn("plain", plain_code(F.col("code"))).join(known, F.col("plain") == F.col("known"), "left")
-    rows = rows.select("ledger_id", "seq", "request_id", "op_type", "code", F.col("known").alias("plain"), "qty", F.sha2(F.concat_ws("|", "op_type", "code", F.col("qty").cast("string"), "payload"), 256).alias("key"))
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ledger = None, Ledger()
         for part in parts:
             out = []
-            for r in part.itertuples(index=False):
-                if r.ledger_id != at:
-                    at, ledger = r.ledger_id, Ledger()
-                result, before, after = ledger.apply(r.op_type, r.plain if isinstance(r.plain, str) else None, r.qty, r.request_id, r.key)
-                out.append((r.ledger_id, r.seq, r.request_id, r.op_type, r.code, result, before, after, ledger.seq))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"qty_before": "Int64", "qty_after": "Int64"})
-
-    return rows.repartition("ledger_id").sortWithinPartitions("ledger_id", "seq").mapInPandas(run, RESULT)
+            for id_, rows in part.groupby("ledger_id", sort=False):
+                if id_ != at:
+                    at, ledger = id_, Ledger()
+                out += folded(ledger, rows)
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return prepared(commands, palette).repartition("ledger_id").sortWithinPartitions("ledger_id", "seq").mapInPandas(run, RESULT)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import commands as C
-from ..sources.views import Views
+from ..sources.views import _CODE, CODE, Views
 from .registry import query
 
 _ITEMS = """SELECT ledger_id % 10 AS ledger_id, ledger_id || '-' || request_id AS request, event_id AS pos, min_by(kind, event_id) OVER (PARTITION BY ledger_id, request_id) AS kind, code, CASE WHEN event_id % 50 = 0 THEN NULL ELSE qty END AS qty FROM (SELECT *, CASE WHEN op_type IN ('first-entry', 'count', 'restock', 'flag') THEN op_type ELSE 'count' END AS kind FROM v_cmd)"""
@@ -56,10 +57,10 @@ _VOIDS = "SELECT event_id AS request, event_id AS seq, event_id // 2 AS make_id
 
 
 def _voids(v: Views) -> DataFrame:
-    return C.void_results(v.cmd.filter("op_type = 'void-make'").selectExpr("event_id as request", "event_id as seq", "event_id div 2 as make_id"), v.make)
+    return C.void_results(v.cmd.filter("op_type = 'void-make'").selectExpr("event_id as request", "event_id as seq", "event_id div 2 as make_id"), v.make, v.make_line, v.stock.withColumn("qty", F.when(F.col("code").startswith("B"), 1_000_000_000).otherwise(F.col("qty"))))
 
 
-_VOID_RESULTS = f"SELECT r.request, r.make_id, CASE WHEN m.voided IS NULL THEN 'missing-make' WHEN m.voided OR row_number() OVER (PARTITION BY r.make_id ORDER BY r.seq) > 1 THEN 'already-voided' ELSE 'ok' END AS result FROM ({_VOIDS}) r LEFT JOIN v_make m ON m.make_id = r.make_id"
+_VOID_RESULTS = f"SELECT r.request, r.make_id, CASE WHEN m.voided IS NULL THEN 'missing-make' WHEN m.voided OR row_number() OVER (PARTITION BY r.make_id ORDER BY r.seq) > 1 THEN 'already-voided' WHEN r.make_id IN (SELECT l.make_id FROM v_make_line l JOIN v_make k ON k.make_id = l.make_id JOIN v_stock s ON s.ledger_id = k.ledger_id AND s.code = l.code WHERE l.code LIKE 'B%' AND l.qty > 0) THEN 'invalid-number' ELSE 'ok' END AS result FROM ({_VOIDS}) r LEFT JOIN v_make m ON m.make_id = r.make_id"
 
 
 @query(_VOID_RESULTS)
@@ -93,21 +94,128 @@ def percents_set(v: Views) -> DataFrame:
     return C.set_percent(settings, v.cmd.selectExpr("ledger_id", "seq", "qty % 130 as percent"))
 
 
-@query("SELECT code, (r + 1) % 256 AS r FROM v_palette")
-def palette_replaced(v: Views) -> DataFrame:
-    new = v.palette.withColumn("r", (F.col("r") + 1) % 256)
-    return C.replace_palette(v.palette, new).select("code", "r")
+def _palettes(v: Views) -> DataFrame:
+    """A palette a supplier: the colours of what it delivers."""
+    return v.table("lineitem").select(F.col("l_suppkey").alias("ledger_id"), F.expr(CODE.format(p="l_partkey")).alias("code")).distinct().join(F.broadcast(v.palette.select("code", "r")), "code").select("ledger_id", "code", "r")
 
 
-@query("SELECT code, r FROM v_palette")
-def palette_kept(v: Views) -> DataFrame:
-    return C.replace_palette(v.palette, v.palette.filter("n > 1")).select("code", "r")
+_PALETTES = f"SELECT DISTINCT l.l_suppkey AS ledger_id, p.code, p.r FROM (SELECT l_suppkey, {_CODE.format(p='l_partkey')} AS code FROM lineitem) l JOIN v_palette p ON p.code = l.code"
 
 
-@query("SELECT pattern_id, CASE WHEN pattern_id % 3 = 0 AND pattern_id % 4 <> 0 THEN 'new ' || pattern_id ELSE name END AS name FROM v_pattern")
+@query(f"SELECT ledger_id, code, CASE WHEN ledger_id % 3 > 0 THEN (r + 1) % 256 ELSE r END AS r FROM ({_PALETTES})")
+def palettes_replaced(v: Views) -> DataFrame:
+    """A third of the new palettes has a colour more than the live one."""
+    live = _palettes(v)
+    new = live.withColumn("r", (F.col("r") + 1) % 256)
+    odd = live.filter("ledger_id % 3 = 0").select("ledger_id").distinct().withColumns({"code": F.lit("Z1"), "r": F.lit(1)})
+    return C.replace_palette(live, new.unionByName(odd))
+
+
+@query("SELECT pattern_id, CASE WHEN pattern_id % 3 = 0 AND pattern_id % 4 <> 0 THEN 'new ' || pattern_id ELSE name END AS name, CASE WHEN pattern_id % 3 = 0 AND archived THEN '' ELSE 'shop' END AS source_note, CASE WHEN pattern_id % 3 = 0 THEN '29x29' ELSE 'small' END AS size_note FROM v_pattern")
 def patterns_patched(v: Views) -> DataFrame:
-    patches = v.pattern.filter("pattern_id % 3 = 0").select("pattern_id", F.when(F.col("pattern_id") % 4 != 0, F.concat(F.lit(" new "), F.col("pattern_id").cast("string"), F.lit(" "))).otherwise(" ").alias("name"))
-    return C.update_meta(v.pattern.select("pattern_id", "name"), patches)
+    rows = v.pattern.select("pattern_id", "name", F.lit("shop").alias("source_note"), F.lit("small").alias("size_note"))
+    patches = v.pattern.filter("pattern_id % 3 = 0").select("pattern_id", F.when(F.col("pattern_id") % 4 != 0, F.concat(F.lit(" new "), F.col("pattern_id").cast("string"), F.lit(" "))).otherwise(" ").alias("name"), F.when(F.col("archived"), F.lit(" ")).alias("source_note"), F.lit(" 29x29 ").alias("size_note"))
+    return C.update_meta(rows, patches)
+
+
+_CREATED = "SELECT c_custkey + 10000000 AS pattern_id, c_custkey % 10 AS ledger_id, CASE WHEN c_custkey % 6 = 0 THEN ' ' ELSE ' ' || c_name || ' ' END AS name, c_mktsegment <> 'BUILDING' AS accepted FROM customer"
+
+
+@query(f"SELECT pattern_id, ledger_id, confirmed_version, archived, name FROM v_pattern UNION ALL SELECT pattern_id, ledger_id, NULL, false, trim(name) FROM ({_CREATED}) WHERE accepted AND trim(name) <> ''")
+def appended_patterns(v: Views) -> DataFrame:
+    manifest = v.table("customer").selectExpr("c_custkey + 10000000 as pattern_id", "c_custkey % 10 as ledger_id", "case when c_custkey % 6 = 0 then ' ' else concat(' ', c_name, ' ') end as name", "c_mktsegment <> 'BUILDING' as accepted")
+    return C.appended_patterns(v.pattern.select("pattern_id", "ledger_id", "confirmed_version", "archived", "name"), C.create_patterns(manifest))
+
+
+_MADE = """SELECT p.ledger_id, p.pattern_id AS request, u.code, u.qty, coalesce(s.qty, 0) AS have FROM v_pattern p JOIN v_version u ON u.pattern_id = p.pattern_id AND u.version = p.confirmed_version LEFT JOIN v_stock s ON s.ledger_id = p.ledger_id AND s.code = u.code"""
+
+
+def _make_requests(v: Views) -> DataFrame:
+    return v.pattern.selectExpr("ledger_id", "pattern_id as request", "pattern_id", "confirmed_version as version")
+
+
+@query(f"SELECT ledger_id, request, code, qty AS need, have, qty - have AS gap FROM ({_MADE}) WHERE qty > have")
+def make_gaps(v: Views) -> DataFrame:
+    return C.make_gaps(_make_requests(v), v.version, v.stock)
+
+
+@query(f"WITH x AS ({_MADE}), f AS (SELECT ledger_id, min(request) AS request FROM (SELECT ledger_id, request FROM x GROUP BY 1, 2 HAVING bool_and(qty <= have)) GROUP BY 1) SELECT x.ledger_id, x.request, code, have AS qty_before, have - qty AS qty_after, -qty AS delta FROM x JOIN f ON f.ledger_id = x.ledger_id AND f.request = x.request WHERE qty > 0")
+def make_moves(v: Views) -> DataFrame:
+    requests = _make_requests(v).join(v.version.select("pattern_id", "version").distinct(), ["pattern_id", "version"], "left_semi")
+    return C.make_moves(requests, v.version, v.stock)
+
+
+_CONFIRM = """WITH s AS (SELECT u.pattern_id, CAST(sum(qty) AS BIGINT) AS line_sum, count(CASE WHEN p.code IS NULL THEN 1 END) AS unknown FROM v_usage u LEFT JOIN v_palette p ON p.code = u.code WHERE u.pattern_id % 9 > 0 OR p.code IS NOT NULL GROUP BY 1),
+r AS (SELECT s.*, t.title_total, t.ack, t.title_total - s.line_sum AS diff, o.confirmed_version FROM s JOIN v_title t ON t.pattern_id = s.pattern_id LEFT JOIN v_pattern o ON o.pattern_id = s.pattern_id AND NOT o.archived),
+c AS (SELECT *, CASE WHEN unknown > 0 THEN 'unknown-color' WHEN diff <> 0 AND NOT ack THEN 'title-diff' WHEN pattern_id % 10 = 3 THEN 'invalid-rejected' WHEN pattern_id % 4 = 1 AND pattern_id % 8 = 1 THEN 'invalid-recognition' WHEN pattern_id NOT IN (SELECT pattern_id FROM v_pattern WHERE NOT archived) THEN 'missing-pattern' ELSE 'ok' END AS result FROM r)"""
+
+
+def _confirmations(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests with rejected items and recognitions by rule, their lines, and the patterns that aren't archived."""
+    lines = v.usage.join(F.broadcast(v.palette.select(F.col("code").alias("known"))), F.col("code") == F.col("known"), "left").filter("pattern_id % 9 > 0 or known is not null").drop("known")
+    risks = "array(named_struct('id', 1, 'resolved', pattern_id % 8 <> 1))"
+    requests = v.title.selectExpr(
+        "pattern_id", "title_total", "ack", "array(named_struct('raw', 'x', 'qty', cast(if(pattern_id % 10 = 3, -1, 4) as bigint), 'note', '')) as rejected",
+        f"case when pattern_id % 4 = 1 then named_struct('source', 'legend', 'status', 'ready', 'risks', {risks}, 'acknowledged', false) end as recognition",
+    )
+    return requests, lines, v.pattern.filter("not archived")
+
+
+@query(_CONFIRM + " SELECT pattern_id, line_sum, result, CASE WHEN result = 'ok' THEN CAST(coalesce(confirmed_version, 0) + 1 AS BIGINT) END AS version, CASE WHEN result = 'ok' THEN CASE WHEN pattern_id % 4 = 1 THEN 'legend' ELSE 'manual' END END AS input_method, CASE WHEN result = 'ok' THEN diff END AS title_diff, CASE WHEN result = 'ok' THEN diff <> 0 END AS title_acknowledged FROM c")
+def confirmations(v: Views) -> DataFrame:
+    requests, lines, patterns = _confirmations(v)
+    return C.confirm(requests.join(lines.select("pattern_id").distinct(), "pattern_id", "left_semi"), lines, patterns, v.palette)
+
+
+@query(_CONFIRM + " SELECT u.pattern_id, CAST(coalesce(confirmed_version, 0) + 1 AS BIGINT) AS version, u.code, u.qty FROM c JOIN v_usage u ON u.pattern_id = c.pattern_id WHERE result = 'ok' AND u.code IN (SELECT code FROM v_palette)")
+def confirmed_lines(v: Views) -> DataFrame:
+    requests, lines, patterns = _confirmations(v)
+    return C.confirmed_tables(C.confirm(requests, lines, patterns, v.palette), lines, patterns, patterns)[0]
+
+
+@query(_CONFIRM + " SELECT p.pattern_id, CAST(CASE WHEN c.result = 'ok' THEN coalesce(p.confirmed_version, 0) + 1 ELSE p.confirmed_version END AS BIGINT) AS confirmed_version, NOT coalesce(c.result = 'ok', false) AS has_draft FROM v_pattern p LEFT JOIN c ON c.pattern_id = p.pattern_id WHERE NOT p.archived")
+def confirmed_patterns(v: Views) -> DataFrame:
+    requests, lines, patterns = _confirmations(v)
+    _, moved, drafts = C.confirmed_tables(C.confirm(requests, lines, patterns, v.palette), lines, patterns, patterns.select("pattern_id"))
+    return moved.join(drafts.withColumn("has_draft", F.lit(True)), "pattern_id", "left").select("pattern_id", "confirmed_version", F.coalesce("has_draft", F.lit(False)).alias("has_draft"))
+
+
+@query("""SELECT ledger_id, request_id, payload FROM v_cmd WHERE ledger_id % 2 = 1 UNION ALL SELECT ledger_id, request_id, payload FROM v_cmd WHERE ledger_id % 2 = 0 AND seq < 20
+UNION ALL SELECT DISTINCT ledger_id, 'restore-' || ledger_id, '{"exportedAt":"now","kind":"restore","seq":19}' FROM v_cmd WHERE ledger_id % 2 = 0""")
+def restored_requests(v: Views) -> DataFrame:
+    journal = v.cmd.select("ledger_id", "request_id", "payload")
+    accepted = v.cmd.filter("ledger_id % 2 = 0").select("ledger_id").distinct().selectExpr("ledger_id", "19 as seq", "concat('restore-', ledger_id) as request_id", "'now' as exported_at")
+    return C.restored_requests(journal, v.cmd.filter("seq < 20").select("ledger_id", "request_id", "payload"), accepted)
+
+
+@query("SELECT event_id, ledger_id, kind FROM (SELECT event_id, ledger_id, CASE WHEN op_type = 'first-entry' THEN op_type ELSE 'count' END AS kind, qty % 3 > 0 AS selected, length(payload) % 2 = 0 AS entered FROM v_cmd) WHERE selected AND NOT (kind = 'first-entry' AND entered)")
+def selected_lines(v: Views) -> DataFrame:
+    rows = v.cmd.selectExpr("event_id", "ledger_id", "if(op_type = 'first-entry', op_type, 'count') as kind", "qty % 3 > 0 as selected", "length(payload) % 2 = 0 as entered")
+    return C.selected_lines(rows).select("event_id", "ledger_id", "kind")
+
+
+@query("SELECT ledger_id, request_id, count(CASE WHEN event_id % 6 = 0 AND qty IS NOT NULL THEN 1 END) = 0 AS holds FROM v_cmd WHERE qty IS NOT NULL GROUP BY 1, 2")
+def previews_hold(v: Views) -> DataFrame:
+    items = v.cmd.filter("qty is not null").selectExpr("ledger_id", "request_id", "event_id", "code", "concat(' ', qty) as qty", "qty % 2 = 1 as estimated")
+    changed = items.withColumn("qty", F.when(F.col("event_id") % 6 == 0, F.concat("qty", F.lit("1"))).otherwise(F.trim("qty")))
+    return C.previews_hold(items, changed)
+
+
+_FORM = "SELECT l_orderkey AS form, l_linenumber AS pos, CASE WHEN l_linenumber = 7 THEN ' ' WHEN l_tax = 0 THEN 'Q1' ELSE ' a0' || (1 + l_partkey % 9) END AS code, CASE WHEN l_linenumber = 7 THEN '' WHEN l_discount = 0 THEN '-3' WHEN l_discount = 0.01 THEN '1.5' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS qty, CAST(l_quantity AS BIGINT) AS n, 1 + l_partkey % 9 AS k FROM lineitem"
+
+
+def _forms(v: Views) -> DataFrame:
+    return v.table("lineitem").selectExpr("l_orderkey as form", "l_linenumber as pos", "case when l_linenumber = 7 then ' ' when l_tax = 0 then 'Q1' else concat(' a0', 1 + l_partkey % 9) end as code", "case when l_linenumber = 7 then '' when l_discount = 0 then '-3' when l_discount = 0.01 then '1.5' else cast(cast(l_quantity as bigint) as string) end as qty")
+
+
+@query(f"SELECT form, pos, CASE WHEN trim(code) = '' AND qty = '' THEN NULL WHEN code = 'Q1' THEN 'bad-code' WHEN count(CASE WHEN trim(code) NOT IN ('', 'Q1') THEN 1 END) OVER (PARTITION BY form, k, trim(code) IN ('', 'Q1')) > 1 THEN 'repeated-code' WHEN qty = '-3' THEN 'negative' WHEN qty = '1.5' THEN 'decimal' END AS error FROM ({_FORM})")
+def line_errors(v: Views) -> DataFrame:
+    return C.line_errors(_forms(v), v.palette)
+
+
+@query(f"SELECT form, CAST(sum(CASE WHEN regexp_full_match(qty, '[0-9]+') THEN n ELSE 0 END) AS BIGINT) AS total FROM ({_FORM}) GROUP BY 1")
+def valid_sums(v: Views) -> DataFrame:
+    return C.valid_sums(_forms(v))
 
 
 _ARCHIVE = "SELECT event_id // 2 AS pattern_id, event_id AS seq, request_id FROM v_cmd WHERE op_type = 'flag' OR op_type = 'count'"
@@ -149,6 +257,13 @@ def restored_heads(v: Views) -> DataFrame:
     return C.restore(empty, empty, heads, ids.filter(_RESTORED).withColumn("seq", F.lit(3).cast("long")))[1]
 
 
+def _log(v: Views) -> DataFrame:
+    """The log with lines of two colours, and voids of the ledger's last make."""
+    last = F.last(F.when(F.col("op_type") == C.MAKE, F.col("request_id")), ignorenulls=True).over(W.partitionBy("ledger_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    lines = F.array(F.struct("code", "qty"), F.struct(F.concat(F.lit("B"), 1 + F.col("event_id") % 3).alias("code"), (F.col("qty") % 7).alias("qty")))
+    return v.cmd.withColumn("make_id", F.when(F.col("op_type") == C.VOID, last)).withColumn("lines", lines)
+
+
 @query()
 def folded_commands(v: Views) -> DataFrame:
-    return C.fold_commands(v.cmd, v.palette)
+    return C.fold_commands(_log(v), v.palette).withColumns({"moves": F.to_json("moves"), "gaps": F.to_json("gaps")})

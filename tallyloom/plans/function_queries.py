@@ -29,17 +29,17 @@ def rejected_codes(v: Views) -> DataFrame:
     return codes.off_catalogue(v.cmd.select("event_id", "code"), v.palette)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_full_match(split_part(head, ' ', 1), '[A-Z]+[0-9]+') THEN regexp_replace(split_part(head, ' ', 1), '^([A-Z]+)0*([0-9])', '\\1\\2') END AS code FROM v_docs")
+@query("SELECT doc_id, CASE WHEN regexp_full_match(split_part(text, ' ', 1), '[A-Z]+[0-9]+') THEN regexp_replace(split_part(text, ' ', 1), '^([A-Z]+)0*([0-9])', '\\1\\2') END AS code FROM v_docs")
 def strict_codes(v: Views) -> DataFrame:
-    return v.docs.select("doc_id", codes.strict_code(F.split_part("head", F.lit(" "), F.lit(1))).alias("code"))
+    return v.docs.select("doc_id", codes.strict_code(F.split_part("text", F.lit(" "), F.lit(1))).alias("code"))
 
 
-_NUMBER = "CASE doc_id % 8 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '-' || doc_id WHEN 2 THEN doc_id || '.5' WHEN 3 THEN '0' || doc_id WHEN 4 THEN doc_id || '000000000' WHEN 5 THEN ' ' || doc_id || ' ' WHEN 6 THEN '' ELSE head END"
+_NUMBER = "CASE doc_id % 8 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '-' || doc_id WHEN 2 THEN doc_id || '.5' WHEN 3 THEN '0' || doc_id WHEN 4 THEN doc_id || '000000000' WHEN 5 THEN ' ' || doc_id || ' ' WHEN 6 THEN '' ELSE text END"
 
 
 @query(f"WITH n AS (SELECT doc_id, {_NUMBER} AS x FROM v_docs) SELECT doc_id, CASE WHEN ({_REASON.format(x='x')}) IS NULL THEN TRY_CAST(trim(x) AS BIGINT) END AS value, {_REASON.format(x='x')} AS reason FROM n")
 def parsed_quantities(v: Views) -> DataFrame:
-    raw = F.expr("case doc_id % 8 when 0 then cast(doc_id as string) when 1 then concat('-', doc_id) when 2 then concat(doc_id, '.5') when 3 then concat('0', doc_id) when 4 then concat(doc_id, '000000000') when 5 then concat(' ', doc_id, ' ') when 6 then '' else head end")
+    raw = F.expr("case doc_id % 8 when 0 then cast(doc_id as string) when 1 then concat('-', doc_id) when 2 then concat(doc_id, '.5') when 3 then concat('0', doc_id) when 4 then concat(doc_id, '000000000') when 5 then concat(' ', doc_id, ' ') when 6 then '' else text end")
     return v.docs.select("doc_id", quantities.parse_quantity(raw).alias("p")).select("doc_id", "p.value", "p.reason")
 
 
@@ -59,13 +59,13 @@ def title_differences(v: Views) -> DataFrame:
     return rows.select("pattern_id", quantities.title_difference(F.col("title_total"), F.col("total")).alias("difference"), quantities.title_blocked(F.col("title_total"), F.col("total"), F.col("ack")).alias("blocked"))
 
 
-_FIELD = "CASE doc_id % 4 WHEN 0 THEN '=' || head WHEN 1 THEN head || ', \"x\"' WHEN 2 THEN text ELSE '-' || head || chr(10) END"
+_FIELD = "CASE doc_id % 4 WHEN 0 THEN '=' || text WHEN 1 THEN text || ', \"x\"' WHEN 2 THEN text ELSE '-' || text || chr(10) END"
 
 
 @query(f"""WITH a AS (SELECT doc_id, {_FIELD} AS x FROM v_docs), b AS (SELECT doc_id, CASE WHEN regexp_matches(x, '^[=+@-]') THEN '''' || x ELSE x END AS x FROM a)
 SELECT doc_id, CASE WHEN contains(x, '"') OR contains(x, ',') OR contains(x, chr(10)) OR contains(x, chr(13)) THEN '"' || replace(x, '"', '""') || '"' ELSE x END AS field FROM b""")
 def csv_fields(v: Views) -> DataFrame:
-    raw = F.expr("""case doc_id % 4 when 0 then concat('=', head) when 1 then concat(head, ', "x"') when 2 then text else concat('-', head, '\n') end""")
+    raw = F.expr("""case doc_id % 4 when 0 then concat('=', text) when 1 then concat(text, ', "x"') when 2 then text else concat('-', text, '\n') end""")
     return v.docs.select("doc_id", texts.csv_field(raw).alias("field"))
 
 
@@ -80,9 +80,9 @@ def batch_snapshots(v: Views) -> DataFrame:
     return v.cmd.filter("qty is not null").groupBy("ledger_id", "request_id").agg(F.collect_list(item).alias("items")).select("ledger_id", "request_id", texts.payload_key(texts.canonical_items(F.col("items"))).alias("snapshot"))
 
 
-@query("SELECT doc_id, nullif(trim(substr(head, 1, doc_id % 3)), '') AS name, coalesce(nullif(trim(substr(head, 2, doc_id % 2)), ''), '未注明') AS size_note FROM v_docs")
+@query("SELECT doc_id, nullif(trim(text), '') AS name, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 1 THEN text END), ''), '未注明') AS size_note FROM v_docs")
 def cleaned_meta(v: Views) -> DataFrame:
-    return v.docs.select("doc_id", texts.clean_name(F.expr("concat(' ', substr(head, 1, doc_id % 3))")).alias("name"), texts.size_label(F.expr("substr(head, 2, doc_id % 2)")).alias("size_note"))
+    return v.docs.select("doc_id", texts.clean_name(F.expr("concat(' ', text)")).alias("name"), texts.size_label(F.expr("case when doc_id % 2 = 1 then text end")).alias("size_note"))
 
 
 @query("SELECT pattern_id, version, CASE version WHEN 1 THEN '手工录入' ELSE '来源未知' END AS label FROM v_version GROUP BY 1, 2")
@@ -112,12 +112,12 @@ def box_kinds(v: Views) -> DataFrame:
     return v.box.select("image_id", "id", shown.getField("width").alias("width"), shown.getField("height").alias("height"), shapes.layout_kind(F.col("w"), F.col("h"), F.col("x")).alias("kind"), shapes.off_centre(F.col("x"), F.lit(100), F.col("w")).alias("off"))
 
 
-_LEGEND = "CASE doc_id % 4 WHEN 0 THEN 'C' || doc_id || '(' || doc_id || ')' WHEN 1 THEN 'A1(12x)' WHEN 2 THEN 'B2(99999999999)' ELSE head END"
+_LEGEND = "CASE doc_id % 4 WHEN 0 THEN 'C' || doc_id || '(' || doc_id || ')' WHEN 1 THEN 'A1(12x)' WHEN 2 THEN 'B2(99999999999)' ELSE text END"
 
 
 @query(f"WITH t AS (SELECT doc_id, {_LEGEND} AS t FROM v_docs) SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN regexp_extract(t, '^([A-Z][0-9]+)', 1) END AS code, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS value, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 2 THEN 'overflow' ELSE 'invalid' END AS reason FROM t")
 def legend_texts(v: Views) -> DataFrame:
-    text = F.expr("case doc_id % 4 when 0 then concat('C', doc_id, '(', doc_id, ')') when 1 then 'A1(12x)' when 2 then 'B2(99999999999)' else head end")
+    text = F.expr("case doc_id % 4 when 0 then concat('C', doc_id, '(', doc_id, ')') when 1 then 'A1(12x)' when 2 then 'B2(99999999999)' else text end")
     return v.docs.select("doc_id", texts.legend_text(text).alias("t")).select("doc_id", "t.code", "t.value", "t.reason")
 
 
@@ -127,12 +127,16 @@ def brand_marks(v: Views) -> DataFrame:
     return v.docs.select("doc_id", texts.brand_mark(text).alias("m")).select("doc_id", "m.brand", "m.palette")
 
 
-@query("SELECT doc_id, contains(text, 'file://') OR doc_id % 5 = 0 AS forbidden, doc_id % 4 = 0 AS thumbnail, doc_id % 2 = 0 AS keys FROM v_docs")
+_STORED = "text || CASE doc_id % 9 WHEN 0 THEN ' /home/x' WHEN 1 THEN ' originalImage' WHEN 2 THEN ' keystore' WHEN 3 THEN ' C:' || chr(92) || 'Users' ELSE '' END"
+
+
+@query(f"SELECT doc_id, contains(x, 'originalImage') OR contains(x, 'originalFullImage') OR contains(x, '/home/') OR contains(x, '/data/user/') OR contains(x, 'C:' || chr(92) || 'Users') AS forbidden, contains(x, 'keystore') OR contains(x, 'privateKey') AS refused, doc_id % 4 = 0 AS thumbnail, doc_id % 2 = 0 AS keys FROM (SELECT doc_id, {_STORED} AS x FROM v_docs)")
 def stored_text_checks(v: Views) -> DataFrame:
-    json = F.when(F.col("doc_id") % 5 == 0, '{"imageBytes": 1}').otherwise(F.to_json(F.struct("text")))
+    json = F.to_json(F.struct(F.expr("concat(text, case doc_id % 9 when 0 then ' /home/x' when 1 then ' originalImage' when 2 then ' keystore' when 3 then concat(' C:', char(92), 'Users') else '' end)").alias("text")))
     data = F.expr("substr('AAAABBBBCC==', 1, int(4 + doc_id % 4))")
     keys = F.expr("""case when doc_id % 2 = 0 then '{"id":1,"raw":""}' else '{"id":1,"extra":2}' end""")
-    return v.docs.select("doc_id", texts.forbidden_content(json).alias("forbidden"), texts.thumbnail_holds(F.lit("image/png"), data).alias("thumbnail"), texts.only_keys(keys, ["id", "raw"]).alias("keys"))
+    known = F.col("text").isNotNull()
+    return v.docs.select("doc_id", F.when(known, texts.forbidden_content(json)).alias("forbidden"), F.when(known, texts.refused_content(json)).alias("refused"), texts.thumbnail_holds(F.lit("image/png"), data).alias("thumbnail"), texts.only_keys(keys, ["id", "raw"]).alias("keys"))
 
 
 @query("SELECT image_id, row, col, x, greatest(abs(r - 128), abs(g - 128), abs(b - 128)) AS channel, (r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) AS square, greatest(abs(r - g), abs(g - b)) < 5 AS flat FROM v_cell")
@@ -147,9 +151,26 @@ def movement_deltas(v: Views) -> DataFrame:
     return v.move.select("ledger_id", "seq", "code", "delta", quantities.delta_holds(F.col("qty_before"), F.col("qty_after"), F.col("delta")).alias("holds"))
 
 
-@query("SELECT request_id, code, count(*) AS n FROM v_cmd WHERE code IN (SELECT code FROM v_palette) GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT ledger_id, code, count(*) AS n FROM v_cmd WHERE code IN (SELECT code FROM v_palette) GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_codes(v: Views) -> DataFrame:
-    return codes.in_catalogue(v.cmd, v.palette).groupBy("request_id", "code").agg(F.count("*").alias("n")).filter("n > 1")
+    return codes.in_catalogue(v.cmd, v.palette).groupBy("ledger_id", "code").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT o_orderkey, o_totalprice <= 200000 AS holds FROM orders")
+def rejected_items(v: Views) -> DataFrame:
+    items = F.expr("array(named_struct('raw', 'x', 'note', '', 'qty', cast(null as bigint)), named_struct('raw', '', 'note', 'n', 'qty', cast(if(o_totalprice <= 200000, 5, -1) as bigint)))")
+    return v.table("orders").select("o_orderkey", texts.rejected_items_hold(items).alias("holds"))
+
+
+@query("SELECT o_orderkey, 'op-' || sha256(CAST(o_orderkey AS VARCHAR)) AS id FROM orders")
+def stable_ids(v: Views) -> DataFrame:
+    return v.table("orders").select("o_orderkey", texts.new_id("op", F.col("o_orderkey")).alias("id"))
+
+
+@query("SELECT a.image_id, a.id, a.x <= 2 OR a.y <= 2 OR a.x + a.w >= 42 OR a.y + a.h >= 22 AS clipped FROM v_place a")
+def clipped_boxes(v: Views) -> DataFrame:
+    named = v.place.select("image_id", "id", *[F.col(c).alias(f"a{c}") for c in "xywh"], F.lit(2).alias("bx"), F.lit(2).alias("by"), F.lit(40).alias("bw"), F.lit(20).alias("bh"))
+    return named.select("image_id", "id", shapes.touches_edge("a", "b").alias("clipped"))
 
 
 @query("SELECT pattern_id, CASE WHEN pattern_id % 7 = 0 THEN 'invalid-image' ELSE 'ok' END AS result FROM v_pattern")

@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.codes import plain_code
 from ..functions.quantities import is_low
-from ..operators.commands import RESULT, Ledger
+from ..operators.commands import COLUMNS, RESULT, Ledger, folded, prepared
 
 STATE = "version int, seq bigint, stock string, journal string, makes string"
 
 
 def _load(state: GroupState) -> Ledger:
-    import json
-
     ledger = Ledger()
     if state.exists:
         _, ledger.seq, stock, journal, makes = state.get
-        ledger.stock, ledger.makes = json.loads(stock), json.loads(makes)
-        ledger.journal = {k: (p, tuple(r)) for k, (p, r) in json.loads(journal).items()}
+        ledger.stock, ledger.makes = json.loads(stock), {k: [[tuple(x) for x in lines], voided] for k, (lines, voided) in json.loads(makes).items()}
+        ledger.journal = {k: (p, [tuple(m) for m in moves]) for k, (p, moves) in json.loads(journal).items()}
     return ledger
 
 
 def _store(state: GroupState, ledger: Ledger) -> None:
-    import json
-
-    state.update((1, ledger.seq, json.dumps(ledger.stock), json.dumps({k: [p, list(r)] for k, (p, r) in ledger.journal.items()}), json.dumps(ledger.makes)))
+    state.update((2, ledger.seq, json.dumps(ledger.stock), json.dumps(ledger.journal), json.dumps(ledger.makes)))
 
 
 def apply_stream(commands: DataFrame, palette: DataFrame) -> DataFrame:
@@ -39,19 +35,13 @@ def apply_stream(commands: DataFrame, palette: DataFrame) -> DataFrame:
     State: balances, journal and makes of a ledger, with a schema version.  Retries replay
     from the journal, so effects happen once.
     """
-    known = F.broadcast(palette.select(F.col("code").alias("known")))
-    rows = commands.withColumn("plain", plain_code(F.col("code"))).join(known, F.col("plain") == F.col("known"), "left")
-    rows = rows.select("ledger_id", "seq", "request_id", "op_type", "code", F.col("known").alias("plain"), "qty", F.sha2(F.concat_ws("|", "op_type", "code", F.col("qty").cast("string"), "payload"), 256).alias("key"))
-
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ledger, out = _load(state), []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
-            result, before, after = ledger.apply(r.op_type, r.plain if isinstance(r.plain, str) else None, r.qty, r.request_id, r.key)
-            out.append((key[0], r.seq, r.request_id, r.op_type, r.code, result, before, after, ledger.seq))
+        ledger = _load(state)
+        out = folded(ledger, pd.concat(list(parts)).sort_values("seq"))
         _store(state, ledger)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"qty_before": "Int64", "qty_after": "Int64"})
+        yield pd.DataFrame(out, columns=COLUMNS)
 
-    return rows.groupBy("ledger_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return prepared(commands, palette).groupBy("ledger_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def once_per_request(commands: DataFrame, at: str = "at", late: str = "1 day") -> DataFrame:
@@ -64,17 +54,30 @@ def current_results(results: DataFrame, identities: DataFrame, keys: list[str])
     return results.join(identities.select(*keys).distinct(), keys, "left_semi")
 
 
-def fold_blocks(batch: DataFrame, table: str) -> None:
-    """Merge a micro-batch of block checkpoints by block into a table of the warehouse (T4): for ``foreachBatch``.
+def fold_blocks(batch: DataFrame, batch_id: int, table: str) -> None:
+    """Keep a micro-batch of block checkpoints as its own partition of a table (T4): for ``foreachBatch``.
 
-    The new table is written beside the old and then replaces it, so a retried batch gives the same rows.
+    A retried batch replaces its own partition and nothing else; :func:`folded_blocks` reads the fold.
     """
+    new = _last(batch).withColumn("batch", F.lit(batch_id).cast("bigint"))
     spark = batch.sparkSession
-    new = batch.groupBy("image_id", "block_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
-    if spark.catalog.tableExists(table):
-        new = spark.table(table).unionByName(new).groupBy("image_id", "block_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
-    new.write.mode("overwrite").saveAsTable(f"{table}_next")
-    spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+    if not spark.catalog.tableExists(table):
+        new.limit(0).write.partitionBy("batch").saveAsTable(table)
+    new.select(spark.table(table).columns).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(table)
+
+
+def _last(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("image_id", "block_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
+
+
+def folded_blocks(spark: SparkSession, table: str) -> DataFrame:
+    """The last checkpoint of each block over all batches (T4)."""
+    return _last(spark.table(table))
+
+
+def compact_blocks(spark: SparkSession, table: str, into: str) -> None:
+    """Write the fold as a table of its own, so that a reader of many batches has one to read."""
+    folded_blocks(spark, table).write.mode("overwrite").saveAsTable(into)
 
 
 def slow_requests(events: DataFrame, seconds: int = 30) -> DataFrame:
