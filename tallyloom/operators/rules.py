@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import CAPS, plain_code
 from ..functions.quantities import MAX_QTY, MAX_SAFE
-from ..functions.texts import forbidden_content, thumbnail_holds
+from ..functions.texts import refused_content, thumbnail_holds
 
 OPERATIONS = ("first-entry", "count", "restock", "flag", "make", "void-make", "create-pattern", "update-pattern", "archive-pattern", "confirm-usage", "set-percent", "restore")
 
@@ -22,6 +22,12 @@ def found(rows: DataFrame, rule: str, wrong: Column, key: Column, detail: str, l
     return rows.filter(F.coalesce(wrong, F.lit(True))).select(owner.alias("ledger_id"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(detail).alias("detail"))
 
 
+def failed(rows: DataFrame, rule: str, checks: dict[str, Column], key: Column) -> DataFrame:
+    """One row for each named check that a row fails: all checks in one pass over the rows."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(~ok, F.lit(True)), F.lit(name)) for name, ok in checks.items()]))
+    return rows.select(F.lit(None).cast("string").alias("ledger_id"), F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.explode(names).alias("detail"))
+
+
 def repeated(rows: DataFrame, rule: str, keys: list[str], detail: str, ledger: str = "ledger_id") -> DataFrame:
     """Keys that stand more than once."""
     owner = [ledger] if ledger in rows.columns and ledger not in keys else []
@@ -44,11 +50,12 @@ def heads(rows: DataFrame) -> DataFrame:
 
 
 def palette(rows: DataFrame) -> DataFrame:
-    """Colours out of range, and catalogue codes that are missing."""
+    """Colours out of range, and catalogue codes that a palette lacks (V2, F23); one palette a ``ledger_id`` where there is that column."""
     ok = F.col("r").between(0, 255) & F.col("g").between(0, 255) & F.col("b").between(0, 255) & (plain_code(F.col("code")) == F.col("code"))
-    spark = rows.sparkSession
-    every = spark.createDataFrame(list(CAPS.items()), "grp string, cap int").select(F.explode(F.transform(F.sequence(F.lit(1), "cap"), lambda n: F.concat("grp", n.cast("string")))).alias("code"))
-    return found(rows, "V2", ~ok, F.col("code"), "colour invalid").unionByName(found(every.join(rows.select("code"), "code", "left_anti"), "V2", F.lit(True), F.col("code"), "colour missing"))
+    keys = ["ledger_id"] if "ledger_id" in rows.columns else []
+    every = F.flatten(F.transform(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(cap).alias("cap")) for g, cap in CAPS.items()]), lambda s: F.transform(F.sequence(F.lit(1), s["cap"]), lambda n: F.concat(s["g"], n.cast("string")))))
+    lacks = rows.groupBy(*keys).agg(F.collect_set("code").alias("_has")).select(*keys, F.explode(F.array_except(every, "_has")).alias("code"))
+    return found(rows, "V2", ~ok, F.col("code"), "colour invalid").unionByName(found(lacks, "V2", F.lit(True), F.col("code"), "colour missing"))
 
 
 def stock(rows: DataFrame, colours: DataFrame) -> DataFrame:
@@ -117,10 +124,7 @@ def provenance(rows: DataFrame, colours: DataFrame) -> DataFrame:
         "review": F.forall("risks", lambda r: r.getField("resolved")) | F.col("acknowledged"),
         "modified": F.col("modified") == (F.array_sort("candidates") != F.array_sort("final")),
     }
-    out = None
-    for name, ok in checks.items():
-        one = found(rows, "V12", ~ok, F.col("pattern_id"), name)
-        out = one if out is None else out.unionByName(one)
+    out = failed(rows, "V12", checks, F.col("pattern_id"))
     lost = rows.select("pattern_id", F.explode(codes).alias("code")).join(F.broadcast(colours.select("code")), "code", "left_anti")
     return out.unionByName(found(lost, "V12", F.lit(True), F.col("pattern_id"), "unknown code"))
 
@@ -136,15 +140,11 @@ def recognition(rows: DataFrame) -> DataFrame:
         "title": F.col("title_total").isNull() | (F.col("title_total") >= 0),
         "image": (F.col("width") >= 0) & (F.col("height") >= 0) & (F.col("width") * F.col("height") <= 32_000_000) & ((F.col("status") == "failed") | ((F.col("width") > 0) & (F.col("height") > 0))),
     }
-    out = None
-    for name, ok in checks.items():
-        one = found(rows, "V13", ~ok, F.col("image_id"), name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return failed(rows, "V13", checks, F.col("image_id"))
 
 
 def forbidden(rows: DataFrame) -> DataFrame:
-    return found(rows, "V16", forbidden_content(F.col("json")), F.col("key"), "forbidden content")
+    return found(rows, "V16", refused_content(F.col("json")), F.col("key"), "forbidden content")
 
 
 def pointers(rows: DataFrame) -> DataFrame:
@@ -165,22 +165,25 @@ def over_cap(rows: DataFrame, keys: list[str], cap: int, rule: str = "O7") -> Da
 
 
 def validate(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules whose tables are there: palette, stock, operation, movement, pattern, version, version_line, make, head."""
+    """All rules whose tables are there: palette, stock, operation, movement, pattern, version, version_line, make,
+    head, draft_line, provenance, recognition, confirmed, document, pointer, box (O7 at 256) and cell (O7 at 40 000)."""
     t, out = tables, []
-    if "head" in t:
-        out.append(heads(t["head"]))
+    single = {"head": heads, "provenance": None, "recognition": recognition, "confirmed": confirmed, "document": forbidden, "pointer": pointers, "movement": moves}
+    out += [rule(t[name]) for name, rule in single.items() if rule and name in t]
     if "palette" in t:
         out.append(palette(t["palette"]))
         out += [stock(t["stock"], t["palette"])] if "stock" in t else []
         out += [usage(t["version_line"], t["palette"], ["pattern_id", "version"])] if "version_line" in t else []
+        out += [usage(t["draft_line"], t["palette"], ["pattern_id"], "V19")] if "draft_line" in t else []
+        out += [provenance(t["provenance"], t["palette"])] if "provenance" in t else []
     if "operation" in t:
         out += [operations(t["operation"]), requests(t["operation"])]
         out += [references(t["movement"], t["operation"])] if "movement" in t else []
-    out += [moves(t["movement"])] if "movement" in t else []
     if "pattern" in t:
         out.append(patterns(t["pattern"]))
         out += [versions(t["version"], t["pattern"])] if "version" in t else []
         out += [makes(t["make"], t["pattern"], t["version"])] if {"make", "version"} <= t.keys() else []
+    out += [over_cap(t[name], ["image_id"], cap) for name, cap in (("box", 256), ("cell", 40_000)) if name in t]
     whole = out[0]
     for one in out[1:]:
         whole = whole.unionByName(one)

@@ -103,7 +103,7 @@ _PALETTES = f"SELECT DISTINCT l.l_suppkey AS ledger_id, p.code, p.r FROM (SELECT
 
 
 @query(f"SELECT ledger_id, code, CASE WHEN ledger_id % 3 > 0 THEN (r + 1) % 256 ELSE r END AS r FROM ({_PALETTES})")
-def palettes_replaced(v: Views) -> DataFrame:
+def palette_replaced(v: Views) -> DataFrame:
     """A third of the new palettes has a colour more than the live one."""
     live = _palettes(v)
     new = live.withColumn("r", (F.col("r") + 1) % 256)
@@ -111,6 +111,14 @@ def palettes_replaced(v: Views) -> DataFrame:
     return C.replace_palette(live, new.unionByName(odd))
 
 
+@query(_PALETTES)
+def palette_kept(v: Views) -> DataFrame:
+    """Every new palette lacks a colour of the live one."""
+    live = _palettes(v)
+    least = live.groupBy("ledger_id").agg(F.min("code").alias("code"))
+    return C.replace_palette(live, live.join(least, ["ledger_id", "code"], "left_anti").withColumn("r", F.lit(0)))
+
+
 @query("SELECT pattern_id, CASE WHEN pattern_id % 3 = 0 AND pattern_id % 4 <> 0 THEN 'new ' || pattern_id ELSE name END AS name, CASE WHEN pattern_id % 3 = 0 AND archived THEN '' ELSE 'shop' END AS source_note, CASE WHEN pattern_id % 3 = 0 THEN '29x29' ELSE 'small' END AS size_note FROM v_pattern")
 def patterns_patched(v: Views) -> DataFrame:
     rows = v.pattern.select("pattern_id", "name", F.lit("shop").alias("source_note"), F.lit("small").alias("size_note"))

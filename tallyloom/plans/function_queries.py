@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, quantities, shapes, texts
@@ -95,10 +96,11 @@ def shortened_texts(v: Views) -> DataFrame:
     return v.docs.select("doc_id", texts.shortened(F.col("text"), 100).alias("short"), (F.length("text") > 100).alias("cut"))
 
 
-@query("SELECT code, CASE grp WHEN 'A' THEN '黄橙' WHEN 'B' THEN '绿色' WHEN 'C' THEN '蓝青' WHEN 'D' THEN '蓝紫' WHEN 'E' THEN '粉玫' WHEN 'F' THEN '红色' WHEN 'G' THEN '棕肤' WHEN 'H' THEN '黑白' ELSE '大地' END AS name, row_number() OVER (ORDER BY gi, n) AS place FROM v_palette")
+@query("SELECT pattern_id, u.code, CASE grp WHEN 'A' THEN '黄橙' WHEN 'B' THEN '绿色' WHEN 'C' THEN '蓝青' WHEN 'D' THEN '蓝紫' WHEN 'E' THEN '粉玫' WHEN 'F' THEN '红色' WHEN 'G' THEN '棕肤' WHEN 'H' THEN '黑白' ELSE '大地' END AS name, row_number() OVER (PARTITION BY pattern_id ORDER BY gi, n) AS place FROM v_usage u JOIN v_palette p ON p.code = u.code")
 def palette_order(v: Views) -> DataFrame:
-    before = F.expr("aggregate(filter(array({}), (x, i) -> i < gi), 0, (s, x) -> s + x)".format(", ".join(map(str, codes.CAPS.values()))))
-    return v.palette.select("code", codes.group_name(F.col("grp")).alias("name"), (before + F.col("n")).cast("long").alias("place"))
+    rows = codes.in_catalogue(v.usage.select("pattern_id", "code"), v.palette)
+    place = F.row_number().over(W.partitionBy("pattern_id").orderBy(codes.colour_key(F.col("code"))))
+    return rows.select("pattern_id", "code", codes.group_name(F.substring("code", 1, 1)).alias("name"), place.cast("long").alias("place"))
 
 
 @query("SELECT image_id, id, CASE WHEN x + w <= 181 AND y + h <= 51 THEN x END AS x FROM v_box")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..sources.bundles import effective
-from ..sources.views import Views
+from ..sources.views import _CODE, CODE, Views
 from .registry import query
 
 _ROW = "SELECT CAST({ledger} AS VARCHAR) AS ledger_id, '{rule}' AS rule, CAST({key} AS VARCHAR) AS key, '{detail}' AS detail FROM {source}"
@@ -22,9 +22,13 @@ def rule_heads(v: Views) -> DataFrame:
     return R.heads(v.cmd.groupBy("ledger_id").agg(F.max("seq").alias("seq"), F.max("qty").alias("low_stock_percent")).withColumn("epoch", F.lit(0)))
 
 
-@query(_row("V2", "code", "colour missing", "v_palette WHERE n = 3", "NULL") + " UNION ALL " + _row("V2", "code", "colour invalid", "v_palette WHERE n <> 3 AND r + 20 > 255", "NULL"))
+_HAS = f"SELECT DISTINCT l.l_suppkey AS ledger_id, p.* FROM (SELECT l_suppkey, {_CODE.format(p='l_partkey')} AS code FROM lineitem) l JOIN v_palette p ON p.code = l.code"
+
+
+@query(_row("V2", "code", "colour missing", f"(SELECT s.ledger_id, p.code FROM (SELECT DISTINCT ledger_id FROM ({_HAS})) s, v_palette p EXCEPT SELECT ledger_id, code FROM ({_HAS}))") + " UNION ALL " + _row("V2", "code", "colour invalid", f"({_HAS}) WHERE r + 20 > 255"))
 def rule_palette(v: Views) -> DataFrame:
-    return R.palette(v.palette.filter("n <> 3").withColumn("r", F.col("r") + 20))
+    has = v.table("lineitem").select(F.col("l_suppkey").alias("ledger_id"), F.expr(CODE.format(p="l_partkey")).alias("code")).distinct().join(F.broadcast(v.palette), "code")
+    return R.palette(has.withColumn("r", F.col("r") + 20))
 
 
 @query(_row("V3", "code", "not in the catalogue", "v_stock WHERE code NOT IN (SELECT code FROM v_palette)") + " UNION ALL " + _row("V3", "code", "missing", "(SELECT DISTINCT ledger_id FROM v_stock) l, v_palette p WHERE (l.ledger_id, p.code) NOT IN (SELECT ledger_id, code FROM v_stock)"))
@@ -107,9 +111,9 @@ def rule_recognition(v: Views) -> DataFrame:
     return R.recognition(rows.withColumn("total", total + (F.col("image_id") % 5 == 0).cast("int")))
 
 
-@query(_row("V16", "doc_id", "forbidden content", "v_docs WHERE doc_id % 20 = 0", "NULL"))
+@query(_row("V16", "doc_id", "forbidden content", "v_docs WHERE text IS NOT NULL AND (doc_id % 20 = 0 OR contains(text, 'keystore') OR contains(text, 'privateKey'))", "NULL"))
 def rule_forbidden(v: Views) -> DataFrame:
-    return R.forbidden(v.docs.select(F.col("doc_id").alias("key"), F.when(F.col("doc_id") % 20 == 0, F.lit('{"original": ""}')).otherwise(F.to_json(F.struct("head"))).alias("json")))
+    return R.forbidden(v.docs.filter("text is not null").select(F.col("doc_id").alias("key"), F.to_json(F.struct("text", F.when(F.col("doc_id") % 20 == 0, "").alias("originalImage"))).alias("json")))
 
 
 @query(_row("V17", "CASE WHEN ledger_id % 3 = 0 THEN 'pending' ELSE 'other' END", "snapshot pointer", "(SELECT DISTINCT ledger_id FROM v_stock) WHERE ledger_id % 3 <> 1"))
@@ -125,7 +129,7 @@ def effective_snapshots(v: Views) -> DataFrame:
     return effective(rows, F.col("ledger_id") % 3 == 0)
 
 
-@query(_row("V18", "pattern_id", "recognition and input method", "(SELECT DISTINCT pattern_id FROM v_version) WHERE pattern_id % 6 = 1 OR pattern_id % 2 = 0", "NULL").replace("pattern_id % 6 = 1 OR pattern_id % 2 = 0", "pattern_id % 6 = 1 OR (pattern_id % 2 = 0 AND pattern_id % 3 <> 1)"))
+@query(_row("V18", "pattern_id", "recognition and input method", "(SELECT DISTINCT pattern_id FROM v_version) WHERE pattern_id % 6 = 1 OR (pattern_id % 2 = 0 AND pattern_id % 3 <> 1)", "NULL"))
 def rule_confirmed(v: Views) -> DataFrame:
     rows = v.version.select("pattern_id").distinct().selectExpr("pattern_id", "case when pattern_id % 2 = 1 then 'manual' else 'legend' end as input_method", "case when pattern_id % 3 = 1 then 'legend' when pattern_id % 3 = 2 and pattern_id % 2 = 0 then 'grid' end as recognition_source")
     return R.confirmed(rows)
@@ -136,7 +140,34 @@ def rule_caps(v: Views) -> DataFrame:
     return R.over_cap(v.box, ["image_id"], 5)
 
 
-@query()
+_STOCK = _row("V3", "code", "not in the catalogue", "v_stock WHERE code NOT IN (SELECT code FROM v_palette)") + " UNION ALL " + _row("V3", "code", "missing", "(SELECT DISTINCT ledger_id FROM v_stock) l, v_palette p WHERE (l.ledger_id, p.code) NOT IN (SELECT ledger_id, code FROM v_stock)")
+
+
+@query(" UNION ALL ".join([
+    _STOCK,
+    _row("V5", "seq || '/' || code", "delta or range", "v_move WHERE qty_after IS NULL OR qty_before IS NULL OR qty_after < 0 OR qty_before < 0"),
+    _row("V7", "pattern_id || '/' || version || '/' || code", "not in the catalogue", "v_version WHERE code NOT IN (SELECT code FROM v_palette)", "NULL"),
+    _row("V19", "pattern_id || '/' || code", "not in the catalogue", "v_usage WHERE code NOT IN (SELECT code FROM v_palette)", "NULL"),
+    _row("V8", "pattern_id || '/' || confirmed_version", "current version missing", "v_pattern WHERE confirmed_version IS NOT NULL AND (pattern_id, confirmed_version) NOT IN (SELECT pattern_id, version FROM v_version)", "NULL"),
+    _row("V9", "pattern_id || '/' || version", "version missing", "v_make WHERE (pattern_id, version) NOT IN (SELECT pattern_id, version FROM v_version)"),
+    _row("V12", "pattern_id", "modified", "(SELECT DISTINCT pattern_id FROM v_usage) WHERE pattern_id % 7 = 0", "NULL"),
+    _row("V12", "pattern_id", "unknown code", "v_usage WHERE code NOT IN (SELECT code FROM v_palette)", "NULL"),
+    _row("V13", "pattern_id", "title", "(SELECT DISTINCT pattern_id FROM v_usage) WHERE pattern_id % 9 = 0", "NULL"),
+    _row("V16", "doc_id", "forbidden content", "v_docs WHERE contains(text, 'keystore') OR contains(text, 'privateKey')", "NULL"),
+    _row("V17", "'pending'", "snapshot pointer", "(SELECT DISTINCT ledger_id FROM v_stock) WHERE ledger_id % 3 = 0"),
+    _row("V18", "pattern_id", "recognition and input method", "(SELECT DISTINCT pattern_id FROM v_version) WHERE pattern_id % 6 = 1", "NULL"),
+    _row("O7", "image_id", "more than 256 rows", "(SELECT image_id FROM v_place GROUP BY 1 HAVING count(*) > 256)", "NULL"),
+]))
 def violations(v: Views) -> DataFrame:
+    """All rules in one job over the derived tables."""
     heads = v.cmd.groupBy("ledger_id").agg(F.max("seq").alias("seq")).selectExpr("ledger_id", "seq", "cast(0 as bigint) as epoch", "10 as low_stock_percent")
-    return R.validate({"palette": v.palette, "stock": v.stock, "operation": v.cmd, "movement": v.move, "pattern": v.pattern, "version": v.version.select("pattern_id", "version").distinct(), "version_line": v.version, "make": v.make, "head": heads})
+    lists, none = _lists(v), "cast(array() as array<struct<id:string,reason:string,raw:string,resolved:boolean>>)"
+    provenance = lists.selectExpr("pattern_id", "'legend' as source", "'partial' as status", "candidates", f"{none} as risks", "true as acknowledged", "pattern_id % 7 = 0 as modified", "candidates as final")
+    total = F.aggregate("candidates", F.lit(0).cast("bigint"), lambda s, c: s + c.getField("qty"))
+    recognition = lists.selectExpr("pattern_id as image_id", "candidates", "'ready' as status", "'legend' as source", "10 as n_evidence", "0 as n_doubts", "case when pattern_id % 9 = 0 then -1 end as title_total", "100 as width", "100 as height").withColumn("total", total)
+    ids = v.version.select("pattern_id").distinct()
+    return R.validate({
+        "palette": v.palette, "stock": v.stock, "operation": v.cmd, "movement": v.move, "pattern": v.pattern, "version": v.version.select("pattern_id", "version").distinct(), "version_line": v.version, "make": v.make, "head": heads,
+        "draft_line": v.usage, "provenance": provenance, "recognition": recognition, "confirmed": ids.selectExpr("pattern_id", "case when pattern_id % 2 = 1 then 'manual' else 'legend' end as input_method", "case when pattern_id % 6 = 1 or pattern_id % 2 = 0 then 'legend' end as recognition_source"),
+        "document": v.docs.select(F.col("doc_id").alias("key"), F.to_json(F.struct("text")).alias("json")), "pointer": v.stock.select("ledger_id").distinct().selectExpr("ledger_id", "case when ledger_id % 3 = 0 then 'pending' else 'live' end as pointer", "'x' as live", "cast(null as string) as pending"), "box": v.place,
+    })
