@@ -9,6 +9,7 @@ from ..functions.codes import CAPS
 from ..functions.quantities import prefill
 from ..operators import ledger as L
 from ..sources.bundles import export_stock
+from ..sources import bundles as B
 from ..sources.views import Views
 from .registry import query
 
@@ -218,3 +219,58 @@ def batch_prefill(v: Views) -> DataFrame:
 @query("""SELECT ledger_id, '{"format_version":2,"ledger_id":' || ledger_id || ',"stock":[' || string_agg('{"code":"' || code || '","qty":' || qty || ',"baseline":' || coalesce(CAST(baseline AS VARCHAR), 'null') || '}', ',' ORDER BY instr('ABCDEFGHM', substr(code, 1, 1)), CAST(substr(code, 2) AS INT)) || ']}' AS json FROM v_stock WHERE code IN (SELECT code FROM v_palette) GROUP BY ledger_id""")
 def exported_stock(v: Views) -> DataFrame:
     return export_stock(_catalogue_stock(v))
+
+
+def _parts(v: Views) -> dict[str, DataFrame]:
+    """The parts of ten ledgers: stock with every colour, their log, patterns with their versions, and makes."""
+    every = v.stock.select("ledger_id").distinct().crossJoin(F.broadcast(v.palette.select("code")))  # 221 colours a ledger
+    stock = every.join(v.stock, ["ledger_id", "code"], "left").selectExpr("ledger_id", "code", "coalesce(qty, 0) as qty", "coalesce(estimated, true) as estimated", "baseline", "coalesce(entered, false) as entered")
+    log = v.cmd.selectExpr("ledger_id % 10 as ledger_id", "event_id as seq", "op_type", "cast(at as string) as at", "concat(ledger_id, '-', request_id) as request_id", "payload", "code", "qty")
+    line = F.array_sort(F.collect_list(F.struct("code", "qty"))).alias("lines")
+    known = v.version.join(F.broadcast(v.palette.select("code")), "code").join(v.pattern.select("pattern_id", "ledger_id"), "pattern_id")
+    usages = known.groupBy("ledger_id", "pattern_id", "version").agg(line)
+    used = usages.select("pattern_id", "version", "lines")
+    return {
+        "stock": stock,
+        "operations": log.selectExpr("ledger_id", "seq", "op_type", "at", "request_id", "cast(null as string) as pattern_id", "cast(null as string) as make_id", "'' as reason"),
+        "movements": log.filter("qty is not null").selectExpr("ledger_id", "seq", "code", "0L as qty_before", "qty as qty_after", "qty as delta"),
+        "patterns": v.pattern.selectExpr("ledger_id", "cast(pattern_id as string) as pattern_id", "name", "'' as source_note", "'' as size_note", "confirmed_version", "if(archived, 'then', null) as archived_at", "named_struct('mime', 'image/png', 'base64', 'QUJD') as thumbnail"),
+        "usages": usages.selectExpr("ledger_id", "cast(pattern_id as string) as pattern_id", "version", "lines", "'manual' as input_method", "cast(null as bigint) as title_total", "cast(null as string) as recognition"),
+        "makes": v.make.join(used, ["pattern_id", "version"]).selectExpr("ledger_id", "cast(make_id as string) as make_id", "cast(pattern_id as string) as pattern_id", "version", "lines", "voided", "concat('m', make_id) as request_id"),
+        "requests": log.groupBy("ledger_id", "request_id").agg(F.min("payload").alias("payload")).withColumn("result", F.lit("ok")),
+    }
+
+
+def _heads(v: Views) -> DataFrame:
+    return v.stock.select("ledger_id").distinct().selectExpr("ledger_id", "0L as epoch", "7L as seq", "10L as low_stock_percent")
+
+
+_LINES = "SELECT o.ledger_id, u.pattern_id, u.version, count(*) AS n, sum(u.qty) AS qty FROM v_version u JOIN v_pattern o ON o.pattern_id = u.pattern_id WHERE u.code IN (SELECT code FROM v_palette) GROUP BY 1, 2, 3"
+
+
+@query(f"""WITH l AS ({_LINES}), h AS (SELECT DISTINCT ledger_id FROM v_stock) SELECT * FROM (
+SELECT h.ledger_id, 'stock' AS part, count(*) AS n, CAST(sum(coalesce(s.qty, 0)) AS BIGINT) AS total FROM h, v_palette p LEFT JOIN v_stock s ON s.ledger_id = h.ledger_id AND s.code = p.code GROUP BY 1
+UNION ALL SELECT ledger_id % 10, 'operations', count(*), CAST(sum(event_id) AS BIGINT) FROM v_cmd GROUP BY 1 UNION ALL SELECT ledger_id % 10, 'movements', count(*), CAST(sum(qty) AS BIGINT) FROM v_cmd WHERE qty IS NOT NULL GROUP BY 1
+UNION ALL SELECT ledger_id, 'patterns', count(*), CAST(sum(length(name)) AS BIGINT) FROM v_pattern GROUP BY 1 UNION ALL SELECT ledger_id, 'usages', count(*), CAST(sum(qty) AS BIGINT) FROM l GROUP BY 1
+UNION ALL SELECT m.ledger_id, 'makes', count(*), CAST(sum(l.qty) AS BIGINT) FROM v_make m JOIN l ON l.pattern_id = m.pattern_id AND l.version = m.version GROUP BY 1
+UNION ALL SELECT ledger_id % 10, 'requests', count(*), CAST(sum(length(payload)) AS BIGINT) FROM (SELECT ledger_id, request_id, min(payload) AS payload FROM v_cmd GROUP BY 1, 2) GROUP BY 1) WHERE ledger_id IN (SELECT ledger_id FROM h)""")
+def bundle_round_trip(v: Views) -> DataFrame:
+    """Exported, read again and checked: rows and a sum of each part of each accepted ledger."""
+    done = B.export_bundles(_heads(v), _parts(v), "now").filter("error is null")
+    read = B.migrated(B.parsed(done, v.palette))
+    lines = lambda x: F.aggregate(x["lines"], F.lit(0).cast("bigint"), lambda s, y: s + y["qty"])
+    value = {"stock": lambda x: x["qty"], "operations": lambda x: x["seq"], "movements": lambda x: x["delta"], "patterns": lambda x: F.length(x["name"]), "usages": lines, "makes": lines, "requests": lambda x: F.length(x["payload"])}
+    summed = [F.struct(F.lit(p).alias("part"), F.size(p).cast("long").alias("n"), F.aggregate(F.transform(p, f), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total")) for p, f in value.items()]
+    return read.select("ledger_id", F.inline(F.array(*summed)))
+
+
+@query("""WITH h AS (SELECT DISTINCT ledger_id FROM v_stock), a AS (SELECT h.ledger_id, p.code, coalesce(s.qty, 0) AS qty FROM h, v_palette p LEFT JOIN v_stock s ON s.ledger_id = h.ledger_id AND s.code = p.code)
+SELECT h.ledger_id, CAST(10 AS BIGINT) AS percent_before, CAST(20 AS BIGINT) AS percent_after, (SELECT count(*) FROM a WHERE a.ledger_id = h.ledger_id AND qty % 5 = 0) AS stock_changed, (SELECT count(*) FROM v_pattern x WHERE x.ledger_id = h.ledger_id) AS patterns_before, (SELECT count(*) FROM v_pattern x WHERE x.ledger_id = h.ledger_id AND NOT archived) AS patterns_after,
+(SELECT count(*) FROM v_make m JOIN (SELECT DISTINCT pattern_id, version FROM v_version WHERE code IN (SELECT code FROM v_palette)) u ON u.pattern_id = m.pattern_id AND u.version = m.version WHERE m.ledger_id = h.ledger_id) AS makes_before, CAST(0 AS BIGINT) AS makes_after, (SELECT count(*) FROM v_cmd c WHERE c.ledger_id % 10 = h.ledger_id AND qty IS NOT NULL) AS movements_before, (SELECT count(*) FROM v_cmd c WHERE c.ledger_id % 10 = h.ledger_id AND qty > 50) AS movements_after, h.ledger_id % 2 = 0 AS thumbnails FROM h""")
+def restore_counters(v: Views) -> DataFrame:
+    live = _parts(v) | {"head": _heads(v)}
+    backup = live | {
+        "head": _heads(v).withColumn("low_stock_percent", F.lit(20).cast("long")), "stock": live["stock"].withColumn("qty", F.col("qty") + (F.col("qty") % 5 == 0).cast("int")),
+        "patterns": live["patterns"].filter("archived_at is null").withColumn("thumbnail", F.expr("if(ledger_id % 2 = 0, thumbnail, null)")), "makes": live["makes"].filter("false"), "movements": live["movements"].filter("delta > 50"),
+    }
+    return B.counters(live, backup)

@@ -2,41 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import colour_key
+from ..functions.quantities import MAX_QTY, MAX_SAFE
+from ..functions.texts import refused_content
+from ..operators.ledger import stock_difference
 
 LINE = "array<struct<code:string,qty:bigint>>"
+THUMBNAIL = "struct<mime:string,base64:string>"
+#: The parts of a bundle, each an array of rows.
+PARTS = {
+    "stock": "struct<code:string,qty:bigint,estimated:boolean,baseline:bigint,entered:boolean>",
+    "operations": "struct<seq:bigint,op_type:string,at:string,request_id:string,pattern_id:string,make_id:string,reason:string>",
+    "movements": "struct<seq:bigint,code:string,qty_before:bigint,qty_after:bigint,delta:bigint>",
+    "patterns": f"struct<pattern_id:string,name:string,source_note:string,size_note:string,confirmed_version:int,archived_at:string,thumbnail:{THUMBNAIL}>",
+    "usages": f"struct<pattern_id:string,version:int,lines:{LINE},input_method:string,title_total:bigint,recognition:string>",
+    "makes": f"struct<make_id:string,pattern_id:string,version:int,lines:{LINE},voided:boolean,request_id:string>",
+    "requests": "struct<request_id:string,payload:string,result:string>",
+}
 #: One JSON document a ledger, formats 1 and 2.
-BUNDLE = (
-    "format_version int, exported_at string, ledger_id bigint, epoch bigint, seq bigint, low_stock_percent bigint, "
-    "stock array<struct<code:string,qty:bigint,estimated:boolean,baseline:bigint,entered:boolean>>, "
-    "operations array<struct<seq:bigint,op_type:string,at:string,request_id:string,pattern_id:string,make_id:string,reason:string>>, "
-    "movements array<struct<seq:bigint,code:string,qty_before:bigint,qty_after:bigint,delta:bigint>>, "
-    "patterns array<struct<pattern_id:string,name:string,size_note:string,confirmed_version:int,archived_at:string>>, "
-    f"usages array<struct<pattern_id:string,version:int,lines:{LINE},input_method:string,title_total:bigint>>, "
-    f"makes array<struct<make_id:string,pattern_id:string,version:int,lines:{LINE},voided:boolean>>, "
-    "requests array<struct<request_id:string,payload:string,result:string>>, _corrupt string"
-)
-
-
-def read_bundles(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """Bundles with ``error``: null, or why one is refused (S1, V14).  Truncated files come as one refused row."""
-    rows = spark.read.schema(BUNDLE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", whole_files).json(path)
-    return checked(rows)
+BUNDLE = "format_version int, exported_at string, ledger_id bigint, epoch bigint, seq bigint, low_stock_percent bigint, " + ", ".join(f"{k} array<{v}>" for k, v in PARTS.items()) + ", _corrupt string"
+#: A ledger with more rows in a part than this isn't one document: its export is refused.
+MOST_ROWS = 1_000_000
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """Bundles with the first reason to refuse them."""
-    manual = F.forall(F.coalesce("usages", F.array().cast("array<struct<pattern_id:string,version:int,lines:array<struct<code:string,qty:bigint>>,input_method:string,title_total:bigint>>")), lambda u: u.getField("input_method") == "manual")
-    twice = F.size(F.array_distinct(F.transform("makes", lambda m: m.getField("make_id")))) != F.size("makes")
+def read_bundles(spark: SparkSession, path: str, whole_files: bool = True, palette: DataFrame | None = None) -> DataFrame:
+    """Bundles with ``error``: null, or why one is refused (S1, V14, V15).  Truncated files come as one refused row."""
+    rows = spark.read.schema(BUNDLE).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", whole_files).json(path)
+    return checked(rows, palette)
+
+
+def parsed(rows: DataFrame, palette: DataFrame | None = None) -> DataFrame:
+    """The same for a column ``json``."""
+    return checked(rows.select(F.from_json("json", BUNDLE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("b")).select("b.*"), palette)
+
+
+def _every(part: str, ok) -> Column:
+    """Whether all elements of a part hold, nulls failing."""
+    return F.coalesce(F.forall(part, lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(True))
+
+
+def _alone(part: str, field: str) -> Column:
+    """Whether no two elements of a part have the same key."""
+    keys = F.transform(part, lambda x: x[field])
+    return F.coalesce(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(True))
+
+
+def checked(rows: DataFrame, palette: DataFrame | None = None) -> DataFrame:
+    """Bundles with the first reason to refuse them; with the catalogue, all its colours must be there and no other."""
+    number = lambda x: x.between(0, MAX_QTY)
+    lines = lambda x: x["lines"].isNotNull() & F.forall(x["lines"], lambda y: F.coalesce(number(y["qty"]), F.lit(False)) & y["code"].isNotNull())
+    named = F.transform("patterns", lambda x: x["pattern_id"])
+    there = lambda part: F.size(F.array_except(F.transform(part, lambda x: x["pattern_id"]), named)) == 0
+    whole = F.lit(True)
+    if palette is not None:
+        codes = F.array(*[F.lit(r["code"]) for r in palette.select("code").limit(1001).collect()])  # the catalogue
+        own = F.transform("stock", lambda x: x["code"])
+        whole = (F.size("stock") == F.size(codes)) & (F.size(F.array_except(codes, own)) == 0)
+        for part in ("usages", "makes"):
+            whole &= F.size(F.array_except(F.flatten(F.transform(part, lambda x: F.transform(x["lines"], lambda y: y["code"]))), codes)) == 0
+    filled = lambda x, *names: reduce(Column.__and__, [x[n].isNotNull() for n in names])
+    thumbnail = lambda x: x["thumbnail"]["mime"].isin("image/png", "image/jpeg") & (F.length(x["thumbnail"]["base64"]) > 0) & ~x["thumbnail"]["base64"].startswith("/")
+    elements = (
+        whole & _alone("stock", "code") & _every("stock", lambda x: filled(x, "code", "estimated", "entered") & number(x["qty"]) & (x["baseline"].isNull() | number(x["baseline"])))
+        & _alone("operations", "seq") & _every("operations", lambda x: (x["seq"] >= 0) & filled(x, "op_type", "at", "request_id", "reason"))
+        & _alone("makes", "make_id") & _every("makes", lambda x: filled(x, "make_id", "pattern_id", "version", "voided", "request_id") & lines(x)) & there("makes")
+        & _alone("patterns", "pattern_id") & _every("patterns", lambda x: filled(x, "pattern_id", "name") & thumbnail(x) & (x["archived_at"].isNull() | (F.trim(x["archived_at"]) != "")))
+        & _every("usages", lambda x: filled(x, "pattern_id", "version") & lines(x)) & there("usages")
+    )
+    manual = _every("usages", lambda x: (x["input_method"] == "manual") & x["recognition"].isNull())
+    arrays = reduce(Column.__and__, [F.col(k).isNotNull() for k in PARTS if k != "requests"])
+    safe = F.col("epoch").between(0, MAX_SAFE) & F.col("seq").between(0, MAX_SAFE) & (F.trim("exported_at") != "") & F.col("low_stock_percent").between(0, 100)
     error = (
-        F.when(F.col("_corrupt").isNotNull() | F.col("ledger_id").isNull(), "invalid-backup")
-        .when(F.col("format_version").isNull() | ~F.col("format_version").isin(1, 2), "unsupported-backup")
-        .when(F.col("stock").isNull() | F.col("movements").isNull() | F.col("patterns").isNull() | F.col("makes").isNull() | (F.coalesce(F.col("epoch"), F.lit(-1)) < 0), "invalid-backup")
-        .when((F.col("format_version") == 1) & ~manual, "invalid-backup")
-        .when(F.coalesce(twice, F.lit(False)), "invalid-backup")
+        F.when(F.col("_corrupt").isNotNull() | F.col("ledger_id").isNull() | F.col("format_version").isNull(), "invalid-backup")
+        .when(~F.col("format_version").isin(1, 2), "unsupported-backup")
+        .when(~arrays | ~F.coalesce(safe, F.lit(False)) | ((F.col("format_version") == 1) & ~manual), "invalid-backup")
+        .when(~F.coalesce(elements, F.lit(False)) | refused_content(F.to_json(F.struct(*PARTS))), "invalid-backup")
     )
     return rows.withColumn("error", error)
 
@@ -45,7 +90,7 @@ def migrated(rows: DataFrame) -> DataFrame:
     """Accepted bundles in format 2: no requests, nothing archived and no size note where format 1 had none."""
     ok = rows.filter("error is null")
     old = F.col("format_version") == 1
-    empty = F.array().cast("array<struct<request_id:string,payload:string,result:string>>")
+    empty = F.array().cast(f"array<{PARTS['requests']}>")
     return ok.withColumn("requests", F.when(old, empty).otherwise(F.coalesce("requests", empty))).withColumn(
         "patterns", F.transform("patterns", lambda p: p.withField("size_note", F.coalesce(p.getField("size_note"), F.lit(""))).withField("archived_at", F.when(~old, p.getField("archived_at"))))
     ).withColumn("format_version", F.lit(2))
@@ -53,7 +98,7 @@ def migrated(rows: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame) -> dict[str, DataFrame]:
     """One table per part of the bundles, keyed by ledger."""
-    out = {name: rows.select("ledger_id", F.inline(name)) for name in ("stock", "operations", "movements", "patterns", "usages", "makes", "requests")}
+    out = {name: rows.select("ledger_id", F.inline(name)) for name in PARTS}
     out["version_line"] = out["usages"].select("ledger_id", "pattern_id", "version", F.inline("lines"))
     out["make_line"] = out["makes"].select("ledger_id", "make_id", F.inline("lines"))
     out["head"] = rows.select("ledger_id", "epoch", "seq", "low_stock_percent")
@@ -67,6 +112,41 @@ def export_stock(stock: DataFrame) -> DataFrame:
     return stock.groupBy("ledger_id").agg(rows.alias("stock")).select("ledger_id", F.to_json(F.struct(F.lit(2).alias("format_version"), "ledger_id", "stock"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def export_bundles(heads: DataFrame, tables: dict[str, DataFrame], exported_at: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """One JSON document a ledger with all its parts (S3): ``ledger_id``, ``json``, ``error``.
+
+    ``heads``: ledger_id, epoch, seq, low_stock_percent; ``tables``: the parts by name, as
+    :func:`split` gives them.  Stock comes in catalogue order, other parts by their fields.  A
+    ledger with more than ``most_rows`` rows in a part is refused before anything is gathered.
+    """
+    rows, large = heads.select("ledger_id", "epoch", "seq", "low_stock_percent"), None
+    for part, table in tables.items():
+        over = table.groupBy("ledger_id").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("ledger_id")
+        large = over if large is None else large.unionByName(over)
+    large = large.distinct().withColumn("_large", F.lit(True))
+    for part, kind in PARTS.items():
+        table = tables[part].join(large, "ledger_id", "left_anti")
+        row = F.struct(*[c for c in table.columns if c != "ledger_id"]).cast(kind)
+        order = F.struct(colour_key(F.col("code")).alias("key"), row.alias("row")) if part == "stock" else F.struct(row.alias("row"))
+        gathered = table.groupBy("ledger_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias(part))
+        rows = rows.join(gathered, "ledger_id", "left").withColumn(part, F.coalesce(part, F.array().cast(f"array<{kind}>")))
+    rows = rows.join(large, "ledger_id", "left")
+    whole = F.struct(F.lit(2).alias("format_version"), F.lit(exported_at).alias("exported_at"), "ledger_id", "epoch", "seq", "low_stock_percent", *PARTS)
+    return rows.select("ledger_id", F.when(F.col("_large").isNull(), F.to_json(whole, {"ignoreNullFields": "false"})).alias("json"), F.when(F.col("_large"), "too-large").alias("error"))
+
+
+def counters(live: dict[str, DataFrame], backup: dict[str, DataFrame]) -> DataFrame:
+    """Per ledger what a restore would change (A5): stock rows that differ, and percents, patterns, makes and movements before and after; whether all thumbnails are there."""
+    rows = live["head"].select("ledger_id", F.col("low_stock_percent").alias("percent_before")).join(backup["head"].select("ledger_id", F.col("low_stock_percent").alias("percent_after")), "ledger_id", "full")
+    changed = stock_difference(backup["stock"], live["stock"]).groupBy("ledger_id").agg(F.count("*").alias("stock_changed"))
+    rows = rows.join(changed, "ledger_id", "left")
+    for part in ("patterns", "makes", "movements"):
+        for when, tables in (("before", live), ("after", backup)):
+            rows = rows.join(tables[part].groupBy("ledger_id").agg(F.count("*").alias(f"{part}_{when}")), "ledger_id", "left")
+    whole = backup["patterns"].groupBy("ledger_id").agg(F.bool_and(F.coalesce(F.length("thumbnail.base64") > 0, F.lit(False))).alias("thumbnails"))
+    return rows.join(whole, "ledger_id", "left").fillna(0).withColumn("thumbnails", F.coalesce("thumbnails", F.lit(True)))
+
+
 def write_bundles(bundles: DataFrame, path: str) -> None:
     """One line of JSON a ledger; every task writes its own files."""
     bundles.select("json").write.mode("overwrite").text(path)
