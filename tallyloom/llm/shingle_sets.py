@@ -16,6 +16,10 @@ propose all others:
   ones and both sets have frequent keys; so no key is shared with a chance of at most
   2^-k, 2^-41 with the defaults.  (Below a similarity of 0.75 all sets have all keys.)
 
+Keys come with their places in the order.  At a pair's first common key nothing before it
+is common, so the members from there on must be enough; pairs that share a passage and
+little else fail that, and only pairs that pass leave the join.
+
 The sample decides on speed, never on results.  Candidates are verified on whole sets:
 first one pair for each set, then what is not connected by those.
 
@@ -99,26 +103,29 @@ def frequent_members(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(rows: DataFrame, width: int, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``doc_id``, ``set_id``, ``n`` (members), ``fp`` (SimHash) and ``keys`` (members to join on) of each text."""
+    """``doc_id``, ``set_id``, ``n`` (members), ``fp`` (SimHash) and ``keys`` (members to join on) with their places ``at`` of each text."""
     common, _ = frequent
     kind, many = rows.schema["doc_id"].dataType.simpleString(), math.ceil(FEW / least) + 1
 
-    def keys(members: np.ndarray) -> np.ndarray:
+    def keys(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(members)
         often = common[np.minimum(np.searchsorted(common, members), len(common) - 1)] == members if len(common) else np.zeros(n, bool)
         rare, other, prefix = members[~often], members[often], n - math.ceil(least * n - _SLACK) + 1
         if prefix <= FEW or least < 0.75:
-            return np.concatenate([rare, other])[:prefix]
-        return np.concatenate([rare[:many], other[: many * (2 * len(rare) <= n)]])
+            return np.concatenate([rare, other])[:prefix], np.arange(prefix, dtype=np.int32)
+        some = other[: many * (2 * len(rare) <= n)]
+        place = np.concatenate([np.arange(min(many, len(rare))), len(rare) + np.arange(len(some))])
+        return np.concatenate([rare[:many], some]), place.astype(np.int32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             digests = [simhash_pivots.shingle_digests(t, width) for t in part.column(1).to_pylist()]
             sets = [np.unique(np.frombuffer(d, np.int64)) for d in digests]
-            columns = [part.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash_pivots.majority(d) for d in digests], pa.int64()), _lists([keys(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "fp", "keys"])
+            found = [keys(s) for s in sets]
+            columns = [part.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash_pivots.majority(d) for d in digests], pa.int64()), _lists([k for k, _ in found]), _lists([at for _, at in found])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", "fp", "keys", "at"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, set_id bigint, n int, fp bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, set_id bigint, n int, fp bigint, keys array<bigint>, at array<int>")
 
 
 def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -150,8 +157,9 @@ def _whole(rows: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
 
 def _possible(least: float) -> Column:
-    """Whether rows ``x`` and ``y`` of a key can reach the similarity by their sizes."""
-    return F.least("x.n", "y.n") >= F.lit(least) * F.greatest("x.n", "y.n") - _SLACK
+    """Whether rows ``x`` and ``y`` of a key can reach the similarity if it is the first that they have in common."""
+    after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    return after >= F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - _SLACK
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -188,14 +196,14 @@ def _close(unique: DataFrame) -> DataFrame:
 def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 16, rounds: int = 1) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly what the pairs of similarity ``least`` or more connect.
 
-    ``unique`` has ``set_id``, ``n``, ``fp`` and ``keys`` of distinct sets, ``rows`` the texts.
+    ``unique`` has ``set_id``, ``n``, ``fp``, ``keys`` and ``at`` of distinct sets, ``rows`` the texts.
     """
-    dealt = unique.select("set_id", "n", F.explode("keys").alias("key")).repartition("key")
+    dealt = unique.select("set_id", "n", F.explode(F.arrays_zip("keys", "at")).alias("k")).select("set_id", "n", "k.at", F.col("k.keys").alias("key")).repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     busy = cut(dealt.join(shared, "key"))
     del dealt, shared
     release(rows)
-    few, many = busy.filter(F.col("size") <= crowd), cut(busy.filter(F.col("size") > crowd).select("key", "set_id", "n", F.lit(False).alias("done")))
+    few, many = busy.filter(F.col("size") <= crowd), cut(busy.filter(F.col("size") > crowd).select("key", "set_id", "n", "at", F.lit(False).alias("done")))
     met = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.set_id") < F.col("y.set_id")) & _possible(least))
     pairs = cut(met.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).unionByName(_close(unique)).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(many.select("set_id"))
@@ -217,7 +225,7 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         limit = F.lit(crowd) if turn < rounds else F.lit(1 << 62)
         ending = outside.groupBy("key").agg(F.count("*").alias("left")).select("key", (F.col("left") <= limit).alias("ends"))
         picked = first.select("key", "set_id").unionByName(outside.join(ending.filter("ends"), "key").select("key", "set_id")).distinct()
-        probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "root"))
+        probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "at", "root"))
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least)
         pairs = cut(_ordered(probes.alias("x").join(held.alias("y"), met)).join(tried, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(_verified(pairs, sets, least)))
@@ -226,7 +234,7 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         tried = cut(tried.unionByName(pairs))
         on = held.join(ending.filter("not ends").select("key"), "key", "left_semi").drop("root", "main", "size", "most", "done")
         many = cut(on.join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(
-            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")))
+            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", "at", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")))
     return edges
 
 
@@ -238,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd:
     made = cut(prefixes(rows, width, least, frequent_members(rows, width)))
     found = cut(made.select("doc_id", "set_id"))
     distinct = cut(found.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows")))
-    edges = links(cut(made.select("set_id", "n", "fp", "keys").dropDuplicates(["set_id"])), rows, width, least, crowd, leaders, rounds)
+    edges = links(cut(made.select("set_id", "n", "fp", "keys", "at").dropDuplicates(["set_id"])), rows, width, least, crowd, leaders, rounds)
     del made
     linked = components(edges, "a", "b").join(distinct, F.col("node") == F.col("set_id")).select("set_id", "root", "first")
     least_ids = linked.groupBy("root").agg(F.min("first").alias("least"))
