@@ -119,20 +119,17 @@ def export_bundles(heads: DataFrame, tables: dict[str, DataFrame], exported_at:
     :func:`split` gives them.  Stock comes in catalogue order, other parts by their fields.  A
     ledger with more than ``most_rows`` rows in a part is refused before anything is gathered.
     """
-    rows, large = heads.select("ledger_id", "epoch", "seq", "low_stock_percent"), None
-    for part, table in tables.items():
-        over = table.groupBy("ledger_id").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("ledger_id")
-        large = over if large is None else large.unionByName(over)
-    large = large.distinct().withColumn("_large", F.lit(True))
+    rows = heads.select("ledger_id", "epoch", "seq", "low_stock_percent").withColumn("_large", F.lit(False))
     for part, kind in PARTS.items():
-        table = tables[part].join(large, "ledger_id", "left_anti")
+        counts = tables[part].groupBy("ledger_id").agg((F.count("*") > most_rows).alias("_over"))
+        table = tables[part].join(counts.filter("not _over"), "ledger_id", "left_semi")
         row = F.struct(*[c for c in table.columns if c != "ledger_id"]).cast(kind)
         order = F.struct(colour_key(F.col("code")).alias("key"), row.alias("row")) if part == "stock" else F.struct(row.alias("row"))
         gathered = table.groupBy("ledger_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias(part))
-        rows = rows.join(gathered, "ledger_id", "left").withColumn(part, F.coalesce(part, F.array().cast(f"array<{kind}>")))
-    rows = rows.join(large, "ledger_id", "left")
+        rows = rows.join(counts, "ledger_id", "left").join(gathered, "ledger_id", "left")
+        rows = rows.withColumns({part: F.coalesce(part, F.array().cast(f"array<{kind}>")), "_large": F.col("_large") | F.coalesce("_over", F.lit(False))}).drop("_over")
     whole = F.struct(F.lit(2).alias("format_version"), F.lit(exported_at).alias("exported_at"), "ledger_id", "epoch", "seq", "low_stock_percent", *PARTS)
-    return rows.select("ledger_id", F.when(F.col("_large").isNull(), F.to_json(whole, {"ignoreNullFields": "false"})).alias("json"), F.when(F.col("_large"), "too-large").alias("error"))
+    return rows.select("ledger_id", F.when(~F.col("_large"), F.to_json(whole, {"ignoreNullFields": "false"})).alias("json"), F.when(F.col("_large"), "too-large").alias("error"))
 
 
 def counters(live: dict[str, DataFrame], backup: dict[str, DataFrame]) -> DataFrame:

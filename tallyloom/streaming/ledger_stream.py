@@ -54,30 +54,26 @@ def current_results(results: DataFrame, identities: DataFrame, keys: list[str])
     return results.join(identities.select(*keys).distinct(), keys, "left_semi")
 
 
-def fold_blocks(batch: DataFrame, batch_id: int, table: str) -> None:
-    """Keep a micro-batch of block checkpoints as its own partition of a table (T4): for ``foreachBatch``.
+def fold_blocks(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """Keep a micro-batch of block checkpoints as its own partition of a shared folder (T4): for ``foreachBatch``.
 
     A retried batch replaces its own partition and nothing else; :func:`folded_blocks` reads the fold.
     """
-    new = _last(batch).withColumn("batch", F.lit(batch_id).cast("bigint"))
-    spark = batch.sparkSession
-    if not spark.catalog.tableExists(table):
-        new.limit(0).write.partitionBy("batch").saveAsTable(table)
-    new.select(spark.table(table).columns).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(table)
+    _last(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
 def _last(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("image_id", "block_id").agg(F.max_by("status", F.struct("at", "status")).alias("status"), F.max("at").alias("at"))
 
 
-def folded_blocks(spark: SparkSession, table: str) -> DataFrame:
+def folded_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The last checkpoint of each block over all batches (T4)."""
-    return _last(spark.table(table))
+    return _last(spark.read.parquet(folder))
 
 
-def compact_blocks(spark: SparkSession, table: str, into: str) -> None:
-    """Write the fold as a table of its own, so that a reader of many batches has one to read."""
-    folded_blocks(spark, table).write.mode("overwrite").saveAsTable(into)
+def compact_blocks(spark: SparkSession, folder: str, into: str) -> None:
+    """Write the fold as one batch of another folder, so that its readers have few files."""
+    folded_blocks(spark, folder).write.mode("overwrite").parquet(f"{into}/batch=0")
 
 
 def slow_requests(events: DataFrame, seconds: int = 30) -> DataFrame:

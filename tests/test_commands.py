@@ -1,5 +1,6 @@
 """The ordered fold, its stream, bundles, sinks and worked examples."""
 
+import datetime
 import json
 import struct
 import tempfile
@@ -7,39 +8,71 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tallyloom.functions.quantities import is_low, parse_quantity
-from tallyloom.operators import commands, ledger
+from tallyloom.operators import charts, commands, ledger, numeric, rules
 from tallyloom.sources import bundles, files
 from tallyloom.streaming import ledger_stream
 
-LOG = "ledger_id bigint, seq bigint, request_id string, op_type string, code string, qty bigint, payload string"
+LOG = "ledger_id bigint, seq bigint, request_id string, op_type string, lines array<struct<code:string,qty:bigint>>, payload string, make_id string"
+BOTH = [("A1", 95), ("b01", 4), ("C1", 0)]
 ROWS = [
-    (1, 1, "a", "first-entry", "a01", 100, "p"), (1, 2, "a", "first-entry", "a01", 100, "p"), (1, 3, "a", "first-entry", "a01", 90, "p"), (1, 4, "b", "first-entry", "A1", 5, "p"),
-    (1, 5, "c", "restock", "A1", 80, "p"), (1, 6, "c", "restock", "A1", 120, "p"), (1, 7, "d", "make", "A1", 95, "p"), (1, 8, "e", "make", "A1", 95, "p"),
-    (1, 9, "f", "void-make", "A1", 0, "p"), (1, 10, "g", "void-make", "A1", 0, "p"), (1, 11, "h", "count", "Z9", 1, "p"), (1, 12, "i", "count", "A1", None, "p"),
-    (1, 13, "j", "flag", "A1", 120, "p"), (1, 14, "k", "flag", "A1", 121, "p"), (2, 1, "a", "count", "A1", 7, "p"),
+    (1, 1, "a", "first-entry", [("a01", 100), ("B1", 5)], "p", None), (1, 2, "a", "first-entry", [("a01", 100), ("B1", 5)], "p", None), (1, 3, "a", "first-entry", [("a01", 90), ("B1", 5)], "p", None), (1, 4, "b", "first-entry", [("C1", 1), ("A1", 5)], "p", None),
+    (1, 5, "c", "restock", [("B1", 50), ("A1", 80)], "p", None), (1, 6, "c", "restock", [("A1", 120)], "p", None), (1, 7, "d", "make", BOTH, "p", None), (1, 8, "e", "make", BOTH, "p", None),
+    (1, 9, "f", "void-make", None, "p", "d"), (1, 10, "g", "void-make", None, "p", "d"), (1, 11, "h", "count", [("A1", 1), ("Z9", 1)], "p", None), (1, 12, "i", "count", [("A1", None)], "p", None),
+    (1, 13, "j", "flag", [("A1", 120)], "p", None), (1, 14, "k", "flag", [("A1", 121)], "p", None), (2, 1, "a", "count", [("A1", 7)], "p", None), (2, 2, "b", "void-make", None, "p", "d"),
+    (2, 3, "c", "make", [("A1", 7)], "p", None), (2, 4, "d", "count", [("A1", 1_000_000_000)], "p", None), (2, 5, "e", "void-make", None, "p", "c"), (2, 6, "f", "count", [("A1", 1), ("a1", 2)], "p", None),
 ]
-WANTED = ["ok", "replay", "request-conflict", "already-entered", "restock-decrease", "ok", "ok", "insufficient", "ok", "missing-make", "unknown-color", "invalid-number", "noop", "flag-qty-changed", "ok"]
+WANTED = ["ok", "replay", "request-conflict", "already-entered", "restock-decrease", "ok", "ok", "insufficient", "ok", "already-voided", "unknown-color", "invalid-number", "noop", "flag-qty-changed", "ok", "missing-make", "ok", "ok", "invalid-number", "duplicate-color"]
 
 
 def palette(spark):
-    return spark.createDataFrame([("A1",), ("B1",)], "code string")
+    return spark.createDataFrame([("A1",), ("B1",), ("C1",)], "code string")
 
 
 def test_fold(spark):
     got = commands.fold_commands(spark.createDataFrame(ROWS, LOG), palette(spark)).orderBy("ledger_id", "seq").collect()
     assert [r.result for r in got] == WANTED
-    assert [r.qty_after for r in got if r.result == "ok"] == [100, 120, 25, 120, 7]
+    moved = {(r.ledger_id, r.seq): [tuple(m) for m in r.moves] for r in got}
+    assert moved[1, 7] == [("A1", 120, 25), ("B1", 5, 1)] and moved[1, 9] == [("A1", 25, 120), ("B1", 1, 5)] and moved[1, 2] == moved[1, 1]
+    assert [tuple(g) for g in got[7].gaps] == [("A1", 95, 25), ("B1", 4, 1)] and moved[1, 5] == []  # all colours or none
+    assert [r.head_seq for r in got if r.ledger_id == 2] == [1, 1, 2, 3, 3, 3]
 
 
-def test_stream_equals_fold(spark):
+def _stream(spark, batches, schema):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    for part in (ROWS[:6], ROWS[6:]):
-        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
-    source = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 10).parquet(folder)
-    query = ledger_stream.apply_stream(source, palette(spark)).writeStream.format("memory").queryName("applied").outputMode("append").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _run(rows, name, mode="append"):
+    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = spark.table("applied").orderBy("ledger_id", "seq").collect()
-    assert [r.result for r in got] == WANTED
+    return query
+
+
+def test_stream_equals_fold(spark):
+    _run(ledger_stream.apply_stream(_stream(spark, (ROWS[:6], ROWS[6:8], ROWS[8:]), LOG), palette(spark)), "applied")
+    fold = commands.fold_commands(spark.createDataFrame(ROWS, LOG), palette(spark))
+    assert sorted(map(str, spark.table("applied").collect())) == sorted(map(str, fold.collect()))
+
+
+def test_once_per_request(spark):
+    """A repeat in a later batch is dropped as well."""
+    kind = "ledger_id bigint, request_id string, at timestamp"
+    at = datetime.datetime(2024, 1, 1)
+    source = _stream(spark, ([(1, "a", at), (1, "a", at), (2, "a", at)], [(1, "a", at), (1, "b", at)]), kind)
+    _run(ledger_stream.once_per_request(source), "once")
+    assert sorted((r.ledger_id, r.request_id) for r in spark.table("once").collect()) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_slow_requests_and_alerts(spark):
+    """A result ends a request (T5); movements that leave a colour low are alerts."""
+    source = _stream(spark, ([(1, "request"), (2, "request")], [(1, "result")]), "image_id bigint, kind string")
+    _run(ledger_stream.slow_requests(source, 600), "slow")
+    assert [tuple(r) for r in spark.table("slow").collect()] == [(1, "done")]
+    moves = _stream(spark, ([(1, "A1", 10, 100), (1, "B1", 11, 100), (2, "A1", 20, 100)],), "ledger_id bigint, code string, qty_after bigint, baseline_after bigint")
+    _run(ledger_stream.low_alerts(moves, spark.createDataFrame([(2, 20)], "ledger_id bigint, low_stock_percent bigint")), "alerts")
+    assert sorted((r.ledger_id, r.code) for r in spark.table("alerts").collect()) == [(1, "A1"), (2, "A1")]
 
 
 def test_low_stock_and_gaps(spark):
@@ -57,19 +90,82 @@ def test_quantities(spark):
     assert {r.raw: r.p.reason for r in got} == cases
 
 
+def _bundle(**other):
+    row = {"code": "A1", "qty": 5, "estimated": True, "baseline": None, "entered": True}
+    pattern = {"pattern_id": "p", "name": "n", "source_note": "", "size_note": None, "confirmed_version": 1, "archived_at": None, "thumbnail": {"mime": "image/png", "base64": "QUJD"}}
+    usage = {"pattern_id": "p", "version": 1, "lines": [{"code": "A1", "qty": 1}], "input_method": "manual", "title_total": None, "recognition": None}
+    make = {"make_id": "m", "pattern_id": "p", "version": 1, "lines": [{"code": "A1", "qty": 1}], "voided": False, "request_id": "r"}
+    operation = {"seq": 1, "op_type": "count", "at": "t", "request_id": "r", "pattern_id": None, "make_id": None, "reason": ""}
+    out = {"format_version": 2, "exported_at": "now", "ledger_id": 1, "epoch": 0, "seq": 3, "low_stock_percent": 10, "stock": [row, row | {"code": "B1"}, row | {"code": "C1"}], "operations": [operation], "movements": [], "patterns": [pattern], "usages": [usage], "makes": [make], "requests": []}
+    return {k: v(out[k]) if callable(v) else v for k, v in (out | other).items()}
+
+
 def test_bundles(spark):
+    """Each fault of a header or an element refuses the bundle; format 1 is brought up to 2."""
+    first = lambda **x: lambda rows: [rows[0] | x, *rows[1:]]
+    line = [{"code": "Q9", "qty": 1}]
+    bad = [
+        {"exported_at": " "}, {"epoch": -1}, {"seq": 2**53}, {"low_stock_percent": 101}, {"makes": None}, {"stock": lambda rows: rows[1:]}, {"stock": first(code="B1")}, {"stock": first(qty=-1)}, {"stock": first(entered=None)}, {"stock": first(baseline=10**10)},
+        {"operations": lambda rows: rows * 2}, {"operations": first(reason=None)}, {"operations": first(seq=-1)}, {"makes": lambda rows: rows * 2}, {"makes": first(lines=line)}, {"makes": first(pattern_id="q")}, {"makes": first(voided=None)},
+        {"patterns": first(thumbnail=None)}, {"patterns": first(thumbnail={"mime": "image/gif", "base64": "QUJD"})}, {"patterns": first(thumbnail={"mime": "image/png", "base64": "/data/x"})}, {"patterns": first(archived_at=" ")}, {"patterns": lambda rows: rows * 2},
+        {"usages": first(lines=None)}, {"usages": first(pattern_id="q")}, {"usages": first(version=None)}, {"usages": first(input_method="legend"), "format_version": 1}, {"operations": first(reason="keystore")}, {"ledger_id": None},
+    ]
+    old = _bundle(format_version=1, requests=None, ledger_id=2, patterns=first(archived_at="x", size_note=None))
+    cases = [(json.dumps(_bundle()), None), (json.dumps(old), None), (json.dumps(_bundle(format_version=99)), "unsupported-backup"), (json.dumps(_bundle())[:60], "invalid-backup"), ("", "invalid-backup")] + [(json.dumps(_bundle(**x)), "invalid-backup") for x in bad]
+    got = bundles.parsed(spark.createDataFrame([(text,) for text, _ in cases], "json string").coalesce(1), palette(spark)).select("error").collect()
+    assert [r.error for r in got] == [error for _, error in cases]
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    good = {"format_version": 2, "ledger_id": 1, "epoch": 0, "seq": 3, "low_stock_percent": 10, "stock": [{"code": "A1", "qty": 5, "estimated": True, "baseline": None, "entered": True}], "operations": [], "movements": [], "patterns": [], "usages": [], "makes": [], "requests": []}
-    old = good | {"format_version": 1, "ledger_id": 2, "requests": None, "patterns": [{"pattern_id": "p", "name": "n", "size_note": None, "confirmed_version": None, "archived_at": "x"}]}
-    twice = good | {"ledger_id": 3, "makes": [{"make_id": "m"}, {"make_id": "m"}]}
-    for i, text in enumerate([json.dumps(good), json.dumps(old), json.dumps(twice), json.dumps(good | {"format_version": 99}), json.dumps(good)[:40]]):
+    for i, (text, _) in enumerate(cases[:4]):
         with open(f"{folder}/{i}.json", "w") as f:
             f.write(text)
-    read = bundles.read_bundles(spark, folder)
-    assert sorted(str(r.error) for r in read.select("error").collect()) == ["None", "None", "invalid-backup", "invalid-backup", "unsupported-backup"]
+    read = bundles.read_bundles(spark, folder, palette=palette(spark))
+    assert sorted(str(r.error) for r in read.select("error").collect()) == ["None", "None", "invalid-backup", "unsupported-backup"]
     parts = bundles.split(bundles.migrated(read))
-    assert parts["stock"].count() == 2
-    assert [(r.size_note, r.archived_at) for r in parts["patterns"].collect()] == [("", None)]
+    assert parts["stock"].count() == 6 and parts["make_line"].count() == 2
+    assert sorted((r.size_note, r.archived_at) for r in parts["patterns"].collect() if r.ledger_id == 2) == [("", None)]
+
+
+def test_round_trip(spark):
+    """What is exported is read back as it was; a ledger of too many rows is refused."""
+    text = json.dumps(_bundle())
+    read = bundles.split(bundles.migrated(bundles.parsed(spark.createDataFrame([(text,)], "json string"))))
+    parts = {name: spark.createDataFrame(rows.collect(), rows.schema) for name, rows in read.items()}
+    out = bundles.export_bundles(parts["head"], parts, "now")
+    again = bundles.split(bundles.migrated(bundles.parsed(out, palette(spark))))
+    for name in bundles.PARTS:
+        assert sorted(map(str, again[name].collect())) == sorted(map(str, parts[name].collect())), name
+    assert [(r.json, r.error) for r in bundles.export_bundles(parts["head"], parts, "now", most_rows=2).collect()] == [(None, "too-large")]
+
+
+def test_kept_boxes_only(spark):
+    """A box close to a dropped one only is kept (J28), and the nearest number counts."""
+    boxes = spark.createDataFrame([(1, 0, 0, 0, 9, 9), (1, 1, 3, 0, 9, 9), (1, 2, 6, 0, 9, 9)], "image_id bigint, id bigint, x int, y int, w int, h int")
+    assert sorted(r.id for r in charts.near_identical(boxes).collect()) == [0, 2]
+    marks = spark.createDataFrame([(1, 9, 0, 0, 10, 10)], boxes.schema)
+    words = spark.createDataFrame([(1, 1, 14, 0, 9, 9), (1, 2, 11, 0, 9, 9)], boxes.schema)
+    assert [r.number_id for r in charts.adjacent_numbers(marks, words).collect()] == [2]
+    many = spark.range(300).selectExpr("1 as image_id", "id", "0 as x", "0 as y", "9 as w", "9 as h")
+    assert charts.near_identical(many).count() == 0 and [r.key for r in rules.over_cap(many, ["image_id"], 256).collect()] == ["1"]
+
+
+def test_lattice(spark):
+    """A gap, a repeat, a stray and a jitter don't move the lattice; counts out of bounds and noise are said."""
+    points = [("a", x) for x in (10, 30, 50, 51, 90, 110, 117, 130, 150, 170)] + [("b", x) for x in (1, 2)] + [("c", x) for x in (0, 7, 21, 49, 111, 240, 377)] + [("d", x) for x in range(0, 4000, 10)]
+    got = {r.key: r for r in numeric.lattice(spark.createDataFrame([(k, x, 20 if k == "c" else 400) for k, x in points], "key string, pos int, length int")).collect()}
+    assert {k: r.state for k, r in got.items()} == {"a": "fitted", "b": "too-few", "c": "no-lattice", "d": "too-many"}
+    assert abs(got["a"].step - 20) < 0.3 and abs(got["a"].start - 10) < 1.5 and abs(got["a"].end - 170) < 1.5 and got["a"].share == 0.9
+
+
+def test_files(spark):
+    """Palettes (S6), results (S8) and references (S10) come as they were written; ids that stand twice are refused."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name, rows in (("p", [{"code": "A1", "grp": "A", "r": 1, "g": 2, "b": 3}]), ("q", [{"id": "x", "status": "ok", "expected": {"A1": 2}}, {"id": "y"}, {"id": "y"}]), ("r", [{"status": "ready"}])):
+        with open(f"{folder}/{name}.json", "w") as f:
+            f.write("\n".join(map(json.dumps, rows)))
+    assert [tuple(r) for r in files.read_palette(spark, f"{folder}/p.json").collect()] == [("A1", "A", 1, 2, 3)]
+    good, twice = files.read_references(spark, f"{folder}/q.json")
+    assert [tuple(r) for r in good.collect()] == [("x", "ok", "A1", 2)] and [tuple(r) for r in twice.collect()] == [("y", 2)]
+    assert [(r.image_id, r.status) for r in files.read_results(spark, f"{folder}/r.json").collect()] == [("r.json", "ready")]
 
 
 def test_images(spark):
@@ -91,7 +187,11 @@ def test_evidence_csv(spark):
 
 
 def test_blocks_are_idempotent(spark):
-    rows = spark.createDataFrame([(1, 1, "failed", 1), (1, 1, "read", 2), (1, 2, "read", 1)], "image_id bigint, block_id bigint, status string, at bigint")
-    for _ in range(2):
-        ledger_stream.fold_blocks(rows, "blocks_seen")
-    assert sorted(map(tuple, spark.table("blocks_seen").select("block_id", "status").collect())) == [(1, "read"), (2, "read")]
+    rows = spark.createDataFrame([(1, 1, "failed", 1), (1, 1, "read", 2), (1, 2, "failed", 1)], "image_id bigint, block_id bigint, status string, at bigint")
+    later = spark.createDataFrame([(1, 2, "read", 3)], rows.schema)
+    seen, folded = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    for batch, part in ((0, rows), (0, rows), (1, later), (0, rows)):  # batches are retried
+        ledger_stream.fold_blocks(part, batch, seen)
+    assert sorted((r.block_id, r.status) for r in ledger_stream.folded_blocks(spark, seen).collect()) == [(1, "read"), (2, "read")]
+    ledger_stream.compact_blocks(spark, seen, folded)
+    assert spark.read.parquet(folded).count() == 2 and spark.read.parquet(seen).count() == 3
