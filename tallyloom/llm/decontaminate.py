@@ -13,7 +13,8 @@ kept in the shared folder), so no window is dropped.
 
 Defined results: null texts have no words; items without words, without id or null
 match nothing; rows of one item id count as one item; repeated documents give
-repeated rows; an empty table on either side gives no hits.
+repeated rows; a very long text is a batch of its own; other columns, whatever their
+names, are neither read nor returned; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations

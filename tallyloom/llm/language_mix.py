@@ -48,7 +48,7 @@ def counts(labelled: DataFrame, buckets: int = 1 << 15) -> DataFrame:
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if lang not in seen:
                     seen[lang] = np.zeros(buckets, np.int64)
-                seen[lang] += np.bincount(trigrams(text, buckets), minlength=buckets) if len(text) > buckets // 8 else _few(text, buckets)
+                seen[lang] += np.bincount(trigrams(text, buckets), minlength=buckets)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
@@ -57,10 +57,6 @@ def counts(labelled: DataFrame, buckets: int = 1 << 15) -> DataFrame:
     return rows.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _few(text: str, buckets: int) -> np.ndarray:
-    return np.bincount(trigrams(text, buckets), minlength=buckets)
-
-
 class Model:
     """Log-probabilities of trigram buckets by language."""
 
