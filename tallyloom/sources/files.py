@@ -76,7 +76,10 @@ def image_header(content: pd.Series) -> pd.DataFrame:
 def image_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder: kind, size as shown, and whether they can be taken."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    read = rows.select("path", "length", F.pandas_udf(image_header, HEADER)("content").alias("h")).select("path", "length", "h.*")
+    # a filter on the length reaches the reader, so files over the limit aren't read
+    small = rows.filter(F.col("length") <= MOST_BYTES).select("path", "length", F.pandas_udf(image_header, HEADER)("content").alias("h")).select("path", "length", "h.*")
+    large = rows.filter(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast(f"struct<{HEADER.replace(' ', ':').replace(',:', ',')}>").alias("h")).select("path", "length", "h.*")
+    read = small.unionByName(large)
     shown = oriented(F.col("stored_width"), F.col("stored_height"), F.col("orientation"))
     ok = F.col("mime").isNotNull() & ~F.col("moving") & (F.col("length") <= MOST_BYTES) & (F.col("stored_width") > 0) & (F.col("stored_height") > 0) & (F.col("stored_width") * F.col("stored_height") <= MOST_PIXELS)
     return read.withColumn("shown", shown).select("path", "length", "mime", F.col("shown.width").alias("width"), F.col("shown.height").alias("height"), F.coalesce(ok, F.lit(False)).alias("accepted"))
