@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_extract, byte_bpe, decontaminate, language_mix, line_crf, line_dedup, orc_tokens, simhash_pivots, tool_calls, warc_index
+from . import block_extract, byte_bpe, decontaminate, language_mix, line_crf, line_dedup, merkle_windows, orc_tokens, simhash_pivots, tool_calls, url_trees, warc_index, whitening
 from .common import shared_folder
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -75,6 +75,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "dropped_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(_table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_windows.verified(merkle_windows.manifest(_table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it doesn't fit a long; ``deviation_exact`` always has it."""
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("deviation", "deviation_exact")
+    fits = F.col("deviation_exact") <= F.lit(2**63 - 1)
+    return white.select("vec_id", "component", "n", F.when(fits, F.col("deviation_exact").cast("bigint")).alias("deviation"), "whitened", "explained", "identity_error", "deviation_exact")
+
+
 OP1_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -135,10 +150,54 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
 """
 
+OP12_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT doc_id AS id, list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384::BIGINT * (xor(c, b) & 1))) AS c
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), fields AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+    coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n0, coalesce(length(CAST(n_chars::HUGEINT + 1 AS VARCHAR)) || ':' || CAST(n_chars::HUGEINT + 1 AS VARCHAR), '-') AS n1
+  FROM documents
+), l AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, sha256(head || n0 || tail) AS leaf,
+    CASE WHEN xor(c, 4294967295::BIGINT) % 7 = 0 THEN sha256(head || n1 || tail) ELSE sha256(head || n0 || tail) END AS changed
+  FROM fields LEFT JOIN bits ON bits.id = fields.doc_id
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM l
+), tree AS (
+  SELECT g, 0 AS lvl, i, m, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE m > 1 GROUP BY g, lvl, i // 2, m
+), subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM tree WHERE m = 1
+), crown AS (
+  SELECT 0 AS lvl, i, m, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM crown WHERE m > 1 GROUP BY lvl, i // 2, m
+), levels AS (SELECT DISTINCT g, lvl, m FROM tree WHERE m > 1), upper_levels AS (SELECT DISTINCT lvl, m FROM crown WHERE m > 1),
+steps AS (
+  SELECT l.g, l.i, v.lvl, CASE WHEN (l.i >> v.lvl) % 2 = 1 THEN 'L' ELSE 'R' END AS side, coalesce(t.h, '') AS h
+  FROM leaves l JOIN levels v ON v.g = l.g LEFT JOIN tree t ON t.g = l.g AND t.lvl = v.lvl AND t.i = xor(l.i >> v.lvl, 1)
+), low AS (SELECT g, i, list(side || h ORDER BY lvl) AS path FROM steps GROUP BY g, i),
+high AS (
+  SELECT s.g, list(CASE WHEN (s.i >> v.lvl) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(c.h, '') ORDER BY v.lvl) AS path
+  FROM subroots s, upper_levels v LEFT JOIN crown c ON c.lvl = v.lvl AND c.i = xor(s.i >> v.lvl, 1) GROUP BY s.g
+), whole AS (
+  SELECT l.doc_id, l.leaf, l.changed, s.subroot, (SELECT h FROM crown WHERE m = 1) AS root, coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM leaves l JOIN subroots s ON s.g = l.g LEFT JOIN low ON low.g = l.g AND low.i = l.i LEFT JOIN high ON high.g = l.g
+), done AS (
+  SELECT *, list_reduce([changed] || path, lambda a, s: CASE WHEN s[1:1] = 'L' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_line_crf, op3_byte_bpe, op4_tool_calls, op5_block_extract, op6_simhash_pivots, op7_language_mix, op8_decontaminate, op9_orc_tokens, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_warc_index, op2_line_crf, op3_byte_bpe, op4_tool_calls, op5_block_extract, op6_simhash_pivots, op7_language_mix, op8_decontaminate, op9_orc_tokens, op10_line_dedup, op11_url_trees, op12_merkle_windows, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_warc_index": OP1_SQL, "op8_decontaminate": OP8_SQL, "op10_line_dedup": OP10_SQL, "op12_merkle_windows": OP12_SQL}
