@@ -8,6 +8,7 @@ whole before boxes are compared (rule O7), and :func:`..rules.over_cap` lists th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,19 +75,47 @@ def within_cap(boxes: DataFrame, cap: int = MOST_BOXES, key: str = "image_id") -
     return boxes.join(boxes.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > cap).select(key), key, "left_anti")
 
 
-def _pairs(boxes: DataFrame, *keys: str):
-    boxes = within_cap(boxes)
-    a, b = boxes.alias("l"), boxes.alias("r")
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(f"l.{k}") == F.col(f"r.{k}")
-    return a, b, on
+def _covered(box: Column, size: Column) -> Column:
+    """The grid cells of an edge length that a box covers."""
+    first = lambda c: F.floor(box[c] / size)
+    last = lambda c, d: F.ceil((box[c] + box[d]) / size) - 1
+    across = F.sequence(first("x"), F.greatest(first("x"), last("x", "w")))
+    down = F.sequence(first("y"), F.greatest(first("y"), last("y", "h")))
+    return F.flatten(F.transform(across, lambda i: F.transform(down, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def meeting_boxes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs ``l``, ``r`` (structs of the boxes) of equal ``keys`` that have area in common, each once.
+
+    A spatial join on grids of several sizes: a box belongs to the grid whose cells are just as
+    long as its longer side, where it covers four cells at most.  The smaller box of a pair
+    looks it up in the larger one's grid, and the pair counts in the cell of its common
+    area's first corner only.  So an image with 40 000 boxes is no pair of all with all:
+    work grows with boxes times sizes, and with the pairs that are close.  Boxes without area meet none.
+    """
+    def graded(rows: DataFrame, name: str) -> DataFrame:
+        level = F.ceil(F.log2(F.greatest("w", "h", F.lit(1)))).cast("int")
+        return rows.filter((F.col("w") > 0) & (F.col("h") > 0)).select(*keys, F.struct(*rows.columns).alias(name), level.alias("level"))
+
+    def met(small: DataFrame, a: str, large: DataFrame, b: str, equal: bool) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("level"))
+        grids = large.select(*keys, "level").distinct()  # some twenty an image
+        above = F.col("_own") <= F.col("level") if equal else F.col("_own") < F.col("level")
+        looking = small.withColumnRenamed("level", "_own").join(grids, keys).filter(above).select(*keys, a, "level", F.inline(_covered(F.col(a), size)))
+        kept = large.select(*keys, b, "level", F.inline(_covered(F.col(b), size)))
+        both = looking.join(kept, [*keys, "level", "cx", "cy"])
+        corner = [F.floor(F.greatest(F.col(a)[c], F.col(b)[c]) / size) for c in "xy"]
+        common = reduce(Column.__and__, [F.least(F.col(a)[c] + F.col(a)[d], F.col(b)[c] + F.col(b)[d]) > F.greatest(F.col(a)[c], F.col(b)[c]) for c, d in ("xw", "yh")])
+        return both.filter((corner[0] == F.col("cx")) & (corner[1] == F.col("cy")) & common).select("l", "r")
+
+    one, other = graded(left, "l"), graded(right, "r")
+    return met(one, "l", other, "r", True).unionByName(met(other, "r", one, "l", False))
 
 
 def overlapping_pairs(boxes: DataFrame, tenths: int = 8) -> DataFrame:
     """Pairs of equal code and quantity that stand at the same place of an image."""
-    a, b, on = _pairs(boxes, "image_id", "code", "qty")
-    return a.join(b, on & (F.col("l.id") < F.col("r.id")) & overlaps("l.", "r.", tenths)).select(F.col("l.image_id").alias("image_id"), F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"))
+    pairs = meeting_boxes(boxes, boxes, ["image_id", "code", "qty"]).filter((F.col("l.id") < F.col("r.id")) & overlaps("l.", "r.", tenths))
+    return pairs.select("l.image_id", F.col("l.id").alias("first_id"), F.col("r.id").alias("second_id"))
 
 
 def _kept_in_order(boxes: DataFrame, keys: list[str], same: Callable[[Column, Column], Column]) -> DataFrame:
@@ -135,15 +164,15 @@ def counted_once(boxes: DataFrame, tenths: int = 8) -> tuple[DataFrame, DataFram
 def shared_quantities(boxes: DataFrame, field: tuple[str, str, str, str] = ("x", "y", "w", "h")) -> DataFrame:
     """Boxes of an image whose quantity fields (four columns) overlap another one's: ambiguous."""
     named = boxes.select("image_id", "id", *[F.col(c).alias(k) for c, k in zip(field, "xywh")])
-    a, b, on = _pairs(named, "image_id")
-    return a.join(b, on & (F.col("l.id") != F.col("r.id")) & overlaps("l.", "r."), "left_semi").select("image_id", "id")
+    pairs = meeting_boxes(named, named, ["image_id"]).filter((F.col("l.id") != F.col("r.id")) & overlaps("l.", "r."))
+    return pairs.select("l.image_id", "l.id").distinct()
 
 
 def outside(boxes: DataFrame, regions: DataFrame) -> DataFrame:
-    """Boxes that overlap no region of their image."""
-    r = regions.select(F.col("image_id").alias("rid"), *[F.col(c).alias(f"r{c}") for c in "xywh"])
-    named = boxes.select("*", *[F.col(c).alias(f"l{c}") for c in "xywh"])
-    return named.join(r, (F.col("image_id") == F.col("rid")) & overlaps("l", "r"), "left_anti").drop(*[f"l{c}" for c in "xywh"])
+    """Boxes (by image_id and id) that overlap no region of their image."""
+    place = ["image_id", *"xywh"]
+    inside = meeting_boxes(boxes.select("id", *place), regions.select(*place), ["image_id"]).filter(overlaps("l.", "r.")).select("l.image_id", "l.id")
+    return boxes.join(inside, ["image_id", "id"], "left_anti").select(*boxes.columns)
 
 
 def near_identical(boxes: DataFrame, edge: int = 3) -> DataFrame:
@@ -153,7 +182,8 @@ def near_identical(boxes: DataFrame, edge: int = 3) -> DataFrame:
 
 def vetoed(candidates: DataFrame, rejected: DataFrame) -> DataFrame:
     """Candidates with a rejected number of the same code over half their place."""
-    return candidates.alias("l").join(rejected.alias("r"), (F.col("l.image_id") == F.col("r.image_id")) & (F.col("l.code") == F.col("r.code")) & (F.col("l.id") != F.col("r.id")) & overlaps("l.", "r.", 5), "left_semi").select("image_id", "id", "code")
+    pairs = meeting_boxes(candidates, rejected, ["image_id", "code"]).filter((F.col("l.id") != F.col("r.id")) & overlaps("l.", "r.", 5))
+    return pairs.select("l.image_id", "l.id", "l.code").distinct()
 
 
 #: A catalogue has 221 colours; more swatches than this aren't one.

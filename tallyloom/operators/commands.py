@@ -1,13 +1,10 @@
-"""Ledger commands: set-based forms for one command per ledger and round, and the ordered fold of a whole log.
+"""Ledger commands in set-based forms, for one command per ledger and round; :mod:`.command_log` folds whole logs in order.
 
 Rejections are rows with a code, never exceptions.  A batch succeeds or fails as one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.codes import plain_code
 from ..functions.quantities import MAX_QTY, parse_quantity, title_blocked
 from ..functions.texts import canonical_items, canonical_json, has_risk, payload_key, rejected_items_hold
+from .command_log import FIRST, FLAG, RESTOCK
 
-FIRST, COUNT, RESTOCK, FLAG, MAKE, VOID = "first-entry", "count", "restock", "flag", "make", "void-make"
 
 
 def preview_lines(items: DataFrame, stock: DataFrame, palette: DataFrame) -> DataFrame:
@@ -269,134 +266,3 @@ def line_errors(lines: DataFrame, palette: DataFrame) -> DataFrame:
 def valid_sums(lines: DataFrame) -> DataFrame:
     """Per form the sum of the quantities that can be read; others count nothing."""
     return lines.groupBy("form").agg(F.sum(F.coalesce(parse_quantity(F.col("qty"))["value"], F.lit(0))).alias("total"))
-
-
-class Ledger:
-    """State of one ledger while its commands are folded in order: balances by colour, makes and the journal."""
-
-    def __init__(self):
-        self.stock: dict[str, list] = {}  # qty, baseline, entered
-        self.journal: dict[str, tuple] = {}
-        self.makes: dict[str, list] = {}  # lines, voided
-        self.seq = 0
-
-    def apply(self, kind: str, lines: list, request: str, payload: str, make_id: str | None = None) -> tuple[str, list, list]:
-        """Result, movements (code, before, after) and gaps (code, need, have); a replay repeats the stored result without effect."""
-        if request in self.journal:
-            same, stored = self.journal[request]
-            return ("replay", stored, []) if same == payload else ("request-conflict", [], [])
-        result, moves, gaps = self._act(kind, lines, make_id or request)
-        if result in ("ok", "noop"):
-            self.journal[request] = (payload, moves)
-            self.seq += result == "ok"
-        return result, moves, gaps
-
-    def _act(self, kind: str, lines: list, make_id: str) -> tuple[str, list, list]:
-        if kind == VOID:
-            return self._void(make_id)
-        codes = [code for code, _ in lines]
-        if not codes or None in codes:
-            return "unknown-color", [], []
-        if len(set(codes)) < len(codes):
-            return "duplicate-color", [], []
-        if any(qty is None or qty != qty or not 0 <= qty <= MAX_QTY for _, qty in lines):
-            return "invalid-number", [], []
-        lines = [(code, int(qty)) for code, qty in lines]
-        return self._make(lines, make_id) if kind == MAKE else self._batch(kind, lines)
-
-    def _row(self, code: str) -> list:
-        return self.stock.get(code, [0, None, False])
-
-    def _make(self, lines: list, make_id: str) -> tuple[str, list, list]:
-        """All colours of a pattern, or none and what is missing."""
-        gaps = [(code, qty, self._row(code)[0]) for code, qty in lines if qty > self._row(code)[0]]
-        if gaps:
-            return "insufficient", [], gaps
-        self.makes[make_id] = [lines, False]
-        return "ok", self._moved([(code, self._row(code)[0] - qty) for code, qty in lines if qty]), []
-
-    def _void(self, make_id: str) -> tuple[str, list, list]:
-        """The make's lines added back once."""
-        if make_id not in self.makes:
-            return "missing-make", [], []
-        lines, voided = self.makes[make_id]
-        if voided:
-            return "already-voided", [], []
-        if any(self._row(code)[0] + qty > MAX_QTY for code, qty in lines):
-            return "invalid-number", [], []
-        self.makes[make_id][1] = True
-        return "ok", self._moved([(code, self._row(code)[0] + qty) for code, qty in lines if qty]), []
-
-    def _batch(self, kind: str, lines: list) -> tuple[str, list, list]:
-        """All items of a batch, or none: its first error by position, then decreases of a restock."""
-        for code, qty in lines:
-            if kind == FIRST and self._row(code)[2]:
-                return "already-entered", [], []
-            if kind == FLAG and qty != self._row(code)[0]:
-                return "flag-qty-changed", [], []
-        if kind == RESTOCK and any(qty < self._row(code)[0] for code, qty in lines):
-            return "restock-decrease", [], []
-        bases = {code: qty if kind == FIRST or (kind == RESTOCK and qty > self._row(code)[0]) else self._row(code)[1] for code, qty in lines}
-        if kind != FIRST and all(self._row(code)[:2] == [qty, bases[code]] for code, qty in lines):
-            return "noop", [], []
-        moves = self._moved(lines)
-        for code, qty in lines:
-            row = self.stock[code]
-            row[1], row[2] = bases[code], row[2] or kind == FIRST or qty != 0
-        return "ok", moves, []
-
-    def _moved(self, balances: list) -> list:
-        moves = [(code, self._row(code)[0], qty) for code, qty in balances]
-        for code, _, qty in moves:
-            self.stock[code] = [qty, *self._row(code)[1:]]
-        return moves
-
-
-RESULT = "ledger_id bigint, seq bigint, request_id string, op_type string, result string, moves array<struct<code:string,qty_before:bigint,qty_after:bigint>>, gaps array<struct<code:string,need:bigint,have:bigint>>, head_seq bigint"
-
-
-def prepared(commands: DataFrame, palette: DataFrame) -> DataFrame:
-    """Commands with plain ``lines`` (null codes off the catalogue) and a ``key`` of their payload.
-
-    ``commands``: ledger_id, seq, request_id, op_type, lines (array of code, qty), payload,
-    make_id (of the make that a void means; null for others).
-    """
-    codes = [r["code"] for r in palette.select("code").limit(1001).collect()]  # the catalogue
-    if len(codes) > 1000:
-        raise ValueError("more than 1000 colours")
-    known = F.array(*[F.lit(c) for c in codes])
-    plain = F.transform("lines", lambda x: F.struct(F.when(F.array_contains(known, plain_code(x["code"])), plain_code(x["code"])).alias("code"), x["qty"].cast("bigint").alias("qty")))
-    key = F.sha2(F.concat_ws("|", "op_type", F.to_json("lines"), "make_id", "payload"), 256)
-    return commands.select("ledger_id", "seq", "request_id", "op_type", "make_id", F.coalesce(plain, F.array().cast("array<struct<code:string,qty:bigint>>")).alias("lines"), key.alias("key"))
-
-
-def folded(ledger: Ledger, rows: pd.DataFrame) -> list[tuple]:
-    """Result rows of some commands of one ledger, in order."""
-    out = []
-    for r in rows.itertuples(index=False):
-        lines = [(x["code"], x["qty"]) for x in r.lines]
-        result, moves, gaps = ledger.apply(r.op_type, lines, r.request_id, r.key, r.make_id)
-        out.append((r.ledger_id, r.seq, r.request_id, r.op_type, result, [dict(zip(("code", "qty_before", "qty_after"), m)) for m in moves], [dict(zip(("code", "need", "have"), g)) for g in gaps], ledger.seq))
-    return out
-
-
-COLUMNS = ["ledger_id", "seq", "request_id", "op_type", "result", "moves", "gaps", "head_seq"]
-
-
-def fold_commands(commands: DataFrame, palette: DataFrame) -> DataFrame:
-    """Apply whole logs in order, ledger by ledger (C2, C10, C11, C13 over a log): makes, voids and batches over all their colours or none.
-
-    One command's validity depends on all before it, so a ledger is one sequence; its rows
-    stream through sorted partitions, and only balances, makes and the journal are held.
-    """
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ledger = None, Ledger()
-        for part in parts:
-            out = []
-            for id_, rows in part.groupby("ledger_id", sort=False):
-                if id_ != at:
-                    at, ledger = id_, Ledger()
-                out += folded(ledger, rows)
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    return prepared(commands, palette).repartition("ledger_id").sortWithinPartitions("ledger_id", "seq").mapInPandas(run, RESULT)

@@ -152,45 +152,58 @@ def islands(events: DataFrame, gap: int) -> DataFrame:
 LEAST_POINTS, MOST_POINTS, LEAST_STEP = 6, 350, 6
 
 
-def fitted(points: np.ndarray, length: float) -> tuple[float, float, float, float] | None:
-    """Start, end, step and share of inliers of the lattice that most points lie on; None without one."""
-    differences = np.diff(points)
-    steps = np.unique(np.round(np.concatenate([differences / k for k in (1, 2, 3, 4)]), 1))
-    best = None
-    for step in steps[(steps >= LEAST_STEP) & (steps < length / 4)]:
-        off = np.abs((points[None, :] - points[:, None] + step / 2) % step - step / 2) < max(1.8, step * 0.04)
-        share = off.mean(1)
-        at = int(share.argmax())  # the first of equal phases
-        if share[at] >= 0.8 and (best is None or share[at] * step**0.5 > best[0]):
-            best = (share[at] * step**0.5, step, points[at], off[at])
-    if best is None:
-        return None
-    _, step, phase, use = best
-    index = np.rint((points[use] - phase) / step)
-    step, phase = np.polyfit(index, points[use], 1)
-    return float(phase + index.min() * step), float(phase + index.max() * step), float(step), float(use.mean())
+#: Positions and steps are whole thousandths, so that every comparison is exact.
+UNIT = 1000
+#: Half a window of phases: phases are scaled so that this is a tolerance.
+REACH = 10**12
+
+
+def _steps(points: DataFrame) -> DataFrame:
+    """Candidate steps of each key: differences of neighbours over 1 to 4, to a tenth, from the least step to below a quarter of the axis."""
+    apart = points.withColumn("_d", F.col("p") - F.lag("p").over(W.partitionBy("key").orderBy("p"))).filter("_d > 0")
+    tenths = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 4)]), lambda k: F.floor((2 * F.col("_d") + 100 * k) / (200 * k)))
+    return apart.select("key", "length", F.explode(tenths).alias("s")).filter((F.col("s") >= 10 * LEAST_STEP) & (F.col("s") * 400 < F.col("length"))).select("key", (F.col("s") * 100).alias("step")).distinct()
+
+
+def _tolerance(step: Column) -> Column:
+    return F.greatest(F.lit(1800), F.floor(step / 25))
 
 
 def lattice(points: DataFrame) -> DataFrame:
-    """The one-dimensional lattice of each key's points (A22): candidate steps are differences over 1 to 4, phases are
-    points; the best has four fifths of the points near it, and least squares on their index gives step and offset.
+    """The one-dimensional lattice of each key's points.
+
+    Every candidate step folds a key's points onto a circle; points within the tolerance of
+    each other there are counted in a window over sorted phases, with copies across the
+    seam.  The point with most others near it, weighed by the root of the step, is the
+    lattice's phase if four fifths of all are near (ties: smaller step, then position).  A
+    regression over the lattice's indices gives step and start; rules that the edge of the
+    axis may hide are added, one before and up to two behind.
 
     ``points``: key, pos, length (of the axis).  One row a key: ``points``, ``state`` (fitted,
-    no-lattice, too-few, or too-many: rejected before it is gathered), ``start``, ``end``, ``step``, ``share``.
+    no-lattice, too-few or too-many), ``start``, ``end``, ``step``, ``share``.
     """
-    counts = points.groupBy("key").agg(F.count("*").alias("points"), F.max("length").cast("double").alias("length"))
+    counts = points.groupBy("key").agg(F.count("*").alias("points"), F.round(F.max("length") * UNIT).cast("bigint").alias("length"))
     size = F.when(F.col("points") > MOST_POINTS, "too-many").when(F.col("points") < LEAST_POINTS, "too-few")
     sized = counts.withColumn("_size", size)
-    gathered = points.join(sized.filter("_size is null").select("key", "length"), "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.col("pos").cast("double"))).alias("_all"))
-
-    @F.pandas_udf("start double, end double, step double, share double")
-    def fit(every: pd.Series, length: pd.Series) -> pd.DataFrame:
-        found = [fitted(np.asarray(x, float), n) if x is not None else None for x, n in zip(every, length)]
-        return pd.DataFrame([x or (None,) * 4 for x in found], columns=["start", "end", "step", "share"], dtype="float64")
-
-    rows = sized.join(gathered, "key", "left").withColumn("_fit", fit("_all", "length"))
-    state = F.coalesce("_size", F.when(F.col("_fit.step").isNull(), "no-lattice").otherwise("fitted"))
-    return rows.select("key", "points", state.alias("state"), *[F.round(F.col("_fit").getField(c), 3).alias(c) for c in ("start", "end", "step", "share")])
+    fit = points.select("key", F.round(F.col("pos") * UNIT).cast("bigint").alias("p")).join(sized.filter("_size is null").select("key", "points", "length"), "key")
+    folded = fit.join(_steps(fit), "key").withColumns({"phase": F.pmod("p", "step"), "near": _tolerance(F.col("step"))})
+    copies = F.array_compact(F.array(F.struct("phase", F.lit(True).alias("own")), F.when(F.col("phase") < F.col("near"), F.struct((F.col("phase") + F.col("step")).alias("phase"), F.lit(False).alias("own"))), F.when(F.col("phase") > F.col("step") - F.col("near"), F.struct((F.col("phase") - F.col("step")).alias("phase"), F.lit(False).alias("own")))))
+    circle = folded.select("key", "step", "p", "points", "near", F.inline(copies))
+    scaled = F.col("phase") * F.floor(F.lit(REACH) / (F.col("near") - 1))
+    counted = circle.withColumn("n", F.count("*").over(W.partitionBy("key", "step").orderBy(scaled).rangeBetween(-REACH, REACH))).filter("own and n * 10 >= points * 8")
+    best = counted.groupBy("key").agg(F.max_by(F.struct("step", "p"), F.struct(F.col("n") * F.col("n") * F.col("step"), -F.col("step"), -F.col("p"))).alias("b")).select("key", "b.step", F.col("b.p").alias("p0"))
+    off = F.pmod(F.col("p") - F.col("p0"), "step")
+    on = fit.join(best, "key").withColumn("off", F.when(off < _tolerance(F.col("step")), off).when(F.col("step") - off < _tolerance(F.col("step")), off - F.col("step"))).filter("off is not null")
+    place = ((F.col("p") - F.col("p0") - F.col("off")) / F.col("step")).alias("i")
+    lines = on.select("key", "length", "points", (F.col("p") / UNIT).alias("y"), place).groupBy("key").agg(
+        F.regr_slope("y", "i").alias("step"), F.regr_intercept("y", "i").alias("at"), F.min("i").alias("low"), F.max("i").alias("high"), (F.count("*") / F.max("points")).alias("share"), (F.max("length") / UNIT).alias("axis"),
+    ).filter("step is not null").withColumns({"start": F.col("at") + F.col("low") * F.col("step"), "end": F.col("at") + F.col("high") * F.col("step")})
+    close = F.greatest(F.lit(2.0), F.col("step") * 0.04)
+    hidden = [F.abs(F.col("axis") - 1 - F.col("end") - k * F.col("step")) < close for k in (1, 2)]
+    ends = lines.withColumns({"start": F.col("start") - F.when(F.abs(F.col("start") - F.col("step")) < close, F.col("step")).otherwise(0), "end": F.col("end") + F.col("step") * F.when(hidden[0], 1).when(hidden[1], 2).otherwise(0)})
+    rows = sized.join(ends.drop("axis"), "key", "left")
+    state = F.coalesce("_size", F.when(F.col("step").isNull(), "no-lattice").otherwise("fitted"))
+    return rows.select("key", "points", state.alias("state"), *[F.round(c, 3).alias(c) for c in ("start", "end", "step", "share")])
 
 
 def candidate_steps(points: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import command_log as L
 from ..operators import commands as C
 from ..sources.views import _CODE, CODE, Views
 from .registry import query
@@ -267,11 +268,11 @@ def restored_heads(v: Views) -> DataFrame:
 
 def _log(v: Views) -> DataFrame:
     """The log with lines of two colours, and voids of the ledger's last make."""
-    last = F.last(F.when(F.col("op_type") == C.MAKE, F.col("request_id")), ignorenulls=True).over(W.partitionBy("ledger_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("op_type") == L.MAKE, F.col("request_id")), ignorenulls=True).over(W.partitionBy("ledger_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
     lines = F.array(F.struct("code", "qty"), F.struct(F.concat(F.lit("B"), 1 + F.col("event_id") % 3).alias("code"), (F.col("qty") % 7).alias("qty")))
-    return v.cmd.withColumn("make_id", F.when(F.col("op_type") == C.VOID, last)).withColumn("lines", lines)
+    return v.cmd.withColumn("make_id", F.when(F.col("op_type") == L.VOID, last)).withColumn("lines", lines)
 
 
 @query()
 def folded_commands(v: Views) -> DataFrame:
-    return C.fold_commands(_log(v), v.palette).withColumns({"moves": F.to_json("moves"), "gaps": F.to_json("gaps")})
+    return L.fold_log(_log(v), v.palette).withColumns({"moves": F.to_json("moves"), "gaps": F.to_json("gaps")})

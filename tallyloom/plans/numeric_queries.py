@@ -100,7 +100,22 @@ def event_islands(v: Views) -> DataFrame:
     return N.islands(v.event, 86400)
 
 
-@query()
+#: Every step against every point as phase, pair by pair.
+_LATTICE = """WITH p AS (SELECT key, pos * 1000 AS p FROM v_peak), c AS (SELECT key, count(*) AS points, 800000 AS length FROM p GROUP BY 1),
+u AS (SELECT p.key, p.p FROM p JOIN c ON c.key = p.key AND c.points BETWEEN 6 AND 350),
+d AS (SELECT key, p - lag(p) OVER (PARTITION BY key ORDER BY p) AS d FROM u),
+s AS (SELECT DISTINCT key, 100 * ((2 * d + 100 * k) // (200 * k)) AS step FROM d, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE d > 0 AND (2 * d + 100 * k) // (200 * k) BETWEEN 60 AND 1999),
+n AS (SELECT s.key, s.step, a.p, count(*) AS n FROM s JOIN u a ON a.key = s.key JOIN u b ON b.key = s.key AND least((b.p - a.p + 1000000000 * s.step) % s.step, (a.p - b.p + 1000000000 * s.step) % s.step) < greatest(1800, s.step // 25) GROUP BY 1, 2, 3),
+b AS (SELECT n.key, n.step, n.p AS p0 FROM n JOIN c ON c.key = n.key WHERE n.n * 10 >= c.points * 8 QUALIFY row_number() OVER (PARTITION BY n.key ORDER BY n.n * n.n * n.step DESC, n.step, n.p) = 1),
+o AS (SELECT u.key, u.p / 1000.0 AS y, CAST(round((u.p - b.p0) / CAST(b.step AS DOUBLE)) AS BIGINT) AS i FROM u JOIN b ON b.key = u.key WHERE least((u.p - b.p0 + 1000000000 * b.step) % b.step, (b.p0 - u.p + 1000000000 * b.step) % b.step) < greatest(1800, b.step // 25)),
+f AS (SELECT key, regr_slope(y, i) AS step, regr_intercept(y, i) AS origin, min(i) AS low, max(i) AS high, count(*) AS n FROM o GROUP BY 1 HAVING min(i) < max(i)),
+e AS (SELECT key, step, n, origin + low * step AS first, origin + high * step AS last, greatest(2, step * 0.04) AS near FROM f)
+SELECT c.key, c.points, CASE WHEN points > 350 THEN 'too-many' WHEN points < 6 THEN 'too-few' WHEN e.step IS NULL THEN 'no-lattice' ELSE 'fitted' END AS state,
+round(CASE WHEN abs(first - step) < near THEN first - step ELSE first END, 3) AS start, round(last + step * CASE WHEN abs(799 - last - step) < near THEN 1 WHEN abs(799 - last - 2 * step) < near THEN 2 ELSE 0 END, 3) AS "end", round(step, 3) AS step, round(n / CAST(points AS DOUBLE), 3) AS share
+FROM c LEFT JOIN e ON e.key = c.key"""
+
+
+@query(_LATTICE)
 def lattice_fit(v: Views) -> DataFrame:
     return N.lattice(v.peak)
 

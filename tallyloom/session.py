@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tallyloom", **conf: str) -> SparkSession:
-    """Adaptive execution with skew handling, UTC, and nothing that depends on the size of the cluster."""
+    """Adaptive execution with skew handling, UTC, state by key in RocksDB, and nothing that depends on the size of the cluster."""
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     builder = SparkSession.builder.appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """Materialise ``rows`` in the folder that driver and executors share, so that losing executors loses no work.
+
+    ``spark.checkpoint.dir`` names it; only a local session without that setting gets one of its own.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return rows.checkpoint(eager=True)

@@ -150,6 +150,7 @@ SQL = {
     "v_glyph": "SELECT vec_id, label, embedding FROM embeddings",
     "v_event": "SELECT user_id AS key, CAST(floor(epoch(ts)) AS BIGINT) AS pos, value, event_type, event_id FROM events",
     "v_expected": "SELECT pattern_id, code, CAST(greatest(qty + pattern_id % 11 - 5, 0) AS BIGINT) AS qty, pattern_id % 4 <> 0 AS complete FROM v_usage WHERE qty % 13 <> 0",
+    "v_peak": "SELECT DISTINCT l_partkey AS key, (l_suppkey % 40) * 20 + CAST(l_linenumber AS BIGINT) % 2 + CASE WHEN l_discount = 0 THEN 9 ELSE 0 END AS pos FROM lineitem",
     "v_docs": "SELECT doc_id, text, substr(text, 1, 20) AS head FROM documents",
 }
 

@@ -8,40 +8,100 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.quantities import is_low
-from ..operators.commands import COLUMNS, RESULT, Ledger, folded, prepared
+from ..operators.command_log import COLUMNS, RESULT, Entries, applied, nullable, prepared
 
-STATE = "version int, seq bigint, stock string, journal string, makes string"
+#: Of what a state row holds; a row of an older version is brought up when it is read.
+STATE_VERSION = 3
+#: Tables of a ledger's state whose rows are JSON; stock and head have typed columns.
+BODIES = ("request", "make", "pattern", "usage", "draft")
 
 
-def _load(state: GroupState) -> Ledger:
-    ledger = Ledger()
-    if state.exists:
-        _, ledger.seq, stock, journal, makes = state.get
-        ledger.stock, ledger.makes = json.loads(stock), {k: [[tuple(x) for x in lines], voided] for k, (lines, voided) in json.loads(makes).items()}
-        ledger.journal = {k: (p, [tuple(m) for m in moves]) for k, (p, moves) in json.loads(journal).items()}
-    return ledger
+class KeyedEntries(Entries):
+    """A ledger's entries in keyed state: read on first use, written back only if a command changed them.
 
-
-def _store(state: GroupState, ledger: Ledger) -> None:
-    state.update((2, ledger.seq, json.dumps(ledger.stock), json.dumps(ledger.journal), json.dumps(ledger.makes)))
-
-
-def apply_stream(commands: DataFrame, palette: DataFrame) -> DataFrame:
-    """Results of a stream of commands, ledger by ledger in order of ``seq`` inside a trigger.
-
-    State: balances, journal and makes of a ledger, with a schema version.  Retries replay
-    from the journal, so effects happen once.
+    ``maps``: a map state for each table, ``head``: a value state.  A trigger's cost grows with
+    the entries that its commands touch, not with what the ledger has ever had.
     """
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ledger = _load(state)
-        out = folded(ledger, pd.concat(list(parts)).sort_values("seq"))
-        _store(state, ledger)
-        yield pd.DataFrame(out, columns=COLUMNS)
 
-    return prepared(commands, palette).groupBy("ledger_id").applyInPandasWithState(run, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, maps: dict, head):
+        super().__init__()
+        self.maps, self.head, self.changed, self.emptied = maps, head, {}, False
+
+    def get(self, table: str, key: str = "") -> list | None:
+        if (table, key) not in self.rows:
+            self.rows[table, key] = None if self.emptied else self._read(table, key)
+        return self.rows[table, key]
+
+    def _read(self, table: str, key: str) -> list | None:
+        if table == "head":
+            return list(self.head.get()[1:]) if self.head.exists() else None
+        if not self.maps[table].containsKey((key,)):
+            return None
+        row = self.maps[table].getValue((key,))
+        return list(row[1:]) if table == "stock" else json.loads(row[1])
+
+    def put(self, table: str, key: str, row: list) -> None:
+        self.rows[table, key] = self.changed[table, key] = row
+
+    def drop(self, table: str, key: str) -> None:
+        self.rows[table, key] = self.changed[table, key] = None
+
+    def clear(self) -> None:
+        self.rows.clear()
+        self.changed.clear()
+        self.emptied = True
+
+    def write(self) -> None:
+        """Bring the state up to what was changed."""
+        if self.emptied:
+            for rows in self.maps.values():
+                rows.clear()
+        for (table, key), row in self.changed.items():
+            if table == "head":
+                self.head.update((STATE_VERSION, *row))
+            elif row is not None:
+                self.maps[table].updateValue((key,), (STATE_VERSION, *row) if table == "stock" else (STATE_VERSION, json.dumps(row)))
+            elif not self.emptied and self.maps[table].containsKey((key,)):
+                self.maps[table].removeKey((key,))
+        self.changed.clear()
+        self.emptied = False
+
+
+class CommandProcessor(StatefulProcessor):
+    """Commands of a ledger against its keyed state.  ``journal_ms``: how long a request can be repeated; null for ever."""
+
+    def __init__(self, journal_ms: int | None = None):
+        self.journal_ms = journal_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        body, kept = "version int, body string", {"request": self.journal_ms} if self.journal_ms else {}
+        self.maps = {t: handle.getMapState(t, "key string", body, **({"ttlDurationMs": kept[t]} if t in kept else {})) for t in BODIES}
+        self.maps["stock"] = handle.getMapState("stock", "key string", "version int, qty bigint, estimated boolean, baseline bigint, entered boolean")
+        self.head = handle.getValueState("head", "version int, epoch bigint, seq bigint, percent bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = KeyedEntries(self.maps, self.head)
+        commands = pd.concat(list(rows)).sort_values("seq")  # of one trigger
+        yield pd.DataFrame([applied(state, c) for c in commands.itertuples(index=False)], columns=COLUMNS)
+        state.write()
+
+    def close(self) -> None:
+        pass
+
+
+def apply_stream(commands: DataFrame, palette: DataFrame, journal_ms: int | None = None) -> DataFrame:
+    """Results of a stream of commands of every kind, ledger by ledger in order of ``seq`` inside a trigger.
+
+    State is kept by entry: a row for each colour, request, make, pattern, usage and draft.
+    Retries replay from the journal, so effects happen once; with ``journal_ms`` a request is
+    forgotten after so long.  Needs the RocksDB state store (``session()`` sets it).
+    """
+    rows = nullable(prepared(commands, palette))
+    return rows.groupBy("ledger_id").transformWithStateInPandas(CommandProcessor(journal_ms), RESULT, "append", "ProcessingTime" if journal_ms else "None")
 
 
 def once_per_request(commands: DataFrame, at: str = "at", late: str = "1 day") -> DataFrame:
