@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.codes import plain_code
+from ..functions.codes import colour_key, plain_code
 from ..functions.quantities import MAX_QTY, parse_quantity, title_blocked
 from ..functions.texts import canonical_items, canonical_json, has_risk, payload_key, rejected_items_hold
 from .command_log import FIRST, FLAG, RESTOCK
@@ -45,14 +45,21 @@ def meaningful() -> Column:
     return ~same
 
 
-def batch_results(lines: DataFrame) -> DataFrame:
-    """Per request: its first error by position, else restock decreases together, else ok or noop."""
+def batch_results(lines: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Per request: its first error by position, else restock decreases together, else ok or noop.
+
+    With ``requests`` (ledger_id, request, kind), those that have no line at all are empty-batch.
+    """
     decrease = (F.col("kind") == RESTOCK) & (F.col("qty_after") < F.col("qty_before"))
     found = lines.groupBy("ledger_id", "request").agg(
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"), F.count_if(decrease).alias("decreases"), F.count_if(meaningful()).alias("changes"), F.min_by("kind", "pos").alias("kind"), F.count("*").alias("items")
     )
     result = F.coalesce("error", F.when(F.col("decreases") > 0, "restock-decrease"), F.when((F.col("changes") == 0) & (F.col("kind") != FIRST), "noop"), F.lit("ok"))
-    return found.select("ledger_id", "request", "kind", "items", result.alias("result"))
+    judged = found.select("ledger_id", "request", "kind", "items", result.alias("result"))
+    if requests is None:
+        return judged
+    empty = requests.select("ledger_id", "request", "kind").join(judged, ["ledger_id", "request"], "left_anti")
+    return judged.unionByName(empty.withColumns({"items": F.lit(0).cast("bigint"), "result": F.lit("empty-batch")}))
 
 
 def committed_moves(lines: DataFrame, results: DataFrame) -> DataFrame:
@@ -98,17 +105,27 @@ def make_moves(requests: DataFrame, usage: DataFrame, stock: DataFrame) -> DataF
 
 
 def void_results(requests: DataFrame, makes: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """Per void request: the first of a make goes through unless a balance would overflow; then already-voided, or missing-make (C11)."""
-    nth = F.row_number().over(W.partitionBy("make_id").orderBy("seq"))
+    """Per void request: missing-make, already-voided, invalid-number if a balance would overflow, else ok; and whether it goes through now (C11).
+
+    One void a ledger and round goes through, the first that can: balances are those after it
+    for the next.  Later requests for the same make are already-voided then, and only then;
+    other good ones wait for the next round (``goes`` is false).
+    """
     back = lines.join(makes.select("make_id", "ledger_id"), "make_id").join(stock.select("ledger_id", "code", F.col("qty").alias("have")), ["ledger_id", "code"], "left")
     over = back.filter(F.coalesce("have", F.lit(0)) + F.col("qty") > MAX_QTY).select("make_id").distinct().withColumn("over", F.lit(True))
-    rows = requests.join(makes.select("make_id", "voided"), "make_id", "left").join(over, "make_id", "left").withColumn("nth", nth)
-    return rows.select("request", "make_id", F.when(F.col("voided").isNull(), "missing-make").when(F.col("voided") | (F.col("nth") > 1), "already-voided").when(F.col("over"), "invalid-number").otherwise("ok").alias("result"))
+    rows = requests.join(makes.select("make_id", "ledger_id", "voided"), "make_id", "left").join(over, "make_id", "left")
+    result = F.when(F.col("voided").isNull(), "missing-make").when(F.col("voided"), "already-voided").when(F.col("over"), "invalid-number").otherwise("ok")
+    judged = rows.withColumn("result", result)
+    going = judged.filter("result = 'ok'").groupBy("ledger_id").agg(F.min(F.struct("seq", "request", "make_id")).alias("_g"))
+    judged = judged.join(going, "ledger_id", "left")
+    first = (F.col("result") == "ok") & (F.col("seq") == F.col("_g.seq")) & (F.col("request") == F.col("_g.request"))
+    late = (F.col("result") == "ok") & (F.col("make_id") == F.col("_g.make_id")) & ~first
+    return judged.select("request", "make_id", F.when(late, "already-voided").otherwise(F.col("result")).alias("result"), F.coalesce(first, F.lit(False)).alias("goes"))
 
 
 def void_moves(results: DataFrame, makes: DataFrame, lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """What voids add back to current balances: the snapshot, not a rollback (C11)."""
-    back = results.filter("result = 'ok'").join(makes.select("make_id", "ledger_id"), "make_id").join(lines, "make_id").groupBy("ledger_id", "code").agg(F.sum("qty").alias("added"))
+    """What the voids that go through add back to current balances: the snapshot, not a rollback (C11)."""
+    back = results.filter("goes").join(makes.select("make_id", "ledger_id"), "make_id").join(lines.filter("qty > 0"), "make_id").select("ledger_id", "code", F.col("qty").alias("added"))
     return back.join(stock.select("ledger_id", "code", "qty"), ["ledger_id", "code"], "left").select("ledger_id", "code", "added", (F.coalesce("qty", F.lit(0)) + F.col("added")).alias("qty_after"))
 
 
@@ -170,14 +187,20 @@ def saved_drafts(drafts: DataFrame) -> DataFrame:
 
 
 def confirm_results(lines: DataFrame, titles: DataFrame, palette: DataFrame) -> DataFrame:
-    """Per pattern: whether its usage can be confirmed, with the sum and the title's difference."""
+    """Per pattern: whether its usage can be confirmed, with the sum and the title's difference.
+
+    The first bad line decides, by ``pos`` (without that column, in the order of the catalogue);
+    in a line, an unknown colour comes before a repeat, a repeat before a bad quantity.
+    """
     known = F.broadcast(palette.select(F.col("code").alias("known")))
-    marked = lines.withColumn("plain", plain_code(F.col("code"))).join(known, F.col("plain") == F.col("known"), "left")
-    sums = marked.groupBy("pattern_id").agg(F.sum("qty").alias("line_sum"), F.count_if(F.col("known").isNull()).alias("unknown"), F.count_if(~F.coalesce(F.col("qty").between(0, MAX_QTY), F.lit(False))).alias("bad"), (F.count("plain") - F.count_distinct("plain")).alias("repeats"))
+    place = F.col("pos") if "pos" in lines.columns else F.struct(colour_key(F.col("code")), "qty")
+    marked = lines.withColumn("plain", plain_code(F.col("code"))).withColumn("_pos", place).join(known, F.col("plain") == F.col("known"), "left")
+    again = F.row_number().over(W.partitionBy("pattern_id", "plain").orderBy("_pos")) > 1
+    error = F.when(F.col("known").isNull(), "unknown-color").when(again, "duplicate-color").when(~F.coalesce(F.col("qty").between(0, MAX_QTY), F.lit(False)), "invalid-number")
+    sums = marked.withColumn("_error", error).groupBy("pattern_id").agg(F.sum("qty").alias("line_sum"), F.min_by("_error", F.when(F.col("_error").isNotNull(), F.col("_pos"))).alias("_error"))
     rows = sums.join(titles, "pattern_id", "left").withColumn("difference", F.col("title_total") - F.col("line_sum"))
     blocked = title_blocked(F.col("title_total"), F.col("line_sum"), F.coalesce("ack", F.lit(False)))
-    result = F.when(F.col("unknown") > 0, "unknown-color").when(F.col("repeats") > 0, "duplicate-color").when(F.col("bad") > 0, "invalid-number").when(blocked, "title-diff").otherwise("ok")
-    return rows.select("pattern_id", "line_sum", "difference", result.alias("result"))
+    return rows.select("pattern_id", "line_sum", "difference", F.coalesce("_error", F.when(blocked, "title-diff"), F.lit("ok")).alias("result"))
 
 
 METHODS = ("legend", "grid", "assisted")
@@ -187,32 +210,42 @@ def confirm(requests: DataFrame, lines: DataFrame, patterns: DataFrame, palette:
     """Confirmations of usage, one a pattern and round, with their result and what a good one writes.
 
     ``requests``: pattern_id, title_total, ack, rejected (array of raw, qty, note), recognition
-    (struct of source, status, risks array with resolved, acknowledged; null if by hand).
-    Precedence: lines, title, rejected items, recognition, pattern.  Good ones have the next
-    ``version``, ``input_method``, ``title_diff`` and ``title_acknowledged``.
+    (struct of source, status, risks array with resolved, acknowledged; null if by hand), and if
+    the pattern's texts or image are replaced in the same step ``meta`` (struct of name,
+    source_note, size_note, image: whether the new image can be read, null without one).
+    Order: lines, meta, title, rejected items, recognition, pattern, image.  A request without
+    lines confirms that nothing is used.  Good ones have the next ``version``,
+    ``input_method``, ``title_diff``, ``title_acknowledged`` and the trimmed ``meta``.
     """
-    judged = confirm_results(lines, requests.select("pattern_id", "title_total", "ack"), palette).withColumnRenamed("result", "_lines")
-    known = patterns.select("pattern_id", F.coalesce("confirmed_version", F.lit(0)).alias("_version"))
+    given = "meta" in requests.columns
+    meta = F.col("meta") if given else F.lit(None).cast("struct<name:string,source_note:string,size_note:string,image:boolean>")
+    judged = confirm_results(lines, requests.select("pattern_id", "title_total", "ack"), palette).select("pattern_id", F.col("line_sum").alias("_sum"), F.col("result").alias("_lines"))
+    known = patterns.select("pattern_id", F.lit(True).alias("_known"), F.coalesce("confirmed_version", F.lit(0)).alias("_version"))
     r = F.col("recognition")
-    wrong = ~r["source"].isin(*METHODS) | ~r["status"].isin("ready", "partial", "failed") | (has_risk(r["status"], r["risks"]) & ~r["acknowledged"])
-    rows = requests.drop("title_total", "ack").join(judged, "pattern_id", "left").join(known, "pattern_id", "left")
-    result = (
-        F.when(F.col("_lines").isNull(), "no-lines").when(F.col("_lines") != "ok", F.col("_lines")).when(~rejected_items_hold(F.col("rejected")), "invalid-rejected")
-        .when(r.isNotNull() & F.coalesce(wrong, F.lit(True)), "invalid-recognition").when(F.col("_version").isNull(), "missing-pattern").otherwise("ok")
+    wrong = ~r["source"].isin(*METHODS) | ~r["status"].isin("ready", "partial", "failed") | r["acknowledged"].isNull()
+    rows = requests.join(judged, "pattern_id", "left").join(known, "pattern_id", "left").withColumn("line_sum", F.coalesce("_sum", F.lit(0))).withColumn("difference", F.col("title_total") - F.col("line_sum"))
+    blocked = title_blocked(F.col("title_total"), F.col("line_sum"), F.coalesce("ack", F.lit(False)))
+    texts = F.when(meta["name"].isNull() | meta["source_note"].isNull() | meta["size_note"].isNull(), "invalid-meta").when(F.trim(meta["name"]) == "", "invalid-name")
+    result = F.coalesce(
+        F.when(~F.col("_lines").isin("ok", "title-diff"), F.col("_lines")), F.when(meta.isNotNull(), texts), F.when(blocked, "title-diff"), F.when(~rejected_items_hold(F.col("rejected")), "invalid-rejected-item"),
+        F.when(r.isNotNull(), F.when(F.coalesce(wrong, F.lit(True)), "invalid-provenance").when(has_risk(r["status"], r["risks"]) & ~r["acknowledged"], "recognition-risk")),
+        F.when(F.col("_known").isNull(), "missing-pattern"), F.when(~meta["image"], "invalid-image"), F.lit("ok"),
     )
     rows = rows.withColumn("result", result)
     good = F.col("result") == "ok"
+    new = F.struct(*[F.trim(meta[c]).alias(c) for c in ("name", "source_note", "size_note")])
     return rows.select(
         "pattern_id", "line_sum", "result", F.when(good, F.col("_version") + 1).cast("long").alias("version"), F.when(good, F.coalesce(r["source"], F.lit("manual"))).alias("input_method"),
-        F.when(good, F.col("difference")).alias("title_diff"), F.when(good, F.coalesce(F.col("difference") != 0, F.lit(False))).alias("title_acknowledged"),
+        F.when(good, F.col("difference")).alias("title_diff"), F.when(good, F.coalesce(F.col("difference") != 0, F.lit(False))).alias("title_acknowledged"), F.when(good & meta.isNotNull(), new).alias("meta"),
     )
 
 
 def confirmed_tables(results: DataFrame, lines: DataFrame, patterns: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New version lines, patterns that point at their new version, and the drafts that are left (C9): all of a good confirmation or nothing."""
-    good = results.filter("result = 'ok'").select("pattern_id", F.col("version").alias("_new"))
+    good = results.filter("result = 'ok'").select("pattern_id", F.col("version").alias("_new"), F.col("meta").alias("_meta"))
     usage = lines.join(good, "pattern_id").select("pattern_id", F.col("_new").alias("version"), plain_code(F.col("code")).alias("code"), "qty")
-    moved = patterns.join(good, "pattern_id", "left").withColumn("confirmed_version", F.coalesce("_new", "confirmed_version").cast("long")).drop("_new")
+    texts = {c: F.coalesce(F.col("_meta")[c], F.col(c)) for c in ("name", "source_note", "size_note") if c in patterns.columns}
+    moved = patterns.join(good, "pattern_id", "left").withColumns({"confirmed_version": F.coalesce("_new", "confirmed_version").cast("long")} | texts).drop("_new", "_meta")
     return usage, moved, drafts.join(good, "pattern_id", "left_anti")
 
 

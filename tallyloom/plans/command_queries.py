@@ -61,7 +61,10 @@ def _voids(v: Views) -> DataFrame:
     return C.void_results(v.cmd.filter("op_type = 'void-make'").selectExpr("event_id as request", "event_id as seq", "event_id div 2 as make_id"), v.make, v.make_line, v.stock.withColumn("qty", F.when(F.col("code").startswith("B"), 1_000_000_000).otherwise(F.col("qty"))))
 
 
-_VOID_RESULTS = f"SELECT r.request, r.make_id, CASE WHEN m.voided IS NULL THEN 'missing-make' WHEN m.voided OR row_number() OVER (PARTITION BY r.make_id ORDER BY r.seq) > 1 THEN 'already-voided' WHEN r.make_id IN (SELECT l.make_id FROM v_make_line l JOIN v_make k ON k.make_id = l.make_id JOIN v_stock s ON s.ledger_id = k.ledger_id AND s.code = l.code WHERE l.code LIKE 'B%' AND l.qty > 0) THEN 'invalid-number' ELSE 'ok' END AS result FROM ({_VOIDS}) r LEFT JOIN v_make m ON m.make_id = r.make_id"
+_VOID_RESULTS = f"""SELECT request, make_id, CASE WHEN result = 'ok' AND make_id = first.m AND request <> first.r THEN 'already-voided' ELSE result END AS result, coalesce(result = 'ok' AND request = first.r, false) AS goes FROM (
+SELECT *, min(CASE WHEN result = 'ok' THEN {{'s': seq, 'r': request, 'm': make_id}} END) OVER (PARTITION BY ledger_id) AS first FROM (
+SELECT r.*, m.ledger_id, CASE WHEN m.voided IS NULL THEN 'missing-make' WHEN m.voided THEN 'already-voided' WHEN r.make_id IN (SELECT l.make_id FROM v_make_line l JOIN v_make k ON k.make_id = l.make_id JOIN v_stock s ON s.ledger_id = k.ledger_id AND s.code = l.code WHERE l.code LIKE 'B%' AND l.qty > 0) THEN 'invalid-number' ELSE 'ok' END AS result
+FROM ({_VOIDS}) r LEFT JOIN v_make m ON m.make_id = r.make_id))"""
 
 
 @query(_VOID_RESULTS)
@@ -69,8 +72,7 @@ def void_results(v: Views) -> DataFrame:
     return _voids(v)
 
 
-@query(f"""WITH b AS (SELECT m.ledger_id, l.code, CAST(sum(l.qty) AS BIGINT) AS added FROM ({_VOID_RESULTS}) r JOIN v_make m ON m.make_id = r.make_id JOIN v_make_line l ON l.make_id = r.make_id WHERE r.result = 'ok' GROUP BY 1, 2)
-SELECT b.ledger_id, b.code, b.added, coalesce(s.qty, 0) + b.added AS qty_after FROM b LEFT JOIN v_stock s ON s.ledger_id = b.ledger_id AND s.code = b.code""")
+@query(f"SELECT m.ledger_id, l.code, l.qty AS added, coalesce(s.qty, 0) + l.qty AS qty_after FROM ({_VOID_RESULTS}) r JOIN v_make m ON m.make_id = r.make_id JOIN v_make_line l ON l.make_id = r.make_id AND l.qty > 0 LEFT JOIN v_stock s ON s.ledger_id = m.ledger_id AND s.code = l.code WHERE r.goes")
 def void_moves(v: Views) -> DataFrame:
     return C.void_moves(_voids(v), v.make, v.make_line, v.stock)
 
@@ -156,7 +158,7 @@ def make_moves(v: Views) -> DataFrame:
 
 _CONFIRM = """WITH s AS (SELECT u.pattern_id, CAST(sum(qty) AS BIGINT) AS line_sum, count(CASE WHEN p.code IS NULL THEN 1 END) AS unknown FROM v_usage u LEFT JOIN v_palette p ON p.code = u.code WHERE u.pattern_id % 9 > 0 OR p.code IS NOT NULL GROUP BY 1),
 r AS (SELECT s.*, t.title_total, t.ack, t.title_total - s.line_sum AS diff, o.confirmed_version FROM s JOIN v_title t ON t.pattern_id = s.pattern_id LEFT JOIN v_pattern o ON o.pattern_id = s.pattern_id AND NOT o.archived),
-c AS (SELECT *, CASE WHEN unknown > 0 THEN 'unknown-color' WHEN diff <> 0 AND NOT ack THEN 'title-diff' WHEN pattern_id % 10 = 3 THEN 'invalid-rejected' WHEN pattern_id % 4 = 1 AND pattern_id % 8 = 1 THEN 'invalid-recognition' WHEN pattern_id NOT IN (SELECT pattern_id FROM v_pattern WHERE NOT archived) THEN 'missing-pattern' ELSE 'ok' END AS result FROM r)"""
+c AS (SELECT *, CASE WHEN unknown > 0 THEN 'unknown-color' WHEN pattern_id % 28 = 0 THEN 'invalid-name' WHEN diff <> 0 AND NOT ack THEN 'title-diff' WHEN pattern_id % 10 = 3 THEN 'invalid-rejected-item' WHEN pattern_id % 4 = 1 AND pattern_id % 8 = 1 THEN 'recognition-risk' WHEN pattern_id NOT IN (SELECT pattern_id FROM v_pattern WHERE NOT archived) THEN 'missing-pattern' WHEN pattern_id % 35 = 0 THEN 'invalid-image' ELSE 'ok' END AS result FROM r)"""
 
 
 def _confirmations(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -166,14 +168,15 @@ def _confirmations(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     requests = v.title.selectExpr(
         "pattern_id", "title_total", "ack", "array(named_struct('raw', 'x', 'qty', cast(if(pattern_id % 10 = 3, -1, 4) as bigint), 'note', '')) as rejected",
         f"case when pattern_id % 4 = 1 then named_struct('source', 'legend', 'status', 'ready', 'risks', {risks}, 'acknowledged', false) end as recognition",
+        "case when pattern_id % 7 = 0 then named_struct('name', if(pattern_id % 28 = 0, ' ', concat(' new ', pattern_id)), 'source_note', '', 'size_note', 'x ', 'image', if(pattern_id % 5 = 0, false, null)) end as meta",
     )
     return requests, lines, v.pattern.filter("not archived")
 
 
-@query(_CONFIRM + " SELECT pattern_id, line_sum, result, CASE WHEN result = 'ok' THEN CAST(coalesce(confirmed_version, 0) + 1 AS BIGINT) END AS version, CASE WHEN result = 'ok' THEN CASE WHEN pattern_id % 4 = 1 THEN 'legend' ELSE 'manual' END END AS input_method, CASE WHEN result = 'ok' THEN diff END AS title_diff, CASE WHEN result = 'ok' THEN diff <> 0 END AS title_acknowledged FROM c")
+@query(_CONFIRM + " SELECT pattern_id, line_sum, result, CASE WHEN result = 'ok' AND pattern_id % 7 = 0 THEN 'new ' || pattern_id END AS new_name, CASE WHEN result = 'ok' THEN CAST(coalesce(confirmed_version, 0) + 1 AS BIGINT) END AS version, CASE WHEN result = 'ok' THEN CASE WHEN pattern_id % 4 = 1 THEN 'legend' ELSE 'manual' END END AS input_method, CASE WHEN result = 'ok' THEN diff END AS title_diff, CASE WHEN result = 'ok' THEN diff <> 0 END AS title_acknowledged FROM c")
 def confirmations(v: Views) -> DataFrame:
     requests, lines, patterns = _confirmations(v)
-    return C.confirm(requests.join(lines.select("pattern_id").distinct(), "pattern_id", "left_semi"), lines, patterns, v.palette)
+    return C.confirm(requests.join(lines.select("pattern_id").distinct(), "pattern_id", "left_semi"), lines, patterns, v.palette).withColumn("meta", F.col("meta.name")).withColumnRenamed("meta", "new_name")
 
 
 @query(_CONFIRM + " SELECT u.pattern_id, CAST(coalesce(confirmed_version, 0) + 1 AS BIGINT) AS version, u.code, u.qty FROM c JOIN v_usage u ON u.pattern_id = c.pattern_id WHERE result = 'ok' AND u.code IN (SELECT code FROM v_palette)")
@@ -241,10 +244,18 @@ def saved_drafts(v: Views) -> DataFrame:
     return C.saved_drafts(v.cmd.selectExpr("ledger_id as pattern_id", "seq as arrival", "payload as body"))
 
 
-@query("""WITH s AS (SELECT u.pattern_id, CAST(sum(qty) AS BIGINT) AS line_sum, count(CASE WHEN p.code IS NULL THEN 1 END) AS unknown FROM v_usage u LEFT JOIN v_palette p ON p.code = u.code GROUP BY 1)
-SELECT s.pattern_id, line_sum, title_total - line_sum AS difference, CASE WHEN unknown > 0 THEN 'unknown-color' WHEN title_total <> line_sum AND NOT ack THEN 'title-diff' ELSE 'ok' END AS result FROM s JOIN v_title t ON t.pattern_id = s.pattern_id""")
+#: Lines in the order of their quantities; some quantities are negative, some lines stand twice.
+_USED = "SELECT pattern_id, qty * 2 + k AS pos, code, CASE WHEN qty % 17 = 0 THEN -qty ELSE qty END AS qty FROM v_usage, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR qty % 29 = 0"
+
+
+@query(f"""WITH l AS (SELECT u.*, p.code AS known, row_number() OVER (PARTITION BY pattern_id, u.code ORDER BY pos) AS nth FROM ({_USED}) u LEFT JOIN v_palette p ON p.code = u.code),
+e AS (SELECT *, CASE WHEN known IS NULL THEN 'unknown-color' WHEN nth > 1 THEN 'duplicate-color' WHEN qty < 0 THEN 'invalid-number' END AS error FROM l),
+s AS (SELECT pattern_id, CAST(sum(qty) AS BIGINT) AS line_sum, arg_min(error, (pos, code)) FILTER (WHERE error IS NOT NULL) AS error FROM e GROUP BY 1)
+SELECT s.pattern_id, line_sum, title_total - line_sum AS difference, CASE WHEN error IS NOT NULL THEN error WHEN title_total <> line_sum AND NOT ack THEN 'title-diff' ELSE 'ok' END AS result FROM s JOIN v_title t ON t.pattern_id = s.pattern_id""")
 def confirm_results(v: Views) -> DataFrame:
-    return C.confirm_results(v.usage, v.title, v.palette)
+    each = v.usage.select("pattern_id", "code", "qty", F.explode(F.when(F.col("qty") % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
+    lines = each.select("pattern_id", F.struct((F.col("qty") * 2 + F.col("k")).alias("at"), "code").alias("pos"), "code", F.when(F.col("qty") % 17 == 0, -F.col("qty")).otherwise(F.col("qty")).alias("qty"))
+    return C.confirm_results(lines, v.title, v.palette)
 
 
 _RESTORED = "ledger_id % 2 = 0"
