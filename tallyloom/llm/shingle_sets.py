@@ -28,7 +28,9 @@ already connected need no comparison, so in each round up to ``leaders`` members
 a key that its largest component lacks are compared with all of its members.  A key
 ends when one component holds all its members or at most ``crowd`` members are outside
 the largest; those are then compared with all.  After ``rounds`` rounds every member
-still outside is: no pair is given up, and such a key costs at most its square.
+still outside is, inside the join, so that pairs that don't link are never written: no
+pair is given up, and such a key costs at most its square in comparisons, its members in
+room.
 
 Defined results: null and empty texts have one set and link with each other; texts with
 fewer words than a shingle have one shingle, the whole sequence; repeated rows stay
@@ -169,6 +171,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(both >= F.lit(least) * (F.size("_a") + F.size("_b") - both) - _SLACK).select("a", "b")
 
 
+def _met_in_place(held: DataFrame, picked: DataFrame, unique: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Verified pairs ``a``, ``b`` of ``picked`` members of keys with all other members, compared inside the join.
+
+    Rows carry their whole sets and the keys before theirs, so a pair is compared once, at the
+    first key that it has in common (an earlier one has compared it already, or will), and
+    only pairs that reach the similarity leave the join: what is written grows with the
+    members of a key and not with its pairs.
+    """
+    whole = held.join(unique.select("set_id", "keys"), "set_id").join(sets, "set_id")
+    rows = cut(whole.select("key", "set_id", "n", "at", "root", F.slice("keys", 1, F.array_position("keys", F.col("key")).cast("int") - 1).alias("before"), "members"))
+    x, y = rows.join(picked, ["key", "set_id"], "left_semi").alias("x"), rows.alias("y")
+    enough = (1 + least) * F.size(F.array_intersect("x.members", "y.members")) >= F.lit(least) * (F.size("x.members") + F.size("y.members")) - _SLACK
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least) & ~F.arrays_overlap("x.before", "y.before") & enough
+    return _ordered(x.join(y, met))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     x, y = F.col("x.set_id"), F.col("y.set_id")
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
@@ -222,15 +240,16 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         outside = held.filter((F.col("root") != F.col("main")) & ~F.col("done"))
         place = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(leaders))
         first = outside.groupBy("key", place.alias("place")).agg(F.min("set_id").alias("set_id"))
-        limit = F.lit(crowd) if turn < rounds else F.lit(1 << 62)
+        if turn == rounds:
+            edges = cut(edges.unionByName(_met_in_place(held, outside.select("key", "set_id"), unique, sets, least)))
+            break
+        limit = F.lit(crowd)
         ending = outside.groupBy("key").agg(F.count("*").alias("left")).select("key", (F.col("left") <= limit).alias("ends"))
         picked = first.select("key", "set_id").unionByName(outside.join(ending.filter("ends"), "key").select("key", "set_id")).distinct()
         probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "at", "root"))
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least)
         pairs = cut(_ordered(probes.alias("x").join(held.alias("y"), met)).join(tried, ["a", "b"], "left_anti"))
         edges = cut(edges.unionByName(_verified(pairs, sets, least)))
-        if turn == rounds:
-            break
         tried = cut(tried.unionByName(pairs))
         on = held.join(ending.filter("not ends").select("key"), "key", "left_semi").drop("root", "main", "size", "most", "done")
         many = cut(on.join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(

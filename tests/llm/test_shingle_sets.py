@@ -69,3 +69,15 @@ def test_pipeline_near_dedup(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
     kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(set(_brute(texts, 5, 0.8).values()))
+
+
+def test_pipeline_rows_of_one_id(spark):
+    """Rows are matched whole: a copy under an id that another text keeps goes; of equal rows one stays."""
+    import corpus_pipeline
+
+    x, y = " ".join(f"x{i}" for i in range(30)), " ".join(f"y{i}" for i in range(30))
+    rows = [(0, x), (1, y), (1, x), (2, "a b c d e f g"), (2, "a b c d e f g"), (None, x), (None, "q r s t u v")]
+    docs = spark.createDataFrame([(i, t, "en", None, None, "clash") for i, t in rows], KIND + ", row string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(((str(r.doc_id), r.text) for r in kept)) == sorted([("0", x), ("1", y), ("2", "a b c d e f g"), ("None", "q r s t u v")])
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
