@@ -7,9 +7,10 @@ text goes through it once.  Ends of matches map back to word numbers, and those
 code-point spans of the original text.
 
 Scale: the automaton is built where the texts are, from a broadcast of the items.
-Its size is bounded by ``block_windows``; a larger test set is split by item into
-blocks, and the documents pass one automaton after another (the result so far is
-kept in the shared folder), so no window is dropped.
+Its size is bounded by ``block_windows``: pairs of a window and an item are made by Spark,
+and more of them are dealt by hash into blocks of about that size, whichever item or
+window they belong to.  The documents pass one automaton after another (the result so far
+is kept in the shared folder), so no window is dropped.
 
 Defined results: null texts have no words; items without words, without id or null
 match nothing; rows of one item id count as one item; repeated documents give
@@ -43,14 +44,13 @@ def windows_of(text: str, window: int) -> set[str]:
     return {" " + " ".join(words[i : i + window]) + " " for i in range(max(1, len(words) - window + 1))} if words else set()
 
 
-def automaton(items: list[tuple[str, str]], window: int):
-    """An automaton whose matches carry (words in the window, item ids)."""
+def automaton(pairs: list[tuple[str, str]]):
+    """An automaton over (item id, window) pairs whose matches carry (words in the window, item ids)."""
     import ahocorasick
 
     owners: dict[str, set[str]] = {}
-    for item, text in items:
-        for pattern in windows_of(text, window):
-            owners.setdefault(pattern, set()).add(item)
+    for item, pattern in pairs:
+        owners.setdefault(pattern, set()).add(item)
     out = ahocorasick.Automaton()
     for pattern, ids in owners.items():
         out.add_word(pattern, (pattern.count(" ") - 1, tuple(sorted(ids))))
@@ -83,15 +83,30 @@ def hits(text: str, found) -> tuple[int, list[int], list[str], list[tuple[int, i
     return len(words), hit.tolist(), sorted(items), [(int(point[edges[r[0], 0]]), int(point[edges[r[-1], 1]])) for r in runs]
 
 
-def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """Add the hits of some items to the columns of ``rows``."""
-    shared, kind, name = rows.sparkSession.sparkContext.broadcast(items), rows.schema[0].dataType.simpleString(), uuid.uuid4().hex
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item`` and ``gram``: the distinct windows of each item, many at a time at most."""
+    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            for item, text in zip(*(c.to_pylist() for c in part.columns)):
+                grams = list(windows_of(text, window))
+                for start in range(0, len(grams), 10_000):
+                    own = grams[start : start + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(own, pa.string())], names=["item", "gram"])
+
+    return items.mapInArrow(run, "item string, gram string").distinct()
+
+
+def _pass(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Add the hits of some windows to the columns of ``rows``."""
+    shared, kind, name = rows.sparkSession.sparkContext.broadcast(pairs), rows.schema[0].dataType.simpleString(), uuid.uuid4().hex
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _built:  # once a worker process
             _built.clear()
-            _built[name] = automaton(shared.value, window)
+            _built[name] = automaton(shared.value)
         found = _built[name]
         for part in slices(batches, 1):
             out = []
@@ -113,13 +128,12 @@ def _pass(rows: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 50_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text``, ``n_words``, ``hit_words``, ``items`` and ``spans`` of every document."""
-    items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # a word has one character and a blank at least
-    blocks = max(1, -(-size // (2 * block_windows)))
+    pairs = cut(item_windows(benchmark, window))
+    blocks = max(1, -(-pairs.count() // block_windows))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumns(
         {"n_words": F.lit(0).cast("long"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<start:int,stop:int>>")}
     )
     for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        rows = _pass(cut(rows) if block else rows, [tuple(r) for r in own.collect()], window)  # bounded by block_windows
+        own = pairs if blocks == 1 else pairs.filter(F.pmod(F.xxhash64("gram", "item"), F.lit(blocks)) == block)
+        rows = _pass(cut(rows) if block else rows, [tuple(r) for r in own.select("item", "gram").collect()])  # about block_windows
     return rows

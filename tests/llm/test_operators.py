@@ -126,6 +126,18 @@ def test_decontaminate(spark):
     assert decontaminate.scan(rows, bench.limit(0)).filter("size(hit_words) > 0").count() == 0
 
 
+def test_one_very_long_item(spark):
+    """An item of 150 000 words is many blocks of about equal size, whoever owns the windows; ids that stand twice are one item."""
+    words = [f"w{i}" for i in range(150_000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b c d e f g h i j"), (2, "a b c"), (3, "a b c")], "item_id bigint, text string")
+    pairs = decontaminate.item_windows(bench, 10)
+    sizes = [r["count"] for r in pairs.groupBy(F.pmod(F.xxhash64("gram", "item"), F.lit(4))).count().collect()]
+    assert sum(sizes) == 149_991 + 3 and max(sizes) < 1.03 * min(sizes)
+    rows = spark.createDataFrame([(1, " ".join(words[5000:5020]) + " a b c", "clash")] * 2 + [(2, "x " * 500_000 + "A b, C", "")], "doc_id bigint, text string, items string").coalesce(1)
+    got = decontaminate.scan(rows, bench, block_windows=50_000).collect()
+    assert sorted((r.doc_id, len(r.hit_words), r.items) for r in got) == [(1, 23, ["1", "2", "3"])] * 2 + [(2, 3, ["2", "3"])]
+
+
 def test_language_mix(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language_mix.fit(language_mix.training_rows(rows))
