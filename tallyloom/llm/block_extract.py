@@ -2,10 +2,10 @@
 
 Markup is stripped into blocks in page order.  Blocks in elements that can't hold
 article text (navigation, headers, footers, forms, scripts, adverts, notices, comments
-by name, class, id or role) take no part.  The others have weights: their length; none
+by name, class, id or role; elements that aren't displayed) take no part.  The others have weights: their length; none
 for blocks that are links for the most part; ``LANDMARK`` more for the page's heading;
-in a page with an article element, ``LANDMARK`` more for each block inside it, and none
-outside.  Weights are summed over
+in a page with an article element only the blocks inside one take part, each with
+``LANDMARK`` more.  Weights are summed over
 sliding windows of blocks; text starts where the sum surges over a threshold and ends
 where it dives to nothing, and what lies between is kept.  So an article element makes
 its blocks surge more easily, and a page without one is read by lengths alone.
@@ -32,6 +32,9 @@ from .common import slices
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 _HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+#: An element that the page doesn't display.
+_UNSEEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|\bstyle\s*=\s*(?:"[^"]*\bdisplay\s*:\s*none|'[^']*\bdisplay\s*:\s*none|display:none)""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose text is never shown, elements that hold no article text, elements that end a block.
 RAW = frozenset("script style noscript template textarea title svg iframe object select".split())
@@ -51,7 +54,12 @@ def _marked(attributes: str) -> bool:
         value = (m[1] or m[2] or m[3] or "").lower()
         if not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
             return True
-    return False
+    return any(m[0].strip().lower() != "hidden" or not _quoted(attributes, m.start()) for m in _UNSEEN.finditer(attributes))
+
+
+def _quoted(attributes: str, at: int) -> bool:
+    """Whether a place is inside an attribute's value."""
+    return any(m.start() < at < m.end() for m in _VALUE.finditer(attributes))
 
 
 def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
@@ -99,7 +107,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
             elif name == "h1":
                 heads = max(0, heads - 1)
             continue
-        if name in RAW and not m[3].endswith("/"):
+        if name in RAW and not (name == "svg" and m[3].endswith("/")):  # a slash closes no HTML element
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
@@ -129,9 +137,9 @@ LANDMARK = 86
 def distribution(page: str, window: int = 3) -> tuple[list[str], list[int], list[int]]:
     """The blocks that may hold article text, their weights and the sums of ``window`` weights from each on."""
     blocks = [(text, linked, inside, head) for text, linked, out, inside, head in blocks_of(page) if not out]
-    landmark = any(inside for _, _, inside, _ in blocks)
-    if landmark:
-        weights = [inside and len(text) + LANDMARK for text, _, inside, _ in blocks]
+    if any(inside for _, _, inside, _ in blocks):
+        blocks = [b for b in blocks if b[2]]
+        weights = [len(text) + LANDMARK for text, *_ in blocks]
     else:
         weights = [0 if 2 * linked > len(text) else len(text) + LANDMARK * head for text, linked, _, head in blocks]
     before = [0, *accumulate(weights)]

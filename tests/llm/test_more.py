@@ -72,6 +72,64 @@ def test_block_distribution():
     assert block_extract.main_text("<p>short</p>") == "short" and block_extract.main_text("") == block_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_blocks_that_are_not_shown():
+    """A slash closes no script; hidden elements and what lies between two articles take no part; the word in a value is no attribute."""
+    take = block_extract.main_text
+    assert take('<p>one</p><script src="a.js"/>var x=1;</script><style/>b{}</style><p>two</p>') == "one\ntwo"
+    assert take("<svg/><p>one</p>") == "one"
+    long = "word " * 40
+    page = f"<article><p>{long}</p></article><div>promo text outside</div><article><p>{long}end</p></article>"
+    assert take(page) == f"{long.strip()}\n{long}end"
+    assert take(f"<p>{long}</p><div hidden><p>gone</p></div><p style='color:red; display: none'>gone</p><p hidden=''>gone</p><p>here</p>") == f"{long.strip()}\nhere"
+    assert take(f'<p title="not hidden here">{long}</p><p data-hidden="no">here</p>') == f"{long.strip()}\nhere"
+
+
+def _plain_text(page):
+    """Another reading of a simple page by the standard library's parser: paragraphs of the article outside of what is no text."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.articles, self.out, self.line = [], 0, [], None
+
+        def handle_starttag(self, tag, attrs):
+            if self.off or tag in ("nav", "header", "footer", "aside", "form", "script", "style") or any(k == "class" and v in ("comments", "sidebar", "ad", "cookie-notice") for k, v in attrs):
+                self.off += [tag] if tag not in ("br", "img") else []
+            elif tag == "article":
+                self.articles += 1
+            elif tag in ("p", "h1", "li"):
+                self.line = ""
+
+        def handle_endtag(self, tag):
+            if self.off:
+                self.off.pop()
+            elif tag == "article":
+                self.articles -= 1
+            elif tag in ("p", "h1", "li"):
+                self.out += [" ".join(self.line.split())] if self.articles and self.line.strip() else []
+                self.line = None
+
+        def handle_data(self, data):
+            if not self.off and self.line is not None:
+                self.line += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n".join(reader.out)
+
+
+def test_extraction_against_another_reader():
+    """Random pages with one article, set about with navigation, adverts, notices, scripts and comments."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "caf\u00e9", "x &amp; y", "&lt;b&gt;", "one\n two", "<em>three</em>", "<a href=u>four</a>"]) for _ in range(n))
+    aside = lambda: rng.choice(["<nav><ul><li>{}</li></ul></nav>", "<aside><p>{}</p></aside>", "<div class=ad><p>{}</p></div>", "<div class='cookie-notice'><div>{}</div></div>", "<script>if (a < b) {{ '{}' }}</script>", "<form><p>{}</p></form>", "<footer>{}</footer>"]).format(words(rng.randint(1, 90)))
+    for _ in range(200):
+        body = "".join(f"<p>{words(rng.randint(1, 60))}</p>" + (aside() if rng.random() < 0.3 else "") for _ in range(rng.randint(1, 8)))
+        page = "<html><head><title>t</title></head><body>" + "".join(aside() for _ in range(rng.randint(0, 3))) + f"<article><h1>{words(3)}</h1>{body}</article><div class=comments><p>{words(50)}</p></div>" + aside() + "</body></html>"
+        assert block_extract.main_text(page) == _plain_text(page)
+
+
 def test_blocks_of_tables(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", "c"), (1, "u", "<p>a</p>", "c"), (None, None, "<p>" + "x" * 2_000_000, "c")], "page_id bigint, url string, html string, text string")
     assert sorted((str(r.page_id), len(r.text)) for r in block_extract.extract(rows).collect()) == [("1", 1), ("1", 1), ("None", 2_000_000)]
