@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shapes import overlaps, union_box
 from ..functions.texts import has_risk, legend_text
+from .numeric import exact_medians
 
 
 def cell_counts(cells: DataFrame, palette: DataFrame) -> DataFrame:
@@ -215,11 +216,11 @@ def nearest_colours(cells: DataFrame, swatches: DataFrame) -> DataFrame:
 
 
 def exact_colours(cells: DataFrame, swatches: DataFrame, backgrounds: DataFrame, tolerance: int = 2) -> DataFrame:
-    """Cells by exact colour; else background within a tolerance; else unknown (J18).  One row a cell."""
+    """Cells by exact colour; else a background of their image (columns image_id, r, g, b) within a tolerance; else unknown (J18).  One row a cell."""
     s = F.broadcast(swatches.select("r", "g", "b", F.col("code").alias("swatch")).groupBy("r", "g", "b").agg(F.min("swatch").alias("swatch")))  # 221 colours
-    grounds = F.broadcast(backgrounds.agg(F.collect_set(F.struct("r", "g", "b")).alias("_grounds")))  # one row, a chart's few backgrounds
-    near = F.exists("_grounds", lambda p: F.greatest(*[F.abs(F.col(k) - p[k]) for k in "rgb"]) <= tolerance)
-    named = cells.join(s, ["r", "g", "b"], "left").join(grounds, F.lit(True), "left")
+    grounds = backgrounds.groupBy("image_id").agg(F.collect_set(F.struct("r", "g", "b")).alias("_grounds"))  # a chart's few backgrounds
+    near = F.coalesce(F.exists("_grounds", lambda p: F.greatest(*[F.abs(F.col(k) - p[k]) for k in "rgb"]) <= tolerance), F.lit(False))
+    named = cells.join(s, ["r", "g", "b"], "left").join(grounds, "image_id", "left")
     return named.select("image_id", F.when(F.col("swatch").isNotNull(), F.col("swatch")).when(near, "blank").otherwise("unknown").alias("kind"))
 
 
@@ -282,9 +283,20 @@ def evidence_codes(candidates: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def doubt_evidence(doubts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Doubts with the text and region of their evidence where they have none."""
-    proof = evidence.select("image_id", F.col("id").alias("evidence_id"), F.col("raw").alias("proof_raw"))
-    return doubts.join(proof, ["image_id", "evidence_id"], "left").withColumn("raw", F.coalesce("raw", "proof_raw", F.lit(""))).drop("proof_raw")
+    """Doubts with the text and region of their evidence where they have none.
+
+    ``doubts``: image_id, id, raw, region, and what they name: evidence_id, evidence_ids (an
+    array), or both.  Of several pieces the first by ``pos`` of the evidence counts (by id
+    without that column).
+    """
+    have = doubts.columns
+    named = F.concat(*[F.coalesce(F.col("evidence_ids"), F.array()) if c == "evidence_ids" else F.array_compact(F.array(c)) for c in ("evidence_id", "evidence_ids") if c in have])
+    place = F.col("pos") if "pos" in evidence.columns else F.col("evidence_id")
+    proof = evidence.withColumnRenamed("id", "evidence_id").select("image_id", "evidence_id", place.alias("_pos"), F.struct("raw", "region").alias("_proof"))
+    links = doubts.select("image_id", "id", F.explode(F.array_distinct(named)).alias("evidence_id")).join(proof, ["image_id", "evidence_id"])
+    first = links.groupBy("image_id", "id").agg(F.min_by("_proof", "_pos").alias("_proof"))
+    rows = doubts.join(first, ["image_id", "id"], "left")
+    return rows.withColumns({"raw": F.coalesce("raw", "_proof.raw", F.lit("")), "region": F.coalesce("region", "_proof.region")}).drop("_proof")
 
 
 def published(evidence: DataFrame, used: DataFrame) -> DataFrame:
@@ -393,8 +405,10 @@ def modal_colours(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def median_background(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Median of each channel."""
-    return cells.groupBy(*keys).agg(*[F.median(k).alias(f"{k}_median") for k in "rgb"])
+    """Median of each channel (A14), exact for groups of any size."""
+    each = cells.select(*keys, F.posexplode(F.array(*[F.col(k).cast("double") for k in "rgb"])).alias("_k", "_v"))
+    medians = exact_medians(each, [*keys, "_k"], "_v")
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == i, F.col("median"))).alias(f"{k}_median") for i, k in enumerate("rgb")])
 
 
 def group_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:

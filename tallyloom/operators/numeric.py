@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.glyphs import template_score
+from ..session import cut
 
 def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 512) -> DataFrame:
     """Each glyph's best error for each label (J19): the glyphs against all templates but themselves.
@@ -125,10 +128,63 @@ def font_corrections(errors: DataFrame, examples: int = 3, most: float = 0.16, m
     return first.filter(good & (F.col("label") != F.col("char"))).select("vec_id", F.col("char").alias("old"), F.col("label").alias("new"), "error", "next_error")
 
 
+#: A group of so many values is gathered to find its median; larger ones are narrowed first.
+MOST_VALUES = 1_000_000
+#: Ranges that a group's values are counted in at once.
+RANGES = 256
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value: str, most: int = MOST_VALUES) -> DataFrame:
+    """``median`` of each group (A14, A15, A19), exact whatever the group's size; null and NaN don't count, and a group without values has no row.
+
+    Groups of more than ``most`` values, which are fewer than rows / ``most``, are never
+    gathered: each round counts their values in ranges between bounds, combined before the
+    shuffle, and goes on inside the range that holds the wanted rank, until at most ``most``
+    values or a single one are left there.  A range's bounds are its own least and greatest
+    value, so each round at least splits them off.
+    """
+    good = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    sizes = good.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    large = cut(sizes.filter(F.col("n") > most))
+    if large.isEmpty():
+        return good.groupBy(*keys).agg(F.median("_v").alias("median"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(Column.__and__, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
+
+    def beside(facts: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+        """Facts with the state of their large group; there are few of those, so no fact is shuffled."""
+        names = F.broadcast(few.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in few.columns]))
+        return facts.join(names, same(facts, names), how).drop(*[f"_{k}" for k in keys])
+
+    small = beside(good, large.select(*keys), "left_anti").groupBy(*keys).agg(F.median("_v").alias("median"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    state = large.select(*keys, F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("inside"))
+    found = None
+    while True:
+        ended = state.filter((F.col("inside") <= most) | (F.col("low") == F.col("high")))
+        inside = beside(good, ended).filter(F.col("_v").between(F.col("low"), F.col("high")) & (F.col("low") < F.col("high")))
+        gathered = inside.groupBy(*keys, "rank").agg(F.array_sort(F.collect_list("_v")).alias("_all"), F.first("below").alias("_below"))  # at most ``most``
+        values = gathered.select(*keys, F.get("_all", (F.col("rank") - F.col("_below")).cast("int")).alias("_v")).unionByName(ended.filter("low = high").select(*keys, F.col("low").alias("_v")))
+        found = cut(values if found is None else found.unionByName(values))
+        state = cut(state.filter((F.col("inside") > most) & (F.col("low") < F.col("high"))))
+        if state.isEmpty():
+            break
+        half = F.col("high") / 2 - F.col("low") / 2  # a difference may be over the largest number
+        range_ = F.least(F.lit(RANGES - 1), F.floor((F.col("_v") / 2 - F.col("low") / 2) / half * RANGES)).cast("int")
+        counted = beside(good, state).filter(F.col("_v").between(F.col("low"), F.col("high"))).groupBy(*keys, "rank", "below", range_.alias("range")).agg(F.count("*").alias("inside"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        up = W.partitionBy(*keys, "rank").orderBy("range")
+        placed = counted.withColumn("below", F.col("below") + F.sum("inside").over(up) - F.col("inside"))
+        state = cut(placed.filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside"))).select(*state.columns))
+    return small.unionByName(found.groupBy(*keys).agg((F.min("_v") / 2 + F.max("_v") / 2).alias("median")))
+
+
 def mean_masks(glyphs: DataFrame) -> DataFrame:
-    """Element-wise mean and median of a label's vectors."""
-    each = glyphs.select("label", F.posexplode("embedding").alias("at", "value"))
-    return each.groupBy("label", "at").agg(F.round(F.avg(F.col("value").cast("double")), 5).alias("mean"), F.round(F.median(F.col("value").cast("double")), 5).alias("median"))
+    """Element-wise mean and median of a label's vectors (A15), for labels of any size."""
+    each = glyphs.select("label", F.posexplode("embedding").alias("at", "value")).withColumn("value", F.col("value").cast("double"))
+    means = each.groupBy("label", "at").agg(F.round(F.avg("value"), 5).alias("mean"))
+    medians = exact_medians(each, ["label", "at"], "value").select(F.col("label").alias("_label"), F.col("at").alias("_at"), F.round("median", 5).alias("median"))
+    return means.join(medians, F.col("label").eqNullSafe(F.col("_label")) & (F.col("at") == F.col("_at")), "left").select("label", "at", "mean", "median")
 
 
 def agreed_words(averages: DataFrame, votes: DataFrame, allowed: DataFrame, least: int = 2) -> DataFrame:
@@ -272,7 +328,9 @@ def word_alternatives(fields: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def run_times(runs: DataFrame) -> DataFrame:
     """Median and peak by sample and version."""
-    return runs.groupBy("key", "version").agg(F.round(F.median("value"), 6).alias("median"), F.round(F.max("value"), 6).alias("peak"), F.count("*").alias("n"))
+    sizes = runs.groupBy("key", "version").agg(F.round(F.max("value"), 6).alias("peak"), F.count("*").alias("n"))
+    medians = exact_medians(runs, ["key", "version"], "value").select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.round("median", 6).alias("median"))
+    return sizes.join(medians, F.col("key").eqNullSafe(F.col("_key")) & F.col("version").eqNullSafe(F.col("_version")), "left").select("key", "version", "median", "peak", "n")
 
 
 def arbitrated(readings: DataFrame, errors: DataFrame, weak: float = 0.9, digit: tuple[float, float] = (0.12, 0.03), other: tuple[float, float] = (0.16, 0.02)) -> DataFrame:

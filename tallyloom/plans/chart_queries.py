@@ -110,11 +110,13 @@ def nearest_colours(v: Views) -> DataFrame:
 _SWATCH = "SELECT r * 7 % 256 AS r, g, b * 31 % 256 AS b, min(code) AS swatch FROM v_palette GROUP BY 1, 2, 3"
 
 
-@query(f"SELECT c.image_id, CASE WHEN s.swatch IS NOT NULL THEN s.swatch WHEN greatest(abs(c.r - 128), abs(c.g - 130), abs(c.b - 62)) <= 60 OR greatest(abs(c.r - 140), abs(c.g - 120), abs(c.b - 70)) <= 60 THEN 'blank' ELSE 'unknown' END AS kind FROM v_cell c LEFT JOIN ({_SWATCH}) s ON s.r = c.r AND s.g = c.g AND s.b = c.b")
+_GROUNDS = "SELECT DISTINCT image_id, r, g, b FROM v_cell WHERE col % 8 = 0"
+
+
+@query(f"SELECT c.image_id, CASE WHEN s.swatch IS NOT NULL THEN s.swatch WHEN EXISTS (SELECT 1 FROM ({_GROUNDS}) k WHERE k.image_id = c.image_id AND greatest(abs(c.r - k.r), abs(c.g - k.g), abs(c.b - k.b)) <= 60) THEN 'blank' ELSE 'unknown' END AS kind FROM v_cell c LEFT JOIN ({_SWATCH}) s ON s.r = c.r AND s.g = c.g AND s.b = c.b")
 def exact_colours(v: Views) -> DataFrame:
     swatches = v.palette.selectExpr("code", "r * 7 % 256 as r", "g", "b * 31 % 256 as b")
-    ground = v.spark.createDataFrame([(128, 130, 62), (140, 120, 70)], "r int, g int, b int")
-    return C.exact_colours(v.cell, swatches, ground, 60)
+    return C.exact_colours(v.cell, swatches, v.cell.filter("col % 8 = 0").select("image_id", "r", "g", "b"), 60)
 
 
 _LEG = "SELECT pattern_id AS image_id, code, qty FROM v_usage WHERE pattern_id % 3 > 0 AND code IN (SELECT code FROM v_palette)"
@@ -176,10 +178,14 @@ def evidence_codes(v: Views) -> DataFrame:
     return C.evidence_codes(v.box.filter("id % 2 = 0").selectExpr("image_id", "code", "array(id, id - 1) as evidence_ids"), v.box.select("image_id", "id"))
 
 
-@query("SELECT d.image_id, d.id, coalesce(CASE WHEN d.id % 3 = 0 THEN 'own' END, e.code, '') AS raw FROM v_box d LEFT JOIN v_box e ON e.image_id = d.image_id AND e.id = d.id + 1")
+@query("""WITH n AS (SELECT image_id, id, id + 1 AS proof FROM v_box UNION ALL SELECT image_id, id, id + 2 FROM v_box WHERE id % 2 = 0 UNION ALL SELECT image_id, id, id - 1 FROM v_box WHERE id % 2 = 0),
+f AS (SELECT n.image_id, n.id, arg_max({'raw': e.code, 'x': e.x}, e.id) AS e FROM n JOIN v_box e ON e.image_id = n.image_id AND e.id = n.proof GROUP BY 1, 2)
+SELECT d.image_id, d.id, coalesce(CASE WHEN d.id % 3 = 0 THEN 'own' END, f.e.raw, '') AS raw, CASE WHEN d.id % 5 = 0 THEN -1 ELSE f.e.x END AS x FROM v_box d LEFT JOIN f ON f.image_id = d.image_id AND f.id = d.id""")
 def doubt_evidence(v: Views) -> DataFrame:
-    doubts = v.box.selectExpr("image_id", "id", "id + 1 as evidence_id", "case when id % 3 = 0 then 'own' end as raw")
-    return C.doubt_evidence(doubts, v.box.selectExpr("image_id", "id", "code as raw")).select("image_id", "id", "raw")
+    """Evidence in falling order of its ids."""
+    doubts = v.box.selectExpr("image_id", "id", "id + 1 as evidence_id", "if(id % 2 = 0, array(id + 2, id - 1), null) as evidence_ids", "case when id % 3 = 0 then 'own' end as raw", "case when id % 5 = 0 then array(-1L) end as region")
+    evidence = v.box.selectExpr("image_id", "id", "code as raw", "array(cast(x as bigint)) as region", "-id as pos")
+    return C.doubt_evidence(doubts, evidence).select("image_id", "id", "raw", F.get("region", F.lit(0)).alias("x"))
 
 
 @query("SELECT image_id, id FROM v_box WHERE id % 2 = 0 OR id % 3 = 0")

@@ -1,93 +1,27 @@
-"""Other sources and sinks: image intake, manifests, recognition results, palettes, CSV evidence."""
+"""Other sources and sinks: recognition results, references, palettes, CSV evidence."""
 
 from __future__ import annotations
 
-import struct
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shapes import oriented
-
-MOST_BYTES, MOST_PIXELS = 20 * 1024 * 1024, 32_000_000
 RESULT = (
     "algorithm string, status string, source string, image struct<width:bigint,height:bigint>, candidates array<struct<code:string,quantity:bigint,source:string,evidenceIds:array<string>>>, "
     "evidence array<struct<id:string,rawText:string,region:array<double>>>, doubts array<struct<reason:string,rawText:string,region:array<double>,evidenceId:string>>, total bigint, titleTotal bigint"
 )
 
 
-def _jpeg(data: bytes) -> tuple[int, int, int] | None:
-    """Width, height and orientation from the frame header and the Exif tag."""
-    at, orientation = 2, 1
-    while at + 9 < len(data):
-        if data[at] != 0xFF:
-            return None
-        mark = data[at + 1]
-        if mark == 0xFF or 0xD0 <= mark <= 0xD8 or mark == 0x01:
-            at += 1 if mark == 0xFF else 2
-            continue
-        size = int.from_bytes(data[at + 2 : at + 4], "big")
-        if mark == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-            tiff = data[at + 10 : at + 2 + size]
-            order = "<" if tiff[:2] == b"II" else ">"
-            if len(tiff) >= 10:
-                start = struct.unpack(f"{order}I", tiff[4:8])[0]
-                count = struct.unpack(f"{order}H", tiff[start : start + 2])[0] if len(tiff) >= start + 2 else 0
-                for i in range(count):
-                    entry = tiff[start + 2 + 12 * i : start + 14 + 12 * i]
-                    if len(entry) == 12 and struct.unpack(f"{order}H", entry[:2])[0] == 0x0112:
-                        orientation = struct.unpack(f"{order}H", entry[8:10])[0]
-        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big"), orientation
-        at += 2 + size
-    return None
-
-
-def _size(data: bytes) -> dict:
-    """Kind and stored size of an image by its first bytes."""
-    kind, found, moving = None, None, False
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        kind, found = "image/png", (int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big"), 1)
-    elif data[:3] == b"\xff\xd8\xff":
-        kind, found = "image/jpeg", _jpeg(data)
-    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
-        kind = "image/webp"
-        if data[12:16] == b"VP8X":
-            moving = bool(data[20] & 2)
-            found = (int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1, 1)
-        elif data[12:16] == b"VP8L":
-            bits = int.from_bytes(data[21:25], "little")
-            found = ((bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 1)
-        elif data[12:16] == b"VP8 ":
-            found = (int.from_bytes(data[26:28], "little") & 0x3FFF, int.from_bytes(data[28:30], "little") & 0x3FFF, 1)
-    width, height, orientation = found or (None, None, 1)
-    return {"mime": kind, "stored_width": width, "stored_height": height, "orientation": orientation, "moving": moving}
-
-
-HEADER = "mime string, stored_width bigint, stored_height bigint, orientation int, moving boolean"
-
-
-def image_header(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_size(x or b"") for x in content], columns=["mime", "stored_width", "stored_height", "orientation", "moving"]).astype({"stored_width": "Int64", "stored_height": "Int64"})
-
-
-def image_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Images of a folder: kind, size as shown, and whether they can be taken."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    # a filter on the length reaches the reader, so files over the limit aren't read
-    small = rows.filter(F.col("length") <= MOST_BYTES).select("path", "length", F.pandas_udf(image_header, HEADER)("content").alias("h")).select("path", "length", "h.*")
-    large = rows.filter(F.col("length") > MOST_BYTES).select("path", "length", F.lit(None).cast(f"struct<{HEADER.replace(' ', ':').replace(',:', ',')}>").alias("h")).select("path", "length", "h.*")
-    read = small.unionByName(large)
-    shown = oriented(F.col("stored_width"), F.col("stored_height"), F.col("orientation"))
-    ok = F.col("mime").isNotNull() & ~F.col("moving") & (F.col("length") <= MOST_BYTES) & (F.col("stored_width") > 0) & (F.col("stored_height") > 0) & (F.col("stored_width") * F.col("stored_height") <= MOST_PIXELS)
-    return read.withColumn("shown", shown).select("path", "length", "mime", F.col("shown.width").alias("width"), F.col("shown.height").alias("height"), F.coalesce(ok, F.lit(False)).alias("accepted"))
-
-
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Recognition results, one JSON document a line, with the file as ``image_id`` where they carry none."""
-    return spark.read.schema(RESULT).option("mode", "PERMISSIVE").json(path).withColumn("image_id", F.col("_metadata.file_name"))
+    """Recognition results, one JSON document a line.
+
+    ``image_id`` is what a document says (``imageId``), else its file; ``document`` tells
+    documents of one file apart, by their text.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("_file"), "value").filter(F.trim("value") != "")
+    read = lines.select("_file", F.sha2("value", 256).alias("document"), F.from_json("value", f"{RESULT}, imageId string", {"mode": "PERMISSIVE"}).alias("_r"))
+    return read.select("_r.*", "_file", "document").withColumn("image_id", F.coalesce("imageId", "_file")).drop("imageId", "_file")
 
 
 def read_references(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -3,14 +3,16 @@
 import datetime
 import json
 import random
+import statistics
 import struct
 import tempfile
+import zlib
 
 from pyspark.sql import functions as F
 
 from tallyloom.functions.quantities import is_low, parse_quantity
 from tallyloom.operators import charts, command_log, ledger, numeric, rules
-from tallyloom.sources import bundles, files
+from tallyloom.sources import bundles, files, images
 from tallyloom.streaming import ledger_stream
 
 LOG = "ledger_id bigint, seq bigint, request_id string, op_type string, lines array<struct<code:string,qty:bigint>>, payload string, make_id string"
@@ -179,28 +181,97 @@ def test_meeting_boxes(spark):
     assert charts.overlapping_pairs(many, 0).count() == 39_999 + 2 * 200 * 199 + 2 * 199 * 199 - 3
 
 
+def test_exact_medians(spark):
+    """Groups over the limit by counted ranges, without gathering them: ties, few values, far outliers, negative and even numbers of rows; nulls and NaN don't count."""
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3001)], "b": [5.0] * 2000, "c": [rng.choice([1.0, 2.0]) for _ in range(1000)], "d": [rng.random() * 10 ** rng.randint(-300, 300) for _ in range(2000)], "e": [1.0, 4.0], "f": [float(i) for i in range(1000)], "g": [-1e308, 1e308] * 500, "h": [7.0]}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("a", None), ("a", float("nan")), ("z", None), (None, 1.0), (None, 3.0)]
+    data = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    for most in (100, 10**6):
+        got = {r.k: r.median for r in numeric.exact_medians(data, ["k"], "value", most).collect()}
+        assert got == {k: statistics.median(v) for k, v in groups.items()} | {None: 2.0}
+    assert numeric.exact_medians(data.limit(0), ["k"], "value").collect() == []
+
+
+def test_doubts_take_their_evidence(spark):
+    """The first piece of evidence that a doubt names, alone or in a list, gives its text and region where the doubt has none."""
+    evidence = spark.createDataFrame([(1, "b", "second", [1, 2, 3, 4], 2), (1, "a", "first", [5, 6, 7, 8], 1), (1, "c", "third", None, 3), (2, "a", "else", [9, 9, 9, 9], 1)], "image_id int, id string, raw string, region array<int>, pos int")
+    doubts = spark.createDataFrame([(1, "1", None, None, "b", ["a"]), (1, "2", "own", None, "c", None), (1, "3", None, [0, 0, 1, 1], None, ["c", "b"]), (1, "4", None, None, "none", []), (2, "1", None, None, "a", None)], "image_id int, id string, raw string, region array<int>, evidence_id string, evidence_ids array<string>")
+    got = {(r.image_id, r.id): (r.raw, r.region) for r in charts.doubt_evidence(doubts, evidence).collect()}
+    assert got == {(1, "1"): ("first", [5, 6, 7, 8]), (1, "2"): ("own", None), (1, "3"): ("second", [0, 0, 1, 1]), (1, "4"): ("", None), (2, "1"): ("else", [9, 9, 9, 9])}
+
+
+def test_backgrounds_of_an_image(spark):
+    """A background counts in its own image only."""
+    cells = spark.createDataFrame([(1, 10, 10, 10), (2, 10, 10, 10), (3, 10, 10, 10)], "image_id int, r int, g int, b int")
+    grounds = spark.createDataFrame([(1, 11, 9, 10), (1, 200, 0, 0), (2, 50, 50, 50)], cells.schema)
+    swatches = spark.createDataFrame([("A1", 0, 0, 0)], "code string, r int, g int, b int")
+    assert {r.image_id: r.kind for r in charts.exact_colours(cells, swatches, grounds).collect()} == {1: "blank", 2: "unknown", 3: "unknown"}
+
+
 def test_files(spark):
     """Palettes (S6), results (S8) and references (S10) come as they were written; ids that stand twice are refused."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    for name, rows in (("p", [{"code": "A1", "grp": "A", "r": 1, "g": 2, "b": 3}]), ("q", [{"id": "x", "status": "ok", "expected": {"A1": 2}}, {"id": "y"}, {"id": "y"}]), ("r", [{"status": "ready"}])):
+    for name, rows in (("p", [{"code": "A1", "grp": "A", "r": 1, "g": 2, "b": 3}]), ("q", [{"id": "x", "status": "ok", "expected": {"A1": 2}}, {"id": "y"}, {"id": "y"}]), ("r", [{"status": "ready"}]), ("s", [{"status": "ready", "imageId": "i"}, {"status": "ready"}, {"status": "failed"}])):
         with open(f"{folder}/{name}.json", "w") as f:
             f.write("\n".join(map(json.dumps, rows)))
     assert [tuple(r) for r in files.read_palette(spark, f"{folder}/p.json").collect()] == [("A1", "A", 1, 2, 3)]
     good, twice = files.read_references(spark, f"{folder}/q.json")
     assert [tuple(r) for r in good.collect()] == [("x", "ok", "A1", 2)] and [tuple(r) for r in twice.collect()] == [("y", 2)]
     assert [(r.image_id, r.status) for r in files.read_results(spark, f"{folder}/r.json").collect()] == [("r.json", "ready")]
+    several = files.read_results(spark, f"{folder}/s.json").collect()
+    assert sorted((r.image_id, r.status) for r in several) == [("i", "ready"), ("s.json", "failed"), ("s.json", "ready")] and len({r.document for r in several}) == 3
+
+
+def _png(*chunks):
+    part = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + b"".join(part(*c) for c in chunks)
+
+
+def _webp(*chunks):
+    body = b"WEBP" + b"".join(name + struct.pack("<I", len(x)) + x + b"\0" * (len(x) % 2) for name, x in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+EXIF = b"MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+
+
+def _images():
+    """Name, bytes, and what intake says of them: kind, width, height, refusal."""
+    size = b"IHDR", struct.pack(">II", 30, 20) + b"\x08\x02\0\0\0"
+    end, data = (b"IEND", b""), (b"IDAT", b"x" * 9)
+    whole = _png(size, data, end)
+    app, frame = b"\xff\xe1" + struct.pack(">H", len(EXIF) + 8) + b"Exif\0\0" + EXIF, b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 40, 50) + b"\x03" + b"\0" * 9
+    scan, eoi = b"\xff\xda\0\x03\0" + b"ab\xff\0c\xff\xd0d", b"\xff\xd9"
+    jpeg = b"\xff\xd8" + app + frame + scan
+    lossy = b"VP8 ", b"\x10\0\0\x9d\x01\x2a" + struct.pack("<HH", 7, 9) + b"z"
+    lossless = b"VP8L", b"\x2f" + struct.pack("<I", 6 | 8 << 14)
+    clear = b"VP8L", b"\x2f" + struct.pack("<I", 6 | 8 << 14 | 1 << 28)
+    canvas = lambda flags, w=6, h=8: (b"VP8X", bytes([flags, 0, 0, 0]) + w.to_bytes(3, "little") + h.to_bytes(3, "little"))
+    return [
+        ("png", whole, "image/png", 30, 20, None), ("png-more", whole + b"tail", "image/png", 30, 20, None), ("png-cut", whole[:33], "image/png", None, None, "damaged"), ("png-turned", _png(size, (b"eXIf", EXIF), data, end), "image/png", 20, 30, None),
+        ("png-moving", _png(size, (b"acTL", b"\0" * 8), data, end), "image/png", None, None, "animated"), ("png-bad", whole[:-20] + b"?" + whole[-19:], "image/png", None, None, "damaged"), ("png-twice", _png(size, size, data, end), "image/png", None, None, "damaged"),
+        ("png-flat", _png((b"IHDR", struct.pack(">II", 0, 20) + b"\x08\x02\0\0\0"), end), "image/png", None, None, "damaged"), ("png-huge", _png((b"IHDR", struct.pack(">II", 8000, 5000) + b"\x08\x02\0\0\0"), end), "image/png", 8000, 5000, "too-many-pixels"),
+        ("jpeg", jpeg + eoi, "image/jpeg", 40, 50, None), ("jpeg-cut", jpeg, "image/jpeg", None, None, "damaged"), ("jpeg-plain", b"\xff\xd8" + frame + scan + b"\xff" + eoi, "image/jpeg", 50, 40, None), ("jpeg-still", b"\xff\xd8" + frame + eoi, "image/jpeg", None, None, "damaged"),
+        ("jpeg-frames", b"\xff\xd8" + frame + frame + scan + eoi, "image/jpeg", None, None, "damaged"), ("webp", _webp(lossy), "image/webp", 7, 9, None), ("webp-lossless", _webp(lossless), "image/webp", 7, 9, None), ("webp-cut", _webp(lossy)[:-2], "image/webp", None, None, "damaged"),
+        ("webp-moving", _webp(canvas(2), lossy), "image/webp", None, None, "animated"), ("webp-frames", _webp(canvas(0), (b"ANIM", b"123456"), lossy), "image/webp", None, None, "animated"), ("webp-turned", _webp(canvas(8), lossy, (b"EXIF", EXIF)), "image/webp", 9, 7, None),
+        ("webp-alpha", _webp(canvas(16), (b"ALPH", b"12"), lossy), "image/webp", 7, 9, None), ("webp-clear", _webp(canvas(16), clear), "image/webp", 7, 9, None), ("webp-unsaid", _webp(canvas(0), lossy, (b"EXIF", EXIF)), "image/webp", None, None, "damaged"), ("webp-other", _webp(canvas(0, 9, 9), lossy), "image/webp", None, None, "damaged"),
+        ("webp-bare", _webp(lossy, (b"EXIF", EXIF)), "image/webp", None, None, "damaged"), ("text", b"no image", None, None, None, "unknown-kind"),
+    ]
 
 
 def test_images(spark):
+    """Whole, turned, animated, truncated and damaged files of every kind."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30, 20) + b"\x08\x02\0\0\0"
-    exif = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
-    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 40, 50) + b"\x03" + b"\0" * 12
-    for name, data in (("a.png", png), ("b.jpg", jpeg), ("c.txt", b"no image")):
+    for name, data, *_ in _images():
         with open(f"{folder}/{name}", "wb") as f:
             f.write(data)
-    got = {r.path[-5]: (r.mime, r.width, r.height, r.accepted) for r in files.image_manifest(spark, folder).collect()}
-    assert got == {"a": ("image/png", 30, 20, True), "b": ("image/jpeg", 40, 50, True), "c": (None, None, None, False)}
+    got = {r.path.rsplit("/", 1)[1]: (r.mime, r.width, r.height, r.refused, r.accepted) for r in images.image_manifest(spark, folder).collect()}
+    assert got == {name: (mime, width, height, refused, refused is None) for name, _, mime, width, height, refused in _images()}
+    assert images.judged(b"")[4] == images.judged(None)[4] == "empty"  # the reader leaves empty files out
+    data = {name: x for name, x, *_ in _images()}
+    for name in ("png", "jpeg", "webp", "webp-turned"):  # no file that ends early is taken
+        assert all(images.judged(data[name][:n])[4] for n in range(len(data[name])))
 
 
 def test_evidence_csv(spark):
