@@ -306,3 +306,24 @@ def current_blocks(v: Views) -> DataFrame:
 
     identities = v.block.filter("image_id % 2 = 0 and block_id % 3 = 0").select("image_id", "block_id")
     return current_results(v.block, identities, ["image_id", "block_id"]).select("image_id", "block_id")
+
+
+@query("""WITH p AS (SELECT pattern_id, count(*) AS n, CAST(sum(qty) AS BIGINT) AS total, CAST(max(qty) AS BIGINT) AS most FROM v_usage WHERE code IN (SELECT code FROM v_palette) GROUP BY 1),
+e AS (SELECT *, CASE WHEN pattern_id % 19 = 0 THEN 'invalid-format' WHEN pattern_id % 11 = 0 OR pattern_id % 13 = 0 THEN 'invalid-candidate' WHEN pattern_id % 7 = 0 THEN 'invalid-total' WHEN pattern_id % 17 = 0 THEN 'invalid-title' WHEN pattern_id % 23 = 0 THEN 'missing-size' END AS error FROM p)
+SELECT pattern_id AS image_id, error, CASE WHEN error IS NULL THEN CASE WHEN pattern_id % 5 = 0 THEN 'partial' ELSE 'ready' END END AS status, CASE WHEN error IS NULL THEN n END AS lines, CASE WHEN error IS NULL THEN CASE WHEN pattern_id % 5 = 0 THEN 'coverage,risk-0' ELSE '' END END AS risks,
+CASE WHEN error IS NULL AND pattern_id % 5 = 0 THEN 'seen ' || pattern_id END AS doubt, CASE WHEN error IS NULL THEN n END AS supported FROM e""")
+def accepted_recognitions(v: Views) -> DataFrame:
+    """Results as JSON texts, with odd ones by rule: broken text, an unknown code, a quantity as text, a wrong total, no title, no size."""
+    from ..sources.recognition import accepted_results
+
+    known = v.usage.join(F.broadcast(v.palette.select("code")), "code")
+    quantity = F.when((F.col("pattern_id") % 13 == 0), F.concat(F.lit('"'), F.col("qty").cast("string"), F.lit('"'))).otherwise(F.col("qty").cast("string"))
+    part = F.concat(F.lit('{"code":"'), F.col("code"), F.lit('","quantity":'), quantity, F.lit(',"evidenceIds":["e","'), F.col("code"), F.lit('"]}'))
+    per = known.groupBy("pattern_id").agg(F.array_join(F.array_sort(F.collect_list(part)), ",").alias("parts"), F.sum("qty").alias("total"))
+    rule = lambda n, yes, no: F.when(F.col("pattern_id") % n == 0, F.lit(yes)).otherwise(F.lit(no))
+    texts = per.select(F.col("pattern_id").alias("image_id"), F.concat(
+        rule(19, "", "{"), F.lit('"status":"ready","algorithm":"1","source":"legend","candidates":['), "parts", rule(11, ',{"code":"Z9","quantity":1}', ""), F.lit('],"evidence":[{"id":"e","rawText":"seen '), F.col("pattern_id").cast("string"), F.lit('","region":[0,0,5,5]}],"doubts":['),
+        rule(5, '{"reason":"r","evidenceIds":["x","e"]}', ""), F.lit('],"total":'), (F.col("total") + F.when(F.col("pattern_id") % 7 == 0, 1).otherwise(0)).cast("string"), rule(17, "", ',"titleTotal":null'), rule(23, "", ',"image":{"width":10,"height":20}'), F.lit("}"),
+    ).alias("json"))
+    got = accepted_results(texts, v.palette)
+    return got.select("image_id", "error", "status", F.size("lines").cast("bigint").alias("lines"), F.array_join(F.transform("risks", lambda r: r["id"]), ",").alias("risks"), F.get("risks", F.lit(1))["raw"].alias("doubt"), F.size(F.get("evidence", F.lit(0))["codes"]).cast("bigint").alias("supported"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.quantities import is_low, parse_quantity
 from tallyloom.operators import charts, command_log, ledger, numeric, rules
-from tallyloom.sources import bundles, files, images
+from tallyloom.sources import bundles, files, images, recognition
 from tallyloom.streaming import ledger_stream
 
 LOG = "ledger_id bigint, seq bigint, request_id string, op_type string, lines array<struct<code:string,qty:bigint>>, payload string, make_id string"
@@ -209,6 +209,25 @@ def test_backgrounds_of_an_image(spark):
     assert {r.image_id: r.kind for r in charts.exact_colours(cells, swatches, grounds).collect()} == {1: "blank", 2: "unknown", 3: "unknown"}
 
 
+def test_recognition_boundary(spark):
+    """Each fault has its own refusal, by type and by element; doubts inherit, and coverage stands first."""
+    good = {"status": "partial", "algorithm": "a", "source": "grid", "candidates": [{"code": "A1", "quantity": 3, "evidenceIds": ["e1", "e2"]}, {"code": "B1", "quantity": 2.0}], "evidence": [{"id": "e1", "rawText": "A1", "region": [0, 0, 4, 4]}, {"id": "e2", "region": [0, 0, 40, 4]}], "doubts": [{"evidenceId": "e2"}, {"rawText": "own", "evidenceIds": ["q", "e1"], "region": [1, 1, 2, 2.5]}, {"reason": "r" * 2000}], "total": 5, "titleTotal": None, "image": {"width": 10, "height": 10}}
+    one = lambda **x: [{"code": "A1", "quantity": 1} | x]
+    bad = [
+        ("invalid-format", {"status": "done"}), ("invalid-format", {"algorithm": 1}), ("invalid-format", {"algorithm": "a" * 101}), ("invalid-content", {"candidates": None}), ("invalid-content", {"evidence": {}}), ("invalid-content", {"doubts": [{}] * 513}), ("invalid-candidate", {"candidates": one(code="a1")}),
+        ("invalid-candidate", {"candidates": one(quantity="1")}), ("invalid-candidate", {"candidates": one(quantity=1.5)}), ("invalid-candidate", {"candidates": one(quantity=-1)}), ("invalid-candidate", {"candidates": one(quantity=2**60)}), ("invalid-candidate", {"candidates": one() * 2}), ("invalid-candidate", {"candidates": [None]}),
+        ("invalid-total", {"total": 6}), ("invalid-total", {"total": "5"}), ("inconsistent-status", {"source": None}), ("inconsistent-status", {"status": "failed"}), ("inconsistent-status", {"candidates": [], "total": None}), ("invalid-title", {"titleTotal": -1}), ("invalid-title", {"titleTotal": "4"}),
+        ("invalid-size", {"image": {"width": -1, "height": 1}}), ("invalid-size", {"image": {"width": 8000, "height": 8000}}), ("missing-size", {"image": None}), ("too-many-doubts", {"doubts": [{}] * 512}), (None, {"status": "failed", "candidates": [], "source": None, "total": None, "image": None}), (None, {"total": None, "titleTotal": 7}),
+    ]
+    cases = [(None, json.dumps(good)), ("invalid-format", "{"), ("invalid-format", ""), ("invalid-format", None), ("invalid-format", "[1]"), *((error, json.dumps(good | x)) for error, x in bad), ("invalid-title", json.dumps({k: x for k, x in good.items() if k != "titleTotal"}))]
+    got = recognition.accepted_results(spark.createDataFrame([(i, text, "clash") for i, (_, text) in enumerate(cases)], "id int, json string, lines string").drop("lines"), palette(spark)).orderBy("id").collect()
+    assert [(r.id, r.error) for r in got] == [(i, error) for i, (error, _) in enumerate(cases)]
+    first = got[0]
+    assert [tuple(x) for x in first.lines] == [("A1", 3), ("B1", 2)] and [(e.id, e.raw, e.region, e.codes) for e in first.evidence] == [("e1", "A1", [0, 0, 4, 4], ["A1"]), ("e2", "", None, ["A1"])]
+    assert [(r.id, r.raw, r.region) for r in first.risks] == [("coverage", "", None), ("risk-0", "", None), ("risk-1", "own", [1, 1, 2, 2.5]), ("risk-2", "", None)] and len(first.risks[3].reason) == 1000
+    assert got[-2].risks[1].raw == "" and all(r.lines is None for r in got if r.error)
+
+
 def test_files(spark):
     """Palettes (S6), results (S8) and references (S10) come as they were written; ids that stand twice are refused."""
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
