@@ -300,12 +300,14 @@ def adopted_results(v: Views) -> DataFrame:
     return C.adopted(v.pattern.selectExpr("pattern_id as image_id", "case when pattern_id % 3 <> 0 then 'legend' end as source", "case when pattern_id % 3 = 0 then 'failed' else 'ready' end as status", "array(named_struct('id', 1, 'resolved', true), named_struct('id', 2, 'resolved', archived)) as risks"))
 
 
-@query("SELECT l.conv_id AS image_id, l.turn AS block_id FROM conversations l WHERE l.conv_id % 2 = 0 AND l.turn % 3 = 0")
+@query("SELECT conv_id AS image_id, turn AS block_id FROM conversations WHERE turn % 3 = 0 AND conv_id % 2 = 0 AND NOT (turn % 2 = 1 AND conv_id % 5 = 0)")
 def current_blocks(v: Views) -> DataFrame:
-    from ..streaming.ledger_stream import current_results
+    """Six fields make an identity; of some images the confirmed version has moved on, where there is one."""
+    from ..streaming.ledger_stream import IDENTITY, current_results
 
-    identities = v.block.filter("image_id % 2 = 0 and block_id % 3 = 0").select("image_id", "block_id")
-    return current_results(v.block, identities, ["image_id", "block_id"]).select("image_id", "block_id")
+    blocks = v.block.selectExpr("image_id", "block_id", "concat('r', image_id) as request_id", "block_id as image_session", "cast(image_id as string) as pattern_id", "block_id % 3 as revision", "if(block_id % 2 = 0, null, block_id) as confirmed_version", "image_id % 2 as epoch")
+    identities = blocks.filter("block_id % 3 = 0").withColumns({"confirmed_version": F.expr("if(image_id % 5 = 0, confirmed_version + 1, confirmed_version)"), "epoch": F.lit(0).cast("bigint")})
+    return current_results(blocks, identities, list(IDENTITY)).select("image_id", "block_id")
 
 
 @query("""WITH p AS (SELECT pattern_id, count(*) AS n, CAST(sum(qty) AS BIGINT) AS total, CAST(max(qty) AS BIGINT) AS most FROM v_usage WHERE code IN (SELECT code FROM v_palette) GROUP BY 1),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,9 +110,55 @@ def once_per_request(commands: DataFrame, at: str = "at", late: str = "1 day") -
     return commands.withWatermark(at, late).dropDuplicatesWithinWatermark(["ledger_id", "request_id"])
 
 
+#: What makes a recognition session the same: all of these, null equal to null.
+IDENTITY = {"request_id": "string", "image_session": "bigint", "pattern_id": "string", "revision": "bigint", "confirmed_version": "bigint", "epoch": "bigint"}
+
+
 def current_results(results: DataFrame, identities: DataFrame, keys: list[str]) -> DataFrame:
-    """Results whose identity is the current one in every field; late ones drop."""
-    return results.join(identities.select(*keys).distinct(), keys, "left_semi")
+    """Results whose identity is a current one in every field, null equal to null; late ones drop (T3).  For tables; :func:`current_stream` follows identities that change."""
+    known = identities.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    return results.join(known, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_semi")
+
+
+class CurrentIdentity(StatefulProcessor):
+    """The latest identity of a page is its state; a result passes if it has all fields of that."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        kind = "version int, at bigint, " + ", ".join(f"{k} {v}" for k, v in IDENTITY.items())
+        self.latest = handle.getValueState("identity", kind, **({"ttlDurationMs": self.forget_ms} if self.forget_ms else {}))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = tuple(self.latest.get())[1:] if self.latest.exists() else None
+        seen, out = now, []
+        for r in pd.concat(list(rows)).sort_values(["at", "is_result"], kind="stable").itertuples(index=False):  # an identity comes before results of its time
+            own = (int(r.at), *(None if getattr(r, k) is None else int(getattr(r, k)) if v == "bigint" else getattr(r, k) for k, v in IDENTITY.items()))
+            if not r.is_result:
+                now = own if now is None or own[0] >= now[0] else now  # one that comes late changes nothing
+            elif now is not None and own[1:] == now[1:]:
+                out.append((r.page_id, own[0], r.payload))
+        if now != seen:
+            self.latest.update((1, *now))
+        yield pd.DataFrame(out, columns=["page_id", "at", "payload"])
+
+    def close(self) -> None:
+        pass
+
+
+def current_stream(results: DataFrame, identities: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """Results (page_id, ``IDENTITY``, at, payload) of a stream that belong to the latest identity (page_id, ``IDENTITY``, at) of their page in another stream.
+
+    The identity of a page may change at any time; results of an earlier one are dropped, as
+    are those of a page that was closed: a row of identities with null in all fields.  State
+    is one row a page, forgotten after ``forget_ms`` without change.
+    """
+    empty = reduce(Column.__and__, [F.col(k).isNull() for k in IDENTITY])
+    fields = [F.col("page_id").cast("string"), F.col("at").cast("bigint"), *[F.col(k).cast("decimal(20,0)" if v == "bigint" else v) for k, v in IDENTITY.items()]]
+    found = results.filter(~empty).select(*fields, F.col("payload").cast("string").alias("payload"), F.lit(True).alias("is_result"))
+    named = identities.select(*fields, F.lit(None).cast("string").alias("payload"), F.lit(False).alias("is_result"))
+    return found.unionByName(named).groupBy("page_id").transformWithStateInPandas(CurrentIdentity(forget_ms), "page_id string, at bigint, payload string", "append", "ProcessingTime" if forget_ms else "None")
 
 
 def fold_blocks(batch: DataFrame, batch_id: int, folder: str) -> None:

@@ -480,3 +480,23 @@ def test_results_are_bundles_again(spark):
     log = [command(ledger_id=1, seq=1, op_type="restore", request_id="x", backup=good), command(ledger_id=1, seq=2, op_type="make", request_id="m", pattern_id="p1"), command(ledger_id=1, seq=3, op_type="void-make", request_id="v", make_id="r1")]
     got = command_log.fold_log(frame(spark, log), palette(spark)).orderBy("seq").select("result", "epoch", "ref", F.size("gaps").alias("n")).collect()
     assert [tuple(r) for r in got] == [("ok", 1, None, 0), ("insufficient", 1, None, 1), ("ok", 1, "r1", 0)]
+
+
+def test_identities_that_change(spark):
+    """Results pass while their identity is the latest; it moves between batches, within one, and over a restart; a closed page takes none."""
+    fields = "page_id string, request_id string, image_session bigint, pattern_id string, revision bigint, confirmed_version bigint, epoch bigint, at bigint"
+    one = lambda page, session, at, version=None: (page, "r", session, "p", 1, version, 0, at)
+    closed = lambda page, at: (page, *[None] * 6, at)
+    batches = [
+        ([one("a", 1, 1), one("b", 1, 1, 5)], [(*one("a", 1, 2), "a1"), (*one("b", 1, 2), "no: version"), (*one("b", 1, 3, 5), "b1"), (*one("c", 1, 1), "no: unknown")]),
+        ([one("a", 2, 5), one("b", 1, 0, 4)], [(*one("a", 1, 4), "a2"), (*one("a", 1, 6), "no: late"), (*one("a", 2, 6), "a3"), (*one("b", 1, 9, 5), "b2")]),
+        ([closed("b", 12)], [(*one("b", 1, 11, 5), "b3"), (*one("b", 1, 13, 5), "no: closed"), (*one("a", 2, 13), "a4"), (*closed("b", 14), "no: empty")]),
+    ]
+    names, found, out, state = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(4))
+    for identities, results in batches:
+        _write(spark, spark.createDataFrame(identities, fields), names)
+        _write(spark, spark.createDataFrame(results, fields + ", payload string"), found)
+        stream = ledger_stream.current_stream(spark.readStream.schema(fields + ", payload string").parquet(found), spark.readStream.schema(fields).parquet(names))
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    assert sorted(r.payload for r in spark.read.parquet(out).collect()) == ["a1", "a2", "a3", "a4", "b1", "b2", "b3"]
