@@ -45,10 +45,31 @@ def row_doubts(cells: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def cell_candidates(cells: DataFrame, palette: DataFrame) -> DataFrame:
-    """Candidates from cells with the first cell as representative evidence."""
+    """Candidates from cells with all their cells as evidence, in reading order, the first one representative.
+
+    A chart has at most ``MOST_CELLS`` cells, so a code's list is bounded; more are rejected by rule O7.
+    """
     known = F.broadcast(palette.select(F.col("code").alias("text")))
-    place = F.struct("row", "col", "x", "y")
-    return cells.filter("not blank").join(known, "text").groupBy("image_id", F.col("text").alias("code")).agg(F.count("*").alias("quantity"), F.min(place).alias("first")).select("image_id", "code", "quantity", F.col("first.row").alias("first_row"), F.col("first.col").alias("first_col"))
+    counted = cells.filter("not blank").join(known, "text").groupBy("image_id", F.col("text").alias("code")).agg(F.count("*").alias("quantity"), F.array_sort(F.collect_list(F.struct("row", "col"))).alias("_all"))
+    ids = F.transform("_all", lambda p: F.concat(p["row"].cast("string"), F.lit(":"), p["col"].cast("string")))
+    return counted.select("image_id", "code", "quantity", F.get("_all", F.lit(0))["row"].alias("first_row"), F.get("_all", F.lit(0))["col"].alias("first_col"), ids.alias("evidence_ids"))
+
+
+def compact_results(candidates: DataFrame, evidence: DataFrame, doubts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates and evidence as they are published (R9): of a grid's candidates only the first piece, and whatever a doubt names.
+
+    ``candidates``: image_id, code, source, evidence_ids; ``evidence``: image_id, id, source;
+    ``doubts``: image_id, evidence_id and evidence_ids.  Other columns stay.
+    """
+    lead = F.when(F.col("source") == "grid", F.slice("evidence_ids", 1, 1)).otherwise(F.col("evidence_ids"))
+    shown = candidates.select("image_id", F.explode(lead).alias("id"))
+    proof = doubts.select("image_id", F.explode(F.concat(F.array_compact(F.array("evidence_id")), F.coalesce("evidence_ids", F.array()))).alias("id"))
+    used = shown.unionByName(proof).distinct()
+    kept = published(evidence, used)
+    each = candidates.select("image_id", "code", F.posexplode("evidence_ids").alias("pos", "id")).join(used, ["image_id", "id"])
+    left = each.groupBy("image_id", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_ids"))
+    short = candidates.join(left, ["image_id", "code"], "left").withColumn("evidence_ids", F.coalesce("_ids", F.array().cast(candidates.schema["evidence_ids"].dataType)))
+    return short.select(*candidates.columns), kept
 
 
 def palette_sheets(counts: DataFrame) -> DataFrame:

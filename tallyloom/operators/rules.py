@@ -100,8 +100,15 @@ def makes(rows: DataFrame, owners: DataFrame, headers: DataFrame) -> DataFrame:
     return repeated(rows, "V9", ["make_id"], "make repeated").unionByName(dangling(rows, "V9", ["pattern_id"], owners, "pattern missing")).unionByName(dangling(rows, "V9", ["pattern_id", "version"], headers, "version missing"))
 
 
-def references(moved: DataFrame, done: DataFrame) -> DataFrame:
-    return dangling(moved, "V10", ["ledger_id", "seq"], done, "operation missing")
+def references(moved: DataFrame, done: DataFrame, patterns: DataFrame | None = None, makes: DataFrame | None = None) -> DataFrame:
+    """What movements and operations refer to and isn't there (V10, J23): the operation; with ``patterns`` and ``makes``, those that an operation names."""
+    out = dangling(moved, "V10", ["ledger_id", "seq"], done, "operation missing")
+    for parents, key, detail in ((patterns, "pattern_id", "pattern missing"), (makes, "make_id", "make missing")):
+        if parents is not None and key in done.columns:
+            named = done.select("ledger_id", "seq", F.col(key).alias("_key")).filter("_key is not null")
+            lost = named.join(parents.select("ledger_id", F.col(key).alias("_key")).distinct(), ["ledger_id", "_key"], "left_anti")
+            out = out.unionByName(found(lost, "V10", F.lit(True), F.concat_ws("/", F.col("ledger_id").cast("string"), F.col("seq").cast("string"), F.col("_key").cast("string")), detail))
+    return out
 
 
 def requests(rows: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def validate(tables: dict[str, DataFrame]) -> DataFrame:
         out += [provenance(t["provenance"], t["palette"])] if "provenance" in t else []
     if "operation" in t:
         out += [operations(t["operation"]), requests(t["operation"])]
-        out += [references(t["movement"], t["operation"])] if "movement" in t else []
+        out += [references(t["movement"], t["operation"], *[t[name] if name in t and {"ledger_id", f"{name}_id"} <= {*t[name].columns} else None for name in ("pattern", "make")])] if "movement" in t else []
     if "pattern" in t:
         out.append(patterns(t["pattern"]))
         out += [versions(t["version"], t["pattern"])] if "version" in t else []

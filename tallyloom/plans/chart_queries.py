@@ -33,9 +33,29 @@ def row_doubts(v: Views) -> DataFrame:
     return C.row_doubts(v.cell, v.palette)
 
 
-@query("SELECT c.image_id, c.text AS code, count(*) AS quantity, (min((c.row, c.col)))[1] AS first_row, (min((c.row, c.col)))[2] AS first_col FROM v_cell c JOIN v_palette p ON p.code = c.text WHERE NOT c.blank GROUP BY 1, 2".replace("(min((c.row, c.col)))[1]", "min(c.row)").replace("(min((c.row, c.col)))[2]", "arg_min(c.col, c.row * 1000 + c.col)"))
+_CANDIDATES = "SELECT c.image_id, c.text AS code, count(*) AS quantity, min(c.row) AS first_row, min(c.col) FILTER (WHERE c.row = f.row) AS first_col, string_agg(c.row || ':' || c.col, ',' ORDER BY c.row, c.col) AS ids FROM v_cell c JOIN v_palette p ON p.code = c.text JOIN (SELECT image_id, text, min(row) AS row FROM v_cell WHERE NOT blank GROUP BY 1, 2) f ON f.image_id = c.image_id AND f.text = c.text WHERE NOT c.blank GROUP BY 1, 2"
+
+
+@query(_CANDIDATES)
 def cell_candidates(v: Views) -> DataFrame:
-    return C.cell_candidates(v.cell, v.palette)
+    return C.cell_candidates(v.cell, v.palette).withColumn("ids", F.array_join("evidence_ids", ",")).drop("evidence_ids")
+
+
+_COMPACT = """WITH c AS (SELECT pattern_id AS image_id, code, CASE WHEN qty % 3 > 0 THEN 'grid' ELSE 'legend' END AS source, qty % 4 + 1 AS n FROM v_usage),
+i AS (SELECT image_id, code, source, k, code || '-' || k AS id FROM c, (SELECT unnest(range(1, 5)) AS k) WHERE k <= n),
+u AS (SELECT DISTINCT image_id, id FROM i WHERE source = 'legend' OR k = 1 OR (image_id % 2 = 0 AND k = 3) OR (image_id % 3 = 0 AND k = 4))"""
+
+
+@query(_COMPACT + " SELECT c.image_id, c.code, coalesce(string_agg(i.id, ',' ORDER BY i.k), '') AS ids, (SELECT count(*) FROM i JOIN u ON u.image_id = i.image_id AND u.id = i.id WHERE i.image_id = c.image_id) AS published FROM c LEFT JOIN (SELECT i.* FROM i JOIN u ON u.image_id = i.image_id AND u.id = i.id) i ON i.image_id = c.image_id AND i.code = c.code GROUP BY 1, 2")
+def compact_results(v: Views) -> DataFrame:
+    """Doubts name the third piece of a code by itself and the fourth in a list."""
+    ids = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("qty") % 4 + 1), lambda k: F.concat("code", F.lit("-"), k.cast("string")))
+    candidates = v.usage.select(F.col("pattern_id").alias("image_id"), "code", F.when(F.col("qty") % 3 > 0, "grid").otherwise("legend").alias("source"), ids.alias("evidence_ids"))
+    evidence = candidates.select("image_id", "source", F.explode("evidence_ids").alias("id"))
+    doubts = candidates.select("image_id", F.when(F.col("image_id") % 2 == 0, F.get("evidence_ids", F.lit(2))).alias("evidence_id"), F.when(F.col("image_id") % 3 == 0, F.slice("evidence_ids", 4, 1)).alias("evidence_ids"))
+    short, kept = C.compact_results(candidates, evidence, doubts)
+    n = kept.groupBy("image_id").agg(F.count("*").alias("published"))
+    return short.select("image_id", "code", F.array_join("evidence_ids", ",").alias("ids")).join(n, "image_id", "left").fillna(0, ["published"])
 
 
 @query(f"SELECT image_id, max(qty) AS most, CAST(sum(qty) AS BIGINT) AS total, count(*) AS codes, max(qty) < 4 OR sum(qty) < 2 * count(*) AS sheet FROM ({_COUNTS}) GROUP BY 1")

@@ -72,9 +72,17 @@ def rule_makes(v: Views) -> DataFrame:
     return R.makes(v.make, v.pattern.select("pattern_id"), v.version.select("pattern_id", "version").distinct())
 
 
-@query(_row("V10", "ledger_id || '/' || seq", "operation missing", "v_move WHERE (ledger_id, seq) IN (SELECT ledger_id, seq FROM v_cmd WHERE op_type = 'make')"))
+_DONE = "(SELECT ledger_id, seq, CASE WHEN event_id % 3 = 0 THEN event_id % 70 END AS pattern_id, CASE WHEN event_id % 5 = 0 THEN event_id % 60 END AS make_id FROM v_cmd WHERE op_type <> 'make')"
+
+
+@query(
+    _row("V10", "ledger_id || '/' || seq", "operation missing", "v_move WHERE (ledger_id, seq) IN (SELECT ledger_id, seq FROM v_cmd WHERE op_type = 'make')")
+    + " UNION ALL " + _row("V10", "ledger_id || '/' || seq || '/' || pattern_id", "pattern missing", _DONE + " WHERE pattern_id IS NOT NULL AND (ledger_id, pattern_id) NOT IN (SELECT ledger_id, pattern_id FROM v_pattern)")
+    + " UNION ALL " + _row("V10", "ledger_id || '/' || seq || '/' || make_id", "make missing", _DONE + " WHERE make_id IS NOT NULL AND (ledger_id, make_id) NOT IN (SELECT ledger_id, make_id FROM v_make)")
+)
 def rule_references(v: Views) -> DataFrame:
-    return R.references(v.move, v.cmd.filter("op_type <> 'make'").select("ledger_id", "seq"))
+    done = v.cmd.filter("op_type <> 'make'").selectExpr("ledger_id", "seq", "if(event_id % 3 = 0, event_id % 70, null) as pattern_id", "if(event_id % 5 = 0, event_id % 60, null) as make_id")
+    return R.references(v.move, done, v.pattern, v.make)
 
 
 @query(_row("V11", "seq", "request id", "v_cmd WHERE event_id % 50 = 0"))
