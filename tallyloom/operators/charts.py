@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantities import MAX_SAFE
 from ..functions.shapes import overlaps, union_box
 from ..functions.texts import has_risk, legend_text
 from .numeric import exact_medians
@@ -263,7 +264,9 @@ def route(images: DataFrame, legend: DataFrame, grid: DataFrame, summary: DataFr
     subset = F.col("complete") & (F.col("legend_codes") > 0) & (F.col("legend_codes") < F.col("grid_codes")) & (F.col("disagree") == 0)
     source = F.when(subset, "grid").when(F.col("legend_codes") > 0, "legend").when(F.col("complete") & (F.col("grid_codes") > 0), "grid")
     status = F.when(source.isNull(), "failed").when((source == "legend") & F.col("complete") & (F.col("different") == 0), "ready").when((source == "grid") & (F.col("legend_codes") == 0), "ready").otherwise("partial")
-    return rows.select("image_id", source.alias("source"), status.alias("status"), F.when(source == "legend", F.col("legend_total")).when(source == "grid", F.col("grid_total")).alias("total"))
+    total = F.when(source == "legend", F.col("legend_total")).when(source == "grid", F.col("grid_total"))
+    safe = F.coalesce(total <= MAX_SAFE, F.lit(True))  # a larger sum is no number that results can carry: nothing is counted
+    return rows.select("image_id", F.when(safe, source).alias("source"), F.when(safe, status).otherwise("failed").alias("status"), F.when(safe, total).alias("total"))
 
 
 def compared(actual: DataFrame, expected: DataFrame, key: str = "pattern_id") -> DataFrame:

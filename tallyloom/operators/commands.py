@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codes import colour_key, plain_code
-from ..functions.quantities import MAX_QTY, parse_quantity, title_blocked
+from ..functions.quantities import LOW_PERCENT, MAX_QTY, parse_percent, parse_quantity, title_blocked
 from ..functions.texts import canonical_items, canonical_json, has_risk, payload_key, rejected_items_hold
 from .command_log import FIRST, FLAG, RESTOCK
 
@@ -148,6 +148,18 @@ def set_percent(settings: DataFrame, requests: DataFrame) -> DataFrame:
     return settings.join(last, "ledger_id", "full").select("ledger_id", F.coalesce("new", "low_stock_percent").alias("low_stock_percent"), (F.col("new").isNotNull() & ~F.col("new").eqNullSafe(F.col("low_stock_percent"))).alias("changed"))
 
 
+def percent_results(settings: DataFrame, requests: DataFrame) -> DataFrame:
+    """A row for each request to set the low-stock percentage, in order: invalid-number, noop if the value is there already, else ok.
+
+    ``requests``: ledger_id, seq, percent as text or number; ``settings`` has the value before them all, 10 if none.
+    """
+    read = parse_percent(F.col("percent").cast("string"))["value"]
+    rows = requests.join(settings.select("ledger_id", "low_stock_percent"), "ledger_id", "left").withColumn("_value", read)
+    before = F.coalesce(F.last("_value", ignorenulls=True).over(W.partitionBy("ledger_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.col("low_stock_percent").cast("bigint"), F.lit(LOW_PERCENT).cast("bigint"))
+    result = F.when(F.col("_value").isNull(), "invalid-number").when(F.col("_value") == before, "noop").otherwise("ok")
+    return rows.select("ledger_id", "seq", before.alias("percent_before"), F.coalesce("_value", before).alias("percent_after"), result.alias("result"))
+
+
 def replace_palette(live: DataFrame, new: DataFrame, key: str = "ledger_id") -> DataFrame:
     """Each ledger's new display palette if its codes are the live ones, else the live one (C4, U1).  221 rows a ledger."""
     codes = lambda rows: rows.groupBy(key).agg(F.array_sort(F.collect_set("code")))  # noqa: E731  at most a catalogue

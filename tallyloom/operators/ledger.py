@@ -38,10 +38,17 @@ def entered(stock: DataFrame) -> DataFrame:
 
 
 def sections(stock: DataFrame) -> DataFrame:
-    """Per ledger and colour group in display order: colours, entered, available, all entered."""
+    """Per ledger and colour group in display order: colours, entered, available, all entered.
+
+    Lines of a batch form have ``selected`` and ``locked`` besides; then also the lines that can be
+    chosen, those that are, and whether all of them are (not where there are none).
+    """
     order = F.array(*[F.lit(g) for g in CAPS])
+    free = ~F.coalesce("locked", F.lit(False)) if "locked" in stock.columns else F.lit(True)
+    chosen = F.coalesce("selected", F.lit(False)) if "selected" in stock.columns else None
+    form = [] if chosen is None else [F.count_if(free).alias("n_free"), F.count_if(free & chosen).alias("n_selected"), F.coalesce(F.bool_and(F.when(free, chosen)), F.lit(False)).alias("all_selected")]
     return stock.groupBy("ledger_id", F.substring("code", 1, 1).alias("grp")).agg(
-        F.count("*").alias("total"), F.count_if("entered").alias("n_entered"), F.count_if(F.col("qty") > 0).alias("n_available"), F.bool_and("entered").alias("all_entered")
+        F.count("*").alias("total"), F.count_if("entered").alias("n_entered"), F.count_if(F.col("qty") > 0).alias("n_available"), F.bool_and("entered").alias("all_entered"), *form
     ).withColumn("gi", F.array_position(order, F.col("grp")))
 
 

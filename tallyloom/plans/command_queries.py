@@ -97,6 +97,15 @@ def percents_set(v: Views) -> DataFrame:
     return C.set_percent(settings, v.cmd.selectExpr("ledger_id", "seq", "qty % 130 as percent"))
 
 
+@query("""WITH r AS (SELECT ledger_id, seq, CASE WHEN qty % 130 BETWEEN 0 AND 100 THEN qty % 130 // 20 * 20 END AS value FROM v_cmd),
+b AS (SELECT *, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY ledger_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN ledger_id % 2 = 0 THEN 20 END, 10) AS before FROM r)
+SELECT ledger_id, seq, before AS percent_before, coalesce(value, before) AS percent_after, CASE WHEN value IS NULL THEN 'invalid-number' WHEN value = before THEN 'noop' ELSE 'ok' END AS result FROM b""")
+def percent_results(v: Views) -> DataFrame:
+    """Percentages in steps of 20, those over 100 as they are; every other ledger has a setting."""
+    settings = v.cmd.select("ledger_id").distinct().filter("ledger_id % 2 = 0").withColumn("low_stock_percent", F.lit(20))
+    return C.percent_results(settings, v.cmd.selectExpr("ledger_id", "seq", "if(qty % 130 between 0 and 100, qty % 130 div 20 * 20, qty % 130) as percent"))
+
+
 def _palettes(v: Views) -> DataFrame:
     """A palette a supplier: the colours of what it delivers."""
     return v.table("lineitem").select(F.col("l_suppkey").alias("ledger_id"), F.expr(CODE.format(p="l_partkey")).alias("code")).distinct().join(F.broadcast(v.palette.select("code", "r")), "code").select("ledger_id", "code", "r")

@@ -82,9 +82,9 @@ def entered_stock(v: Views) -> DataFrame:
     return L.entered(v.stock).select("ledger_id", "code", "qty")
 
 
-@query(f"SELECT ledger_id, substr(code, 1, 1) AS grp, count(*) AS total, count(CASE WHEN entered THEN 1 END) AS n_entered, count(CASE WHEN qty > 0 THEN 1 END) AS n_available, bool_and(entered) AS all_entered, CAST({_GI.replace('grp', 'substr(code, 1, 1)')} AS BIGINT) AS gi FROM v_stock GROUP BY ledger_id, substr(code, 1, 1)")
+@query(f"SELECT ledger_id, substr(code, 1, 1) AS grp, count(*) AS total, count(CASE WHEN entered THEN 1 END) AS n_entered, count(CASE WHEN qty > 0 THEN 1 END) AS n_available, bool_and(entered) AS all_entered, count(CASE WHEN NOT entered THEN 1 END) AS n_free, count(CASE WHEN NOT entered AND qty % 3 < 2 THEN 1 END) AS n_selected, coalesce(bool_and(CASE WHEN NOT entered THEN qty % 3 < 2 END), false) AS all_selected, CAST({_GI.replace('grp', 'substr(code, 1, 1)')} AS BIGINT) AS gi FROM v_stock GROUP BY ledger_id, substr(code, 1, 1)")
 def stock_sections(v: Views) -> DataFrame:
-    return L.sections(v.stock).withColumn("gi", F.col("gi").cast("long"))
+    return L.sections(v.stock.withColumns({"locked": F.col("entered"), "selected": F.col("qty") % 3 < 2})).withColumn("gi", F.col("gi").cast("long"))
 
 
 @query("SELECT l.ledger_id, p.code, CAST(coalesce(s.qty, 0) AS BIGINT) AS qty, s.baseline, coalesce(s.entered, false) AS entered, coalesce(s.estimated, true) AS estimated FROM (SELECT DISTINCT ledger_id FROM v_stock) l CROSS JOIN v_palette p LEFT JOIN v_stock s ON s.ledger_id = l.ledger_id AND s.code = p.code")

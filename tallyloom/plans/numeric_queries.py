@@ -217,12 +217,22 @@ def agreed_words(v: Views) -> DataFrame:
     return N.agreed_words(averages, votes, v.palette.select(F.col("code").alias("word")))
 
 
-@query("SELECT event_id, substr(code, 1, 1) || substr(code, 2, 1) AS text, round(sqrt(0.9 * 0.4), 6) AS score, 1 AS changes FROM v_cmd")
+@query("""WITH t AS (SELECT event_id, code || '(' || qty || ')' AS text, length(code) AS n FROM v_cmd WHERE qty >= 0),
+m AS (SELECT event_id, text, count(CASE WHEN i <> n AND i < length(text) - 1 AND (event_id + i) % 5 = 0 THEN 1 END) AS wrong, count(CASE WHEN i <> n AND i < length(text) - 1 AND (event_id + i) % 5 = 0 AND event_id % 7 = 0 THEN 1 END) AS lost
+FROM (SELECT event_id, text, n, unnest(range(0, length(text))) AS i FROM t) GROUP BY 1, 2)
+SELECT event_id, CASE WHEN ok THEN text END AS text, CASE WHEN ok THEN round(exp((wrong * ln(0.4) + (length(text) - wrong) * ln(0.9)) / length(text)), 6) END AS score, CASE WHEN ok THEN CAST(wrong AS INT) END AS changes FROM (SELECT *, lost = 0 AND regexp_full_match(text, '[A-Z][0-9]+[(][0-9]+[)]') AS ok FROM m)""")
 def decoded_fields(v: Views) -> DataFrame:
-    kind = "struct<char:string,score:double>"
-    letter = F.struct(F.lit("1").alias("char"), F.lit(0.8).alias("score"), F.array(F.struct(F.substring("code", 1, 1), F.lit(0.9)).cast(kind)).alias("alternatives"))
-    digit = F.struct(F.substring("code", 2, 1).alias("char"), F.lit(0.4).alias("score"), F.array(F.struct(F.lit("7"), F.lit(0.3)).cast(kind)).alias("alternatives"))
-    return v.cmd.select("event_id", decode_field(F.array(letter, digit), "code").alias("d")).select("event_id", "d.text", F.round("d.score", 6).alias("score"), "d.changes")
+    """Every fifth character of a code and its quantity misread, the right one among the alternatives; in some fields with too low a score."""
+    text = F.concat("code", F.lit("("), F.col("qty").cast("string"), F.lit(")"))
+    rows = v.cmd.filter("qty >= 0").select("event_id", text.alias("text"), F.length("code").alias("n"))
+
+    def reading(c: Column, i: Column) -> Column:
+        wrong = (i != F.col("n")) & (i < F.length("text") - 1) & ((F.col("event_id") + i) % 5 == 0)
+        other = F.struct(c.alias("char"), F.when(F.col("event_id") % 7 == 0, 0.01).otherwise(0.4).alias("score"))
+        return F.struct(F.when(wrong, "#").otherwise(c).alias("char"), F.when(wrong, 0.8).otherwise(0.9).alias("score"), F.when(wrong, F.array(F.struct(F.lit("*").alias("char"), F.lit(0.9).alias("score")), other)).otherwise(F.array().cast("array<struct<char:string,score:double>>")).alias("alternatives"))
+
+    fields = rows.withColumn("c", F.transform(F.filter(F.split("text", ""), lambda c: c != ""), reading))
+    return fields.select("event_id", decode_field(F.col("c"), "item").alias("d")).select("event_id", "d.text", F.round("d.score", 6).alias("score"), "d.changes")
 
 
 @query("SELECT vec_id, round(exp(list_sum(list_transform(embedding, lambda x: ln(1 + abs(CAST(x AS DOUBLE))))) / len(embedding)), 6) AS score FROM v_glyph")
