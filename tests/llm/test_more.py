@@ -3,6 +3,7 @@
 import os
 import random
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import block_extract, byte_bpe, line_crf, orc_tokens, queries
+from tallyloom.llm import block_extract, byte_bpe, language_mix, line_crf, orc_tokens, queries, simhash_pivots
 from tallyloom.llm.common import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -210,3 +211,51 @@ def test_pipeline_by_brute_force(spark):
         left = iter((r.text or "").split("\n"))
         assert r.doc_id not in lines or all(x in left for x in (lines[r.doc_id] or "").split("\n") if x)
     assert known.filter("false").count() == C.near_dedup(spark, known.filter("false"), folder).count() == 0
+
+
+def _penalised(model, text, langs, penalty=6.0, rounds=400):
+    """Log-likelihood of a text under the best mixture of some languages, less the penalty of more than one: plain expectation-maximisation over single trigrams."""
+    p = model.p[language_mix.trigrams(text, model.buckets)][:, [model.langs.index(x) for x in langs]]
+    share = np.full(len(langs), 1 / len(langs))
+    for _ in range(rounds):
+        weights = p * share
+        share = (weights / weights.sum(1, keepdims=True)).mean(0)
+    return float(np.log(p @ share).sum()) - penalty * np.log(len(p)) * (len(langs) - 1), dict(zip(langs, share))
+
+
+def test_language_sets_against_all_sets(spark):
+    """The chosen set is as good as the best of all sets, for documents and for mixtures of two and three languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_mix.fit(language_mix.training_rows(docs))
+    rows = [(r.lang, r.text) for r in docs.filter(language_mix.held_out() & F.col("text").isNotNull()).orderBy("doc_id").collect()]
+    by = {lang: [t[:3000] for own, t in rows if own == lang] for lang in model.langs}
+    texts = [t[:1500] for _, t in rows[:30]] + [" ".join(by[x][0][: 400 * (1 + i)] for i, x in enumerate(langs)) for size in (2, 3) for langs in combinations(model.langs, size)]
+    several = 0
+    for text in texts:
+        if not len(language_mix.trigrams(text, model.buckets)):
+            continue
+        best, _ = max((_penalised(model, text, langs) for size in range(1, len(model.langs) + 1) for langs in combinations(model.langs, size)), key=lambda x: x[0])
+        got = model.shares(text)
+        value, shares = _penalised(model, text, tuple(got))
+        several += len(got) > 1
+        assert value >= best - 0.05 and all(abs(shares[x] - got[x]) < 0.02 for x in got)
+    assert several >= 8
+
+
+def test_language_of_odd_tables(spark):
+    """Repeated rows, clashing columns, a very long text, and no rows at all."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_mix.fit(language_mix.training_rows(docs))
+    text = docs.filter("lang = 'de' and n_chars > 200").orderBy("doc_id").first().text
+    rows = spark.createDataFrame([(1, text, "x", "y"), (1, text, "x", "y"), (None, text * (3_000_000 // len(text)), "x", "y")], "doc_id bigint, text string, shares string, lang_pred string")
+    got = language_mix.predict(rows, model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in sorted(got, key=lambda r: str(r.doc_id))] == [(1, "de"), (1, "de"), (None, "de")]
+    assert language_mix.predict(rows.limit(0), model).count() == 0 and language_mix.fit(rows.limit(0).withColumn("lang", F.lit("q"))).langs == []
+
+
+def test_fingerprints_of_odd_tables(spark):
+    """Repeated rows, clashing columns and a very long text (operator 6)."""
+    long = "word and more " * 250_000
+    rows = spark.createDataFrame([(5, "a b c", 1, ""), (5, "a b c", 1, ""), (3, long, 2, ""), (9, long, 2, ""), (None, "A  b C", 3, "")], "doc_id bigint, text string, fp int, component_id string")
+    got = sorted(((str(r.doc_id), r.component_id) for r in simhash_pivots.near_duplicates(rows).collect()))
+    assert got == [("3", 3), ("5", 5), ("5", 5), ("9", 3), ("None", 5)]
