@@ -43,6 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that are worth a task of their own.
+TASK_ROWS = 200_000
+
+
+def tasks(rows: int) -> int:
+    """How many tasks so many small rows ask for.
+
+    For ``coalesce``: a shuffle writes files for each task before it, so results of a few
+    thousand rows in as many tasks as large tables have would fill disks with empty files.
+    """
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder: for wide rows that are read several times."""
     folder = shared_folder(df.sparkSession, name)

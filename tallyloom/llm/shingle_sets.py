@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep, named_by, slices
+from .common import cut, keep, named_by, slices, tasks
 from .graph import components
 from . import simhash_pivots
 
@@ -229,14 +229,16 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
     del busy, few, met
     release(rows)
     edges, tried = _settled(pairs, sets, least), pairs
+    few_tasks = tasks(many.count() + pairs.count())  # what follows has some rows for each of these
+    many, edges, tried = (x.coalesce(few_tasks) for x in (many, edges, tried))
     release(rows)
     for turn in range(rounds + 1):
         if many.isEmpty():
             break
         roots = components(edges, "a", "b").withColumnRenamed("node", "set_id")
-        held = many.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        parts = held.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"))
-        held = cut(held.join(parts.filter("most < size"), "key"))
+        held = many.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")).coalesce(few_tasks)
+        parts = held.groupBy("key", "root").agg(F.count("*").alias("c")).coalesce(few_tasks).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"))
+        held = cut(held.join(parts.filter("most < size").coalesce(few_tasks), "key").coalesce(few_tasks))
         outside = held.filter((F.col("root") != F.col("main")) & ~F.col("done"))
         place = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(leaders))
         first = outside.groupBy("key", place.alias("place")).agg(F.min("set_id").alias("set_id"))
@@ -246,14 +248,14 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
         limit = F.lit(crowd)
         ending = outside.groupBy("key").agg(F.count("*").alias("left")).select("key", (F.col("left") <= limit).alias("ends"))
         picked = first.select("key", "set_id").unionByName(outside.join(ending.filter("ends"), "key").select("key", "set_id")).distinct()
-        probes = cut(held.join(picked, ["key", "set_id"]).select("key", "set_id", "n", "at", "root"))
+        probes = cut(held.join(picked.coalesce(few_tasks), ["key", "set_id"]).select("key", "set_id", "n", "at", "root").coalesce(few_tasks))
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _possible(least)
         pairs = cut(_ordered(probes.alias("x").join(held.alias("y"), met)).join(tried, ["a", "b"], "left_anti"))
-        edges = cut(edges.unionByName(_verified(pairs, sets, least)))
-        tried = cut(tried.unionByName(pairs))
+        edges = cut(edges.unionByName(_verified(pairs, sets, least))).coalesce(few_tasks)
+        tried = cut(tried.unionByName(pairs).coalesce(few_tasks))
         on = held.join(ending.filter("not ends").select("key"), "key", "left_semi").drop("root", "main", "size", "most", "done")
-        many = cut(on.join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(
-            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", "at", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")))
+        many = cut(on.coalesce(few_tasks).join(probes.select("key", "set_id", F.lit(True).alias("_done")), ["key", "set_id"], "left").withColumn("done", F.coalesce("_done", F.lit(False))).join(
+            many.filter("done").select("key", "set_id", F.lit(True).alias("_before")), ["key", "set_id"], "left").select("key", "set_id", "n", "at", (F.col("done") | F.coalesce("_before", F.lit(False))).alias("done")).coalesce(few_tasks))
     return edges
 
 
