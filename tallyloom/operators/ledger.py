@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import CAPS, colour_key, plain_code, with_colour
 from ..functions.quantities import gap, is_low
 from ..functions.texts import csv_field
+from ..session import cut
 
 
 def list_stock(stock: DataFrame, query: str = "", group: str = "") -> DataFrame:
@@ -189,3 +190,20 @@ def latest_version(versions: DataFrame) -> DataFrame:
 def first_by_request(commands: DataFrame) -> DataFrame:
     """The first command of each request of a ledger, with how many came."""
     return commands.groupBy("ledger_id", "request_id").agg(F.min("seq").alias("first_seq"), F.min_by("op_type", "seq").alias("op_type"), F.count("*").alias("n"), F.count_distinct("payload").alias("payloads"))
+
+
+def sequenced(rows: DataFrame, key: str, order: list[str], name: str = "seq") -> DataFrame:
+    """``rows`` with their place in their key's order, from one (W5), without sorting a key in one task.
+
+    Rows are ranged over tasks by key and order; a place in the sorted task, less where the
+    key begins there, plus the key's rows in tasks before gives the number.  The range sort
+    is materialised, so that the places are those of one run.
+    """
+    keys = [F.col(key), *[F.col(c) for c in order]]
+    placed = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_task": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    pieces = placed.groupBy("_task", F.col(key).alias("_key")).agg(F.min("_in").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_key").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = pieces.select(F.col("_task").alias("_of"), "_key", (before - F.col("_first") + 1).alias("_offset"))
+    numbered = placed.join(offsets, (F.col("_task") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    return numbered.select(*rows.columns, (F.col("_in") + F.col("_offset")).alias(name))

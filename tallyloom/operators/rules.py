@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import CAPS, plain_code
 from ..functions.quantities import MAX_QTY, MAX_SAFE
-from ..functions.texts import refused_content, thumbnail_holds
+from ..functions.texts import refused_content, rejected_items_hold, thumbnail_holds
 
 OPERATIONS = ("first-entry", "count", "restock", "flag", "make", "void-make", "create-pattern", "update-pattern", "archive-pattern", "confirm-usage", "set-percent", "restore")
 
@@ -112,7 +112,13 @@ def references(moved: DataFrame, done: DataFrame, patterns: DataFrame | None = N
 
 
 def requests(rows: DataFrame) -> DataFrame:
-    return found(rows, "V11", F.coalesce(F.length("request_id"), F.lit(0)) == 0, F.col("seq"), "request id").unionByName(found(rows, "V11", F.col("payload").isNull(), F.col("seq"), "payload"))
+    """Request records (V11): an id, a payload, and with a column ``result`` (struct of ok, request_id, operation_id, seq) a whole good result."""
+    out = found(rows, "V11", F.coalesce(F.length("request_id"), F.lit(0)) == 0, F.col("seq"), "request id").unionByName(found(rows, "V11", F.col("payload").isNull(), F.col("seq"), "payload"))
+    if "result" not in rows.columns:
+        return out
+    r = F.col("result")
+    whole = r["ok"] & (F.length(r["request_id"]) > 0) & (F.length(r["operation_id"]) > 0) & r["seq"].between(0, MAX_SAFE)
+    return out.unionByName(found(rows, "V11", ~whole, F.col("seq"), "result"))
 
 
 def provenance(rows: DataFrame, colours: DataFrame) -> DataFrame:
@@ -160,9 +166,19 @@ def pointers(rows: DataFrame) -> DataFrame:
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
-    """Manual usages carry no recognition; others need one of their own source."""
-    ok = F.when(F.col("input_method") == "manual", F.col("recognition_source").isNull()).otherwise(F.col("recognition_source") == F.col("input_method"))
-    return found(rows, "V18", ~ok, F.col("pattern_id"), "recognition and input method")
+    """Confirmed usages (V18): a manual one has no recognition, another one that of its method; and, for the columns that are there, its shape.
+
+    Columns: pattern_id, input_method, recognition_source; version, confirmed_at, title_total,
+    title_diff, title_acknowledged, rejected (array of raw, qty, note).
+    """
+    manual = F.col("input_method") == "manual"
+    ok = F.when(manual, F.col("recognition_source").isNull()).otherwise(F.col("input_method").isin("legend", "grid", "assisted") & F.col("recognition_source").eqNullSafe(F.col("input_method")))
+    shape = {
+        "version": F.col("version") >= 0, "confirmed_at": F.trim("confirmed_at") != "", "title_total": F.col("title_total").isNull() | F.col("title_total").between(0, MAX_SAFE),
+        "title_diff": F.col("title_diff").isNull() | F.col("title_diff").between(-MAX_SAFE, MAX_SAFE), "title_acknowledged": F.col("title_acknowledged").isNotNull(), "rejected": rejected_items_hold(F.col("rejected")),
+    }
+    checks = {"recognition and input method": ok} | {name: check for name, check in shape.items() if name in rows.columns}
+    return failed(rows, "V18", checks, F.col("pattern_id"))
 
 
 def over_cap(rows: DataFrame, keys: list[str], cap: int, rule: str = "O7") -> DataFrame:

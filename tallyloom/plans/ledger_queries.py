@@ -203,7 +203,7 @@ def latest_version(v: Views) -> DataFrame:
 
 @query("SELECT ledger_id, seq, op_type, event_id FROM v_cmd")
 def operation_sequence(v: Views) -> DataFrame:
-    return v.cmd.select("ledger_id", "seq", "op_type", "event_id")
+    return L.sequenced(v.cmd.drop("seq"), "ledger_id", ["at", "event_id"]).select("ledger_id", "seq", "op_type", "event_id")
 
 
 @query("SELECT ledger_id, request_id, min(seq) AS first_seq, min_by(op_type, seq) AS op_type, count(*) AS n, count(DISTINCT payload) AS payloads FROM v_cmd GROUP BY 1, 2")

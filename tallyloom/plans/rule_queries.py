@@ -85,9 +85,12 @@ def rule_references(v: Views) -> DataFrame:
     return R.references(v.move, done, v.pattern, v.make)
 
 
-@query(_row("V11", "seq", "request id", "v_cmd WHERE event_id % 50 = 0"))
+@query(_row("V11", "seq", "request id", "v_cmd WHERE event_id % 50 = 0") + " UNION ALL " + _row("V11", "seq", "result", "v_cmd WHERE event_id % 50 <> 0 AND (event_id % 30 = 1 OR event_id % 31 = 1 OR event_id % 32 = 1) OR event_id % 50 = 0"))
 def rule_requests(v: Views) -> DataFrame:
-    return R.requests(v.cmd.withColumn("request_id", F.when(F.col("event_id") % 50 == 0, "").otherwise(F.col("request_id"))).withColumn("payload", F.coalesce("payload", F.lit(""))))
+    """A result is wrong with a request without an id, if it isn't ok, has no operation, or a negative number."""
+    rows = v.cmd.withColumn("request_id", F.when(F.col("event_id") % 50 == 0, "").otherwise(F.col("request_id"))).withColumn("payload", F.coalesce("payload", F.lit("")))
+    result = F.struct((F.col("event_id") % 30 != 1).alias("ok"), "request_id", F.when(F.col("event_id") % 31 != 1, "op").alias("operation_id"), F.when(F.col("event_id") % 32 == 1, -1).otherwise(F.col("seq")).alias("seq"))
+    return R.requests(rows.withColumn("result", result))
 
 
 def _lists(v: Views) -> DataFrame:
@@ -137,9 +140,18 @@ def effective_snapshots(v: Views) -> DataFrame:
     return effective(rows, F.col("ledger_id") % 3 == 0)
 
 
-@query(_row("V18", "pattern_id", "recognition and input method", "(SELECT DISTINCT pattern_id FROM v_version) WHERE pattern_id % 6 = 1 OR (pattern_id % 2 = 0 AND pattern_id % 3 <> 1)", "NULL"))
+_CONFIRMED = "(SELECT DISTINCT pattern_id FROM v_version) WHERE "
+
+
+@query(" UNION ALL ".join(_row("V18", "pattern_id", detail, _CONFIRMED + wrong, "NULL") for detail, wrong in (
+    ("recognition and input method", "pattern_id % 6 = 1 OR (pattern_id % 2 = 0 AND pattern_id % 3 <> 1)"), ("version", "pattern_id % 41 = 0"), ("confirmed_at", "pattern_id % 43 = 0"), ("title_total", "pattern_id % 47 = 0"), ("title_acknowledged", "pattern_id % 53 = 0"), ("rejected", "pattern_id % 59 = 0"),
+)))
 def rule_confirmed(v: Views) -> DataFrame:
-    rows = v.version.select("pattern_id").distinct().selectExpr("pattern_id", "case when pattern_id % 2 = 1 then 'manual' else 'legend' end as input_method", "case when pattern_id % 3 = 1 then 'legend' when pattern_id % 3 = 2 and pattern_id % 2 = 0 then 'grid' end as recognition_source")
+    rows = v.version.select("pattern_id").distinct().selectExpr(
+        "pattern_id", "case when pattern_id % 2 = 1 then 'manual' else 'legend' end as input_method", "case when pattern_id % 3 = 1 then 'legend' when pattern_id % 3 = 2 and pattern_id % 2 = 0 then 'grid' end as recognition_source",
+        "if(pattern_id % 41 = 0, null, 1) as version", "if(pattern_id % 43 = 0, ' ', 'now') as confirmed_at", "if(pattern_id % 47 = 0, -1, nullif(pattern_id % 4, 0)) as title_total", "nullif(pattern_id % 3, 0) as title_diff", "if(pattern_id % 53 = 0, null, true) as title_acknowledged",
+        "array(named_struct('raw', 'r', 'qty', cast(if(pattern_id % 59 = 0, -1, null) as bigint), 'note', '')) as rejected",
+    )
     return R.confirmed(rows)
 
 
