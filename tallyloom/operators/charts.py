@@ -1,8 +1,9 @@
 """Chart results after character reading: cells, legend items, reconciliation, evaluation.
 
-Every comparison of boxes stays inside an image (an equality on ``image_id``).  Images
-with more boxes than the contract's cap are no charts: :func:`within_cap` rejects them
-whole before boxes are compared (rule O7), and :func:`..rules.over_cap` lists them.
+Every comparison of boxes stays inside an image (an equality on ``image_id``) and, where it
+asks for common area, inside cells of a grid: :func:`meeting_boxes`.  Steps that keep boxes in
+order, first one wins, gather an image's boxes; images over the legend's cap are rejected
+whole before that (:func:`within_cap`, rule O7), and :func:`..rules.over_cap` lists them.
 """
 
 from __future__ import annotations
