@@ -211,7 +211,7 @@ def _close(unique: DataFrame) -> DataFrame:
     return same.unionByName(near.join(x, "fa").join(y, "fb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).filter("a <> b").distinct()
 
 
-def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 4, rounds: int = 2) -> DataFrame:
+def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: int = 32, leaders: int = 4, rounds: int = 1) -> DataFrame:
     """Edges ``a``, ``b`` that connect exactly what the pairs of similarity ``least`` or more connect.
 
     ``unique`` has ``set_id``, ``n``, ``fp``, ``keys`` and ``at`` of distinct sets, ``rows`` the texts.
@@ -259,7 +259,7 @@ def links(unique: DataFrame, rows: DataFrame, width: int, least: float, crowd: i
     return edges
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd: int = 32, leaders: int = 4, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, crowd: int = 32, leaders: int = 4, rounds: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``set_id`` and ``component_id`` (smallest doc_id reachable over links) of every row."""
     if not 0 < least <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
