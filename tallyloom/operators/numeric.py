@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from ..functions.glyphs import template_score
 from ..session import cut
 
-def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 512) -> DataFrame:
+#: Glyphs and templates that a numpy matrix holds at once, so that it stays in a core's cache.
+TILE = 64, 512
+
+
+def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 4096) -> DataFrame:
     """Each glyph's best error for each label (J19): the glyphs against all templates but themselves.
 
     Both sides are dealt into blocks of about ``block`` rows; each pair of blocks is a group of
     bounded size and yields a minimum a glyph and label, so no side is broadcast or gathered.
+    A vector is shuffled once for each block of the other side.
     """
     left, right = -(-glyphs.count() // block) or 1, -(-templates.count() // block) or 1
 
@@ -29,14 +34,9 @@ def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 512
             return pd.DataFrame({"vec_id": [], "label": [], "error": []})
         x, y = np.array(a["embedding"].tolist(), float), np.array(b["embedding"].tolist(), float)
         labels, at = np.unique(b["label"].to_numpy(), return_inverse=True)
-        out = []
-        for vec, row in zip(a["vec_id"], x):
-            error = np.abs(y - row).mean(1).round(9)
-            error[b["vec_id"].to_numpy() == vec] = np.inf
-            best = np.full(len(labels), np.inf)
-            np.minimum.at(best, at, error)
-            out.append(pd.DataFrame({"vec_id": vec, "label": labels, "error": best})[np.isfinite(best)])
-        return pd.concat(out)
+        best = least_errors(x, y, a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), at, len(labels))
+        i, j = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy()[i], "label": labels[j], "error": best[i, j]})
 
     kinds = {f.name: f.dataType.simpleString() for f in templates.schema}
     pairs = dealt(glyphs, "i", left, "j", right).groupBy("i", "j").cogroup(dealt(templates, "j", right, "i", left).select("i", "j", "vec_id", "label", "embedding").groupBy("i", "j"))
@@ -44,6 +44,28 @@ def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 512
     return found.groupBy("vec_id", "label").agg(F.min("error").alias("error"))
 
 
+def least_errors(x: np.ndarray, y: np.ndarray, own: np.ndarray, others: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The least mean difference of each row of ``x`` to the rows of ``y`` with each label number ``at`` below ``n``, those of its own id left out; infinite where there is none."""
+    out = np.full((len(x), n), np.inf)
+    order = np.argsort(at, kind="stable")
+    columns, at, others = np.ascontiguousarray(y[order].T), at[order], others[order]
+    rows, width = TILE
+    for j in range(0, len(others), width):
+        part, labels, ids = columns[:, j : j + width], at[j : j + width], others[j : j + width]
+        starts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+        for i in range(0, len(x), rows):
+            tile = x[i : i + rows]
+            total, apart = np.zeros((len(tile), part.shape[1])), np.empty((len(tile), part.shape[1]))
+            for mine, theirs in zip(tile.T, part):
+                np.subtract(mine[:, None], theirs, out=apart)
+                np.abs(apart, out=apart)
+                total += apart
+            total[own[i : i + rows, None] == ids] = np.inf
+            to = out[i : i + rows]
+            to[:, labels[starts]] = np.minimum(to[:, labels[starts]], np.minimum.reduceat(total, starts, axis=1))
+    return (out / len(columns)).round(9)
+
+
 def best_readings(distances: DataFrame, most: float = 0.36, margin: float = 0.04) -> DataFrame:
     """Best label with its margin over the runner-up, and whether it is reliable."""
     ranked = W.partitionBy("vec_id").orderBy("error", "label")

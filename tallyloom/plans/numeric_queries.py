@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.glyphs import confidence, decode_field, shaped_score, template_score
 from ..operators import numeric as N
+from ..session import cut
 from ..sources.views import Views
 from .registry import query
 
@@ -36,7 +37,7 @@ def top_labels(v: Views) -> DataFrame:
 @query(f"""WITH s AS (SELECT vec_id, label, round(1 / (1 + error), 6) AS score FROM ({_D}) UNION ALL SELECT vec_id, label, round(1 / (1 + 2 * error), 6) FROM ({_D})), t AS (SELECT vec_id, label, round(sum(score / 2), 9) AS score FROM s GROUP BY 1, 2)
 SELECT vec_id, label, place FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS place FROM t) WHERE place <= 3""")
 def ensemble_labels(v: Views) -> DataFrame:
-    d = _distances(v)
+    d = cut(_distances(v))  # used twice
     one = d.select("vec_id", "label", F.round(1 / (1 + F.col("error")), 6).alias("score"))
     two = d.select("vec_id", "label", F.round(1 / (1 + 2 * F.col("error")), 6).alias("score"))
     return N.ensemble(one, two).select("vec_id", "label", "place")
