@@ -319,11 +319,12 @@ def best_variants(variants: DataFrame) -> DataFrame:
     """The variant of each field with the best coverage^.15 * score * (1 + .1 * sum of the scores that agree with it).
 
     ``variants``: field, id, decoded (null if it has no reading), score, coverage, tiny (agreement doesn't count then).
+    Of equal values the smallest id counts, then the smallest reading, none first.
     """
     agreed = F.sum("score").over(W.partitionBy("field", "decoded"))
     consensus = F.when(F.col("decoded").isNull() | F.col("tiny"), F.lit(0.0)).otherwise(agreed)
     value = F.round(F.pow(F.col("coverage"), F.lit(0.15)) * F.col("score") * (1 + consensus * 0.1), 9)
-    place = F.row_number().over(W.partitionBy("field").orderBy(F.desc("value"), "id"))
+    place = F.row_number().over(W.partitionBy("field").orderBy(F.desc("value"), "id", "decoded"))
     return variants.withColumn("value", value).withColumn("_k", place).filter("_k = 1").select("field", "id", "decoded", "value")
 
 
