@@ -6,8 +6,8 @@ Z, split at ASCII white space).  Texts with equal sets collapse first.  SimHash
 (fingerprints of the same shingles, pivot tables) propose the closest pairs; keys
 propose all others:
 
-- A set of n members has an order: first those that a sample of texts doesn't hold
-  often, then the others, each by hash.  Two sets of similarity ``least`` or more share
+- A set of n members has an order: first those that the texts don't hold often, then
+  the others, each by hash.  Two sets of similarity ``least`` or more share
   one of the first n - ceil(least * n) + 1 members.  These are the keys of sets where they
   are ``FEW`` or less.
 - Larger sets have the first k = ceil(FEW / least) + 1 rare members by hash and, if at
@@ -20,7 +20,7 @@ Keys come with their places in the order.  At a pair's first common key nothing
 is common, so the members from there on must be enough; pairs that share a passage and
 little else fail that, and only pairs that pass leave the join.
 
-The sample decides on speed, never on results.  Candidates are verified on whole sets:
+How often is counted over all texts and decides on speed, never on results.  Candidates are verified on whole sets:
 first one pair for each set, then what is not connected by those.
 
 Scale: a key shared by more than ``crowd`` sets isn't joined pairwise.  Pairs that are
@@ -53,8 +53,10 @@ from .common import cut, keep, named_by, slices, tasks
 from .graph import components
 from . import simhash_pivots
 
-#: Texts sampled for the order of members, and how many frequent members it knows.
-SAMPLE, FREQUENT = 20_000, 1 << 17
+#: Members that eight in so many texts hold are frequent, and how many frequent members the order knows.
+OFTEN, FREQUENT = 20_000, 1 << 17
+#: Members that are counted at once, and texts that are worth a task of counting.
+CHUNK, TEXTS = 2_000_000, 4000
 #: Bits of the filter of sets that are wanted again: 64 a word.
 WORDS = 1 << 19
 _SLACK = 1e-9
@@ -89,15 +91,48 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
 
+def _chunks(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The members of some texts at a time, and of how many."""
+    sets, n = [], 0
+    for part in slices(batches, 0):
+        for text in part.column(0).to_pylist():
+            sets.append(shingle_set(text, width))
+            n += len(sets[-1])
+            if n >= CHUNK:
+                yield len(sets), np.concatenate(sets)
+                sets, n = [], 0
+    if sets:
+        yield len(sets), np.concatenate(sets)
+
+
 def frequent_members(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members that a sample of the texts holds often, sorted, and how often."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    """Members that eight in ``OFTEN`` of all texts hold (eight at least), sorted, and how many texts do.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Counted exactly in two passes: what so many of all texts hold, as great a share of some
+    chunk of them holds, so chunks propose; then all texts are counted for what is proposed.
+    A filter of a fixed size names that, and what passes it by chance has too low a count.
+    """
+    total = rows.count()
+    least = max(8, -(-8 * total // OFTEN))
+    texts = rows.select("text")
+
+    def proposed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, members in _chunks(batches, width):
+            values, counts = np.unique(members, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values[counts * total >= least * n])], names=["m"])
+
+    few = texts.coalesce(max(1, total // TEXTS)).mapInArrow(proposed, "m bigint")  # small chunks would propose all they have
+    word, bit = F.shiftright("m", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(m & 63 as int))")
+    words = few.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    filled = np.zeros(WORDS, np.int64)
+    filled[words.column("w").to_numpy()] = words.column("b").to_numpy()
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, width) for t in part.column(0).to_pylist()]))], names=["m"])
+            members = np.concatenate([shingle_set(t, width) for t in part.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(members[(filled[(members >> 6) & (WORDS - 1)] >> (members & 63)) & 1 == 1])], names=["m"])
 
-    counts = rows.select("text").sample(share, 1).mapInArrow(run, "m bigint").groupBy("m").agg(F.count("*").alias("c")).filter("c >= 8")
+    counts = texts.mapInArrow(counted, "m bigint").groupBy("m").agg(F.count("*").alias("c")).filter(F.col("c") >= least)
     found = counts.orderBy(F.desc("c"), "m").limit(FREQUENT).toArrow()
     members, often = found.column("m").to_numpy(), found.column("c").to_numpy()
     order = np.argsort(members)
