@@ -11,6 +11,7 @@ from ..functions.codes import colour_key
 from ..functions.quantities import MAX_QTY, MAX_SAFE
 from ..functions.texts import refused_content
 from ..operators.ledger import stock_difference
+from ..session import cut
 
 LINE = "array<struct<code:string,qty:bigint>>"
 THUMBNAIL = "struct<mime:string,base64:string>"
@@ -37,8 +38,13 @@ def read_bundles(spark: SparkSession, path: str, whole_files: bool = True, palet
 
 
 def parsed(rows: DataFrame, palette: DataFrame | None = None) -> DataFrame:
-    """The same for a column ``json``."""
-    return checked(rows.select(F.from_json("json", BUNDLE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("b")).select("b.*"), palette)
+    """The same for a column ``json``.
+
+    What is read is cut: a filter on ``error`` would move below the columns and read the
+    document again for each part that each check looks at.
+    """
+    read = rows.select(F.from_json("json", BUNDLE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("b")).select("b.*")
+    return checked(cut(read), palette)
 
 
 def _every(part: str, ok) -> Column:
