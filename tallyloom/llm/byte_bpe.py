@@ -163,7 +163,7 @@ class Merger:
     The cache is emptied when it holds ``capacity`` slices, so memory is bounded.
     """
 
-    def __init__(self, ranks: dict[bytes, int], capacity: int = 300_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], capacity: int = 1 << 16, longest: int = 48):
         self.ranks, self.capacity, self.longest, self.seen = ranks, capacity, longest, {}
         self.base, self.none = max(ranks.values(), default=0) + 1, np.iinfo(np.int32).max
         self.bytes = np.array([ranks.get(bytes([i]), 0) for i in range(256)], np.int32)
@@ -359,6 +359,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of earlier tasks in this worker
         merger, tokens = _merger(path), _tokens(path)
         for part in slices(batches, 1, chars=SLICE_BYTES, rows=4096):
             x = encode_texts(part.column(1).to_pylist(), merger)
