@@ -15,6 +15,10 @@ from ..session import cut
 
 #: Glyphs and templates that a numpy matrix holds at once, so that it stays in a core's cache.
 TILE = 64, 512
+#: Glyphs that are held against a whole block in whole numbers at once, and the least levels of a dimension that 16 bits must leave.
+STRIP, LEVELS = 64, 64
+#: Pairs that are measured exactly at once, and the share of a strip's pairs above which all of them are.
+EXACT, CROWDED = 1 << 16, 0.1
 
 
 def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 4096) -> DataFrame:
@@ -45,10 +49,52 @@ def template_distances(glyphs: DataFrame, templates: DataFrame, block: int = 409
 
 
 def least_errors(x: np.ndarray, y: np.ndarray, own: np.ndarray, others: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The least mean difference of each row of ``x`` to the rows of ``y`` with each label number ``at`` below ``n``, those of its own id left out; infinite where there is none."""
-    out = np.full((len(x), n), np.inf)
+    """The least mean difference of each row of ``x`` to the rows of ``y`` with each label number ``at`` below ``n``, those of its own id left out; infinite where there is none.
+
+    Entries are first rounded to so few levels that sums of their differences fit 16 bits.
+    That is off by a level a dimension at most, so the least one is among those within two
+    levels a dimension of the least rounded one; only these are measured exactly.
+    """
     order = np.argsort(at, kind="stable")
-    columns, at, others = np.ascontiguousarray(y[order].T), at[order], others[order]
+    y, at, others = y[order], at[order], others[order]
+    low = np.minimum(x.min(0), y.min(0))
+    levels = 32766 // max(1, x.shape[1])
+    level = (np.maximum(x.max(0), y.max(0)) - low).max(initial=0) / max(1, levels)
+    if levels < LEVELS or not np.isfinite(level) or level <= 0:
+        return (_exact_sums(x, y, own, others, at, n) / x.shape[1]).round(9)
+    out, d = np.full((len(x), n), np.inf), x.shape[1]
+    mine, theirs = (((v - low) / level).round().astype(np.int16) for v in (x, y))
+    columns, exact_x, exact_y = np.ascontiguousarray(theirs.T), np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    sizes, far = np.diff(np.r_[starts, len(at)]), 32767  # no sum of levels
+    for i in range(0, len(x), STRIP):
+        part = np.ascontiguousarray(mine[i : i + STRIP].T)
+        total, apart = np.zeros((part.shape[1], len(at)), np.int16), np.empty((part.shape[1], len(at)), np.int16)
+        for a, b in zip(part, columns):
+            np.subtract(a[:, None], b, out=apart)
+            np.abs(apart, out=apart)
+            total += apart
+        total[own[i : i + STRIP, None] == others] = far
+        most = np.minimum(np.minimum.reduceat(total, starts, axis=1).astype(np.int32) + (2 * d + 1), far - 1)
+        one, other = np.divmod(np.flatnonzero(total <= np.repeat(most.astype(np.int16), sizes, axis=1)), len(at))
+        if len(one) > CROWDED * total.size and len(at) > 1:
+            out[i : i + STRIP] = _exact_sums(x[i : i + STRIP], y, own[i : i + STRIP], others, at, n)
+            continue
+        for j in range(0, len(one), EXACT):
+            left, right = i + one[j : j + EXACT], other[j : j + EXACT]
+            error = np.zeros(len(left))
+            for a, b in zip(exact_x, exact_y):
+                error += np.abs(a[left] - b[right])
+            key = left * n + at[right]  # ascends, as rows of y are in the order of their labels
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            out.flat[key[first]] = np.minimum(out.flat[key[first]], np.minimum.reduceat(error, first))
+    return (out / d).round(9)
+
+
+def _exact_sums(x: np.ndarray, y: np.ndarray, own: np.ndarray, others: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The least sums of differences by measuring all pairs exactly; ``at`` ascends."""
+    out = np.full((len(x), n), np.inf)
+    columns = np.ascontiguousarray(y.T)
     rows, width = TILE
     for j in range(0, len(others), width):
         part, labels, ids = columns[:, j : j + width], at[j : j + width], others[j : j + width]
@@ -63,7 +109,7 @@ def least_errors(x: np.ndarray, y: np.ndarray, own: np.ndarray, others: np.ndarr
             total[own[i : i + rows, None] == ids] = np.inf
             to = out[i : i + rows]
             to[:, labels[starts]] = np.minimum(to[:, labels[starts]], np.minimum.reduceat(total, starts, axis=1))
-    return (out / len(columns)).round(9)
+    return out
 
 
 def best_readings(distances: DataFrame, most: float = 0.36, margin: float = 0.04) -> DataFrame:
