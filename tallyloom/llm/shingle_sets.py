@@ -55,8 +55,10 @@ from . import simhash_pivots
 
 #: Members that eight in so many texts hold are frequent, and how many frequent members the order knows.
 OFTEN, FREQUENT = 20_000, 1 << 17
-#: Members that are counted at once, and texts that are worth a task of counting.
-CHUNK, TEXTS = 2_000_000, 4000
+#: Members that are sorted at once, texts that are worth a task of counting, and texts that are counted at once.
+CHUNK, TEXTS, MOST_TEXTS = 500_000, 20_000, 200_000
+#: The part of its share of a task's texts from which on a task proposes a member.
+PART = 0.75
 #: Bits of the filter of sets that are wanted again: 64 a word.
 WORDS = 1 << 19
 _SLACK = 1e-9
@@ -108,22 +110,39 @@ def _chunks(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[int
 def frequent_members(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Members that eight in ``OFTEN`` of all texts hold (eight at least), sorted, and how many texts do.
 
-    Counted exactly in two passes: what so many of all texts hold, as great a share of some
-    chunk of them holds, so chunks propose; then all texts are counted for what is proposed.
-    A filter of a fixed size names that, and what passes it by chance has too low a count.
+    Counted exactly in two passes.  First each task counts its members in as many places as a
+    filter of a fixed size has bits and proposes places that have ``PART`` of what is asked
+    for, by its share of the texts, with their counts.  What tasks don't propose is less than
+    ``PART`` of it in all, so a wanted member's place has at least the rest in proposals; a
+    group of near copies within one task has not, once there are several times as many tasks.
+    So what is kept is bounded by the share and not by the number of texts.  Then all texts are
+    counted for what is kept, and what passes by chance has too low a count.
     """
     total = rows.count()
     least = max(8, -(-8 * total // OFTEN))
     texts = rows.select("text")
 
     def proposed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, members in _chunks(batches, width):
-            values, counts = np.unique(members, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values[counts * total >= least * n])], names=["m"])
-
-    few = texts.coalesce(max(1, total // TEXTS)).mapInArrow(proposed, "m bigint")  # small chunks would propose all they have
-    word, bit = F.shiftright("m", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(m & 63 as int))")
-    words = few.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+        counts, n = np.zeros(WORDS * 64, np.uint8), 0
+
+        def places() -> pa.RecordBatch:
+            at = np.flatnonzero(counts >= min(255, max(1, math.ceil(PART * least * n / total - _SLACK))))
+            c = counts[at].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.where(c == 255, n, c))], names=["at", "c"])
+
+        for texts, members in _chunks(batches, width):
+            values, found = np.unique(members & (WORDS * 64 - 1), return_counts=True)
+            counts[values] = np.minimum(counts[values] + found, 255)
+            n += texts
+            if n >= MOST_TEXTS:
+                yield places()
+                counts[:], n = 0, 0
+        if n:
+            yield places()
+
+    few = texts.coalesce(max(1, total // TEXTS)).mapInArrow(proposed, "at bigint, c bigint")  # small tasks would propose all they have
+    kept = few.groupBy("at").agg(F.sum("c").alias("c")).filter(F.col("c") >= (1 - PART) * least - _SLACK)
+    words = kept.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toArrow()
     filled = np.zeros(WORDS, np.int64)
     filled[words.column("w").to_numpy()] = words.column("b").to_numpy()
 
