@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -278,15 +280,68 @@ LEAST_POINTS, MOST_POINTS, LEAST_STEP = 6, 350, 6
 
 #: Positions and steps are whole thousandths, so that every comparison is exact.
 UNIT = 1000
-#: Half a window of phases: phases are scaled so that this is a tolerance.
-REACH = 10**12
+#: Points times steps that are folded at once; a key has no more than four steps a point.
+FOLDED = 1_000_000
 
 
-def _steps(points: DataFrame) -> DataFrame:
-    """Candidate steps of each key: differences of neighbours over 1 to 4, to a tenth, from the least step to below a quarter of the axis."""
-    apart = points.withColumn("_d", F.col("p") - F.lag("p").over(W.partitionBy("key").orderBy("p"))).filter("_d > 0")
-    tenths = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 4)]), lambda k: F.floor((2 * F.col("_d") + 100 * k) / (200 * k)))
-    return apart.select("key", "length", F.explode(tenths).alias("s")).filter((F.col("s") >= 10 * LEAST_STEP) & (F.col("s") * 400 < F.col("length"))).select("key", (F.col("s") * 100).alias("step")).distinct()
+def _phases(points: DataFrame) -> DataFrame:
+    """The step and the phase (``p0``, a point's place) of each key's lattice: key, step, p0.
+
+    A key's points are gathered, ``MOST_POINTS`` at most, and the keys of a batch are folded
+    together.
+    """
+    gathered = points.groupBy("key").agg(F.first("length").alias("length"), F.first("points").alias("points"), F.collect_list("p").alias("ps"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(3).value_lengths().to_numpy()
+            parts = np.cumsum(4 * sizes.astype(np.int64) ** 2) // FOLDED
+            for ends in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(parts)) + 1):
+                if len(ends):
+                    part = batch.slice(ends[0], len(ends))
+                    at, step, p = best_phases(part.column(3).flatten().to_numpy(), sizes[ends], part.column(1).to_numpy(), part.column(2).to_numpy())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(step), pa.array(p)], names=["key", "step", "p0"])
+
+    kind = points.schema["key"].dataType.simpleString()
+    return gathered.mapInArrow(run, f"key {kind}, step bigint, p0 bigint")
+
+
+def best_phases(p: np.ndarray, sizes: np.ndarray, length: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which groups of ``sizes`` places each have a lattice, its step and the place that is its phase.
+
+    Candidate steps are differences of neighbours over 1 to 4, to a tenth, from the least step
+    to below a quarter of the axis.  Sorted phases of a group and step count what is near.
+    """
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((p, group))
+    p, starts = p[order], np.cumsum(sizes) - sizes
+    apart = np.diff(p)
+    some = np.flatnonzero((np.diff(group) == 0) & (apart > 0))
+    apart, of = apart[some], group[some]
+    tenths = np.concatenate([(2 * apart + 100 * k) // (200 * k) for k in (1, 2, 3, 4)])
+    of = np.tile(of, 4)
+    good = (tenths >= 10 * LEAST_STEP) & (tenths * 400 < length[of])
+    wide = int(tenths[good].max(initial=0)) + 1
+    of, tenths = np.divmod(np.unique(of[good] * wide + tenths[good]), wide)
+    step, n = tenths * 100, sizes[of].astype(np.int64)
+    row = np.repeat(np.arange(len(of)), n)
+    first = np.cumsum(n) - n
+    p = p[np.arange(len(row)) - first[row] + starts[of][row]]
+    near = np.maximum(1800, step // 25)[row]
+    room, turn = 4 * 100 * wide, step[row]
+    phase = p % turn
+    order = np.argsort(row * room + phase, kind="stable")
+    p, phase = p[order], phase[order]  # rows stay together
+    base = row * room
+    placed = base + phase
+    upto = lambda value: np.searchsorted(placed, base + value, "right")
+    counted = upto(phase + near - 1) - upto(phase - near) + (first + n)[row] - upto(phase + turn - near) + upto(phase + near - 1 - turn) - first[row]
+    enough = np.flatnonzero(counted * 10 >= points[of][row] * 8)
+    key, turn, p = of[row][enough], turn[enough], p[enough]
+    order = np.lexsort((p, turn, -counted[enough] ** 2 * turn, key))
+    key, turn, p = key[order], turn[order], p[order]
+    best = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return key[best], turn[best], p[best]
 
 
 def _tolerance(step: Column) -> Column:
@@ -297,8 +352,7 @@ def lattice(points: DataFrame) -> DataFrame:
     """The one-dimensional lattice of each key's points.
 
     Every candidate step folds a key's points onto a circle; points within the tolerance of
-    each other there are counted in a window over sorted phases, with copies across the
-    seam.  The point with most others near it, weighed by the root of the step, is the
+    each other there are counted in sorted phases, also across the seam.  The point with most others near it, weighed by the root of the step, is the
     lattice's phase if four fifths of all are near (ties: smaller step, then position).  A
     regression over the lattice's indices gives step and start; rules that the edge of the
     axis may hide are added, one before and up to two behind.
@@ -310,12 +364,7 @@ def lattice(points: DataFrame) -> DataFrame:
     size = F.when(F.col("points") > MOST_POINTS, "too-many").when(F.col("points") < LEAST_POINTS, "too-few")
     sized = counts.withColumn("_size", size)
     fit = points.select("key", F.round(F.col("pos") * UNIT).cast("bigint").alias("p")).join(sized.filter("_size is null").select("key", "points", "length"), "key")
-    folded = fit.join(_steps(fit), "key").withColumns({"phase": F.pmod("p", "step"), "near": _tolerance(F.col("step"))})
-    copies = F.array_compact(F.array(F.struct("phase", F.lit(True).alias("own")), F.when(F.col("phase") < F.col("near"), F.struct((F.col("phase") + F.col("step")).alias("phase"), F.lit(False).alias("own"))), F.when(F.col("phase") > F.col("step") - F.col("near"), F.struct((F.col("phase") - F.col("step")).alias("phase"), F.lit(False).alias("own")))))
-    circle = folded.select("key", "step", "p", "points", "near", F.inline(copies))
-    scaled = F.col("phase") * F.floor(F.lit(REACH) / (F.col("near") - 1))
-    counted = circle.withColumn("n", F.count("*").over(W.partitionBy("key", "step").orderBy(scaled).rangeBetween(-REACH, REACH))).filter("own and n * 10 >= points * 8")
-    best = counted.groupBy("key").agg(F.max_by(F.struct("step", "p"), F.struct(F.col("n") * F.col("n") * F.col("step"), -F.col("step"), -F.col("p"))).alias("b")).select("key", "b.step", F.col("b.p").alias("p0"))
+    best = _phases(fit)
     off = F.pmod(F.col("p") - F.col("p0"), "step")
     on = fit.join(best, "key").withColumn("off", F.when(off < _tolerance(F.col("step")), off).when(F.col("step") - off < _tolerance(F.col("step")), off - F.col("step"))).filter("off is not null")
     place = ((F.col("p") - F.col("p0") - F.col("off")) / F.col("step")).alias("i")
