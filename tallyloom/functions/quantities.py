@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,18 +13,27 @@ FIRST_ENTRY, LOW_PERCENT = 1000, 10
 MESSAGES = {"empty": "数量不能为空", "negative": "数量不能为负数", "decimal": "数量必须是整数，不能有小数", "overflow": "数量超出可记录范围", "invalid": "数量不是有效整数"}
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_quantity(raw: Column, maximum: int = MAX_QTY) -> Column:
     """struct(value, reason): one of the two is null."""
-    text = F.trim(raw)
-    number = text.try_cast("decimal(38,0)")
-    reason = (
-        F.when(raw.isNull() | (text == ""), "empty")
-        .when(text.rlike("^[0-9]+$"), F.when(text.rlike("^0[0-9]"), "invalid").when(number.isNull() | (number > maximum), "overflow"))
-        .when(text.startswith("-"), "negative")
-        .when(text.contains("."), "decimal")
-        .otherwise("invalid")
-    )
-    return F.struct(F.when(reason.isNull(), number.cast("bigint")).alias("value"), reason.alias("reason"))
+
+    def judged(text: Column, digits: Column, number: Column) -> Column:
+        return (
+            F.when(text.isNull() | (text == ""), "empty")
+            .when(digits, F.when(text.rlike("^0[0-9]"), "invalid").when(number.isNull() | (number > maximum), "overflow"))
+            .when(text.startswith("-"), "negative")
+            .when(text.contains("."), "decimal")
+            .otherwise("invalid")
+        )
+
+    def numbered(text: Column, digits: Column) -> Column:
+        return once(F.when(digits, text.try_cast("decimal(38,0)")), lambda number: once(judged(text, digits, number), lambda reason: F.struct(F.when(reason.isNull(), number.cast("bigint")).alias("value"), reason.alias("reason"))))
+
+    return once(F.trim(raw), lambda text: once(text.rlike("^[0-9]+$"), lambda digits: numbered(text, digits)))
 
 
 def parse_percent(raw: Column) -> Column:

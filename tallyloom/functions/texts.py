@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .quantities import parse_quantity
+from .quantities import once, parse_quantity
 
 #: Labels of input methods, and what the others are called.
 SOURCES = {"manual": "手工录入", "legend": "图例识别", "grid": "本体识别", "assisted": "人工辅助识别"}
@@ -82,8 +82,9 @@ def only_keys(json: Column, allowed: list[str]) -> Column:
 def legend_text(text: Column) -> Column:
     """struct(code, value, reason) of ``C12(340)``; a quantity counts only if it is all digits and in range."""
     code, quantity = F.regexp_extract(text, r"^([A-Z][0-9]+)\(.*\)$", 1), F.regexp_extract(text, r"^[A-Z][0-9]+\((.*)\)$", 1)
-    parsed = parse_quantity(F.when(quantity.rlike("^[0-9]+$"), F.regexp_replace(quantity, "^0+(?=[0-9])", "")).otherwise(quantity))
-    return F.struct(F.nullif(code, F.lit("")).alias("code"), F.when(code != "", parsed.getField("value")).alias("value"), F.when(code == "", "invalid").otherwise(parsed.getField("reason")).alias("reason"))
+    plain = once(quantity, lambda q: F.when(q.rlike("^0+[0-9]+$"), F.regexp_replace(q, "^0+(?=[0-9])", "")).otherwise(q))
+    parts = F.struct(code.alias("code"), parse_quantity(plain).alias("parsed"))
+    return once(parts, lambda p: F.struct(F.nullif(p["code"], F.lit("")).alias("code"), F.when(p["code"] != "", p["parsed"]["value"]).alias("value"), F.when(p["code"] == "", "invalid").otherwise(p["parsed"]["reason"]).alias("reason")))
 
 
 def brand_mark(text: Column) -> Column:
