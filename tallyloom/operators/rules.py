@@ -6,6 +6,8 @@ whose tables are given.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,14 +88,37 @@ def patterns(rows: DataFrame) -> DataFrame:
 def usage(rows: DataFrame, colours: DataFrame, keys: list[str], rule: str = "V7") -> DataFrame:
     """Usage lines: catalogue codes, quantities in range, no repeats (V7, V19 on drafts)."""
     label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], "code")
-    off = rows.join(F.broadcast(colours.select("code")), "code", "left_anti")
-    return found(off, rule, F.lit(True), label, "not in the catalogue").unionByName(found(rows, rule, ~F.col("qty").between(0, MAX_QTY), label, "quantity out of range")).unionByName(repeated(rows, rule, [*keys, "code"], "repeated code"))
+    owner = ["ledger_id"] if "ledger_id" in rows.columns and "ledger_id" not in keys else []
+    bad = F.coalesce(~F.col("qty").between(0, MAX_QTY), F.lit(True))
+    each = rows.groupBy(*owner, *keys, "code").agg(F.count("*").alias("_n"), F.count_if(bad).alias("_bad"))  # one pass for all checks
+    marked = each.join(F.broadcast(colours.select("code", F.lit(True).alias("_known")).distinct()), "code", "left")
+    return _counted(marked, rule, [(label, "not in the catalogue", F.when(F.col("_known").isNull(), F.col("_n"))), (label, "quantity out of range", F.col("_bad")), (label, "repeated code", F.when(F.col("_n") > 1, 1))])
+
+
+#: Equal rows that are made at once.
+EQUAL = 4096
+
+
+def _counted(rows: DataFrame, rule: str, checks: list[tuple[Column, str, Column]]) -> DataFrame:
+    """A row's key and detail of each check as many times as its count says (null: never)."""
+    counts = [F.coalesce(n.cast("bigint"), F.lit(0)) for _, _, n in checks]
+    each = F.array(*[F.struct(key.cast("string").alias("key"), F.lit(detail).alias("detail"), n.alias("n")) for (key, detail, _), n in zip(checks, counts)])
+    owner = F.col("ledger_id").cast("string") if "ledger_id" in rows.columns else F.lit(None).cast("string")
+    some = rows.filter(reduce(Column.__or__, [n > 0 for n in counts])).select(owner.alias("ledger_id"), F.inline(each)).filter("n > 0")
+    blocks = some.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(EQUAL).cast("bigint"))))
+    return blocks.withColumn("_i", F.explode(F.sequence(F.col("_at") + 1, F.least(F.col("_at") + EQUAL, "n")))).select("ledger_id", F.lit(rule).alias("rule"), "key", "detail")
 
 
 def versions(headers: DataFrame, owners: DataFrame) -> DataFrame:
     """Numbers from 1, unique in a pattern; the current one exists (V8)."""
     current = owners.filter("confirmed_version is not null").select("pattern_id", F.col("confirmed_version").cast("long").alias("version"))
-    return found(headers, "V8", ~(F.col("version") >= 1), F.col("pattern_id"), "version number").unionByName(repeated(headers, "V8", ["pattern_id", "version"], "version repeated")).unionByName(dangling(current, "V8", ["pattern_id", "version"], headers, "current version missing"))
+    keys = ["pattern_id", "version"]
+    owner = ["ledger_id"] if "ledger_id" in headers.columns else []
+    numbers = headers.groupBy(*owner, *keys).agg(F.count("*").alias("_n"))  # one pass for both checks
+    wrong = F.when(F.coalesce(~(F.col("version") >= 1), F.lit(True)), F.col("_n"))
+    label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+    out = _counted(numbers, "V8", [(F.col("pattern_id"), "version number", wrong), (label, "version repeated", F.when(F.col("_n") > 1, 1))])
+    return out.unionByName(dangling(current, "V8", keys, headers, "current version missing"))
 
 
 def makes(rows: DataFrame, owners: DataFrame, headers: DataFrame) -> DataFrame:
