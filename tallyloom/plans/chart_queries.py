@@ -49,9 +49,10 @@ u AS (SELECT DISTINCT image_id, id FROM i WHERE source = 'legend' OR k = 1 OR (i
 @query(_COMPACT + " SELECT c.image_id, c.code, coalesce(string_agg(i.id, ',' ORDER BY i.k), '') AS ids, (SELECT count(*) FROM i JOIN u ON u.image_id = i.image_id AND u.id = i.id WHERE i.image_id = c.image_id) AS published FROM c LEFT JOIN (SELECT i.* FROM i JOIN u ON u.image_id = i.image_id AND u.id = i.id) i ON i.image_id = c.image_id AND i.code = c.code GROUP BY 1, 2")
 def compact_results(v: Views) -> DataFrame:
     """Doubts name the third piece of a code by itself and the fourth in a list."""
-    ids = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("qty") % 4 + 1), lambda k: F.concat("code", F.lit("-"), k.cast("string")))
-    candidates = v.usage.select(F.col("pattern_id").alias("image_id"), "code", F.when(F.col("qty") % 3 > 0, "grid").otherwise("legend").alias("source"), ids.alias("evidence_ids"))
-    evidence = candidates.select("image_id", "source", F.explode("evidence_ids").alias("id"))
+    ids = F.slice(F.array(*[F.concat("code", F.lit(f"-{k}")) for k in (1, 2, 3, 4)]), F.lit(1), F.greatest(F.lit(0), F.col("qty") % 4 + 1).cast("int"))
+    lines = v.usage.repartition("pattern_id")  # dealt once for all that follows
+    candidates = lines.select(F.col("pattern_id").alias("image_id"), "code", F.when(F.col("qty") % 3 > 0, "grid").otherwise("legend").alias("source"), ids.alias("evidence_ids"))
+    evidence = candidates.select("image_id", "source", F.explode_outer("evidence_ids").alias("id")).filter("id is not null")
     doubts = candidates.select("image_id", F.when(F.col("image_id") % 2 == 0, F.get("evidence_ids", F.lit(2))).alias("evidence_id"), F.when(F.col("image_id") % 3 == 0, F.slice("evidence_ids", 4, 1)).alias("evidence_ids"))
     short, kept = C.compact_results(candidates, evidence, doubts)
     n = kept.groupBy("image_id").agg(F.count("*").alias("published"))
