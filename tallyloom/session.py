@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +28,22 @@ def cut(rows: DataFrame) -> DataFrame:
 
     ``spark.checkpoint.dir`` names it; only a local session without that setting gets one of its own.
     """
-    context = rows.sparkSession.sparkContext
+    _shared_folder(rows.sparkSession)
+    return rows.checkpoint(eager=True)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The same as a table there, of which later steps read only the columns that they need."""
+    path = f"{_shared_folder(rows.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return rows.checkpoint(eager=True)
+    return context.getCheckpointDir()

@@ -11,7 +11,7 @@ from ..functions.codes import colour_key
 from ..functions.quantities import MAX_QTY, MAX_SAFE
 from ..functions.texts import refused_content
 from ..operators.ledger import stock_difference
-from ..session import cut
+from ..session import cut, stored
 
 LINE = "array<struct<code:string,qty:bigint>>"
 THUMBNAIL = "struct<mime:string,base64:string>"
@@ -27,8 +27,14 @@ PARTS = {
 }
 #: One JSON document a ledger, formats 1 and 2.
 BUNDLE = "format_version int, exported_at string, ledger_id bigint, epoch bigint, seq bigint, low_stock_percent bigint, " + ", ".join(f"{k} array<{v}>" for k, v in PARTS.items()) + ", _corrupt string"
-#: A ledger with more rows in a part than this isn't one document: its export is refused.
+#: A piece of a bundle: a document with the head and some of the rows, which piece it is and of how many.
+PIECE = "piece int, pieces int, " + BUNDLE
+#: What names a row of a part; no two rows of a ledger have the same.
+NAMES = {"stock": "code", "operations": "seq", "makes": "make_id", "patterns": "pattern_id"}
+#: A ledger with more rows in a part than this isn't one document; it goes in pieces.
 MOST_ROWS = 1_000_000
+#: Rows of all parts in a piece, on average, where a ledger has several.
+PIECE_ROWS = 2000
 
 
 def read_bundles(spark: SparkSession, path: str, whole_files: bool = True, palette: DataFrame | None = None) -> DataFrame:
@@ -58,17 +64,24 @@ def _alone(part: str, field: str) -> Column:
     return F.coalesce(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(True))
 
 
-def checked(rows: DataFrame, palette: DataFrame | None = None) -> DataFrame:
-    """Bundles with the first reason to refuse them; with the catalogue, all its colours must be there and no other."""
+def _catalogue(palette: DataFrame) -> list[str]:
+    return [r["code"] for r in palette.select("code").limit(1001).collect()]
+
+
+def checked(rows: DataFrame, palette: DataFrame | None = None, whole_bundles: bool = True) -> DataFrame:
+    """Bundles with the first reason to refuse them; with the catalogue, all its colours must be there and no other.
+
+    Without ``whole_bundles`` rows are pieces, and what depends on other pieces is left to :func:`read_pieces`.
+    """
     number = lambda x: x.between(0, MAX_QTY)
     lines = lambda x: x["lines"].isNotNull() & F.forall(x["lines"], lambda y: F.coalesce(number(y["qty"]), F.lit(False)) & y["code"].isNotNull())
     named = F.transform("patterns", lambda x: x["pattern_id"])
-    there = lambda part: F.size(F.array_except(F.transform(part, lambda x: x["pattern_id"]), named)) == 0
+    there = lambda part: F.size(F.array_except(F.transform(part, lambda x: x["pattern_id"]), named)) == 0 if whole_bundles else F.lit(True)
     whole = F.lit(True)
     if palette is not None:
-        codes = F.array(*[F.lit(r["code"]) for r in palette.select("code").limit(1001).collect()])  # the catalogue
+        codes = F.array(*[F.lit(c) for c in _catalogue(palette)])
         own = F.transform("stock", lambda x: x["code"])
-        whole = (F.size("stock") == F.size(codes)) & (F.size(F.array_except(codes, own)) == 0)
+        whole = (F.size("stock") == F.size(codes)) & (F.size(F.array_except(codes, own)) == 0) if whole_bundles else F.size(F.array_except(own, codes)) == 0
         for part in ("usages", "makes"):
             whole &= F.size(F.array_except(F.flatten(F.transform(part, lambda x: F.transform(x["lines"], lambda y: y["code"]))), codes)) == 0
     filled = lambda x, *names: reduce(Column.__and__, [x[n].isNotNull() for n in names])
@@ -138,6 +151,47 @@ def export_bundles(heads: DataFrame, tables: dict[str, DataFrame], exported_at:
     return rows.select("ledger_id", F.when(~F.col("_large"), F.to_json(whole, {"ignoreNullFields": "false"})).alias("json"), F.when(F.col("_large"), "too-large").alias("error"))
 
 
+def export_pieces(heads: DataFrame, tables: dict[str, DataFrame], exported_at: str, rows: int | None = None) -> DataFrame:
+    """The same for ledgers of any size (S3): ``ledger_id``, ``json``, one document a piece.
+
+    A ledger with at most ``rows`` rows in all is one piece.  A larger one has as many as its
+    rows ask for, and each row's own content decides which piece it is in, so a ledger is dealt
+    to all tasks and only a piece is gathered.
+    """
+    rows = PIECE_ROWS if rows is None else rows
+    each = [tables[part].select("ledger_id", F.struct(*[c for c in tables[part].columns if c != "ledger_id"]).cast(kind).alias(part)) for part, kind in PARTS.items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    large = F.broadcast(every.groupBy("ledger_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("pieces")).filter("pieces > 1"))  # fewer than rows / ``rows``
+    dealt = every.withColumn("_hash", F.xxhash64(*PARTS)).join(large, "ledger_id", "left").withColumn("piece", F.pmod("_hash", F.coalesce("pieces", F.lit(1))).cast("int")).drop("_hash", "pieces")
+    marks = heads.join(large, "ledger_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    marks = marks.select("ledger_id", F.struct("pieces", "epoch", "seq", "low_stock_percent").alias("head"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    keyed = F.when(F.col("stock").isNotNull(), F.struct(colour_key(F.col("stock.code")).alias("key"), F.col("stock").alias("row")))
+    parts = {part: F.array_sort(F.collect_list(part)) for part in PARTS} | {"stock": F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["row"])}
+    gathered = dealt.unionByName(marks, allowMissingColumns=True).repartition("ledger_id", "piece").groupBy("ledger_id", "piece").agg(F.max("head").alias("head"), *[c.alias(part) for part, c in parts.items()])
+    whole = F.struct("piece", "head.pieces", F.lit(2).alias("format_version"), F.lit(exported_at).alias("exported_at"), "ledger_id", "head.epoch", "head.seq", "head.low_stock_percent", *PARTS)
+    return gathered.filter("head is not null").select("ledger_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def read_pieces(rows: DataFrame, palette: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pieces of a column ``json``, and ``ledger_id``, ``error`` of each ledger: null, or why it is refused.
+
+    A document that says nothing of pieces is its ledger's only one.  What holds for a bundle
+    holds for all pieces of a ledger together: each is there once with the same head, names are
+    alone, named patterns and the catalogue's colours are there.
+    """
+    read = rows.select(F.from_json("json", PIECE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("b")).select("b.*")
+    pieces = checked(stored(read.withColumns({"piece": F.coalesce("piece", F.lit(0)), "pieces": F.coalesce("pieces", F.lit(1))})), palette, whole_bundles=False)
+    names = lambda kind, values, own: F.transform(values, lambda k: F.struct(F.lit(kind).alias("kind"), k.cast("string").alias("name"), F.lit(own).alias("own")))
+    every = lambda part, field: F.transform(part, lambda x: x[field])
+    used = F.array_except(F.concat(every("usages", "pattern_id"), every("makes", "pattern_id")), every("patterns", "pattern_id"))
+    listed = pieces.select("ledger_id", F.inline(F.concat(names("piece", F.array("piece"), 1), names("patterns", used, 0), *[names(part, every(part, field), 1) for part, field in NAMES.items()])))
+    faulty = listed.groupBy("ledger_id", "kind", "name").agg(F.sum("own").alias("n")).filter("n <> 1").select("ledger_id", F.lit(True).alias("_faulty")).distinct()
+    head = F.struct("pieces", "format_version", "exported_at", "epoch", "seq", "low_stock_percent")
+    ledgers = pieces.groupBy("ledger_id").agg(F.max("error").alias("error"), (F.min(head).eqNullSafe(F.max(head)) & (F.count("*") == F.max("pieces")) & (F.min("piece") >= 0) & (F.max("piece") < F.max("pieces"))).alias("_all"), F.sum(F.size("stock")).alias("_colours"))
+    right = F.col("_all") & F.col("_faulty").isNull() & (F.lit(True) if palette is None else F.col("_colours") == len(_catalogue(palette)))
+    return pieces, ledgers.join(faulty, "ledger_id", "left").select("ledger_id", F.coalesce("error", F.when(~F.coalesce(right, F.lit(False)), "invalid-backup")).alias("error"))
+
+
 def counters(live: dict[str, DataFrame], backup: dict[str, DataFrame]) -> DataFrame:
     """Per ledger what a restore would change (A5): stock rows that differ, and percents, patterns, makes and movements before and after; whether all thumbnails are there."""
     rows = live["head"].select("ledger_id", F.col("low_stock_percent").alias("percent_before")).join(backup["head"].select("ledger_id", F.col("low_stock_percent").alias("percent_after")), "ledger_id", "full")
